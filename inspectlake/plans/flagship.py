@@ -1,0 +1,17 @@
+"""Which form fields can each project fill, and with what value?"""
+
+from inspectlake.fixtures import fixture
+from inspectlake.functions.envelope import parse_envelope
+from inspectlake.operators import mapping as M
+from inspectlake.operators.merge import image_pairs, last_wins_merge, rename_keys
+from inspectlake.operators.records import image_records
+
+
+def fillable_fields(spark, sf_dir):
+    records = image_records(parse_envelope(fixture(spark, sf_dir, "fx_response")))
+    extracted = last_wins_merge(rename_keys(image_pairs(records, "resp_id")))
+    fields = fixture(spark, sf_dir, "fx_form_field")
+    mapped = M.map_fields(fields, extracted, M.alias_table(spark))
+    return mapped.select(
+        "project_id", "ord", "name", "canonical_name", "value", "confidence_score", "evidence"
+    )
