@@ -47,6 +47,8 @@ select cast(floor(event_id / 4) as bigint) % 50 as project_id, cast(floor(event_
 select event_id as entry_id, 'img_' || (event_id % 200) || '.jpg' as image_path, 'p' || (event_id % 3) as prompt, ts as cached_at, event_type <> 'error' as success, 'r' || event_id as result from events""",
     "fx_request": """
 select event_id as req_id, 'img_' || (event_id % 400) || '.jpg' as image_path, 'p' || (event_id % 4) as prompt, ts as requested_at from events""",
+    "fx_user_request": """
+select event_id as req_id, 'img_' || user_id || '.jpg' as image_path, 'p' || (event_id % 3) as prompt, ts as requested_at from events""",
     "fx_review_event": """
 select event_id as seq, user_id as project_id, ts, case event_type when 'signup' then 'approved' when 'error' then 'rejected' when 'click' then 'edit' else 'view' end as action,
  case event_id % 3 when 0 then 'owner_name' when 1 then 'address' else 'notes' end as field_name, 'v' || event_id as new_value from events""",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inspectlake import settings as S
 from inspectlake.functions import text as T
 from inspectlake.operators.ordered import carry_forward, hot_keys, sliced, spread_join
-from inspectlake.session import shared_dir
+from inspectlake.session import saved
 
 
 def with_cache_key(rows, path="image_path", prompt="prompt"):
@@ -121,16 +121,15 @@ def _chain_by_rounds(instants, ttl):
     hot key is spread over all tasks.  The state is one row per hot key; there
     are as many rounds as expiry times in the covered period.
     """
-    shared_dir(instants.sparkSession)
-    instants = instants.checkpoint()
+    instants = saved(instants, "instants")
     first = F.min(F.struct("at", "req_id")).alias("_m")
-    last = instants.groupBy("cache_key").agg(first).checkpoint()
+    last = saved(instants.groupBy("cache_key").agg(first), "round")
     rounds = [last]
     while True:
         since = last.select("cache_key", F.col("_m.at").alias("_since"))
         later = instants.join(F.broadcast(since), "cache_key")
         later = later.filter(F.col("at") >= F.col("_since") + _seconds(ttl))
-        last = later.groupBy("cache_key").agg(first).checkpoint()
+        last = saved(later.groupBy("cache_key").agg(first), "round")
         if last.isEmpty():
             break
         rounds.append(last)

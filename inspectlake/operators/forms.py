@@ -7,7 +7,7 @@ from one input row, so a group by page is never larger than one page.
 
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -108,14 +108,38 @@ class _Page(HTMLParser):
                    list(n["attrs"].items()), text, n["up"])
 
 
+ARROW_NODES = pa.schema(
+    [
+        ("page_id", pa.int64()),
+        ("node_id", pa.int32()),
+        ("end_id", pa.int32()),
+        ("parent_id", pa.int32()),
+        ("sib_no", pa.int32()),
+        ("tag", pa.string()),
+        ("attrs", pa.map_(pa.string(), pa.string())),
+        ("text", pa.string()),
+        ("ancestors", pa.list_(pa.int32())),
+    ]
+)
+NODES_PER_BATCH = 20_000
+
+
+def _batch(rows):
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), ARROW_NODES.types)]
+    return pa.RecordBatch.from_arrays(columns, schema=ARROW_NODES)
+
+
 def _nodes_of(batches):
-    names = ["page_id", "node_id", "end_id", "parent_id", "sib_no", "tag", "attrs", "text", "ancestors"]
-    for pdf in batches:
-        for page_id, html in zip(pdf["page_id"], pdf["html"]):
+    rows = []
+    for batch in batches:
+        for page_id, html in zip(batch["page_id"].to_pylist(), batch["html"].to_pylist()):
             if html is not None:
-                rows = [(page_id, *row) for row in _Page().rows(html)]
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                rows.extend((page_id, *row) for row in _Page().rows(html))
+            if len(rows) >= NODES_PER_BATCH:
+                yield _batch(rows)
+                rows = []
+    if rows:
+        yield _batch(rows)
 
 
 def html_to_nodes(pages):
@@ -123,9 +147,11 @@ def html_to_nodes(pages):
 
     ``end_id`` is the last element inside, so containment is a range.  ``text``
     is there for elements a label or an option can come from, ``ancestors``
-    for form controls, options and list items.
+    for form controls, options and list items.  Steps that use the nodes more
+    than once should read them from a written table, so that no page is parsed
+    twice.
     """
-    return pages.select("page_id", "html").mapInPandas(_nodes_of, NODES)
+    return pages.select("page_id", "html").mapInArrow(_nodes_of, NODES)
 
 
 def _attr(name):
@@ -154,73 +180,69 @@ def _value():
     )
 
 
-def input_controls(nodes):
-    """The visible controls inside a form, with ``form_id`` and value.
+def with_forms(nodes):
+    """Add ``is_control``, ``form_id``, ``name`` and ``value`` to the nodes.
+
+    Forms do not nest, so the form of a node is the last one that started
+    before it, unless that one has ended.
 
-    Forms do not nest, so the form of a control is the last one that started
-    before it and has not ended.
+    This and the next steps are windows inside one page.  They add columns and
+    leave the rows where they are, so one shuffle on ``page_id`` serves all.
     """
-    inside = (
-        F.when(F.col("tag") == "form", F.struct("end_id", _attr("id").alias("id")))
-    )
-    form = F.last(inside, ignorenulls=True).over(
+    started = F.when(F.col("tag") == "form", F.struct("end_id", _attr("id").alias("id")))
+    form = F.last(started, ignorenulls=True).over(
         _page_window().rowsBetween(Window.unboundedPreceding, 0)
     )
     is_control = F.col("tag").isin("select", "textarea") | (
         (F.col("tag") == "input") & ~_kind().isin("hidden", "submit", "button")
     )
-    rows = nodes.filter(is_control | (F.col("tag") == "form")).withColumn("_form", form)
+    inside = F.coalesce(F.col("_form.end_id") >= F.col("node_id"), F.lit(False))
     return (
-        rows.filter(is_control & (F.col("_form.end_id") >= F.col("node_id")))
-        .withColumn("form_id", F.col("_form.id"))
+        nodes.withColumn("_form", form)
+        .withColumn("is_control", is_control & inside)
+        .withColumn("form_id", F.when(inside, F.col("_form.id")))
         .withColumn("name", _attr("name"))
         .withColumn("value", _value())
         .drop("_form")
     )
 
 
-def _first_label_texts(nodes):
-    """The first label of every ``for`` value of a page."""
-    labels = nodes.filter((F.col("tag") == "label") & (_attr("for") != ""))
-    return labels.groupBy("page_id", _attr("for").alias("_for")).agg(
-        F.min_by(T.page_trim(F.coalesce("text", F.lit(""))), "node_id").alias("label")
-    )
+def input_controls(nodes):
+    """The visible controls inside a form, with form, name and value."""
+    return with_forms(nodes).filter("is_control").drop("is_control")
 
 
-def label_for(nodes, controls):
-    """Text of the first label that names the control's id."""
-    labels = _first_label_texts(nodes)
-    asked = controls.filter(_attr("id") != "").select("page_id", "node_id", _attr("id").alias("_for"))
-    return asked.join(labels, ["page_id", "_for"]).drop("_for")
+def _trimmed():
+    return T.page_trim(F.coalesce("text", F.lit("")))
 
 
-def _siblings():
-    return Window.partitionBy("page_id", "parent_id").orderBy("sib_no")
+def with_label_for(rows):
+    """Add ``l_for``: text of the first label that names the element's id."""
+    is_label = F.col("tag") == "label"
+    key = F.nullif(F.when(is_label, _attr("for")).otherwise(_attr("id")), F.lit(""))
+    first = F.min_by(_trimmed(), F.when(is_label, F.col("node_id"))).over(
+        Window.partitionBy("page_id", "_key")
+    )
+    keyed = rows.withColumn("_key", key)
+    return keyed.withColumn("l_for", F.when(F.col("_key").isNotNull(), first)).drop("_key")
 
 
-def _prev_texts(nodes, tags):
-    before = F.lag(F.struct("tag", F.coalesce("text", F.lit("")).alias("text"))).over(_siblings())
-    rows = nodes.select("page_id", "node_id", "tag", before.alias("_b"))
-    return rows.filter(F.col("_b.tag").isin(tags) & F.col("tag").isin(*CONTROLS)).select(
-        "page_id", "node_id", T.page_trim(F.col("_b.text")).alias("label")
-    )
+def _siblings():
+    return Window.partitionBy("page_id", "parent_id").orderBy("sib_no")
 
 
-def label_prev_sibling(nodes, controls, tags=("label", "span", "div", "th")):
-    """Text of the element just before the control, of a labelling kind."""
-    wanted = controls.select("page_id", "node_id")
-    return _prev_texts(nodes, list(tags)).join(wanted, ["page_id", "node_id"], "left_semi")
+def with_prev_sibling(rows, tags=("label", "span", "div", "th")):
+    """Add ``l_prev``: text of the element just before, of a labelling kind."""
+    text = F.when(F.col("tag").isin(*tags), _trimmed())
+    return rows.withColumn("l_prev", F.lag(text).over(_siblings()))
 
 
-def label_parent(nodes, controls):
-    """Text of the label the control is directly in."""
-    labels = nodes.filter("tag = 'label'").select(
-        "page_id",
-        F.col("node_id").alias("parent_id"),
-        T.page_trim(F.coalesce("text", F.lit(""))).alias("label"),
-    )
-    asked = controls.select("page_id", "node_id", "parent_id")
-    return asked.join(labels, ["page_id", "parent_id"]).drop("parent_id")
+def with_parent_label(rows):
+    """Add ``l_parent``: text of the label the element is directly in."""
+    is_label = F.col("tag") == "label"
+    key = F.when(is_label, F.col("node_id")).otherwise(F.col("parent_id"))
+    text = F.max(F.when(is_label, _trimmed())).over(Window.partitionBy("page_id", "_key"))
+    return rows.withColumn("_key", key).withColumn("l_parent", text).drop("_key")
 
 
 def _has_class(*names):
@@ -228,76 +250,77 @@ def _has_class(*names):
     return F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in names]))
 
 
-def label_closest(nodes, controls, classes=("field", "form-group")):
-    """Text of the first label inside the nearest field container.
+def closest_labels(nodes, controls, classes=("field", "form-group")):
+    """``(page_id, node_id, l_closest)``: the label of the nearest container.
 
-    The first label after the start of a container is the next label of the
-    page; it counts when it starts before the container ends.
+    The first label inside a container is the next label of the page after the
+    container's start; it counts when it starts before the container ends.
     """
     is_label = F.col("tag") == "label"
+    is_box = _has_class(*classes)
     next_label = F.first(
-        F.when(is_label, F.struct("node_id", F.coalesce("text", F.lit("")).alias("text"))),
-        ignorenulls=True,
+        F.when(is_label, F.struct("node_id", _trimmed().alias("text"))), ignorenulls=True
     ).over(_page_window().rowsBetween(1, Window.unboundedFollowing))
+    inside = F.col("_label.node_id") <= F.col("end_id")
     boxes = (
-        nodes.filter(is_label | _has_class(*classes))
+        nodes.filter(is_label | is_box)
         .withColumn("_label", next_label)
-        .filter(_has_class(*classes))
+        .filter(is_box)
         .select(
             "page_id",
             F.col("node_id").alias("_box"),
-            F.when(F.col("_label.node_id") <= F.col("end_id"), F.col("_label.text")).alias("_text"),
+            F.when(inside, F.col("_label.text")).alias("_text"),
         )
     )
-    up = controls.select(
-        "page_id",
-        "node_id",
-        F.explode(F.concat(F.coalesce("ancestors", F.array().cast("array<int>")), F.array("node_id"))).alias("_box"),
-    )
-    nearest = up.join(boxes, ["page_id", "_box"]).groupBy("page_id", "node_id").agg(
-        F.max_by("_text", "_box").alias("_text")
-    )
-    return nearest.filter("_text is not null").select(
-        "page_id", "node_id", T.page_trim(F.col("_text")).alias("label")
-    )
+    own_and_up = F.concat(F.coalesce("ancestors", F.array().cast("array<int>")), F.array("node_id"))
+    up = controls.select("page_id", "node_id", F.explode(own_and_up).alias("_box"))
+    nearest = up.join(boxes, ["page_id", "_box"]).groupBy("page_id", "node_id")
+    return nearest.agg(F.max_by("_text", "_box").alias("l_closest"))
 
 
-def resolve_label(nodes, controls):
-    """The label of every control: the first rule with a text wins."""
-    rules = [
-        label_for(nodes, controls),
-        label_prev_sibling(nodes, controls),
-        label_parent(nodes, controls),
-        label_closest(nodes, controls),
-    ]
-    found = None
-    for n, rule in enumerate(rules):
-        rows = rule.filter("label <> ''").withColumn("_rule", F.lit(n))
-        found = rows if found is None else found.unionByName(rows)
-    best = found.groupBy("page_id", "node_id").agg(F.min_by("label", "_rule").alias("_found"))
-    rest = [F.nullif(_attr(a), F.lit("")) for a in ("aria-label", "name", "placeholder")]
-    return (
-        controls.join(best, ["page_id", "node_id"], "left")
-        .withColumn("label", F.coalesce("_found", *rest, F.lit("")))
-        .drop("_found")
-    )
+def _labels(rows, column):
+    found = rows.filter(F.col("is_control") & F.col(column).isNotNull())
+    return found.select("page_id", "node_id", "name", F.col(column).alias("label"))
 
 
-def _options(nodes):
-    """Options with the select they belong to and their shown text."""
-    last_select = F.last(
-        F.when(F.col("tag") == "select", F.struct("node_id", "end_id")), ignorenulls=True
-    ).over(_page_window().rowsBetween(Window.unboundedPreceding, 0))
-    rows = nodes.filter(F.col("tag").isin("select", "option")).withColumn("_of", last_select)
-    shown = T.clean_title(F.coalesce("text", F.lit("")))
-    return rows.filter((F.col("tag") == "option") & (F.col("_of.end_id") >= F.col("node_id"))).select(
-        "page_id",
-        F.col("_of.node_id").alias("select_id"),
-        "node_id",
-        shown.alias("text"),
-        F.coalesce(F.try_element_at("attrs", F.lit("value")), shown).alias("value"),
-        F.map_contains_key("attrs", "selected").alias("selected"),
-        F.map_contains_key("attrs", "disabled").alias("disabled"),
+def label_for(nodes):
+    return _labels(with_label_for(with_forms(nodes)), "l_for")
+
+
+def label_prev_sibling(nodes):
+    return _labels(with_prev_sibling(with_forms(nodes)), "l_prev")
+
+
+def label_parent(nodes):
+    return _labels(with_parent_label(with_forms(nodes)), "l_parent")
+
+
+def label_closest(nodes):
+    controls = input_controls(nodes)
+    found = closest_labels(nodes, controls).filter("l_closest is not null")
+    named = controls.select("page_id", "node_id", "name")
+    return found.join(named, ["page_id", "node_id"]).withColumnRenamed("l_closest", "label")
+
+
+def _text_of(*columns):
+    return [F.nullif(c, F.lit("")) for c in columns]
+
+
+def resolve_label(rows, nodes):
+    """The label of every control: the first rule that gives a text wins.
+
+    ``rows`` are the nodes after ``with_forms``, or more columns.  Containers
+    are looked up only for controls the nearer rules leave without a label.
+    """
+    rows = with_parent_label(with_prev_sibling(with_label_for(rows))).filter("is_control")
+    near = F.coalesce(*_text_of(F.col("l_for"), F.col("l_prev"), F.col("l_parent")))
+    rows = rows.withColumn("_near", near).drop("l_for", "l_prev", "l_parent")
+    boxed = closest_labels(nodes, rows.filter("_near is null"))
+    last = _text_of(F.col("l_closest"), _attr("aria-label"), _attr("name"), _attr("placeholder"))
+    return (
+        rows.join(boxed, ["page_id", "node_id"], "left")
+        .withColumn("label", F.coalesce("_near", *last, F.lit("")))
+        .drop("_near", "l_closest", "is_control")
     )
 
 
@@ -309,96 +332,119 @@ def _ordered(struct, order):
 
 
 def select_options(nodes):
-    """Shown option texts of every select in order, empty ones dropped."""
-    texts = _ordered(F.when(F.col("text") != "", F.col("text")), "node_id")
-    chosen = F.when(F.col("selected"), F.col("node_id"))
-    listed = _options(nodes).groupBy("page_id", "select_id").agg(
-        F.filter(texts, lambda t: t.isNotNull()).alias("options"),
+    """Shown option texts of every select in order, and its reported value.
+
+    Empty texts are dropped.  The value is that of the chosen option, else of
+    the first one that can be chosen.
+    """
+    started = F.when(F.col("tag") == "select", F.struct("node_id", "end_id"))
+    last_select = F.last(started, ignorenulls=True).over(
+        _page_window().rowsBetween(Window.unboundedPreceding, 0)
+    )
+    shown = T.clean_title(F.coalesce("text", F.lit("")))
+    is_select = F.col("tag") == "select"
+    rows = (
+        nodes.filter(F.col("tag").isin("select", "option"))
+        .withColumn("_of", last_select)
+        .filter(F.col("_of.end_id") >= F.col("node_id"))
+        .select(
+            "page_id",
+            F.col("_of.node_id").alias("select_id"),
+            "node_id",
+            is_select.alias("_is_select"),
+            F.when(is_select, _attr("name")).alias("name"),
+            F.when(is_select, F.map_contains_key("attrs", "multiple")).alias("_many"),
+            F.when(~is_select & (shown != ""), shown).alias("text"),
+            F.coalesce(F.try_element_at("attrs", F.lit("value")), shown).alias("value"),
+            F.map_contains_key("attrs", "selected").alias("selected"),
+            F.map_contains_key("attrs", "disabled").alias("disabled"),
+        )
+    )
+    chosen = F.when(~F.col("_is_select") & F.col("selected"), F.col("node_id"))
+    open_ = F.when(~F.col("_is_select") & ~F.col("disabled"), F.col("node_id"))
+    listed = rows.groupBy("page_id", "select_id").agg(
+        F.max("name").alias("name"),
+        F.bool_or("_many").alias("_many"),
+        F.filter(_ordered(F.col("text"), "node_id"), lambda t: t.isNotNull()).alias("options"),
         F.max_by("value", chosen).alias("_last_chosen"),
         F.min_by("value", chosen).alias("_first_chosen"),
-        F.min_by("value", F.when(~F.col("disabled"), F.col("node_id"))).alias("_first"),
-    )
-    selects = nodes.filter("tag = 'select'").select(
-        "page_id",
-        F.col("node_id").alias("select_id"),
-        _attr("name").alias("name"),
-        F.map_contains_key("attrs", "multiple").alias("_many"),
+        F.min_by("value", open_).alias("_first"),
     )
     value = F.when(F.col("_many"), F.col("_first_chosen")).otherwise(F.coalesce("_last_chosen", "_first"))
-    return selects.join(listed, ["page_id", "select_id"], "left").select(
+    return listed.select(
         "page_id",
         F.col("select_id").alias("node_id"),
         "name",
-        F.coalesce("options", F.array().cast("array<string>")).alias("options"),
+        "options",
         F.coalesce(value, F.lit("")).alias("selected_value"),
     )
 
 
+def with_option_label(rows):
+    """Add ``option_label``: an input's own label, the next label, its value.
+
+    ``rows`` have ``l_for``.
+    """
+    text = F.when(F.col("tag") == "label", _trimmed())
+    after = F.lead(text).over(_siblings())
+    return rows.withColumn("_next", after).withColumn(
+        "option_label", F.coalesce(*_text_of(F.col("l_for"), F.col("_next")), F.col("value"))
+    ).drop("_next")
+
+
 def next_sibling_label(nodes):
-    """Label of every named input as an option: its own, the next one, its value."""
-    after = F.lead(F.struct("tag", F.coalesce("text", F.lit("")).alias("text"))).over(_siblings())
-    inputs = (
-        nodes.withColumn("_a", after)
-        .filter((F.col("tag") == "input") & (_attr("name") != ""))
-        .select(
-            "page_id",
-            "node_id",
-            _attr("name").alias("name"),
-            _attr("id").alias("_for"),
-            _kind().alias("kind"),
-            _value().alias("value"),
-            F.map_contains_key("attrs", "checked").alias("checked"),
-            F.when(F.col("_a.tag") == "label", T.page_trim(F.col("_a.text"))).alias("_next"),
-        )
-    )
-    own = _first_label_texts(nodes).withColumnRenamed("label", "_own")
-    return inputs.join(own, ["page_id", "_for"], "left").select(
+    """Option label of every named input."""
+    rows = with_option_label(with_label_for(with_forms(nodes)))
+    return rows.filter("tag = 'input' and name <> ''").select(
         "page_id",
         "node_id",
         "name",
-        "kind",
+        _kind().alias("kind"),
         "value",
-        "checked",
-        F.coalesce(
-            F.nullif("_own", F.lit("")), F.nullif("_next", F.lit("")), F.col("value")
-        ).alias("option_label"),
+        F.map_contains_key("attrs", "checked").alias("checked"),
+        "option_label",
     )
 
 
-def choice_options(nodes, controls):
+def choice_options(nodes):
     """Radio and check-box fields with ``radio_options`` or ``checked``.
 
     Inputs of one name on a page form a group.  The first of a group of
     several carries the list when it is a choice itself; a single one and one
     without a name carry ``checked``; the others carry neither.
     """
+    rows = with_option_label(with_label_for(with_forms(nodes))).filter("tag = 'input'")
+    on = F.map_contains_key("attrs", "checked")
+    group = Window.partitionBy("page_id", "name")
     option = F.struct(
-        F.col("option_label").alias("label"), F.col("value"), F.col("checked").alias("selected")
+        F.col("option_label").alias("label"), F.col("value"), on.alias("selected")
     )
-    groups = next_sibling_label(nodes).groupBy("page_id", "name").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("node_id").alias("_first"), _ordered(option, "node_id").alias("_all")
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(group)).withColumn(
+        "_first", F.min("node_id").over(group)
     )
-    choices = controls.filter(_is_choice()).select(
-        "page_id", "node_id", "name", F.map_contains_key("attrs", "checked").alias("_on")
+    named = F.col("name") != ""
+    choices = F.col("is_control") & _is_choice()
+    several = named & (F.col("_n") > 1)
+    lists = (
+        rows.filter(several)
+        .groupBy("page_id", "name")
+        .agg(F.min("node_id").alias("node_id"), _ordered(option, "node_id").alias("_all"))
+        .drop("name")
     )
-    joined = choices.join(groups, ["page_id", "name"], "left")
-    leads = (F.col("_n") > 1) & (F.col("_first") == F.col("node_id"))
-    return joined.select(
-        "page_id",
-        "node_id",
-        "name",
-        F.when(leads, F.col("_all")).alias("radio_options"),
-        F.when(F.coalesce("_n", F.lit(1)) == 1, F.col("_on")).alias("checked"),
+    return (
+        rows.filter(choices)
+        .select("page_id", "node_id", "name", F.when(~several, on).alias("checked"))
+        .join(lists, ["page_id", "node_id"], "left")
+        .select("page_id", "node_id", "name", F.col("_all").alias("radio_options"), "checked")
     )
 
 
-def form_fields(nodes, controls=None):
+def form_fields(nodes):
     """Every field of every form with label, value, options and choices."""
-    controls = input_controls(nodes) if controls is None else controls
     options = select_options(nodes).select("page_id", "node_id", "options", "selected_value")
-    choices = choice_options(nodes, controls).drop("name")
+    choices = choice_options(nodes).drop("name")
     return (
-        resolve_label(nodes, controls)
+        resolve_label(with_forms(nodes), nodes)
         .join(options, ["page_id", "node_id"], "left")
         .join(choices, ["page_id", "node_id"], "left")
         .select(
@@ -429,25 +475,20 @@ def tag_fields(nodes):
     for a in ("class", "id", "name"):
         marked = marked | F.contains(F.lower(_attr(a)), F.lit("tag"))
     options = select_options(nodes).select("page_id", "node_id", "options", "selected_value")
-    tags = nodes.filter(is_input & marked).join(options, ["page_id", "node_id"], "left")
-    own = label_for(nodes, tags).filter("label <> ''").withColumn("_rule", F.lit(0))
-    prev = label_prev_sibling(nodes, tags, ("label", "span", "div")).filter("label <> ''")
-    best = (
-        own.unionByName(prev.withColumn("_rule", F.lit(1)))
-        .groupBy("page_id", "node_id")
-        .agg(F.min_by("label", "_rule").alias("_found"))
-    )
-    rest = [F.nullif(_attr(a), F.lit("")) for a in ("name", "placeholder", "data-label")]
-    rows = tags.join(best, ["page_id", "node_id"], "left").select(
+    rows = with_prev_sibling(with_label_for(nodes), ("label", "span", "div"))
+    texts = _text_of(F.col("l_for"), F.col("l_prev"), *[_attr(a) for a in ("name", "placeholder", "data-label")])
+    tags = rows.filter(is_input & marked).select(
         "page_id",
         "node_id",
-        F.coalesce("_found", *rest, F.lit("")).alias("label"),
+        F.coalesce(*texts, F.lit("")).alias("label"),
         F.col("tag").alias("type"),
         _attr("name").alias("name"),
-        F.coalesce("selected_value", _value()).alias("value"),
-        "options",
+        _value().alias("_own_value"),
         (~by_name).alias("_late"),
     )
+    rows = tags.join(options, ["page_id", "node_id"], "left").withColumn(
+        "value", F.coalesce("selected_value", "_own_value")
+    )
     kept = F.min_by(F.struct("node_id", "label", "type", "options"), F.struct("_late", "node_id"))
     return rows.groupBy("page_id", "name", "value").agg(kept.alias("_t")).select(
         "page_id", "name", "value", "_t.*"

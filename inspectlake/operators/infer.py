@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inspectlake import settings as S
 from inspectlake.functions.envelope import parse_envelope
 from inspectlake.operators import cache as C
-from inspectlake.session import shared_dir
+from inspectlake.session import saved
 
 _MODELS = {}
 
@@ -107,13 +107,13 @@ def cached_infer(requests, cache, make=EchoModel, ttl=S.CACHE_TTL_SECONDS, **opt
     would miss when asked in time order reach the model; the rest share the
     answer of the one before them, so a request that is asked a million times
     is inferred once.  ``cached`` is true for all that did not need the model.
-    The answers are checkpointed: they are used twice and costly to redo.
+    Matches and answers are written down: both are used more than once, and
+    answers are costly to redo.
     """
-    matched = C.match_cache(requests, cache, ttl)
+    matched = saved(C.match_cache(requests, cache, ttl), "matched")
     misses = C.cache_miss(matched)
     leaders = misses.join(C.cache_ttl_fold(misses, ttl).select("req_id"), "req_id", "left_semi")
-    shared_dir(requests.sparkSession)
-    answered = parse_envelope(infer_with_retry(leaders, make, **options)).checkpoint()
+    answered = saved(parse_envelope(infer_with_retry(leaders, make, **options)), "answers")
     answer = F.struct(
         F.col("req_id").alias("leader"),
         F.col("raw_response").alias("result"),

@@ -44,7 +44,7 @@ def union_hits_misses(spark, sf_dir):
 
 
 def cache_ttl_fold(spark, sf_dir):
-    return C.cache_ttl_fold(_requests(spark, sf_dir)).select("req_id", F.col("at").alias("requested_at"))
+    return C.cache_ttl_fold(fixture(spark, sf_dir, "fx_user_request")).select("req_id", F.col("at").alias("requested_at"))
 
 
 def retry_outcome(spark, sf_dir):
@@ -85,7 +85,7 @@ def infer_with_retry(spark, sf_dir):
 
 
 def cached_infer(spark, sf_dir):
-    results, _ = N.cached_infer(_requests(spark, sf_dir), _cache(spark, sf_dir))
+    results, _ = N.cached_infer(fixture(spark, sf_dir, "fx_user_request"), _cache(spark, sf_dir))
     return results.select("req_id", "result", "success", "cached")
 
 
@@ -131,7 +131,7 @@ ORACLES = {
         "select req_id, case when hit then result else 'fresh ' || image_path end as result, hit as cached from matched"
     ),
     "cache_ttl_fold": with_fixtures(
-        CHAIN.format(source="fx_request") + "select req_id, requested_at from misses", "fx_request"
+        CHAIN.format(source="fx_user_request") + "select req_id, requested_at from misses", "fx_user_request"
     ).replace("with ", "with recursive ", 1),
     "retry_outcome": with_fixtures(
         """, used as (select *, min(case when ok then attempt end) over (partition by project_id, task_id) as first_ok,
@@ -152,11 +152,11 @@ select project_id, task_id, first_ok is not null as succeeded, cast(coalesce(fir
         "fx_request",
     ),
     "cached_infer": with_fixtures(
-        LOOKUP
+        LOOKUP.replace("fx_request", "fx_user_request")
         + ", missed as (select req_id, image_path, prompt, requested_at from matched where not hit)"
         + CHAIN.format(source="missed")
         + """select m.req_id, case when hit then result else '{"room": "' || m.prompt || ' of ' || m.image_path || '", "confidence": 0.9}' end as result,
  true as success, s.req_id is null as cached from matched m left join misses s on s.req_id = m.req_id""",
-        "fx_request", "fx_cache",
+        "fx_user_request", "fx_cache",
     ).replace("with ", "with recursive ", 1),
 }

@@ -8,12 +8,17 @@ from pyspark.sql import functions as F
 
 from inspectlake.fixtures import fixture
 from inspectlake.operators import forms as H
+from inspectlake.session import saved
 
 
 def _nodes(spark, sf_dir):
     return H.html_to_nodes(fixture(spark, sf_dir, "fx_form_html"))
 
 
+def stored_nodes(spark, sf_dir):
+    return saved(_nodes(spark, sf_dir), "nodes")
+
+
 def html_to_nodes(spark, sf_dir):
     nodes = _nodes(spark, sf_dir)
     return nodes.select(
@@ -29,20 +34,25 @@ def input_controls(spark, sf_dir):
     return H.input_controls(_nodes(spark, sf_dir)).select("page_id", "form_id", "tag", "name", "value")
 
 
-def _labels(rule, *args):
-    def query(spark, sf_dir):
-        nodes = _nodes(spark, sf_dir)
-        controls = H.input_controls(nodes)
-        named = controls.select("page_id", "node_id", "name")
-        found = rule(nodes, controls, *args)
-        return found.join(named, ["page_id", "node_id"]).select("page_id", "name", "label")
+def label_for(spark, sf_dir):
+    return H.label_for(_nodes(spark, sf_dir)).drop("node_id")
+
+
+def label_prev_sibling(spark, sf_dir):
+    return H.label_prev_sibling(_nodes(spark, sf_dir)).drop("node_id")
+
 
-    return query
+def label_parent(spark, sf_dir):
+    return H.label_parent(_nodes(spark, sf_dir)).drop("node_id")
+
+
+def label_closest(spark, sf_dir):
+    return H.label_closest(stored_nodes(spark, sf_dir)).drop("node_id")
 
 
 def resolve_label(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return H.resolve_label(nodes, H.input_controls(nodes)).select("page_id", "name", "label")
+    nodes = stored_nodes(spark, sf_dir)
+    return H.resolve_label(H.with_forms(nodes), nodes).select("page_id", "name", "label")
 
 
 def select_options(spark, sf_dir):
@@ -66,20 +76,19 @@ def _choices(col):
 
 
 def choice_options(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
-    return H.choice_options(nodes, H.input_controls(nodes)).select(
+    return H.choice_options(stored_nodes(spark, sf_dir)).select(
         "page_id", "name", _choices(F.col("radio_options")).alias("radio_options"), "checked"
     )
 
 
 def tag_fields(spark, sf_dir):
-    return H.tag_fields(_nodes(spark, sf_dir)).select(
+    return H.tag_fields(stored_nodes(spark, sf_dir)).select(
         "page_id", "name", "value", "label", "type", F.array_join("options", "|").alias("options")
     )
 
 
 def form_fields(spark, sf_dir):
-    return H.form_fields(_nodes(spark, sf_dir)).select(
+    return H.form_fields(stored_nodes(spark, sf_dir)).select(
         "page_id", "form_id", "name", "label", "type", "value",
         F.array_join("options", "|").alias("options"),
         _choices(F.col("radio_options")).alias("radio_options"),
@@ -89,10 +98,10 @@ def form_fields(spark, sf_dir):
 QUERIES = {
     "html_to_nodes": html_to_nodes,
     "input_controls": input_controls,
-    "label_for": _labels(H.label_for),
-    "label_prev_sibling": _labels(H.label_prev_sibling),
-    "label_parent": _labels(H.label_parent),
-    "label_closest": _labels(H.label_closest),
+    "label_for": label_for,
+    "label_prev_sibling": label_prev_sibling,
+    "label_parent": label_parent,
+    "label_closest": label_closest,
     "resolve_label": resolve_label,
     "select_options": select_options,
     "next_sibling_label": next_sibling_label,

@@ -26,7 +26,7 @@ def stream_ingest(spark, sf_dir):
 
 def stream_cache(spark, sf_dir):
     out = work_dir(spark, "misses")
-    misses = Q.stream_cache(stream_fixture(spark, sf_dir, "fx_request"))
+    misses = Q.stream_cache(stream_fixture(spark, sf_dir, "fx_user_request"))
     Q.run_available(misses, work_dir(spark, "progress"), out=out)
     return spark.read.parquet(out).select("req_id")
 
@@ -54,7 +54,7 @@ ORACLES = {
     "stream_ingest": """select 'p1' as project_id, case doc_id % 3 when 0 then 'handwritten' when 1 then 'scanned' else 'images' end as doc_type,
  doc_id, md5(text) as text_md5 from documents""",
     "stream_cache": with_fixtures(
-        CHAIN.format(source="fx_request") + "select req_id from misses", "fx_request"
+        CHAIN.format(source="fx_user_request") + "select req_id from misses", "fx_user_request"
     ).replace("with ", "with recursive ", 1),
     "stream_review": with_fixtures(
         """, used as (select *, case when action = 'edit' then 'edit' else 'decision' end as kind,
@@ -64,6 +64,6 @@ select project_id, kind, field as field_name, seq, action, new_value from used
         "fx_review_event",
     ),
     "stream_log_windows": with_fixtures(
-        "select date_trunc('hour', at) as window_start, step, count(*) as n, count(error) as n_errors from fx_log group by all", "fx_log"
+        """select date_trunc('hour', "at") as window_start, step, count(*) as n, count(error) as n_errors from fx_log group by all""", "fx_log"
     ),
 }

@@ -53,3 +53,14 @@ def shared_dir(spark):
 def work_dir(spark, name):
     """A new folder path for one run under the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def saved(rows, name):
+    """``rows`` written to a new folder of the shared storage and read back.
+
+    Cuts the lineage at work that is used more than once; later steps read
+    only the columns they need.
+    """
+    path = work_dir(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.parquet(path)
