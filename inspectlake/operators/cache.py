@@ -29,7 +29,7 @@ def _second_of(ts):
     return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
 
 
-def _live_entries(instants, cache, ttl, slice_seconds, rows_per_task):
+def _live_entries(instants, cache, ttl, slice_seconds, ways):
     """The entry that is live at each ``(cache_key, at)``, if any.
 
     An as-of join: entries and instants share one window ordered by time, an
@@ -45,8 +45,11 @@ def _live_entries(instants, cache, ttl, slice_seconds, rows_per_task):
     asks = instants.select("cache_key", "at", F.lit(1).alias("_asks"))
     rows = entries.unionByName(asks, allowMissingColumns=True)
     slice_of = F.floor(_second_of(F.col("at")) / slice_seconds)
-    rows = sliced(rows, ["cache_key"], slice_of, rows_per_task)
-    seen = carry_forward(rows, ["cache_key"], "_slice", ["at", "_asks"], {"_latest": F.col("_entry")})
+    rows = sliced(rows, ["cache_key"], slice_of, ways)
+    latest = {"_latest": F.col("_entry")}
+    seen = carry_forward(
+        rows, ["cache_key"], "_slice", ["at", "_asks"], latest, ways.select("cache_key")
+    )
     live = F.col("at") < F.col("_latest.at") + _seconds(ttl)
     return seen.filter((F.col("_asks") == 1) & live).select(
         "cache_key", F.col("at").alias("requested_at"), F.col("_latest.result").alias("result")
@@ -63,7 +66,9 @@ def match_cache(
     """Every request with ``hit`` and the stored ``result``."""
     requests, cache = with_cache_key(requests), with_cache_key(cache)
     instants = requests.select("cache_key", F.col("requested_at").alias("at")).distinct()
-    live = _live_entries(instants, cache, ttl, slice_seconds, rows_per_task)
+    seen_keys = requests.select("cache_key").unionByName(cache.select("cache_key"))
+    ways = hot_keys(seen_keys, ["cache_key"], rows_per_task)
+    live = _live_entries(instants, cache, ttl, slice_seconds, ways)
     live = live.withColumn("hit", F.lit(True))
     matched = spread_join(
         requests, live, ["cache_key", "requested_at"], ["req_id"], "left", rows_per_task

@@ -43,9 +43,8 @@ def spread_join(rows, lookup, keys, spread_on, how="left", rows_per_task=S.ROWS_
     return dealt.drop("_ways").join(repeated, [*keys, "_deal"], how).drop("_deal")
 
 
-def sliced(rows, keys, slice_of, rows_per_task=S.ROWS_PER_TASK):
-    """Add ``_slice``: ``slice_of`` for hot keys, 0 for all others."""
-    ways = hot_keys(rows, keys, rows_per_task)
+def sliced(rows, keys, slice_of, ways):
+    """Add ``_slice``: ``slice_of`` for the hot keys in ``ways``, 0 for others."""
     return (
         rows.join(F.broadcast(ways), keys, "left")
         .withColumn(
@@ -56,13 +55,17 @@ def sliced(rows, keys, slice_of, rows_per_task=S.ROWS_PER_TASK):
     )
 
 
-def carry_forward(rows, keys, slice_col, order, values, inclusive=True):
+def carry_forward(rows, keys, slice_col, order, values, split, inclusive=True):
     """For every row, the latest earlier non-null value in its key's order.
 
     ``values`` maps output names to expressions.  A window works inside one
     slice of a key; what happened in earlier slices comes from one summary row
     per slice.  No task ever holds more than a slice of rows or one key's
     slice summaries.  ``slice_col`` must not decrease along ``order``.
+
+    ``split`` holds the keys that have several slices.  Each of them has many
+    rows, so they are few and can be broadcast; only their rows are summed up,
+    and without any the plan is one window.
     """
     inner = (
         Window.partitionBy(*keys, slice_col)
@@ -72,9 +75,15 @@ def carry_forward(rows, keys, slice_col, order, values, inclusive=True):
     local = rows.select(
         "*", *[F.last(v, ignorenulls=True).over(inner).alias(f"_in_{n}") for n, v in values.items()]
     )
-    position = F.struct(*order)
-    summary = rows.groupBy(*keys, slice_col).agg(
-        *[F.max_by(v, F.when(v.isNotNull(), position)).alias(f"_last_{n}") for n, v in values.items()]
+    # One plain column as position keeps the aggregation a hash aggregation.
+    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
+    long_keys = F.broadcast(split)
+    summary = (
+        rows.join(long_keys, split.columns, "left_semi")
+        .groupBy(*keys, slice_col)
+        .agg(
+            *[F.max_by(v, F.when(v.isNotNull(), position)).alias(f"_last_{n}") for n, v in values.items()]
+        )
     )
     earlier = (
         Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)

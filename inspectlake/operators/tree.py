@@ -26,27 +26,42 @@ def outline_items(entries):
     )
 
 
+def long_pages(items, slice_rows=S.OUTLINE_SLICE):
+    """Pages whose outline spans several slices.
+
+    Positions count up within a page, so at most ``rows / slice_rows`` pages
+    qualify.
+    """
+    ends = items.groupBy("page_id").agg(F.max("ord").alias("_end"))
+    return ends.filter(F.col("_end") >= slice_rows).select("page_id")
+
+
 def _sliced(rows, slice_rows):
     return rows.withColumn("_slice", F.floor(F.col("ord") / slice_rows))
 
 
-def fill_levels(items, slice_rows=S.OUTLINE_SLICE):
+def fill_levels(items, split=None, slice_rows=S.OUTLINE_SLICE):
     """Every item and, before one that skips levels, an untitled node per level.
 
     ``parent_ord`` is set where the parent is known from the item before: a
     node one level below it, or below a fill node of the same item.
     """
-    rows = _sliced(items, slice_rows)
-    before = F.struct(F.col("indent_level").alias("level"), F.col("ord").alias("ord"))
-    rows = carry_forward(rows, ["page_id"], "_slice", ["ord"], {"_prev": before}, inclusive=False)
-    prev = F.coalesce("_prev.level", F.lit(-1))
-    lowest = F.least(prev + 1, F.col("indent_level"))
-    nodes = rows.withColumn("_next", prev + 1).withColumn(
-        "level", F.explode(F.sequence(lowest, F.col("indent_level")))
+    split = long_pages(items, slice_rows) if split is None else split
+    rows = carry_forward(
+        _sliced(items, slice_rows),
+        ["page_id"],
+        "_slice",
+        ["ord"],
+        {"_prev_level": F.col("indent_level"), "_prev_ord": F.col("ord")},
+        split,
+        inclusive=False,
     )
+    rows = rows.withColumn("_next", F.coalesce("_prev_level", F.lit(-1)) + 1)
+    lowest = F.least("_next", "indent_level")
+    nodes = rows.withColumn("level", F.explode(F.sequence(lowest, F.col("indent_level"))))
     is_fill = F.col("level") < F.col("indent_level")
     known = F.when(F.col("level") > F.col("_next"), F.col("ord")).when(
-        F.col("level") == F.col("_next"), F.col("_prev.ord")
+        F.col("level") == F.col("_next"), F.col("_prev_ord")
     )
     return nodes.select(
         "page_id",
@@ -60,7 +75,7 @@ def fill_levels(items, slice_rows=S.OUTLINE_SLICE):
     )
 
 
-def parent_asof(nodes, slice_rows=S.OUTLINE_SLICE):
+def parent_asof(nodes, split=None, slice_rows=S.OUTLINE_SLICE):
     """Add the parent of every node of ``fill_levels``.
 
     The parent of a node at level L is the latest earlier node at level L-1.
@@ -69,6 +84,7 @@ def parent_asof(nodes, slice_rows=S.OUTLINE_SLICE):
     the level above, in one window per page and level that is cut into slices
     of ``slice_rows`` positions.
     """
+    split = long_pages(nodes, slice_rows) if split is None else split
     answer = F.struct(F.col("level").alias("at"), F.lit(False).alias("asks"))
     question = F.struct((F.col("level") - 1).alias("at"), F.lit(True).alias("asks"))
     roles = F.explode(F.when(F.col("_asks"), F.array(answer, question)).otherwise(F.array(answer)))
@@ -76,8 +92,8 @@ def parent_asof(nodes, slice_rows=S.OUTLINE_SLICE):
         {"_at": F.col("_role.at"), "_question": F.col("_role.asks")}
     )
     rows = _sliced(rows.drop("_role"), slice_rows)
-    found = F.when(~F.col("_question"), F.col("ord"))
-    seen = carry_forward(rows, ["page_id", "_at"], "_slice", ["ord"], {"_parent": found})
+    found = {"_parent": F.when(~F.col("_question"), F.col("ord"))}
+    seen = carry_forward(rows, ["page_id", "_at"], "_slice", ["ord"], found, split)
     return (
         seen.filter(F.col("_question") == F.col("_asks"))
         .withColumn("parent_ord", F.when(F.col("_asks"), F.col("_parent")).otherwise(F.col("parent_ord")))
@@ -86,20 +102,25 @@ def parent_asof(nodes, slice_rows=S.OUTLINE_SLICE):
     )
 
 
-def section_path(nodes, separator=" > ", slice_rows=S.OUTLINE_SLICE, levels=None):
+def outline_depth(items):
+    """The number of levels of an outline table, by one aggregation."""
+    return (items.agg(F.max("indent_level")).first()[0] or 0) + 1
+
+
+def section_path(nodes, levels, split=None, separator=" > ", slice_rows=S.OUTLINE_SLICE):
     """Titles from the root down to every node, and its depth.
 
     The ancestor at level k is the latest earlier node of level k, so one
-    window carries the current title of every level.  ``levels`` is the number
-    of levels; without it one aggregation finds it.
+    window carries the current title of each of the ``levels`` levels.
     """
-    if levels is None:
-        levels = (nodes.agg(F.max("level")).first()[0] or 0) + 1
+    split = long_pages(nodes, slice_rows) if split is None else split
     slots = {
         f"_l{k}": F.when(F.col("level") == k, F.struct(F.col("title").alias("title")))
         for k in range(levels)
     }
-    rows = carry_forward(_sliced(nodes, slice_rows), ["page_id"], "_slice", ["ord", "level"], slots)
+    rows = carry_forward(
+        _sliced(nodes, slice_rows), ["page_id"], "_slice", ["ord", "level"], slots, split
+    )
     above = [F.when(F.col("level") > k, F.col(f"_l{k}.title")) for k in range(levels)]
     return rows.select(
         *[c for c in nodes.columns if not c.startswith("_")],
@@ -123,8 +144,8 @@ def form_groups(fields, page="page_id"):
     )
 
 
-def union_tree(nodes, fields, report_form, item_prefix, page="page_id"):
-    """The whole tree as an adjacency list.
+def union_tree(nodes, pages, fields, report_form, item_prefix, page="page_id"):
+    """The whole tree of ``pages(page_id)`` as an adjacency list.
 
     The report's information node, the outline, and, only for pages that have
     item fields, the item section with one node per item form.
@@ -148,7 +169,6 @@ def union_tree(nodes, fields, report_form, item_prefix, page="page_id"):
         return F.concat_ws(":", F.lit("outline"), ord_col.cast("string"), level_col.cast("string"))
 
     root = F.lit("root")
-    pages = nodes.select("page_id").union(fields.select(page)).distinct()
     above = F.coalesce(
         F.when(F.col("level") > 0, name_of(F.col("parent_ord"), F.col("parent_level"))), root
     )

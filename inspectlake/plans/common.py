@@ -25,8 +25,17 @@ def given(key, default):
     return f"case when json_exists(j, '$.{key}') then j->>'$.{key}' else {default} end"
 
 
+def all_cores(rows, key):
+    """Rows of a small scan dealt over all cores before costly Python work.
+
+    A scan that already has that many partitions stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def envelopes(spark, sf_dir, name="fx_response"):
-    return parse_envelope(fixture(spark, sf_dir, name))
+    return parse_envelope(all_cores(fixture(spark, sf_dir, name), "resp_id"))
 
 
 def joined(col, sep=","):

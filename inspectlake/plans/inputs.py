@@ -3,13 +3,16 @@
 from pyspark.sql import functions as F
 
 from inspectlake.fixtures import fixture, table, with_fixtures
-from inspectlake.functions.envelope import parse_envelope
 from inspectlake.operators import documents as D
 from inspectlake.operators import records as R
 from inspectlake.operators.projects import create_projects
-from inspectlake.plans.common import normalized
+from inspectlake.plans.common import envelopes, normalized
 
-TEMPLATE = "List every key and its value.\nText:\n{text}\nAnswer:"
+PROMPTS = [
+    ("key_values", "List every key and its value.\nText:\n{text}\nAnswer:"),
+    ("twice", "{text}|{text}"),
+    ("plain", "Describe the image."),
+]
 
 
 def present_inputs(spark, sf_dir):
@@ -56,13 +59,11 @@ def repeated_keys(spark, sf_dir):
 
 
 def bind_prompt(spark, sf_dir):
-    docs = fixture(spark, sf_dir, "fx_kv_text").withColumn("prompt_name", F.lit("key_values"))
-    prompts = spark.createDataFrame([("key_values", TEMPLATE)], "name string, template string")
-    return D.bind_prompt(docs, prompts).select("doc_id", "request")
-
-
-def _page_envelopes(spark, sf_dir):
-    return parse_envelope(fixture(spark, sf_dir, "fx_page_response"))
+    names = F.array(*[F.lit(name) for name, _ in PROMPTS])
+    which = F.get(names, (F.col("doc_id") % 3).cast("int"))
+    docs = fixture(spark, sf_dir, "fx_kv_text").withColumn("prompt_name", which)
+    prompts = spark.createDataFrame(PROMPTS, "name string, template string")
+    return D.bind_prompt(docs, prompts).select("doc_id", "prompt_name", "request")
 
 
 def page_field_record(spark, sf_dir):
@@ -155,7 +156,9 @@ select doc_id, page_no, pages, 'page_' || page_no || '.png' as page_name, page_t
         "fx_kv_text",
     ),
     "bind_prompt": with_fixtures(
-        "select doc_id, 'List every key and its value.' || chr(10) || 'Text:' || chr(10) || text || chr(10) || 'Answer:' as request from fx_kv_text",
+        """select doc_id, case doc_id % 3 when 0 then 'key_values' when 1 then 'twice' else 'plain' end as prompt_name,
+ case doc_id % 3 when 0 then 'List every key and its value.' || chr(10) || 'Text:' || chr(10) || text || chr(10) || 'Answer:'
+  when 1 then text || '|' || text else 'Describe the image.' end as request from fx_kv_text""",
         "fx_kv_text",
     ),
     "page_field_record": with_fixtures(

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from inspectlake.fixtures import fixture
 from inspectlake.operators import forms as H
+from inspectlake.plans.common import all_cores
 from inspectlake.session import saved
 
 
 def _nodes(spark, sf_dir):
-    return H.html_to_nodes(fixture(spark, sf_dir, "fx_form_html"))
+    return H.html_to_nodes(all_cores(fixture(spark, sf_dir, "fx_form_html"), "page_id"))
 
 
 def stored_nodes(spark, sf_dir):

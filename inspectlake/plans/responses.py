@@ -9,7 +9,7 @@ from inspectlake.functions.envelope import parse_llm_response as parse_plain
 from inspectlake.operators import images as I
 from inspectlake.operators import records as R
 from inspectlake.operators.review import review_view as view
-from inspectlake.plans.common import envelopes, given, joined, normalized
+from inspectlake.plans.common import all_cores, envelopes, given, joined, normalized
 
 ERROR = "Error: JSON parsing failed: "
 
@@ -42,7 +42,7 @@ def parse_envelope(spark, sf_dir):
 
 
 def parse_llm_response(spark, sf_dir):
-    rows = parse_plain(fixture(spark, sf_dir, "fx_response"))
+    rows = parse_plain(all_cores(fixture(spark, sf_dir, "fx_response"), "resp_id"))
     return rows.select(
         "resp_id",
         "success",

@@ -6,8 +6,8 @@ from inspectlake.fixtures import fixture, table, with_fixtures
 from inspectlake.operators import forms as H
 from inspectlake.operators import tree as X
 from inspectlake.operators.projects import create_projects
-from inspectlake.plans.common import RENAMED, merged_extraction
-from inspectlake.session import saved, work_dir
+from inspectlake.plans.pages import stored_nodes
+from inspectlake.session import work_dir
 from inspectlake.sources import files, tables
 
 
@@ -59,7 +59,7 @@ def write_artifacts(spark, sf_dir):
 
 def form_catalog_io(spark, sf_dir):
     path = work_dir(spark, "catalog")
-    nodes = saved(H.html_to_nodes(fixture(spark, sf_dir, "fx_form_html")), "nodes")
+    nodes = stored_nodes(spark, sf_dir)
     outline = X.outline_items(fixture(spark, sf_dir, "fx_outline"))
     tables.save_catalog(path, H.form_fields(nodes), outline, H.tag_fields(nodes))
     fields, sections, tags = tables.load_catalog(spark, path)

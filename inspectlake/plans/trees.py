@@ -18,8 +18,15 @@ def _items(spark, sf_dir):
     return X.outline_items(_entries(spark, sf_dir))
 
 
-def _nodes(spark, sf_dir):
-    return X.parent_asof(X.fill_levels(_items(spark, sf_dir)))
+def _nodes(items):
+    split = X.long_pages(items)
+    return X.parent_asof(X.fill_levels(items, split), split)
+
+
+def _tree(spark, sf_dir):
+    items, fields = _items(spark, sf_dir), _fields(spark, sf_dir)
+    pages = items.select("page_id").union(fields.select("page_id")).distinct()
+    return X.union_tree(_nodes(items), pages, fields, REPORT_FORM, ITEM_PREFIX)
 
 
 def _fields(spark, sf_dir):
@@ -51,7 +58,7 @@ def fill_levels(spark, sf_dir):
 
 
 def parent_asof(spark, sf_dir):
-    nodes = _nodes(spark, sf_dir)
+    nodes = _nodes(_items(spark, sf_dir))
     return _long(
         nodes.select("page_id", "ord", "level", "is_fill", "parent_ord", "parent_level"),
         "ord", "level", "parent_ord", "parent_level",
@@ -59,7 +66,10 @@ def parent_asof(spark, sf_dir):
 
 
 def section_path(spark, sf_dir):
-    paths = X.section_path(X.fill_levels(_items(spark, sf_dir)).drop("parent_ord"))
+    items = _items(spark, sf_dir)
+    split = X.long_pages(items)
+    nodes = X.fill_levels(items, split).drop("parent_ord")
+    paths = X.section_path(nodes, X.outline_depth(items), split)
     return _long(paths.select("page_id", "ord", "level", "path", "depth"), "ord", "level", "depth")
 
 
@@ -81,13 +91,12 @@ def form_groups(spark, sf_dir):
 
 
 def union_tree(spark, sf_dir):
-    tree = X.union_tree(_nodes(spark, sf_dir), _fields(spark, sf_dir), REPORT_FORM, ITEM_PREFIX)
-    return _long(tree, "sort_key", "sort_ord")
+    return _long(_tree(spark, sf_dir), "sort_key", "sort_ord")
 
 
 def root_order(spark, sf_dir):
-    tree = X.union_tree(_nodes(spark, sf_dir), _fields(spark, sf_dir), REPORT_FORM, ITEM_PREFIX)
-    return _long(X.root_order(tree), "sort_key", "sort_ord").orderBy("page_id", "sort_key", "sort_ord")
+    top = _long(X.root_order(_tree(spark, sf_dir)), "sort_key", "sort_ord")
+    return top.orderBy("page_id", "sort_key", "sort_ord")
 
 
 def catalog_counts(spark, sf_dir):

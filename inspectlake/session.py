@@ -1,10 +1,15 @@
 """Session helper and the shared working folder."""
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_PACKAGE = pathlib.Path(__file__).resolve().parent
+_SHIPPED = set()
+
 
 def build_session(app_name="inspectlake", master=None, **conf):
     """A session with the settings the operators are tuned for.
@@ -29,6 +34,23 @@ def build_session(app_name="inspectlake", master=None, **conf):
     return builder.getOrCreate()
 
 
+def ship_package(spark):
+    """Send this package to the session's Python workers, once per application.
+
+    The archive is only the hand-over to Spark, which copies it to every
+    executor; nothing reads it from this machine's folder later.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="spark-", dir="/tmp")) / f"{_PACKAGE.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(_PACKAGE.rglob("*.py")):
+            z.write(source, source.relative_to(_PACKAGE.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)
+
+
 def shared_dir(spark):
     """The folder named in ``spark.checkpoint.dir``.
 
