@@ -50,8 +50,7 @@ def _parse(text):
     return True, kind, data, None
 
 
-@F.arrow_udf(PARSED)
-def parse_json(texts: pa.Array) -> pa.Array:
+def _parse_all(texts: pa.Array) -> pa.Array:
     rows = [_parse(t) for t in texts.to_pylist()]
     ok, kind, data, error = zip(*rows) if rows else ((), (), (), ())
     return pa.StructArray.from_arrays(
@@ -65,6 +64,11 @@ def parse_json(texts: pa.Array) -> pa.Array:
     )
 
 
+# Declared non-deterministic only so that the optimizer never repeats it below
+# a filter on its own result.
+parse_json = F.arrow_udf(_parse_all, PARSED).asNondeterministic()
+
+
 def parse_envelope(responses, raw="raw_response"):
     """Add ``success, kind, data, error`` for a column of raw responses.
 

@@ -32,13 +32,13 @@ def clean_title(col):
 def normalize_response(col):
     """The JSON text inside a raw model response.
 
-    A leading fence and a trailing fence go, then everything outside the first
-    ``{`` and the last ``}``; text without a brace pair stays as it is.
+    Everything from the first ``{`` to the last ``}``; text without a brace
+    pair loses only a leading and a trailing fence and outer white space.
+    Fences hold no braces, so the usual response needs one pattern.
     """
+    braces = F.nullif(F.regexp_extract(col, r"(?s)\{.*\}", 0), F.lit(""))
     unfenced = _drop(col, rf"(?U)^```json{RESPONSE_SPACE}*")
-    unfenced = strip(_drop(unfenced, rf"(?U){RESPONSE_SPACE}*```(?=\n?\z)"))
-    braces = F.regexp_extract(unfenced, r"(?s)\{.*\}", 0)
-    return F.when(braces != "", braces).otherwise(unfenced)
+    return F.coalesce(braces, strip(_drop(unfenced, rf"(?U){RESPONSE_SPACE}*```(?=\n?\z)")))
 
 
 def normalize_field_name(col):

@@ -66,6 +66,10 @@ def bind_prompt(spark, sf_dir):
     return D.bind_prompt(docs, prompts).select("doc_id", "prompt_name", "request")
 
 
+def _page_envelopes(spark, sf_dir):
+    return envelopes(spark, sf_dir, "fx_page_response")
+
+
 def page_field_record(spark, sf_dir):
     return R.page_field_record(_page_envelopes(spark, sf_dir))
 
