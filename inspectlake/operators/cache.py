@@ -124,21 +124,23 @@ def _chain_by_rounds(instants, ttl):
 
     Each round is a filter and a ``min`` that combines on the map side, so a
     hot key is spread over all tasks.  The state is one row per hot key; there
-    are as many rounds as expiry times in the covered period.
+    are as many rounds as expiry times in the covered period.  Instants are
+    written in time order, so that a round skips files it is past.
     """
-    instants = saved(instants, "instants")
+    instants = saved(instants.repartitionByRange("at").sortWithinPartitions("at"), "instants")
     first = F.min(F.struct("at", "req_id")).alias("_m")
     last = saved(instants.groupBy("cache_key").agg(first), "round")
-    rounds = [last]
+    rounds = []
     while True:
+        earliest = last.agg(F.min("_m.at")).first()[0]
+        if earliest is None:
+            return reduce(lambda a, b: a.unionByName(b), rounds).select("cache_key", "_m.at", "_m.req_id")
+        rounds.append(last)
         since = last.select("cache_key", F.col("_m.at").alias("_since"))
-        later = instants.join(F.broadcast(since), "cache_key")
+        ahead = instants.filter(F.col("at") >= F.lit(earliest) + _seconds(ttl))
+        later = ahead.join(F.broadcast(since), "cache_key")
         later = later.filter(F.col("at") >= F.col("_since") + _seconds(ttl))
         last = saved(later.groupBy("cache_key").agg(first), "round")
-        if last.isEmpty():
-            break
-        rounds.append(last)
-    return reduce(lambda a, b: a.unionByName(b), rounds).select("cache_key", "_m.at", "_m.req_id")
 
 
 def cache_ttl_fold(requests, ttl=S.CACHE_TTL_SECONDS, rows_per_array=S.ROWS_PER_ARRAY):

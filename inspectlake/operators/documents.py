@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from inspectlake import settings as S
 from inspectlake.functions import text as T
 
-KEY_LINE = r"(?s)^\s*([^:]+?)\s*:\s*(.*?)\s*\z"
+SPACE = " \t\n\x0b\f\r"
 
 
 def present_inputs(inputs):
@@ -44,14 +44,22 @@ def explode_pages(documents, separator="\f"):
 
 
 def extract_kv_lines(documents):
-    """``(doc_id, pos, key, value)`` of every ``Key: value`` line."""
+    """``(doc_id, pos, key, value)`` of every ``Key: value`` line.
+
+    The first colon ends the key; outer white space goes and nothing else, so
+    a comma list stays one text.  A line without a key is ignored.
+    """
     lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "_line"))
-    keyed = lines.filter(F.rlike("_line", F.lit(KEY_LINE)))
-    return keyed.select(
-        "doc_id",
-        "pos",
-        F.regexp_extract("_line", KEY_LINE, 1).alias("key"),
-        F.nullif(F.regexp_extract("_line", KEY_LINE, 2), F.lit("")).alias("value"),
+    colon = F.instr("_line", F.lit(":"))
+    return (
+        lines.filter(colon > 0)
+        .select(
+            "doc_id",
+            "pos",
+            F.btrim(F.substring_index("_line", ":", 1), F.lit(SPACE)).alias("key"),
+            F.nullif(F.btrim(F.substr("_line", colon + 1), F.lit(SPACE)), F.lit("")).alias("value"),
+        )
+        .filter("key <> ''")
     )
 
 
@@ -86,7 +94,8 @@ def collect_doc_fields(pages, doc_type="handwritten", per_part=S.PAGES_PER_PART)
 
     A document of at most ``per_part`` pages is one row; a longer one has
     several, each with the page count and evidence of the whole.  The group
-    behind one row is bounded, however many pages a document has.
+    behind one row is bounded, however many pages a document has.  Counting
+    reads ``pages`` a second time, so it should be a written table.
     """
     part = F.floor((F.col("page_no") - 1) / per_part).alias("part_no")
     record = F.struct(*[c for c in pages.columns if c != "doc_id"])

@@ -180,6 +180,16 @@ def _value():
     )
 
 
+def form_nodes(nodes):
+    """The nodes any label, option or choice rule can look at.
+
+    Most elements of a page are none of them; they are left out before the
+    nodes are shuffled.
+    """
+    known = F.col("tag").isin("form", "label", *sorted(CONTROLS))
+    return nodes.filter(known | F.col("text").isNotNull())
+
+
 def with_forms(nodes):
     """Add ``is_control``, ``form_id``, ``name`` and ``value`` to the nodes.
 
@@ -209,7 +219,7 @@ def with_forms(nodes):
 
 def input_controls(nodes):
     """The visible controls inside a form, with form, name and value."""
-    return with_forms(nodes).filter("is_control").drop("is_control")
+    return with_forms(form_nodes(nodes)).filter("is_control").drop("is_control")
 
 
 def _trimmed():
@@ -232,9 +242,16 @@ def _siblings():
 
 
 def with_prev_sibling(rows, tags=("label", "span", "div", "th")):
-    """Add ``l_prev``: text of the element just before, of a labelling kind."""
+    """Add ``l_prev``: text of the element just before, of a labelling kind.
+
+    The element before a control always has its text, so it is among
+    ``form_nodes``; the sibling number tells it from one further away.
+    """
     text = F.when(F.col("tag").isin(*tags), _trimmed())
-    return rows.withColumn("l_prev", F.lag(text).over(_siblings()))
+    before = F.lag(F.struct(F.col("sib_no").alias("at"), text.alias("text"))).over(_siblings())
+    rows = rows.withColumn("_b", before)
+    adjacent = F.col("_b.at") == F.col("sib_no") - 1
+    return rows.withColumn("l_prev", F.when(adjacent, F.col("_b.text"))).drop("_b")
 
 
 def with_parent_label(rows):
@@ -284,15 +301,15 @@ def _labels(rows, column):
 
 
 def label_for(nodes):
-    return _labels(with_label_for(with_forms(nodes)), "l_for")
+    return _labels(with_label_for(with_forms(form_nodes(nodes))), "l_for")
 
 
 def label_prev_sibling(nodes):
-    return _labels(with_prev_sibling(with_forms(nodes)), "l_prev")
+    return _labels(with_prev_sibling(with_forms(form_nodes(nodes))), "l_prev")
 
 
 def label_parent(nodes):
-    return _labels(with_parent_label(with_forms(nodes)), "l_parent")
+    return _labels(with_parent_label(with_forms(form_nodes(nodes))), "l_parent")
 
 
 def label_closest(nodes):
@@ -306,13 +323,14 @@ def _text_of(*columns):
     return [F.nullif(c, F.lit("")) for c in columns]
 
 
-def resolve_label(rows, nodes):
+def resolve_label(nodes):
     """The label of every control: the first rule that gives a text wins.
 
-    ``rows`` are the nodes after ``with_forms``, or more columns.  Containers
-    are looked up only for controls the nearer rules leave without a label.
+    Containers are looked up only for controls the nearer rules leave without
+    a label.
     """
-    rows = with_parent_label(with_prev_sibling(with_label_for(rows))).filter("is_control")
+    rows = with_label_for(with_forms(form_nodes(nodes)))
+    rows = with_parent_label(with_prev_sibling(rows)).filter("is_control")
     near = F.coalesce(*_text_of(F.col("l_for"), F.col("l_prev"), F.col("l_parent")))
     rows = rows.withColumn("_near", near).drop("l_for", "l_prev", "l_parent")
     boxed = closest_labels(nodes, rows.filter("_near is null"))
@@ -386,15 +404,17 @@ def with_option_label(rows):
     ``rows`` have ``l_for``.
     """
     text = F.when(F.col("tag") == "label", _trimmed())
-    after = F.lead(text).over(_siblings())
-    return rows.withColumn("_next", after).withColumn(
-        "option_label", F.coalesce(*_text_of(F.col("l_for"), F.col("_next")), F.col("value"))
-    ).drop("_next")
+    after = F.lead(F.struct(F.col("sib_no").alias("at"), text.alias("text"))).over(_siblings())
+    rows = rows.withColumn("_a", after)
+    following = F.when(F.col("_a.at") == F.col("sib_no") + 1, F.col("_a.text"))
+    return rows.withColumn(
+        "option_label", F.coalesce(*_text_of(F.col("l_for"), following), F.col("value"))
+    ).drop("_a")
 
 
 def next_sibling_label(nodes):
     """Option label of every named input."""
-    rows = with_option_label(with_label_for(with_forms(nodes)))
+    rows = with_option_label(with_label_for(with_forms(form_nodes(nodes))))
     return rows.filter("tag = 'input' and name <> ''").select(
         "page_id",
         "node_id",
@@ -413,7 +433,7 @@ def choice_options(nodes):
     several carries the list when it is a choice itself; a single one and one
     without a name carry ``checked``; the others carry neither.
     """
-    rows = with_option_label(with_label_for(with_forms(nodes))).filter("tag = 'input'")
+    rows = with_option_label(with_label_for(with_forms(form_nodes(nodes)))).filter("tag = 'input'")
     on = F.map_contains_key("attrs", "checked")
     group = Window.partitionBy("page_id", "name")
     option = F.struct(
@@ -444,7 +464,7 @@ def form_fields(nodes):
     options = select_options(nodes).select("page_id", "node_id", "options", "selected_value")
     choices = choice_options(nodes).drop("name")
     return (
-        resolve_label(with_forms(nodes), nodes)
+        resolve_label(nodes)
         .join(options, ["page_id", "node_id"], "left")
         .join(choices, ["page_id", "node_id"], "left")
         .select(
@@ -475,7 +495,7 @@ def tag_fields(nodes):
     for a in ("class", "id", "name"):
         marked = marked | F.contains(F.lower(_attr(a)), F.lit("tag"))
     options = select_options(nodes).select("page_id", "node_id", "options", "selected_value")
-    rows = with_prev_sibling(with_label_for(nodes), ("label", "span", "div"))
+    rows = with_prev_sibling(with_label_for(form_nodes(nodes)), ("label", "span", "div"))
     texts = _text_of(F.col("l_for"), F.col("l_prev"), *[_attr(a) for a in ("name", "placeholder", "data-label")])
     tags = rows.filter(is_input & marked).select(
         "page_id",

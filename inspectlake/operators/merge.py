@@ -10,7 +10,10 @@ ROW = ["project_id", "phase", "ord", "src_key", "value"]
 
 
 def page_pairs(records, ord_col="ord"):
-    """Key/value rows of handwritten page records; every field is present."""
+    """Key/value rows of handwritten page records; every field is present.
+
+    ``records`` must not hold failed pages, which have no fields.
+    """
     pairs = F.explode(
         F.array(*[F.struct(F.lit(f).alias("src_key"), F.col(f).alias("value")) for f in PAGE_FIELDS])
     )

@@ -31,28 +31,35 @@ def confidence(data):
     ).otherwise(F.lit(0.0))
 
 
-def page_field_record(envelopes, image="image", doc_type="handwritten"):
-    """The record of every page whose response is an object."""
-    data = F.col("data")
-    return envelopes.filter(IS_RECORD).select(
+def page_records(envelopes, image="image", doc_type="handwritten"):
+    """The record of every page, in one pass; ``failed`` marks error records.
+
+    A response that parses but is no object gives no record: reading its
+    fields fails the whole document.
+    """
+    data, failed = F.col("data"), F.expr(IS_FAILED)
+    return envelopes.filter(f"{IS_FAILED} or kind = 'object'").select(
         *_others(envelopes, image),
         F.col(image).alias("image"),
         F.lit(doc_type).alias("type"),
-        *[given(data, f).alias(f) for f in PAGE_FIELDS],
-        confidence(data).alias("confidence_score"),
-        T.analyzed(F.col(image)).alias("evidence"),
+        *[F.when(~failed, given(data, f)).alias(f) for f in PAGE_FIELDS],
+        F.when(failed, F.lit(0.0)).otherwise(confidence(data)).alias("confidence_score"),
+        F.when(failed, T.failed(F.col("error")))
+        .otherwise(T.analyzed(F.col(image)))
+        .alias("evidence"),
+        failed.alias("failed"),
     )
 
 
+def page_field_record(envelopes, image="image", doc_type="handwritten"):
+    """The record of every page whose response is an object."""
+    return page_records(envelopes.filter(IS_RECORD), image, doc_type).drop("failed")
+
+
 def page_error_record(envelopes, image="image", doc_type="handwritten"):
     """The record of every failed page; it has none of the field columns."""
-    return envelopes.filter(IS_FAILED).select(
-        *_others(envelopes, image),
-        F.col(image).alias("image"),
-        F.lit(doc_type).alias("type"),
-        F.lit(0.0).alias("confidence_score"),
-        T.failed(F.col("error")).alias("evidence"),
-    )
+    failed = page_records(envelopes.filter(IS_FAILED), image, doc_type)
+    return failed.drop("failed", *PAGE_FIELDS)
 
 
 def _no_get(kind, raw):

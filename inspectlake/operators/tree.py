@@ -111,17 +111,15 @@ def section_path(nodes, levels, split=None, separator=" > ", slice_rows=S.OUTLIN
     """Titles from the root down to every node, and its depth.
 
     The ancestor at level k is the latest earlier node of level k, so one
-    window carries the current title of each of the ``levels`` levels.
+    window carries the current title of each of the ``levels`` levels.  Titles
+    must not be null.
     """
     split = long_pages(nodes, slice_rows) if split is None else split
-    slots = {
-        f"_l{k}": F.when(F.col("level") == k, F.struct(F.col("title").alias("title")))
-        for k in range(levels)
-    }
+    slots = {f"_l{k}": F.when(F.col("level") == k, F.col("title")) for k in range(levels)}
     rows = carry_forward(
         _sliced(nodes, slice_rows), ["page_id"], "_slice", ["ord", "level"], slots, split
     )
-    above = [F.when(F.col("level") > k, F.col(f"_l{k}.title")) for k in range(levels)]
+    above = [F.when(F.col("level") > k, F.col(f"_l{k}")) for k in range(levels)]
     return rows.select(
         *[c for c in nodes.columns if not c.startswith("_")],
         F.concat_ws(separator, *above, "title").alias("path"),

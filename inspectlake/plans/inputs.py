@@ -7,6 +7,7 @@ from inspectlake.operators import documents as D
 from inspectlake.operators import records as R
 from inspectlake.operators.projects import create_projects
 from inspectlake.plans.common import envelopes, normalized
+from inspectlake.session import saved
 
 PROMPTS = [
     ("key_values", "List every key and its value.\nText:\n{text}\nAnswer:"),
@@ -80,10 +81,9 @@ def page_error_record(spark, sf_dir):
 
 
 def collect_doc_fields(spark, sf_dir):
-    envelopes = _page_envelopes(spark, sf_dir)
-    good = R.page_field_record(envelopes).select("doc_id", "page_no", "owner_name", "inspector_name")
-    bad = R.page_error_record(envelopes).select("doc_id", "page_no")
-    docs = D.collect_doc_fields(good.unionByName(bad, allowMissingColumns=True), per_part=3)
+    records = R.page_records(_page_envelopes(spark, sf_dir))
+    records = saved(records.select("doc_id", "page_no", "inspector_name"), "page_records")
+    docs = D.collect_doc_fields(records, per_part=3)
 
     def shown(x):
         return F.concat(x["page_no"].cast("string"), F.lit("="), F.coalesce(x["inspector_name"], F.lit("-")))

@@ -53,7 +53,7 @@ def label_closest(spark, sf_dir):
 
 def resolve_label(spark, sf_dir):
     nodes = stored_nodes(spark, sf_dir)
-    return H.resolve_label(H.with_forms(nodes), nodes).select("page_id", "name", "label")
+    return H.resolve_label(nodes).select("page_id", "name", "label")
 
 
 def select_options(spark, sf_dir):

@@ -10,6 +10,7 @@ from inspectlake.operators import images as I
 from inspectlake.operators import records as R
 from inspectlake.operators.review import review_view as view
 from inspectlake.plans.common import all_cores, envelopes, given, joined, normalized
+from inspectlake.session import saved
 
 ERROR = "Error: JSON parsing failed: "
 
@@ -54,7 +55,8 @@ def parse_llm_response(spark, sf_dir):
 
 
 def split_success(spark, sf_dir):
-    good, bad = R.split_success(envelopes(spark, sf_dir))
+    parsed = saved(envelopes(spark, sf_dir).select("resp_id", "success"), "envelopes")
+    good, bad = R.split_success(parsed)
     return good.select("resp_id", F.lit("ok").alias("part")).unionByName(
         bad.select("resp_id", F.lit("failed").alias("part"))
     )

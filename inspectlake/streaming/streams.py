@@ -14,7 +14,7 @@ from inspectlake.operators import review
 from inspectlake.operators.cache import with_cache_key
 
 
-def stream_parquet(spark, path, schema, files_per_trigger=1000):
+def stream_parquet(spark, path, schema, files_per_trigger=100):
     """A parquet file or folder as a stream.
 
     A file source takes folders and patterns; the bracket makes a pattern that
@@ -83,8 +83,9 @@ def _misses_of_key(ttl):
 def stream_cache(requests, ttl=S.CACHE_TTL_SECONDS):
     """The requests of a stream that miss the cache, with exact expiry.
 
-    The state of a key is one number.  A micro-batch bounds the rows of a key
-    that are looked at together.
+    The state of a key is one number.  A key's rows of one micro-batch are put
+    in order together, two numbers each; the files per trigger of the source
+    bound how many that can be, whatever the length of the stream.
     """
     keyed = with_cache_key(requests).select(
         "cache_key",

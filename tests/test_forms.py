@@ -81,5 +81,5 @@ def test_outline(spark):
 
 def test_closest_looks_at_the_nearest_container(spark):
     html = '<form><div class="field"><label>Outer</label><p><b><input name="a"></b></p></div><div class="form-group x"><i></i><input name="b"></div></form>'
-    rows = H.resolve_label(*[f(H.html_to_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))) for f in (H.with_forms, lambda n: n)])
+    rows = H.resolve_label(H.html_to_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))
     assert {r["name"]: r["label"] for r in rows.collect()} == {"a": "Outer", "b": "b"}
