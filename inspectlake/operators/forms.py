@@ -267,8 +267,8 @@ def _has_class(*names):
     return F.arrays_overlap(tokens, F.array(*[F.lit(n) for n in names]))
 
 
-def closest_labels(nodes, controls, classes=("field", "form-group")):
-    """``(page_id, node_id, l_closest)``: the label of the nearest container.
+def field_boxes(nodes, classes=("field", "form-group")):
+    """``(page_id, box, text)``: containers and the first label inside each.
 
     The first label inside a container is the next label of the page after the
     container's start; it counts when it starts before the container ends.
@@ -279,20 +279,33 @@ def closest_labels(nodes, controls, classes=("field", "form-group")):
         F.when(is_label, F.struct("node_id", _trimmed().alias("text"))), ignorenulls=True
     ).over(_page_window().rowsBetween(1, Window.unboundedFollowing))
     inside = F.col("_label.node_id") <= F.col("end_id")
-    boxes = (
+    return (
         nodes.filter(is_label | is_box)
         .withColumn("_label", next_label)
         .filter(is_box)
-        .select(
-            "page_id",
-            F.col("node_id").alias("_box"),
-            F.when(inside, F.col("_label.text")).alias("_text"),
-        )
+        .select("page_id", F.col("node_id").alias("box"), F.when(inside, F.col("_label.text")).alias("text"))
     )
+
+
+def with_closest_label(rows, boxes, asks="true"):
+    """Add ``l_closest``: the label of the nearest container around a control.
+
+    Each asking row is there once per ancestor, meets the containers among
+    them and is put together again.
+    """
     own_and_up = F.concat(F.coalesce("ancestors", F.array().cast("array<int>")), F.array("node_id"))
-    up = controls.select("page_id", "node_id", F.explode(own_and_up).alias("_box"))
-    nearest = up.join(boxes, ["page_id", "_box"]).groupBy("page_id", "node_id")
-    return nearest.agg(F.max_by("_text", "_box").alias("l_closest"))
+    up = rows.withColumn("box", F.explode_outer(F.when(F.expr(asks), own_and_up)))
+    kept = [c for c in rows.columns if c not in ("page_id", "node_id", "ancestors")]
+    met = up.drop("ancestors").join(
+        boxes.select("page_id", "box", F.col("text").alias("_text"), F.lit(True).alias("_met")),
+        ["page_id", "box"],
+        "left",
+    )
+    found = F.when(F.col("_met"), F.col("box"))
+    whole = met.groupBy("page_id", "node_id").agg(
+        F.any_value(F.struct(*kept)).alias("_row"), F.max_by("_text", found).alias("l_closest")
+    )
+    return whole.select("page_id", "node_id", "_row.*", "l_closest")
 
 
 def _labels(rows, column):
@@ -313,10 +326,9 @@ def label_parent(nodes):
 
 
 def label_closest(nodes):
-    controls = input_controls(nodes)
-    found = closest_labels(nodes, controls).filter("l_closest is not null")
-    named = controls.select("page_id", "node_id", "name")
-    return found.join(named, ["page_id", "node_id"]).withColumnRenamed("l_closest", "label")
+    controls = input_controls(nodes).select("page_id", "node_id", "name", "ancestors")
+    found = with_closest_label(controls, field_boxes(nodes)).filter("l_closest is not null")
+    return found.withColumnRenamed("l_closest", "label")
 
 
 def _text_of(*columns):
@@ -332,14 +344,13 @@ def resolve_label(nodes):
     rows = with_label_for(with_forms(form_nodes(nodes)))
     rows = with_parent_label(with_prev_sibling(rows)).filter("is_control")
     near = F.coalesce(*_text_of(F.col("l_for"), F.col("l_prev"), F.col("l_parent")))
-    rows = rows.withColumn("_near", near).drop("l_for", "l_prev", "l_parent")
-    boxed = closest_labels(nodes, rows.filter("_near is null"))
-    last = _text_of(F.col("l_closest"), _attr("aria-label"), _attr("name"), _attr("placeholder"))
-    return (
-        rows.join(boxed, ["page_id", "node_id"], "left")
-        .withColumn("label", F.coalesce("_near", *last, F.lit("")))
-        .drop("_near", "l_closest", "is_control")
+    far = F.coalesce(*_text_of(_attr("aria-label"), _attr("name"), _attr("placeholder")), F.lit(""))
+    rows = rows.select(
+        "page_id", "node_id", "tag", "form_id", "name", "value", "ancestors", near.alias("_near"), far.alias("_far")
     )
+    rows = with_closest_label(rows, field_boxes(nodes), "_near is null")
+    label = F.coalesce("_near", *_text_of(F.col("l_closest")), "_far")
+    return rows.withColumn("label", label).drop("_near", "_far", "l_closest")
 
 
 def _ordered(struct, order):
@@ -434,28 +445,25 @@ def choice_options(nodes):
     without a name carry ``checked``; the others carry neither.
     """
     rows = with_option_label(with_label_for(with_forms(form_nodes(nodes)))).filter("tag = 'input'")
-    on = F.map_contains_key("attrs", "checked")
-    group = Window.partitionBy("page_id", "name")
-    option = F.struct(
-        F.col("option_label").alias("label"), F.col("value"), on.alias("selected")
-    )
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(group)).withColumn(
-        "_first", F.min("node_id").over(group)
-    )
-    named = F.col("name") != ""
-    choices = F.col("is_control") & _is_choice()
-    several = named & (F.col("_n") > 1)
-    lists = (
-        rows.filter(several)
-        .groupBy("page_id", "name")
-        .agg(F.min("node_id").alias("node_id"), _ordered(option, "node_id").alias("_all"))
-        .drop("name")
+    member = F.struct(
+        "node_id",
+        (F.col("is_control") & _is_choice()).alias("is_choice"),
+        F.struct(
+            F.col("option_label").alias("label"),
+            F.col("value"),
+            F.map_contains_key("attrs", "checked").alias("selected"),
+        ).alias("option"),
     )
-    return (
-        rows.filter(choices)
-        .select("page_id", "node_id", "name", F.when(~several, on).alias("checked"))
-        .join(lists, ["page_id", "node_id"], "left")
-        .select("page_id", "node_id", "name", F.col("_all").alias("radio_options"), "checked")
+    groups = rows.groupBy("page_id", "name").agg(F.array_sort(F.collect_list(member)).alias("_all"))
+    members = groups.select("page_id", "name", "_all", F.posexplode("_all").alias("_pos", "_m"))
+    several = (F.col("name") != "") & (F.size("_all") > 1)
+    options = F.transform("_all", lambda m: m["option"])
+    return members.filter("_m.is_choice").select(
+        "page_id",
+        F.col("_m.node_id").alias("node_id"),
+        "name",
+        F.when(several & (F.col("_pos") == 0), options).alias("radio_options"),
+        F.when(~several, F.col("_m.option.selected")).alias("checked"),
     )
 
 
