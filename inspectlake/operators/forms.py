@@ -287,25 +287,22 @@ def field_boxes(nodes, classes=("field", "form-group")):
     )
 
 
-def with_closest_label(rows, boxes, asks="true"):
+def with_closest_label(rows, boxes):
     """Add ``l_closest``: the label of the nearest container around a control.
 
-    Each asking row is there once per ancestor, meets the containers among
-    them and is put together again.
+    The containers of a page meet its controls as one map, on the partitioning
+    by page that is already there.
     """
-    own_and_up = F.concat(F.coalesce("ancestors", F.array().cast("array<int>")), F.array("node_id"))
-    up = rows.withColumn("box", F.explode_outer(F.when(F.expr(asks), own_and_up)))
-    kept = [c for c in rows.columns if c not in ("page_id", "node_id", "ancestors")]
-    met = up.drop("ancestors").join(
-        boxes.select("page_id", "box", F.col("text").alias("_text"), F.lit(True).alias("_met")),
-        ["page_id", "box"],
-        "left",
-    )
-    found = F.when(F.col("_met"), F.col("box"))
-    whole = met.groupBy("page_id", "node_id").agg(
-        F.any_value(F.struct(*kept)).alias("_row"), F.max_by("_text", found).alias("l_closest")
+    entries = F.map_from_entries(F.collect_list(F.struct("box", "text")))
+    by_page = boxes.groupBy("page_id").agg(entries.alias("_boxes"))
+    up = F.concat(F.coalesce("ancestors", F.array().cast("array<int>")), F.array("node_id"))
+    around = F.array_intersect(up, F.map_keys("_boxes"))
+    nearest = F.when(F.size(around) > 0, F.element_at(around, -1))
+    return (
+        rows.join(by_page, "page_id", "left")
+        .withColumn("l_closest", F.try_element_at("_boxes", nearest))
+        .drop("_boxes")
     )
-    return whole.select("page_id", "node_id", "_row.*", "l_closest")
 
 
 def _labels(rows, column):
@@ -336,11 +333,7 @@ def _text_of(*columns):
 
 
 def resolve_label(nodes):
-    """The label of every control: the first rule that gives a text wins.
-
-    Containers are looked up only for controls the nearer rules leave without
-    a label.
-    """
+    """The label of every control: the first rule that gives a text wins."""
     rows = with_label_for(with_forms(form_nodes(nodes)))
     rows = with_parent_label(with_prev_sibling(rows)).filter("is_control")
     near = F.coalesce(*_text_of(F.col("l_for"), F.col("l_prev"), F.col("l_parent")))
@@ -348,9 +341,9 @@ def resolve_label(nodes):
     rows = rows.select(
         "page_id", "node_id", "tag", "form_id", "name", "value", "ancestors", near.alias("_near"), far.alias("_far")
     )
-    rows = with_closest_label(rows, field_boxes(nodes), "_near is null")
+    rows = with_closest_label(rows, field_boxes(nodes))
     label = F.coalesce("_near", *_text_of(F.col("l_closest")), "_far")
-    return rows.withColumn("label", label).drop("_near", "_far", "l_closest")
+    return rows.withColumn("label", label).drop("_near", "_far", "l_closest", "ancestors")
 
 
 def _ordered(struct, order):
