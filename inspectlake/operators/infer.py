@@ -71,6 +71,16 @@ def _one_with_retry(model, pair, tries, base, sleep):
             sleep(base ** (attempt - 1))
 
 
+def _chunk_with_retry(model, pairs, tries, base, sleep):
+    """A chunk in one call; when that raises, each of its requests by itself."""
+    if len(pairs) > 1:
+        try:
+            return [(raw, 1, None) for raw in model.infer(pairs)]
+        except Exception:  # noqa: BLE001 - found out per request below
+            pass
+    return [_one_with_retry(model, pair, tries, base, sleep) for pair in pairs]
+
+
 def infer_with_retry(
     requests,
     make=EchoModel,
@@ -78,17 +88,21 @@ def infer_with_retry(
     tries=S.MAX_TRIES,
     base=S.BACKOFF_BASE,
     sleep=time.sleep,
+    batch_size=1,
 ):
     """Add ``raw_response, attempts, infer_error``; never fails the job.
 
     A request whose model call raises is tried again after ``base ** i``
-    seconds; after the last try it becomes an error row.
+    seconds; after the last try it becomes an error row.  With a ``batch_size``
+    above 1 the model gets that many requests per call as long as none raises.
     """
 
     def run(batches):
         for pdf in batches:
             model = _model(make)
-            done = [_one_with_retry(model, pair, tries, base, sleep) for pair in _pairs(pdf)]
+            pairs = _pairs(pdf)
+            chunks = [pairs[i : i + batch_size] for i in range(0, len(pairs), batch_size)]
+            done = [one for c in chunks for one in _chunk_with_retry(model, c, tries, base, sleep)]
             raw, attempts, error = zip(*done) if done else ((), (), ())
             yield pdf.assign(
                 raw_response=pd.Series(raw, index=pdf.index, dtype=object),

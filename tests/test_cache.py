@@ -81,6 +81,23 @@ def test_a_raising_model_gives_error_rows(spark):
     assert {r["error"] for r in results.collect()} == {"out of order"}
 
 
+class Picky:
+    def infer(self, requests):
+        if any(path == "i1" for path, _ in requests):
+            raise RuntimeError("not i1")
+        return [path for path, _ in requests]
+
+
+def test_a_bad_request_does_not_spoil_its_batch(spark):
+    requests = spark.createDataFrame(some_requests(30, 8), REQUEST)
+    rows = N.infer_with_retry(requests, Picky, sleep=lambda s: None, batch_size=8).collect()
+    assert len(rows) == 30
+    for r in rows:
+        bad = r["image_path"] == "i1"
+        assert (r["raw_response"], r["infer_error"]) == ((None, "not i1") if bad else (r["image_path"], None))
+        assert r["attempts"] == (3 if bad else 1)
+
+
 def test_waits_double():
     waited = []
     assert N._one_with_retry(Broken(), ("a", "p"), 3, 2, waited.append) == (None, 3, "out of order")
