@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from inspectlake import settings as S
 from inspectlake.functions import text as T
 from inspectlake.functions.envelope import given, text_list
+from inspectlake.operators.ordered import spread_join
 
 PAGE_FIELDS = ["owner_name", "property_address", "inspection_date", "inspector_name"]
 OBJECTS = "array<struct<name:string,condition:string,damage:string,notes:string>>"
@@ -34,8 +35,8 @@ def confidence(data):
 def page_records(envelopes, image="image", doc_type="handwritten"):
     """The record of every page, in one pass; ``failed`` marks error records.
 
-    A response that parses but is no object gives no record: reading its
-    fields fails the whole document.
+    A response that parses but is no object gives no record; see
+    ``document_errors``.
     """
     data, failed = F.col("data"), F.expr(IS_FAILED)
     return envelopes.filter(f"{IS_FAILED} or kind = 'object'").select(
@@ -73,6 +74,23 @@ def _no_get(kind, raw):
     return F.concat(F.lit("'"), name, F.lit("' object has no attribute 'get'"))
 
 
+def document_errors(envelopes, order, doc="doc_id"):
+    """Documents with a response that parses but is no object, and the error.
+
+    Reading the fields of the first such page raises, which fails the whole
+    document.
+    """
+    text = _no_get(F.col("kind"), F.col("raw_response"))
+    return envelopes.filter(IS_NO_OBJECT).groupBy(doc).agg(F.min_by(text, order).alias("error"))
+
+
+def without_documents(records, errors, spread_on, doc="doc_id", rows_per_task=S.ROWS_PER_TASK):
+    """The records of all documents that did not fail as a whole."""
+    failed = errors.select(doc, F.lit(True).alias("_failed"))
+    joined = spread_join(records, failed, [doc], spread_on, "left", rows_per_task)
+    return joined.filter("_failed is null").drop("_failed")
+
+
 def image_records(envelopes, image="image_name"):
     """One image record per response, in one pass.
 

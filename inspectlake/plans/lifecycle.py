@@ -37,9 +37,15 @@ def analyse_images(images, cache, make, **options):
 
 
 def read_pages(pages, cache, make, **options):
-    """Page records of handwritten page images, and the new cache rows."""
+    """Page records, failed documents and new cache rows of handwritten pages.
+
+    ``pages(req_id, project_id, doc_id, image_path, prompt, requested_at)``; a
+    document with an answer that is no object has no records, only an error.
+    """
     answered, writes = _answers(pages, cache, make, options)
-    return R.page_records(answered, "image_path"), writes
+    errors = R.document_errors(answered, "req_id")
+    records = R.without_documents(R.page_records(answered, "image_path"), errors, ["req_id"])
+    return records, errors, writes
 
 
 def read_texts(documents, prompts, make, **options):

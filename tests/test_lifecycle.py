@@ -8,6 +8,7 @@ from inspectlake.plans import lifecycle as L
 
 AT = datetime.datetime(2024, 1, 1)
 REQUEST = "req_id long, project_id long, image_path string, prompt string, requested_at timestamp_ntz"
+PAGE = REQUEST.replace("project_id long,", "project_id long, doc_id long,")
 ENTRY = "entry_id long, image_path string, prompt string, cached_at timestamp_ntz, success boolean, result string"
 
 
@@ -20,6 +21,8 @@ class Reader:
     def one(self, path, prompt):
         if path.startswith("page"):
             return json.dumps({"owner_name": "Page " + path[4], "property_address": None if path == "page2" else "Street"})
+        if path == "array":
+            return "[1]"
         if path == "blurred":
             return "sorry"
         if path:
@@ -29,8 +32,12 @@ class Reader:
 
 def test_from_files_to_forms(spark):
     cache = spark.createDataFrame([], ENTRY)
-    pages, _ = L.read_pages(
-        spark.createDataFrame([(1, 1, "page1", "p", AT), (2, 1, "page2", "p", AT), (3, 2, "page3", "p", AT)], REQUEST), cache, Reader)
+    pages, errors, _ = L.read_pages(
+        spark.createDataFrame(
+            [(1, 1, 10, "page1", "p", AT), (2, 1, 10, "page2", "p", AT), (3, 2, 20, "page3", "p", AT),
+             (4, 2, 30, "page4", "p", AT), (5, 2, 30, "array", "p", AT)], PAGE), cache, Reader)
+    assert {r["doc_id"]: r["error"] for r in errors.collect()} == {30: "'list' object has no attribute 'get'"}
+    assert sorted(r["image"] for r in pages.collect()) == ["page1", "page2", "page3"]
     images, writes = L.analyse_images(
         spark.createDataFrame([(1, 1, "fair", "p", AT), (2, 2, "blurred", "p", AT), (3, 2, "[x]", "p", AT)], REQUEST), cache, Reader)
     assert writes.count() == 2
