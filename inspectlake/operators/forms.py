@@ -325,7 +325,7 @@ def label_parent(nodes):
 def label_closest(nodes):
     controls = input_controls(nodes).select("page_id", "node_id", "name", "ancestors")
     found = with_closest_label(controls, field_boxes(nodes)).filter("l_closest is not null")
-    return found.withColumnRenamed("l_closest", "label")
+    return found.select("page_id", "node_id", "name", F.col("l_closest").alias("label"))
 
 
 def _text_of(*columns):
