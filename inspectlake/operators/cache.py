@@ -23,12 +23,17 @@ def _seconds(n):
     return F.make_dt_interval(secs=F.lit(float(n)))
 
 
-def _second_of(ts):
+def second_of(ts):
     """Whole seconds since 1970 of a timestamp without time zone."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
     return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def micros_of(ts):
+    """Whole microseconds since 1970 of a timestamp without time zone."""
+    return second_of(ts) * 1_000_000 + F.date_format(ts, "SSSSSS").cast("bigint")
+
+
 def _live_entries(instants, cache, ttl, slice_seconds, ways):
     """The entry that is live at each ``(cache_key, at)``, if any.
 
@@ -44,7 +49,7 @@ def _live_entries(instants, cache, ttl, slice_seconds, ways):
     )
     asks = instants.select("cache_key", "at", F.lit(1).alias("_asks"))
     rows = entries.unionByName(asks, allowMissingColumns=True)
-    slice_of = F.floor(_second_of(F.col("at")) / slice_seconds)
+    slice_of = F.floor(second_of(F.col("at")) / slice_seconds)
     rows = sliced(rows, ["cache_key"], slice_of, ways)
     latest = {"_latest": F.col("_entry")}
     seen = carry_forward(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inspectlake import settings as S
 from inspectlake.operators import review
-from inspectlake.operators.cache import with_cache_key
+from inspectlake.operators.cache import micros_of, with_cache_key
 
 
 def stream_parquet(spark, path, schema, files_per_trigger=100):
@@ -90,7 +90,7 @@ def stream_cache(requests, ttl=S.CACHE_TTL_SECONDS):
     keyed = with_cache_key(requests).select(
         "cache_key",
         "req_id",
-        F.unix_micros(F.col("requested_at").cast("timestamp")).alias("at_us"),
+        micros_of(F.col("requested_at")).alias("at_us"),
     )
     return keyed.groupBy("cache_key").applyInPandasWithState(
         _misses_of_key(ttl),

@@ -34,6 +34,18 @@ def test_lookup_equals_a_loop(spark, rows_per_task):
         assert got[i] == (last[2] if last and at < last[0] + 24 * HOUR else None)
 
 
+def test_micros_do_not_depend_on_the_time_zone(spark):
+    times = [datetime.datetime(2024, 3, 31, 2, 30, 0, 123456), datetime.datetime(1969, 12, 31, 23, 59, 59, 5)]
+    rows = spark.createDataFrame([(t,) for t in times], "at timestamp_ntz").select("at", C.micros_of(F.col("at")).alias("us"))
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        got = {r["at"]: r["us"] for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    epoch = datetime.datetime(1970, 1, 1)
+    assert got == {t: (t - epoch) // datetime.timedelta(microseconds=1) for t in times}
+
+
 def chain(asked, ttl=24 * HOUR):
     last, misses = {}, set()
     for at, i, path in sorted((t, i, p) for i, p, _, t in asked):

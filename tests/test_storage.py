@@ -106,3 +106,19 @@ def test_cache_stream_keeps_state_between_batches(spark, tmp_path):
         misses = Q.stream_cache(Q.stream_parquet(spark, source, spark.createDataFrame([], schema).schema))
         Q.run_available(misses, progress, out=out)
     assert sorted(r["req_id"] for r in spark.read.parquet(out).collect()) == [0, 24, 48, 100]
+
+
+def test_log_windows_over_several_batches_equal_a_batch(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("logs", "out", "progress"))
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(f"s{i % 3}", start + datetime.timedelta(minutes=17 * i), "e" if i % 4 == 0 else None) for i in range(120)]
+    logs = spark.createDataFrame(rows, "step string, at timestamp_ntz, error string")
+    for n in range(3):
+        part = spark.createDataFrame(rows[n * 40 : n * 40 + 40], logs.schema)
+        part.coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        stream = Q.stream_parquet(spark, source, logs.schema, files_per_trigger=1)
+        Q.stream_log_windows(stream, out, progress)
+    want = Q.log_windows(logs.withColumn("at", F.col("at").cast("timestamp")))
+    got = Q.latest_windows(spark, out)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
