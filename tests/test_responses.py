@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from inspectlake.functions.envelope import parse_envelope, parse_llm_response
 from inspectlake.operators import images as I
 from inspectlake.operators import records as R
@@ -82,7 +84,7 @@ def test_image_records_tell_absent_from_null(spark):
 
 def test_last_image_wins_and_null_counts(spark):
     texts = ['{"room": "hall", "visible_damage": ["mold"]}', '{"room": null, "category": "x"}', "nope", "[1]"]
-    records = R.image_records(envelopes(spark, texts)).withColumn("project_id", __import__("pyspark").sql.functions.lit(1))
+    records = R.image_records(envelopes(spark, texts)).withColumn("project_id", F.lit(1))
 
     def merged(**options):
         rows = last_wins_merge(rename_keys(image_pairs(records, "id", **options))).collect()

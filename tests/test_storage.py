@@ -3,7 +3,6 @@ import os
 
 from pyspark.sql import functions as F
 
-from inspectlake.functions.envelope import parse_envelope  # noqa: F401 - registers nothing, checks import order
 from inspectlake.operators import projects as P
 from inspectlake.session import saved, work_dir
 from inspectlake.sources import files, tables

@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,4 +56,4 @@ def test_field_name_key_and_title(spark):
     assert one(spark, T.normalize_field_name, "Property-Address Line") == "property_address_line"
     assert one(spark, lambda c: T.item_title(c, "edit_item_"), "edit_item_7") == "Action Item 7"
     key = one(spark, lambda c: T.cache_key(c, F.lit("p")), "a.jpg")
-    assert key == "qwen_vl:" + __import__("hashlib").md5(b"a.jpg:p").hexdigest()
+    assert key == "qwen_vl:" + hashlib.md5(b"a.jpg:p").hexdigest()
