@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import bpe, quality
+from inspectlake.llm import bpe, langid, quality, secret_scan
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,30 @@ def held_out(key="doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
+def op2_language_id(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.fit(docs, save=lambda rows: saved(rows, "langid"))
+    found = langid.with_language(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def _joined_spans(spans):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op6_secret_scan(spark, sf_dir):
+    found = secret_scan.with_secrets(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("secrets")
+
+    def count(kind):
+        return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = _joined_spans(F.filter(spans, lambda s: s["kind"] != "guess"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), count("guess"), F.sha2(base, 256).alias("base_sha256"), _joined_spans(spans).alias("spans")
+    )
+
+
 def op7_quality_classifier(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, read(spark, sf_dir, "labels"), save=lambda rows: saved(rows, "quality"))
@@ -34,5 +58,5 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_classifier, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op6_secret_scan, op7_quality_classifier, op10_byte_bpe)}
 ORACLES = {}
