@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import bpe, langid, quality, secret_scan
+from inspectlake.llm import bpe, langid, mixing, quality, secret_scan
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,6 +25,13 @@ def op2_language_id(spark, sf_dir):
     return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op5_mix_sources(spark, sf_dir):
+    sizes = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
+    mixed = mixing.mix(sizes, save=lambda rows: saved(rows, "mixing"))
+    mixed = mixed.withColumn("_row", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
 def _joined_spans(spans):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -58,5 +65,5 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op6_secret_scan, op7_quality_classifier, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op10_byte_bpe)}
 ORACLES = {}
