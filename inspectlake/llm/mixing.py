@@ -92,8 +92,8 @@ def _meet(state, item):
 def _round(rows, level, seed):
     """Settles all but one document of each (source, bucket): rows of ``state``."""
     item = F.struct("id", "n", "size", "weight", "p", _uniform(F.lit(seed), F.lit(level), F.col("id").cast("string"), "size", "weight").alias("u"))
-    # Neighbours in size meet first, so mass moves between like documents.
-    groups = rows.groupBy("source", "whole", "bucket").agg(F.sort_array(F.collect_list(F.struct("size", F.col("id").cast("string").alias("tie"), item.alias("item")))).alias("items"))
+    # Like sizes meet, the large ones first: the document left open at the end tends to be a small one.
+    groups = rows.groupBy("source", "whole", "bucket").agg(F.sort_array(F.collect_list(F.struct("size", F.col("id").cast("string").alias("tie"), item.alias("item"))), asc=False).alias("items"))
     items = F.transform("items", lambda x: x["item"])
     kind = rows.schema["id"].dataType.simpleString()
     shape = f"struct<id: {kind}, n: bigint, size: bigint, weight: double, p: double, u: double>"
