@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import bpe, langid, mixing, quality, secret_scan
+from inspectlake.llm import bpe, langid, mixing, quality, rules, secret_scan
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,6 +56,22 @@ def op7_quality_classifier(spark, sf_dir):
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_quality_rules(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    sample = saved(rules.with_counts(rules.sample_of(docs)), "rules")
+    order = [name for name, _, _ in rules.plan(sample, rules.MORE_RULES)]
+    counted = rules.with_counts(docs)
+    failed = F.coalesce(rules.BASE_RULES["few_words"]("text") | rules.BASE_RULES["repeat_words"]("text"), F.lit(False))
+    judged = rules.cascade(
+        counted.withColumn("base_failed", failed),
+        {"base": lambda text: F.col("base_failed")} | rules.MORE_RULES,
+        ["base", *order],
+    )
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.col("failed_rule").isNull().alias("kept")
+    )
+
+
 def op10_byte_bpe(spark, sf_dir):
     return bpe.encode(
         read(spark, sf_dir, "documents"),
@@ -65,5 +81,5 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op2_language_id, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
 ORACLES = {}
