@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import bpe, langid, mixing, quality, rules, secret_scan
+from inspectlake.llm import bpe, langid, mixing, quality, rules, secret_scan, topk
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,11 @@ def held_out(key="doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
+def op1_top_k(spark, sf_dir):
+    vectors = saved(topk.integer_vectors(read(spark, sf_dir, "embeddings")), "topk")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), save=lambda rows: saved(rows, "topk"))
+
+
 def op2_language_id(spark, sf_dir):
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs, save=lambda rows: saved(rows, "langid"))
@@ -81,5 +86,14 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_language_id, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
-ORACLES = {}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
+ORACLES = {
+    "op1_top_k": """
+with v as (select vec_id, max(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as e from embeddings
+ where embedding is not null and vec_id is not null and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 group by vec_id),
+s as (select q.vec_id as query_id, c.vec_id as vec_id,
+  cast(coalesce(list_sum(list_transform(range(1, least(len(q.e), len(c.e)) + 1), lambda i: q.e[i] * c.e[i])), 0) as bigint) as score
+ from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
+qualify rank <= 10""",
+}
