@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import bpe, langid, mixing, quality, rules, secret_scan, topk
+from inspectlake.llm import bpe, jaccard, langid, mixing, quality, rules, secret_scan, topk
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,10 @@ def op2_language_id(spark, sf_dir):
     return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"), lambda rows: saved(rows, "jaccard"))
+
+
 def op5_mix_sources(spark, sf_dir):
     sizes = read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     mixed = mixing.mix(sizes, save=lambda rows: saved(rows, "mixing"))
@@ -86,7 +90,7 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
 ORACLES = {
     "op1_top_k": """
 with v as (select vec_id, max(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as e from embeddings
