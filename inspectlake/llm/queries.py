@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import bpe, jaccard, langid, mixing, quality, rules, secret_scan, topk
+from inspectlake.llm import bpe, jaccard, langid, mixing, pii, quality, rules, secret_scan, topk
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,6 +18,10 @@ def held_out(key="doc_id"):
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 3 == 1, F.lit(False))
 
 
+def _equal(value):
+    return lambda x: x == value
+
+
 def op1_top_k(spark, sf_dir):
     vectors = saved(topk.integer_vectors(read(spark, sf_dir, "embeddings")), "topk")
     return topk.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0), save=lambda rows: saved(rows, "topk"))
@@ -30,6 +34,14 @@ def op2_language_id(spark, sf_dir):
     return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
+def op3_pii_pseudonyms(spark, sf_dir):
+    # A deployment passes its own secret; the name of the setting is this library's.
+    key = spark.conf.get("spark.inspectlake.pseudonym.key", "example key")
+    found = pii.with_pseudonyms(read(spark, sf_dir, "documents").select("doc_id", "text"), key)
+    counts = [F.size(F.filter("finds", _equal(kind))).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", "text", *counts)
+
+
 def op4_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_join(read(spark, sf_dir, "documents").select("doc_id", "text"), lambda rows: saved(rows, "jaccard"))
 
@@ -90,7 +102,7 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii_pseudonyms, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
 ORACLES = {
     "op1_top_k": """
 with v as (select vec_id, max(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as e from embeddings
