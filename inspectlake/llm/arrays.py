@@ -59,9 +59,12 @@ def runs(inside, offsets):
     return np.flatnonzero(begin), np.flatnonzero(end) + 1
 
 
-def span_hashes(values, starts, ends):
-    """A 64-bit hash of values[start:end] for each span, spans in order and apart."""
-    out = np.empty(len(starts), dtype=np.uint64)
+def prefix_hashes(values, starts, ends):
+    """(a, b, hash_of) for stretches of about ``CHUNK`` values that hold the spans a to b - 1.
+
+    ``hash_of(s, e)`` gives a 64-bit hash of values[s:e] for arrays of places within
+    the stretch.  Spans come in order and do not overlap.
+    """
     at = 0
     while at < len(starts):
         first = starts[at]
@@ -70,10 +73,21 @@ def span_hashes(values, starts, ends):
         power, inverse = _powers(max(CHUNK, 1 << (n - 1).bit_length()))
         total = np.zeros(n + 1, dtype=np.uint64)
         np.cumsum((values[first : first + n].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
-        s, e = starts[at:stop] - first, ends[at:stop] - first
-        out[at:stop] = (total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+
+        def hash_of(s, e, total=total, inverse=inverse, first=first):
+            s, e = s - first, e - first
+            return mixed((total[e] - total[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+        yield at, stop, hash_of
         at = stop
-    return mixed(out)
+
+
+def span_hashes(values, starts, ends):
+    """A 64-bit hash of values[start:end] for each span, spans in order and apart."""
+    out = np.empty(len(starts), dtype=np.uint64)
+    for a, b, hash_of in prefix_hashes(values, starts, ends):
+        out[a:b] = hash_of(starts[a:b], ends[a:b])
+    return out
 
 
 def words(column):

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import bpe, jaccard, langid, mixing, pii, quality, rules, secret_scan, topk
+from inspectlake.llm import bpe, jaccard, langid, lines, mixing, pii, quality, rules, secret_scan, topk
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -93,6 +93,10 @@ def op8_quality_rules(spark, sf_dir):
     )
 
 
+def op9_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), lambda rows: saved(rows, "lines"))
+
+
 def op10_byte_bpe(spark, sf_dir):
     return bpe.encode(
         read(spark, sf_dir, "documents"),
@@ -102,7 +106,7 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii_pseudonyms, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii_pseudonyms, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op9_line_dedup, op10_byte_bpe)}
 ORACLES = {
     "op1_top_k": """
 with v as (select vec_id, max(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as e from embeddings
