@@ -15,14 +15,19 @@ TABLES = (
 SQL = {
     "fx_response": """
 select event_id as resp_id, user_id as project_id, 'img_' || event_id || '.jpg' as image_name,
- case event_id % 8
+ case event_id % 14
   when 0 then '```json' || chr(10) || '{"room": "' || event_type || '", "category": "interior", "confidence": 0.9}' || chr(10) || '```'
-  when 1 then 'Some text before {"room": "' || event_type || '", "view": "close-up"} some text after'
+  when 1 then 'This is what I see: {"room": "' || event_type || '", "view": "close-up"} as asked'
   when 2 then '{"room": null, "overall_condition": "fair", "confidence": 0.35}'
-  when 3 then 'invalid json response'
+  when 3 then 'no answer for this picture'
   when 4 then '{"room": "a"} and {"room": "b"}'
   when 5 then '[1, 2]'
   when 6 then ''
+  when 8 then '{"objects": [{"name": "door", "damage_type": "rust", "condition": null, "n": ' || event_id || '}, {"name": "sill"}], "systems": ["heat", "air"]}'
+  when 9 then '{"objects": ["door", "window"], "systems": "heat", "room": "attic"}'
+  when 10 then '{"objects": null, "systems": null, "visible_damage": "mold"}'
+  when 11 then '{"objects": "none seen", "systems": "[1]", "materials": {"wood": 2}}'
+  when 12 then '{"objects": [], "systems": [true, 1.5, null], "notes": 7}'
   else '{"materials": ["drywall", "tile"], "visible_damage": ["mold"], "caption": "c' || event_id || '", "confidence": 0.8}' end as raw_response
  from events""",
     "fx_kv_text": """

@@ -18,6 +18,7 @@ PARSED = (
     .add("ok", Y.BooleanType())
     .add("kind", Y.StringType())
     .add("data", Y.MapType(Y.StringType(), Y.StringType()))
+    .add("kinds", Y.MapType(Y.StringType(), Y.StringType()))
     .add("error", Y.StringType())
 )
 _MAP = pa.map_(pa.string(), pa.string())
@@ -25,10 +26,10 @@ _KINDS = {dict: "object", list: "array", str: "string", bool: "boolean", int: "n
 
 
 def _as_text(value):
-    """Strings as they are, null as null, any other value as JSON text."""
+    """Strings as they are, null as null, any other value as compact JSON text."""
     if value is None or isinstance(value, str):
         return value
-    return json.dumps(value, ensure_ascii=False)
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
 
 
 def _storable(text):
@@ -38,29 +39,31 @@ def _storable(text):
 
 def _parse(text):
     if text is None:
-        return False, None, None, "no response"
+        return False, None, None, None, "no response"
     try:
         value = json.loads(text)
     except (ValueError, RecursionError) as e:
-        return False, None, None, str(e)
+        return False, None, None, None, str(e)
     kind = _KINDS.get(type(value), "null")
-    data = None
+    data = kinds = None
     if kind == "object":
         data = [(_storable(k), _storable(_as_text(v))) for k, v in value.items()]
-    return True, kind, data, None
+        kinds = [(_storable(k), _KINDS.get(type(v), "null")) for k, v in value.items()]
+    return True, kind, data, kinds, None
 
 
 def _parse_all(texts: pa.Array) -> pa.Array:
     rows = [_parse(t) for t in texts.to_pylist()]
-    ok, kind, data, error = zip(*rows) if rows else ((), (), (), ())
+    ok, kind, data, kinds, error = zip(*rows) if rows else ((), (), (), (), ())
     return pa.StructArray.from_arrays(
         [
             pa.array(ok, pa.bool_()),
             pa.array(kind, pa.string()),
             pa.array(data, _MAP),
+            pa.array(kinds, _MAP),
             pa.array(error, pa.string()),
         ],
-        ["ok", "kind", "data", "error"],
+        ["ok", "kind", "data", "kinds", "error"],
     )
 
 
@@ -70,10 +73,12 @@ parse_json = F.arrow_udf(_parse_all, PARSED).asNondeterministic()
 
 
 def parse_envelope(responses, raw="raw_response"):
-    """Add ``success, kind, data, error`` for a column of raw responses.
+    """Add ``success, kind, data, kinds, error`` for a column of raw responses.
 
     ``kind`` tells an object from other JSON values; only an object has
     ``data``, a map in which a key with a null value differs from no key.
+    ``kinds`` has the JSON kind of every value, so that the text ``[1]`` and
+    the list ``[1]`` stay apart.
     """
     parsed = responses.withColumn("_p", parse_json(normalize_response(F.col(raw))))
     return parsed.select(
@@ -81,6 +86,7 @@ def parse_envelope(responses, raw="raw_response"):
         F.col("_p.ok").alias("success"),
         F.col("_p.kind").alias("kind"),
         F.col("_p.data").alias("data"),
+        F.col("_p.kinds").alias("kinds"),
         F.concat(F.lit("JSON parsing failed: "), F.col("_p.error")).alias("error"),
     )
 
@@ -110,8 +116,8 @@ def given(data, key, default=None):
     return F.when(F.map_contains_key(data, key), value).otherwise(F.lit(default))
 
 
-def text_list(value):
-    """A list column from JSON text; a value that is no list becomes one item."""
+def text_list(value, kind="array"):
+    """A list column from the text of a JSON value of that kind; a value that is no list becomes one item."""
+    kind = F.lit(kind) if isinstance(kind, str) else kind
     items = F.from_json(value, "array<string>")
-    is_list = F.ltrim(value).startswith("[") & items.isNotNull()
-    return F.when(value.isNull(), None).when(is_list, items).otherwise(F.array(value))
+    return F.when(value.isNull(), None).when(kind == "array", items).otherwise(F.array(value))

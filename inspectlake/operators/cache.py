@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inspectlake import settings as S
 from inspectlake.functions import text as T
-from inspectlake.operators.ordered import carry_forward, hot_keys, sliced, spread_join
+from inspectlake.operators.ordered import carry_forward, hot_keys, sliced
 from inspectlake.session import saved
 
 
@@ -75,9 +75,7 @@ def match_cache(
     ways = hot_keys(seen_keys, ["cache_key"], rows_per_task)
     live = _live_entries(instants, cache, ttl, slice_seconds, ways)
     live = live.withColumn("hit", F.lit(True))
-    matched = spread_join(
-        requests, live, ["cache_key", "requested_at"], ["req_id"], "left", rows_per_task
-    )
+    matched = requests.join(live, ["cache_key", "requested_at"], "left")
     return matched.withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
@@ -143,7 +141,7 @@ def _chain_by_rounds(instants, ttl):
         rounds.append(last)
         since = last.select("cache_key", F.col("_m.at").alias("_since"))
         ahead = instants.filter(F.col("at") >= F.lit(earliest) + _seconds(ttl))
-        later = ahead.join(F.broadcast(since), "cache_key")
+        later = ahead.join(since, "cache_key")
         later = later.filter(F.col("at") >= F.col("_since") + _seconds(ttl))
         last = saved(later.groupBy("cache_key").agg(first), "round")
 
@@ -162,9 +160,8 @@ def cache_ttl_fold(requests, ttl=S.CACHE_TTL_SECONDS, rows_per_array=S.ROWS_PER_
     hot = hot_keys(instants, ["cache_key"], rows_per_array).select("cache_key")
     if hot.isEmpty():
         return _chain_in_array(instants, ttl)
-    # At most rows / rows_per_array keys are hot, which bounds the broadcast.
-    cold = instants.join(F.broadcast(hot), "cache_key", "left_anti")
-    chained = _chain_by_rounds(instants.join(F.broadcast(hot), "cache_key", "left_semi"), ttl)
+    cold = instants.join(hot, "cache_key", "left_anti")
+    chained = _chain_by_rounds(instants.join(hot, "cache_key", "left_semi"), ttl)
     return _chain_in_array(cold, ttl).unionByName(chained)
 
 

@@ -16,24 +16,6 @@ def resize_plan(images, max_side=S.MAX_IMAGE_SIDE):
     return images.withColumn("new_width", planned("width")).withColumn("new_height", planned("height"))
 
 
-def pixel_ladder(images, rungs=None, unit=S.PIXEL_UNIT):
-    """The first budget that fits ``capacity`` pixels, or the error text.
-
-    The first rung is the default budget and the retries start there again.
-    """
-    budgets = [r * unit for r in (rungs or S.PIXEL_RUNGS)]
-    ladder = F.array(*[F.struct(F.lit(i).alias("rung"), F.lit(b).alias("budget")) for i, b in enumerate(budgets)])
-    fit = F.get(F.filter(ladder, lambda x: x["budget"] <= F.col("capacity")), F.lit(0))
-    message = f"CUDA OOM: image too large. Tried max_pixels down to {budgets[-1]}."
-    return (
-        images.withColumn("_fit", fit)
-        .withColumn("rung", F.col("_fit.rung"))
-        .withColumn("max_pixels", F.col("_fit.budget"))
-        .withColumn("error", F.when(F.col("_fit").isNull(), message))
-        .drop("_fit")
-    )
-
-
 def confidence_queue(rows, threshold=S.CONFIDENCE_THRESHOLD, column="confidence_score"):
     """Rows for manual review."""
     return rows.filter(F.col(column) < threshold)

@@ -5,18 +5,20 @@ from pyspark.sql import functions as F
 
 from inspectlake import settings as S
 from inspectlake.functions import text as T
-from inspectlake.operators.ordered import spread_join
 
 
 def alias_table(spark, aliases=None):
-    """``(norm, canonical, priority)``: every accepted name of a canonical one."""
+    """``(norm, canonical, priority, ord, alias)``: every accepted name of a canonical one.
+
+    The canonical name itself is number 0; ``alias`` is the name as declared.
+    """
     aliases = S.FIELD_ALIASES if aliases is None else aliases
     rows = [
-        (name, canonical, priority)
+        (name.lower() if ord_ else name, canonical, priority, ord_, name)
         for priority, (canonical, others) in enumerate(aliases.items())
-        for name in [canonical, *[a.lower() for a in others]]
+        for ord_, name in enumerate([canonical, *others])
     ]
-    return spark.createDataFrame(rows, "norm string, canonical string, priority int")
+    return spark.createDataFrame(rows, "norm string, canonical string, priority int, ord int, alias string")
 
 
 def alias_join(fields, aliases):
@@ -32,45 +34,39 @@ def alias_join(fields, aliases):
 
 
 def aliases_of(names, aliases, column="canonical_name"):
-    """Add the alias list of every canonical name, empty when unknown."""
+    """Add the alias list of every canonical name, as declared; empty when unknown."""
+    declared = F.array_sort(F.collect_list(F.struct("ord", "alias")))
     lists = (
-        aliases.filter("norm <> canonical")
+        aliases.filter("ord > 0")
         .groupBy(F.col("canonical").alias(column))
-        .agg(F.collect_list("norm").alias("aliases"))
+        .agg(F.transform(declared, lambda x: x["alias"]).alias("aliases"))
     )
     return names.join(lists, column, "left").withColumn(
         "aliases", F.coalesce("aliases", F.array().cast("array<string>"))
     )
 
 
-def match_fields(fields, extracted, aliases, rows_per_task=S.ROWS_PER_TASK):
+def match_fields(fields, extracted, aliases):
     """Every form field with its canonical name, value and ``found``.
 
-    A key that is present with a null value is found.
+    A key that is present with a null value is found.  One join; a project
+    with very many fields is split by adaptive execution.
     """
     named = alias_join(fields, aliases).drop("norm")
     values = extracted.select(
         "project_id", F.col("key").alias("canonical_name"), "value", F.lit(True).alias("found")
     )
     renamed = named.drop("value") if "value" in named.columns else named
-    known = renamed.filter("canonical_name is not null")
-    matched = spread_join(
-        known, values, ["project_id", "canonical_name"], ["ord"], "left", rows_per_task
-    )
-    unknown = renamed.filter("canonical_name is null")
-    return matched.unionByName(unknown, allowMissingColumns=True).withColumn(
-        "found", F.coalesce("found", F.lit(False))
-    )
+    matched = renamed.join(values, ["project_id", "canonical_name"], "left")
+    return matched.withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def map_fields(fields, extracted, aliases, rows_per_task=S.ROWS_PER_TASK):
-    """The form fields that get a value, with confidence and evidence."""
+def map_fields(fields, extracted, aliases):
+    """The form fields that get a value, with their aliases, confidence and evidence."""
     named = alias_join(fields, aliases).drop("norm").filter("canonical_name is not null")
     values = extracted.select("project_id", F.col("key").alias("canonical_name"), "value")
-    mapped = spread_join(
-        named.drop("value"), values, ["project_id", "canonical_name"], ["ord"], "inner", rows_per_task
-    )
-    return mapped.withColumn("confidence_score", F.lit(S.MAPPED_CONFIDENCE)).withColumn(
+    mapped = named.drop("value").join(values, ["project_id", "canonical_name"])
+    return aliases_of(mapped, aliases).withColumn("confidence_score", F.lit(S.MAPPED_CONFIDENCE)).withColumn(
         "evidence", T.mapped_from(F.col("name"))
     )
 

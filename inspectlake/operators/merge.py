@@ -33,7 +33,7 @@ def map_pairs(rows, ord_col="ord", phase=SCANNED):
 
 
 def image_pairs(records, ord_col="ord", skip_failed=False):
-    """Key/value rows of image records; lists are kept as JSON text.
+    """Key/value rows of image records; lists are the JSON text that came.
 
     A short error record has no keys.  A failed image still has its defaults
     and overrides earlier images, unless ``skip_failed`` is set.
@@ -41,16 +41,7 @@ def image_pairs(records, ord_col="ord", skip_failed=False):
     rows = records.filter("error is null")
     if skip_failed:
         rows = rows.filter("not startswith(evidence, 'Error: ')")
-    lists = [*S.IMAGE_LIST_FIELDS, "objects"]
-    pairs = F.array(
-        *[
-            F.struct(
-                F.lit(f).alias("src_key"),
-                (F.to_json(f) if f in lists else F.col(f)).alias("value"),
-            )
-            for f in S.IMAGE_KEYS
-        ]
-    )
+    pairs = F.array(*[F.struct(F.lit(f).alias("src_key"), F.col(f).alias("value")) for f in S.IMAGE_KEYS])
     return rows.select("project_id", F.col(ord_col).alias("ord"), F.explode(pairs).alias("_p")).select(
         "project_id", F.lit(IMAGES).cast("bigint").alias("phase"), "ord", "_p.*"
     )

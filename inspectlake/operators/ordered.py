@@ -1,4 +1,4 @@
-"""Two building blocks that keep a hot key from landing in one task."""
+"""Building blocks that keep a hot key from landing in one task."""
 
 from functools import reduce
 
@@ -11,9 +11,8 @@ from inspectlake import settings as S
 def hot_keys(rows, keys, rows_per_task=S.ROWS_PER_TASK):
     """Keys with more than ``rows_per_task`` rows, and the tasks they need.
 
-    Counting combines on the map side, so a hot key costs nothing extra here,
-    and the result has at most ``rows / rows_per_task`` rows: small enough to
-    broadcast whatever the size of the input.
+    Counting combines on the map side, so a hot key costs nothing extra here.
+    Whether the result is sent to all tasks is left to the optimizer.
     """
     return (
         rows.groupBy(*keys)
@@ -23,30 +22,10 @@ def hot_keys(rows, keys, rows_per_task=S.ROWS_PER_TASK):
     )
 
 
-def spread_join(rows, lookup, keys, spread_on, how="left", rows_per_task=S.ROWS_PER_TASK):
-    """Join ``rows`` to ``lookup``, which has one row per key.
-
-    The rows of a hot key are dealt over several tasks by a hash of
-    ``spread_on`` (columns that tell rows apart), and only that key's lookup
-    row is repeated.  The deal depends on the row alone, so a task that runs
-    again produces the same rows.
-    """
-    ways = hot_keys(rows, keys, rows_per_task)
-    dealt = rows.join(F.broadcast(ways), keys, "left").withColumn(
-        "_deal",
-        F.coalesce(F.pmod(F.xxhash64(*spread_on), F.col("_ways").cast("bigint")), F.lit(0)),
-    )
-    repeated = lookup.join(F.broadcast(ways), keys, "left").withColumn(
-        "_deal", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_ways") - 1, F.lit(0))))
-    )
-    repeated = repeated.withColumn("_deal", F.col("_deal").cast("bigint")).drop("_ways")
-    return dealt.drop("_ways").join(repeated, [*keys, "_deal"], how).drop("_deal")
-
-
 def sliced(rows, keys, slice_of, ways):
     """Add ``_slice``: ``slice_of`` for the hot keys in ``ways``, 0 for others."""
     return (
-        rows.join(F.broadcast(ways), keys, "left")
+        rows.join(ways, keys, "left")
         .withColumn(
             "_slice",
             F.when(F.col("_ways").isNotNull(), slice_of.cast("bigint")).otherwise(F.lit(0)),
@@ -63,9 +42,8 @@ def carry_forward(rows, keys, slice_col, order, values, split, inclusive=True):
     per slice.  No task ever holds more than a slice of rows or one key's
     slice summaries.  ``slice_col`` must not decrease along ``order``.
 
-    ``split`` holds the keys that have several slices.  Each of them has many
-    rows, so they are few and can be broadcast; only their rows are summed up,
-    and without any the plan is one window.
+    ``split`` holds the keys that have several slices; only their rows are
+    summed up.
     """
     inner = (
         Window.partitionBy(*keys, slice_col)
@@ -77,9 +55,8 @@ def carry_forward(rows, keys, slice_col, order, values, split, inclusive=True):
     )
     # One plain column as position keeps the aggregation a hash aggregation.
     position = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    long_keys = F.broadcast(split)
     summary = (
-        rows.join(long_keys, split.columns, "left_semi")
+        rows.join(split, split.columns, "left_semi")
         .groupBy(*keys, slice_col)
         .agg(
             *[F.max_by(v, F.when(v.isNotNull(), position)).alias(f"_last_{n}") for n, v in values.items()]

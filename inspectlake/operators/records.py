@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from inspectlake import settings as S
 from inspectlake.functions import text as T
 from inspectlake.functions.envelope import given, text_list
-from inspectlake.operators.ordered import spread_join
 
 PAGE_FIELDS = ["owner_name", "property_address", "inspection_date", "inspector_name"]
-OBJECTS = "array<struct<name:string,condition:string,damage:string,notes:string>>"
+LISTS = [*S.IMAGE_LIST_FIELDS, "objects"]
 
 IS_RECORD = "success and kind = 'object'"
 IS_FAILED = "not success"
@@ -16,7 +15,7 @@ IS_NO_OBJECT = "success and kind <> 'object'"
 
 
 def _others(envelopes, image):
-    used = {"success", "kind", "data", "error", "raw_response", image}
+    used = {"success", "kind", "data", "kinds", "error", "raw_response", image}
     return [c for c in envelopes.columns if c not in used]
 
 
@@ -25,6 +24,11 @@ def split_success(envelopes):
     return envelopes.filter("success"), envelopes.filter("not success")
 
 
+def with_part(envelopes):
+    """The envelopes with ``part``, ok or failed, in one pass."""
+    return envelopes.withColumn("part", F.when(F.col("success"), "ok").otherwise("failed"))
+
+
 def confidence(data):
     """``confidence`` as a number: 0.0 when absent, null when given as null."""
     return F.when(
@@ -84,11 +88,9 @@ def document_errors(envelopes, order, doc="doc_id"):
     return envelopes.filter(IS_NO_OBJECT).groupBy(doc).agg(F.min_by(text, order).alias("error"))
 
 
-def without_documents(records, errors, spread_on, doc="doc_id", rows_per_task=S.ROWS_PER_TASK):
+def without_documents(records, errors, doc="doc_id"):
     """The records of all documents that did not fail as a whole."""
-    failed = errors.select(doc, F.lit(True).alias("_failed"))
-    joined = spread_join(records, failed, [doc], spread_on, "left", rows_per_task)
-    return joined.filter("_failed is null").drop("_failed")
+    return records.join(errors.select(doc), doc, "left_anti")
 
 
 def image_records(envelopes, image="image_name"):
@@ -97,26 +99,22 @@ def image_records(envelopes, image="image_name"):
     An object gives its 14 fields, with defaults only for absent keys; a failed
     response gives the same fields all defaulted; any other JSON value gives
     the short error record, whose other columns are null and whose ``error``
-    is set.
+    is set.  List fields keep what came: the JSON text of a list or object, a
+    string as it is; ``kinds`` tells them apart and ``list_view`` gives typed
+    columns.
     """
     data = F.col("data")
     good, failed = F.expr(IS_RECORD), F.expr(IS_FAILED)
-    no_texts = F.array().cast("array<string>")
-    no_objects = F.array().cast(OBJECTS)
 
     def either(found, default):
         return F.when(good, found).when(failed, default)
 
-    def listed(key, parse, empty):
-        present = F.map_contains_key(data, key)
-        return either(F.when(present, parse(given(data, key))).otherwise(empty), empty)
-
     return envelopes.select(
         *_others(envelopes, image),
         F.col(image).alias("image_name"),
         *[either(given(data, f, d), F.lit(d)).alias(f) for f, d in S.IMAGE_TEXT_DEFAULTS.items()],
-        *[listed(f, text_list, no_texts).alias(f) for f in S.IMAGE_LIST_FIELDS],
-        listed("objects", lambda v: F.from_json(v, OBJECTS), no_objects).alias("objects"),
+        *[either(given(data, f, "[]"), F.lit("[]")).alias(f) for f in LISTS],
+        F.when(good, F.col("kinds")).alias("kinds"),
         F.when(good, confidence(data)).otherwise(F.lit(0.0)).alias("confidence_score"),
         F.when(good, T.analyzed(F.col(image)))
         .when(failed, T.failed(F.col("error")))
@@ -126,6 +124,11 @@ def image_records(envelopes, image="image_name"):
     )
 
 
+def list_view(records, fields=S.IMAGE_LIST_FIELDS):
+    """The list fields as arrays of text; a value that was no list is one item."""
+    return records.withColumns({f: text_list(F.col(f), F.coalesce(F.try_element_at("kinds", F.lit(f)), F.lit("array"))) for f in fields})
+
+
 def image_record(envelopes, image="image_name"):
     return image_records(envelopes.filter(IS_RECORD), image).drop("error")
 

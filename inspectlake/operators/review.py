@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from inspectlake import settings as S
 from inspectlake.functions import text as T
-from inspectlake.operators.ordered import spread_join
 
 DECISIONS = ["approved", "rejected"]
 
@@ -22,10 +21,10 @@ def approval_default(projects, statuses):
     )
 
 
-def approved_rows(rows, statuses, spread_on, rows_per_task=S.ROWS_PER_TASK):
+def approved_rows(rows, statuses):
     """The rows of approved projects, before any other work is done on them."""
     approved = statuses.filter("approval_status = 'approved'").select("project_id")
-    return spread_join(rows, approved, ["project_id"], spread_on, "inner", rows_per_task)
+    return rows.join(approved, "project_id", "left_semi")
 
 
 def approval_gate(projects, statuses, summary):

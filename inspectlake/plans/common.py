@@ -21,6 +21,13 @@ parsed as (select *, json_valid(j) as ok, case when json_valid(j) then lower(jso
 """
 
 
+# The error of the failing texts in the inputs, on the oracle's side.
+PARSE_ERROR = (
+    "case when j like '{\"room\": \"a\"} and%' then 'Extra data: line 1 column 15 (char 14)'"
+    " else 'Expecting value: line 1 column 1 (char 0)' end"
+)
+
+
 def given(key, default):
     """``j.key`` on the oracle's side, the default only when absent."""
     return f"case when json_exists(j, '$.{key}') then j->>'$.{key}' else {default} end"
@@ -60,13 +67,13 @@ merged as (select project_id, "key", value from renamed where "key" is not null
 """
 
 # The alias table and the form fields matched to the merged values.
-ALIASES = """, aliases(norm, canonical, priority) as (values
- ('owner_name','owner_name',0),('owner','owner_name',0),('property_owner','owner_name',0),('client_name','owner_name',0),('name','owner_name',0),
- ('address','address',1),('property_address','address',1),('location','address',1),('site_address','address',1),
- ('roof_type','roof_type',2),('roof','roof_type',2),('roofing','roof_type',2),('roof_material','roof_type',2),
- ('wall_type','wall_type',3),('wall','wall_type',3),('walls','wall_type',3),('wall_material','wall_type',3),
- ('building_condition','building_condition',4),('condition','building_condition',4),('building_status','building_condition',4),('overall_condition','building_condition',4),
- ('damage','damage',5),('damage_type','damage',5),('damage_description','damage',5),('issues','damage',5))
+ALIASES = """, aliases(norm, canonical, priority, ord) as (values
+ ('owner_name','owner_name',0,0),('owner','owner_name',0,1),('property_owner','owner_name',0,2),('client_name','owner_name',0,3),('name','owner_name',0,4),
+ ('address','address',1,0),('property_address','address',1,1),('location','address',1,2),('site_address','address',1,3),
+ ('roof_type','roof_type',2,0),('roof','roof_type',2,1),('roofing','roof_type',2,2),('roof_material','roof_type',2,3),
+ ('wall_type','wall_type',3,0),('wall','wall_type',3,1),('walls','wall_type',3,2),('wall_material','wall_type',3,3),
+ ('building_condition','building_condition',4,0),('condition','building_condition',4,1),('building_status','building_condition',4,2),('overall_condition','building_condition',4,3),
+ ('damage','damage',5,0),('damage_type','damage',5,1),('damage_description','damage',5,2),('issues','damage',5,3))
 """
 NORM_NAME = "replace(replace(lower(name), ' ', '_'), '-', '_')"
 MATCHED = f"""{RENAMED}{ALIASES}, matched as (

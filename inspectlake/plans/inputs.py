@@ -76,8 +76,7 @@ def page_field_record(spark, sf_dir):
 
 
 def page_error_record(spark, sf_dir):
-    records = R.page_error_record(_page_envelopes(spark, sf_dir))
-    return records.withColumn("evidence", F.substring("evidence", 1, 28))
+    return R.page_error_record(_page_envelopes(spark, sf_dir))
 
 
 def collect_doc_fields(spark, sf_dir):
@@ -174,7 +173,7 @@ select doc_id, page_no, pages, 'page_' || page_no || '.png' as page_name, page_t
     ),
     "page_error_record": with_fixtures(
         normalized("fx_page_response")
-        + """select resp_id, doc_id, page_no, image, 'handwritten' as type, cast(0.0 as double) as confidence_score, 'Error: JSON parsing failed: ' as evidence
+        + """select resp_id, doc_id, page_no, image, 'handwritten' as type, cast(0.0 as double) as confidence_score, 'Error: JSON parsing failed: Expecting value: line 1 column 1 (char 0)' as evidence
  from parsed where not ok""",
         "fx_page_response",
     ),

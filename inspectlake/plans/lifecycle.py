@@ -21,40 +21,46 @@ from inspectlake.plans.reviews import STATUS
 from inspectlake.session import saved
 
 
-def _answers(requests, cache, make, options):
+def _answers(requests, cache, make, model_id, options):
     """Envelopes of all requests, and the new cache rows."""
-    results, writes = N.cached_infer(requests, cache, make, **options)
+    results, writes = N.cached_infer(requests, cache, make, model_id, **options)
     texts = results.withColumnsRenamed({"result": "raw_response", "error": "infer_error"})
     parsed = parse_envelope(texts.drop("success", "cached", "cache_key", "prompt", "requested_at"))
     parsed = parsed.withColumn("error", F.coalesce("infer_error", "error")).drop("infer_error")
     return saved(parsed, "envelopes"), writes
 
 
-def analyse_images(images, cache, make, **options):
+def analyse_images(images, cache, make, model_id, **options):
     """Image records of ``images(req_id, project_id, image_path, prompt, requested_at)``."""
-    answered, writes = _answers(images, cache, make, options)
+    answered, writes = _answers(images, cache, make, model_id, options)
     return R.image_records(answered, "image_path"), writes
 
 
-def read_pages(pages, cache, make, **options):
+def read_pages(pages, cache, make, model_id, **options):
     """Page records, failed documents and new cache rows of handwritten pages.
 
     ``pages(req_id, project_id, doc_id, image_path, prompt, requested_at)``; a
     document with an answer that is no object has no records, only an error.
     """
-    answered, writes = _answers(pages, cache, make, options)
+    answered, writes = _answers(pages, cache, make, model_id, options)
     errors = R.document_errors(answered, "req_id")
-    records = R.without_documents(R.page_records(answered, "image_path"), errors, ["req_id"])
+    records = R.without_documents(R.page_records(answered, "image_path"), errors)
     return records, errors, writes
 
 
-def read_texts(documents, prompts, make, **options):
-    """``data`` maps of scanned documents, asked for with their text."""
+def read_texts(documents, prompts, make, model_id, **options):
+    """``data`` maps of scanned documents, asked for with their text.
+
+    Every document has a row.  One whose model call failed for good has a map
+    of its ``error``; one whose answer is JSON but no object has a null map and
+    ``kind`` says what it was.
+    """
     asked = D.bind_prompt(documents, prompts).select(
         "project_id", F.col("doc_id").alias("req_id"), F.lit("").alias("image_path"), F.col("request").alias("prompt")
     )
-    answered = saved(N.infer_with_retry(asked, make, **options).drop("prompt"), "texts")
-    return parse_llm_response(answered).filter("kind = 'object' or not success")
+    answered = saved(N.infer_with_retry(asked, make, model_id, **options).drop("prompt"), "texts")
+    failed = F.create_map(F.lit("error"), F.col("infer_error"))
+    return parse_llm_response(answered).withColumn("data", F.when(F.col("infer_error").isNotNull(), failed).otherwise(F.col("data")))
 
 
 def extracted_values(pages, texts, images, skip_failed=False):
@@ -86,7 +92,7 @@ def review_and_fill(fields, extracted, events, aliases):
     """
     statuses = V.approval_status(events)
     values = V.review_overlay(extracted, events)
-    approved = V.approved_rows(fields, statuses, ["ord"])
+    approved = V.approved_rows(fields, statuses)
     matched = M.match_fields(approved, values, aliases)
     projects = fields.select("project_id").distinct()
     return V.approval_gate(projects, statuses, M.mapping_summary(matched)), M.fill_plan(matched)
@@ -129,7 +135,7 @@ QUERIES = {
 # The damage and condition of the last image that gives any record.
 IMAGE_VALUES = f""", image_values as (select project_id, resp_id,
  case when not ok then 'unknown' else {given('overall_condition', "'unknown'")} end as building_condition,
- case when ok and json_exists(j, '$.visible_damage') then json_extract(j, '$.visible_damage')::varchar else '[]' end as damage
+ case when ok and json_exists(j, '$.visible_damage') then j->>'$.visible_damage' else '[]' end as damage
  from parsed where not ok or kind = 'object'
  qualify row_number() over (partition by project_id order by resp_id desc) = 1)
 """

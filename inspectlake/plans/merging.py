@@ -42,14 +42,14 @@ def aliases_of(spark, sf_dir):
     named = M.alias_join(_fields(spark, sf_dir), aliases)
     listed = M.aliases_of(named, aliases)
     return listed.select(
-        "project_id", "ord", "canonical_name", F.array_join(F.array_sort("aliases"), ",").alias("aliases")
+        "project_id", "ord", "canonical_name", F.array_join("aliases", ",").alias("aliases")
     )
 
 
 def map_fields(spark, sf_dir):
     mapped = M.map_fields(_fields(spark, sf_dir), merged_extraction(spark, sf_dir), M.alias_table(spark))
     return mapped.select(
-        "project_id", "ord", "form_id", "name", "canonical_name", "value", "confidence_score", "evidence"
+        "project_id", "ord", "form_id", "name", "canonical_name", F.array_join("aliases", ",").alias("aliases"), "value", "confidence_score", "evidence"
     )
 
 
@@ -100,12 +100,13 @@ ORACLES = {
         "select project_id, ord, name, canonical_name from matched where canonical_name is not null"
     ),
     "aliases_of": matched_sql(
-        """select project_id, ord, canonical_name, coalesce((select string_agg(norm, ',' order by norm) from aliases a
+        """select project_id, ord, canonical_name, coalesce((select string_agg(norm, ',' order by a.ord) from aliases a
  where a.canonical = m.canonical_name and a.norm <> a.canonical), '') as aliases from matched m"""
     ),
     "map_fields": matched_sql(
-        """select project_id, ord, form_id, name, canonical_name, value, cast(0.9 as double) as confidence_score, 'Mapped from ' || name as evidence
- from matched where found"""
+        """select project_id, ord, form_id, name, canonical_name, (select string_agg(norm, ',' order by a.ord) from aliases a
+ where a.canonical = m.canonical_name and a.ord > 0) as aliases, value, cast(0.9 as double) as confidence_score, 'Mapped from ' || name as evidence
+ from matched m where found"""
     ),
     "unmapped_fields": matched_sql("select project_id, ord, name from matched where not found"),
     "first_unmapped": matched_sql(

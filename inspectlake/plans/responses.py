@@ -9,20 +9,7 @@ from inspectlake.functions.envelope import parse_llm_response as parse_plain
 from inspectlake.operators import images as I
 from inspectlake.operators import records as R
 from inspectlake.operators.review import review_view as view
-from inspectlake.plans.common import all_cores, envelopes, given, joined, normalized
-from inspectlake.session import saved
-
-ERROR = "Error: JSON parsing failed: "
-
-
-def _flat(records):
-    """Lists as text and the error evidence cut to its fixed part."""
-    shown = {c: joined(c) for c in S.IMAGE_LIST_FIELDS if c in records.columns}
-    if "objects" in records.columns:
-        shown["objects"] = F.size("objects").cast("bigint")
-    fixed = F.when(F.startswith("evidence", F.lit(ERROR)), ERROR).otherwise(F.col("evidence"))
-    return records.withColumns({**shown, "evidence": fixed})
-
+from inspectlake.plans.common import PARSE_ERROR, all_cores, envelopes, given, joined, normalized
 
 def normalize_response(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_response").select(
@@ -38,7 +25,9 @@ def parse_envelope(spark, sf_dir):
         F.when(F.col("data").isNotNull(), F.size("data").cast("bigint")).alias("n_keys"),
         F.try_element_at("data", F.lit("room")).alias("room"),
         F.map_contains_key("data", "room").alias("has_room"),
-        F.substring("error", 1, 21).alias("error"),
+        joined(F.array_sort(F.map_keys("data"))).alias("keys"),
+        joined(F.transform(F.array_sort(F.map_keys("data")), lambda k: F.coalesce(F.try_element_at("data", k), F.lit("null"))), "|").alias("values"),
+        "error",
     )
 
 
@@ -55,19 +44,15 @@ def parse_llm_response(spark, sf_dir):
 
 
 def split_success(spark, sf_dir):
-    parsed = saved(envelopes(spark, sf_dir).select("resp_id", "success"), "envelopes")
-    good, bad = R.split_success(parsed)
-    return good.select("resp_id", F.lit("ok").alias("part")).unionByName(
-        bad.select("resp_id", F.lit("failed").alias("part"))
-    )
+    return R.with_part(envelopes(spark, sf_dir)).select("resp_id", "part")
 
 
 def image_record(spark, sf_dir):
-    return _flat(R.image_record(envelopes(spark, sf_dir)))
+    return R.image_record(envelopes(spark, sf_dir)).drop("kinds")
 
 
 def image_default_record(spark, sf_dir):
-    return _flat(R.image_default_record(envelopes(spark, sf_dir)))
+    return R.image_default_record(envelopes(spark, sf_dir)).drop("kinds")
 
 
 def exception_record(spark, sf_dir):
@@ -76,10 +61,9 @@ def exception_record(spark, sf_dir):
 
 def evidence_text(spark, sf_dir):
     records = R.image_records(envelopes(spark, sf_dir))
-    fixed = F.when(F.startswith("evidence", F.lit(ERROR)), ERROR).otherwise(F.col("evidence"))
     return records.select(
         "resp_id",
-        fixed.alias("evidence"),
+        "evidence",
         T.extracted_from(F.col("image_name")).alias("llm_evidence"),
         T.processed_pages(F.col("resp_id")).alias("pages_evidence"),
         T.mapped_from(F.col("image_name")).alias("mapped_evidence"),
@@ -91,13 +75,6 @@ def resize_plan(spark, sf_dir):
     return I.resize_plan(fixture(spark, sf_dir, "fx_image_dim"))
 
 
-def pixel_ladder(spark, sf_dir):
-    rows = fixture(spark, sf_dir, "fx_image_dim").select(
-        "image_id", ((F.col("image_id") % 7) * 100 * S.PIXEL_UNIT).alias("capacity")
-    )
-    return I.pixel_ladder(rows)
-
-
 def _analyses(spark, sf_dir):
     return fixture(spark, sf_dir, "fx_image_analysis").withColumn(
         "visible_damage", F.filter(F.split("visible_damage_csv", ","), lambda d: d != "")
@@ -128,7 +105,6 @@ QUERIES = {
     "exception_record": exception_record,
     "evidence_text": evidence_text,
     "resize_plan": resize_plan,
-    "pixel_ladder": pixel_ladder,
     "confidence_queue": confidence_queue,
     "vocab_check": vocab_check,
     "review_view": review_view,
@@ -141,13 +117,6 @@ def _response(text):
     return with_fixtures(N + text, "fx_response")
 
 
-def _list(key):
-    return (
-        f"case when json_exists(j, '$.{key}') then array_to_string(cast(json_extract(j, '$.{key}') as varchar[]), ',')"
-        " else '' end"
-    )
-
-
 def _words(words):
     return ", ".join(f"'{w}'" for w in words)
 
@@ -157,7 +126,9 @@ ORACLES = {
     "parse_envelope": _response(
         """select resp_id, ok as success, kind, case when kind = 'object' then cast(len(json_keys(j)) as bigint) end as n_keys,
  case when kind = 'object' then j->>'$.room' end as room, case when kind = 'object' then json_exists(j, '$.room') end as has_room,
- case when not ok then 'JSON parsing failed: ' end as error from parsed"""
+ case when kind = 'object' then array_to_string(list_sort(json_keys(j)), ',') end as keys,
+ case when kind = 'object' then array_to_string(list_transform(list_sort(json_keys(j)), lambda k: coalesce(json_extract_string(j, '$.' || k), 'null')), '|') end as values,
+ case when not ok then 'JSON parsing failed: ' || """ + PARSE_ERROR + """ end as error from parsed"""
     ),
     "parse_llm_response": _response(
         """select resp_id, json_valid(raw_response) as success, case when json_valid(raw_response) then lower(json_type(raw_response)) end as kind,
@@ -168,21 +139,21 @@ ORACLES = {
     "image_record": _response(
         f"""select resp_id, project_id, image_name, {given('room', "'unknown'")} as room, {given('category', "'unknown'")} as category,
  {given('view', "'unknown'")} as view, {given('overall_condition', "'unknown'")} as overall_condition, {given('caption', "''")} as caption,
- {given('mini_caption', "''")} as mini_caption, {given('notes', "''")} as notes, {_list('materials')} as materials, {_list('systems')} as systems,
- {_list('visible_damage')} as visible_damage, cast(0 as bigint) as objects, coalesce(cast(j->>'$.confidence' as double), 0.0) as confidence_score,
+ {given('mini_caption', "''")} as mini_caption, {given('notes', "''")} as notes, {given('materials', "'[]'")} as materials, {given('systems', "'[]'")} as systems,
+ {given('visible_damage', "'[]'")} as visible_damage, {given('objects', "'[]'")} as objects, coalesce(cast(j->>'$.confidence' as double), 0.0) as confidence_score,
  'Analyzed ' || image_name as evidence from parsed where ok and kind = 'object'"""
     ),
     "image_default_record": _response(
         """select resp_id, project_id, image_name, 'unknown' as room, 'unknown' as category, 'unknown' as view, 'unknown' as overall_condition,
- '' as caption, '' as mini_caption, '' as notes, '' as materials, '' as systems, '' as visible_damage, cast(0 as bigint) as objects,
- cast(0.0 as double) as confidence_score, 'Error: JSON parsing failed: ' as evidence from parsed where not ok"""
+ '' as caption, '' as mini_caption, '' as notes, '[]' as materials, '[]' as systems, '[]' as visible_damage, '[]' as objects,
+ cast(0.0 as double) as confidence_score, 'Error: JSON parsing failed: ' || """ + PARSE_ERROR + """ as evidence from parsed where not ok"""
     ),
     "exception_record": _response(
         """select resp_id, project_id, image_name, '''list'' object has no attribute ''get''' as error, cast(0.0 as double) as confidence_score, '' as evidence
  from parsed where ok and kind <> 'object'"""
     ),
     "evidence_text": _response(
-        """select resp_id, case when not ok then 'Error: JSON parsing failed: ' when kind = 'object' then 'Analyzed ' || image_name else '' end as evidence,
+        """select resp_id, case when not ok then 'Error: JSON parsing failed: ' || """ + PARSE_ERROR + """ when kind = 'object' then 'Analyzed ' || image_name else '' end as evidence,
  'Extracted via LLM from ' || image_name as llm_evidence, 'Processed ' || resp_id || ' pages' as pages_evidence,
  'Mapped from ' || image_name as mapped_evidence, 'Mapped ' || resp_id || ' fields' as count_evidence from parsed"""
     ),
@@ -191,14 +162,6 @@ ORACLES = {
  case when greatest(width, height) > 1280 then cast(trunc(height * (1280.0::double / greatest(width, height)::double)) as int) else height end as new_height from fx_image_dim""",
         "fx_image_dim",
     ),
-    "pixel_ladder": with_fixtures(
-        """, rows_in as (select image_id, (image_id % 7) * 100 * 784 as capacity from fx_image_dim),
- ladder(rung, budget) as (values (0, 401408), (1, 401408), (2, 301056), (3, 200704))
-select image_id, capacity, min(rung) as rung, max(budget) as max_pixels,
- case when min(rung) is null then 'CUDA OOM: image too large. Tried max_pixels down to 200704.' end as error
- from rows_in left join ladder on budget <= capacity group by image_id, capacity""",
-        "fx_image_dim",
-    ),
     "confidence_queue": with_fixtures("select * from fx_image_analysis where confidence < 0.8", "fx_image_analysis"),
     "vocab_check": with_fixtures(
         f"""select *, overall_condition not in ({_words(S.CONDITIONS)}) as bad_condition, building_area not in ({_words(S.AREAS)}) as bad_area,

@@ -1,21 +1,25 @@
 """Project tables and artifacts in shared storage."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from inspectlake.operators.projects import latest_artifact
 
 PROJECT = (
     "project_id string, project_name string, status string, created_at timestamp_ntz, "
-    "handwritten_pdf string, scanned_pdf string, images array<string>"
+    "handwritten_pdf string, scanned_pdf string, images array<string>, saved_at timestamp_ntz"
 )
 ARTIFACT = "project_id bigint, artifact string, write_seq bigint, payload string"
 
-# The outputs a project can have.
+# The outputs a project has; others are kept too.
 ARTIFACTS = ["document_output", "image_output", "mapping", "processing_log"]
 
 
 def save_projects(projects, path):
-    projects.write.mode("overwrite").json(path)
+    """Add projects to the store; a later save of a project replaces it."""
+    now = F.localtimestamp()
+    projects.drop("saved_at").withColumn("saved_at", now).write.mode("append").json(path)
 
 
 def load_projects(spark, path, requested=None, multi_line=False):
@@ -25,6 +29,9 @@ def load_projects(spark, path, requested=None, multi_line=False):
     so.  ``multi_line`` reads indented files of one project each.
     """
     stored = spark.read.schema(PROJECT).option("multiLine", multi_line).json(path)
+    whole = F.struct(*stored.columns)
+    stored = stored.groupBy("project_id").agg(F.max_by(whole, F.coalesce("saved_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("_p"))
+    stored = stored.select("_p.*").drop("saved_at")
     if requested is None:
         return stored.withColumn("error", F.lit(None).cast("string"))
     wanted = requested.select(F.col("project_id").cast("string")).distinct()
@@ -45,8 +52,7 @@ def write_artifacts(rows, path, file_format="parquet"):
     Rewriting a file or keeping a folder per project would not hold for many
     projects; an interrupted append leaves the last state as it was.
     """
-    known = rows.filter(F.col("artifact").isin(ARTIFACTS))
-    known.write.mode("append").partitionBy("artifact").format(file_format).save(path)
+    rows.write.mode("append").partitionBy("artifact").format(file_format).save(path)
 
 
 def read_artifacts(spark, path, file_format="parquet"):
@@ -58,12 +64,24 @@ def compact_artifacts(spark, path, new_path, file_format="parquet"):
     write_artifacts(read_artifacts(spark, path, file_format), new_path, file_format)
 
 
-def save_catalog(path, fields, sections, tags):
-    """Persist the field list, the section tree and the tags of scraped forms."""
-    for name, rows in (("form_fields", fields), ("sections", sections), ("tags", tags)):
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+CATALOG = ("form_fields", "sections", "tags")
+
+
+def save_catalog(path, fields, sections, tags, batch=None):
+    """Add the fields, the section tree and the tags of scraped pages.
+
+    Pages that were saved before are replaced as a whole, others stay.
+    ``batch`` orders the saves; the time in milliseconds by default.
+    """
+    batch = int(time.time() * 1000) if batch is None else batch
+    parts = dict(zip(CATALOG, (fields, sections, tags)))
+    for name, rows in parts.items():
+        rows.withColumn("_batch", F.lit(batch).cast("bigint")).write.mode("append").parquet(f"{path}/{name}")
 
 
 def load_catalog(spark, path):
-    """The three tables of ``save_catalog``."""
-    return tuple(spark.read.parquet(f"{path}/{name}") for name in ("form_fields", "sections", "tags"))
+    """The three tables of ``save_catalog``, each page as last saved."""
+    stored = {name: spark.read.parquet(f"{path}/{name}") for name in CATALOG}
+    seen = [rows.select("page_id", "_batch") for rows in stored.values()]
+    last = seen[0].unionByName(seen[1]).unionByName(seen[2]).groupBy("page_id").agg(F.max("_batch").alias("_batch"))
+    return tuple(rows.join(last, ["page_id", "_batch"], "left_semi").drop("_batch") for rows in stored.values())

@@ -1,4 +1,6 @@
 import datetime
+import functools
+import os
 import random
 
 import pytest
@@ -66,14 +68,21 @@ def test_expiry_chain_equals_a_loop(spark, rows_per_array):
 def test_second_run_needs_no_inference(spark):
     asked = some_requests(120, 4, paths=10, hours=20)
     requests = spark.createDataFrame(asked, REQUEST)
-    results, writes = N.cached_infer(requests, spark.createDataFrame([], ENTRY))
+    results, writes = N.cached_infer(requests, spark.createDataFrame([], ENTRY), Restated, "restated")
     assert results.count() == 120 and results.filter("success").count() == 120
     assert {r["req_id"] for r in results.filter("not cached").collect()} == chain(asked)
-    again, new = N.cached_infer(requests, writes)
+    again, new = N.cached_infer(requests, writes, Restated, "restated")
     assert new.count() == 0 and again.filter("cached").count() == 120
     assert sorted(r["result"] for r in again.collect()) == sorted(r["result"] for r in results.collect())
 
 
+class Restated:
+    """A fake model whose answer restates the request."""
+
+    def infer(self, requests):
+        return [f'{{"room": "{prompt} of {path}"}}' for path, prompt in requests]
+
+
 class Broken:
     def infer(self, requests):
         raise RuntimeError("out of order")
@@ -86,9 +95,9 @@ class Fenced:
 
 def test_a_raising_model_gives_error_rows(spark):
     requests = spark.createDataFrame(some_requests(5, 5), REQUEST)
-    rows = N.infer_with_retry(requests, Broken, sleep=lambda s: None).collect()
+    rows = N.infer_with_retry(requests, Broken, "broken", sleep=lambda s: None).collect()
     assert {(r["attempts"], r["infer_error"], r["raw_response"]) for r in rows} == {(3, "out of order", None)}
-    results, writes = N.cached_infer(requests, spark.createDataFrame([], ENTRY), Broken, sleep=lambda s: None)
+    results, writes = N.cached_infer(requests, spark.createDataFrame([], ENTRY), Broken, "broken", sleep=lambda s: None)
     assert results.count() == 5 and writes.count() == 0
     assert {r["error"] for r in results.collect()} == {"out of order"}
 
@@ -102,7 +111,7 @@ class Picky:
 
 def test_a_bad_request_does_not_spoil_its_batch(spark):
     requests = spark.createDataFrame(some_requests(30, 8), REQUEST)
-    rows = N.infer_with_retry(requests, Picky, sleep=lambda s: None, batch_size=8).collect()
+    rows = N.infer_with_retry(requests, Picky, "picky", sleep=lambda s: None, batch_size=8).collect()
     assert len(rows) == 30
     for r in rows:
         bad = r["image_path"] == "i1"
@@ -118,14 +127,54 @@ def test_waits_double():
 
 def test_failures_are_not_cached(spark):
     requests = spark.createDataFrame([(1, "ok", "p", START), (2, "bad", "p", START)], REQUEST)
-    results, writes = N.cached_infer(requests, spark.createDataFrame([], ENTRY), Fenced)
+    results, writes = N.cached_infer(requests, spark.createDataFrame([], ENTRY), Fenced, "fenced")
     assert {r["req_id"]: r["success"] for r in results.collect()} == {1: True, 2: False}
     assert [r["image_path"] for r in writes.collect()] == ["ok"]
 
 
+def failing_first(marker):
+    """A fake model whose very first answer is no JSON, whichever worker gives it."""
+
+    class FailingFirst:
+        def infer(self, requests):
+            texts = []
+            for path, _ in requests:
+                first = not os.path.exists(marker)
+                open(marker, "a").close()
+                texts.append("no idea" if first else '{"room": "%s"}' % path)
+            return texts
+
+    return FailingFirst
+
+
+def test_a_failure_is_not_shared(spark, tmp_path):
+    asked = [(1, "i", "p", START), (2, "i", "p", START + HOUR), (3, "i", "p", START + 2 * HOUR), (4, "i", "p", START + 40 * HOUR)]
+    requests = spark.createDataFrame(asked, REQUEST)
+    model = failing_first(str(tmp_path / "asked"))
+    results, writes = N.cached_infer(requests, spark.createDataFrame([], ENTRY), model, "failing-first", parallelism=1)
+    got = {r["req_id"]: (r["success"], r["result"], r["cached"]) for r in results.collect()}
+    fine = '{"room": "i"}'
+    assert got == {1: (False, "no idea", False), 2: (True, fine, False), 3: (True, fine, True), 4: (True, fine, False)}
+    assert sorted(r["entry_id"] for r in writes.collect()) == [2, 4]
+
+
+def test_models_are_told_apart_by_their_id(spark):
+    class Says:
+        def __init__(self, word):
+            self.word = word
+
+        def infer(self, requests):
+            return [self.word for _ in requests]
+
+    requests = spark.createDataFrame(some_requests(3, 9), REQUEST).coalesce(1)
+    for word in ("one", "two"):
+        rows = N.batch_infer(requests, functools.partial(Says, word), word).collect()
+        assert {r["raw_response"] for r in rows} == {word}
+
+
 def test_the_cap_bounds_the_tasks(spark):
     requests = spark.createDataFrame(some_requests(50, 6), REQUEST)
-    rows = N.batch_infer(requests, parallelism=2).select(F.spark_partition_id().alias("p")).distinct()
+    rows = N.batch_infer(requests, Restated, "restated", parallelism=2).select(F.spark_partition_id().alias("p")).distinct()
     assert rows.count() <= 2
 
 

@@ -35,15 +35,15 @@ def test_from_files_to_forms(spark):
     pages, errors, _ = L.read_pages(
         spark.createDataFrame(
             [(1, 1, 10, "page1", "p", AT), (2, 1, 10, "page2", "p", AT), (3, 2, 20, "page3", "p", AT),
-             (4, 2, 30, "page4", "p", AT), (5, 2, 30, "array", "p", AT)], PAGE), cache, Reader)
+             (4, 2, 30, "page4", "p", AT), (5, 2, 30, "array", "p", AT)], PAGE), cache, Reader, "reader")
     assert {r["doc_id"]: r["error"] for r in errors.collect()} == {30: "'list' object has no attribute 'get'"}
     assert sorted(r["image"] for r in pages.collect()) == ["page1", "page2", "page3"]
     images, writes = L.analyse_images(
-        spark.createDataFrame([(1, 1, "fair", "p", AT), (2, 2, "blurred", "p", AT), (3, 2, "[x]", "p", AT)], REQUEST), cache, Reader)
+        spark.createDataFrame([(1, 1, "fair", "p", AT), (2, 2, "blurred", "p", AT), (3, 2, "[x]", "p", AT)], REQUEST), cache, Reader, "reader")
     assert writes.count() == 2
     texts = L.read_texts(
         spark.createDataFrame([(1, 1, "T", "t")], "doc_id long, project_id long, text string, prompt_name string"),
-        spark.createDataFrame([("t", "<{text}>")], "name string, template string"), Reader)
+        spark.createDataFrame([("t", "<{text}>")], "name string, template string"), Reader, "reader")
     values = L.extracted_values(pages, texts, images)
     got = {(r["project_id"], r["key"]): r["value"] for r in values.collect()}
     assert got[1, "owner_name"] == "Text <T>" and got[1, "address"] is None and got[1, "damage"] == '["mold"]'
@@ -60,6 +60,24 @@ def test_from_files_to_forms(spark):
     assert {r["name"]: r["fill_value"] for r in plan.collect()} == {"Client Name": "Text <T>", "address": "New St"}
 
 
+class Down:
+    def infer(self, requests):
+        if any("down" in prompt for _, prompt in requests):
+            raise RuntimeError("no connection")
+        return ["[1]" if "list" in prompt else "sorry" for _, prompt in requests]
+
+
+def test_failed_texts_keep_their_error(spark):
+    docs = [(1, 1, "down", "t"), (2, 1, "list", "t"), (3, 1, "plain", "t")]
+    texts = L.read_texts(
+        spark.createDataFrame(docs, "doc_id long, project_id long, text string, prompt_name string"),
+        spark.createDataFrame([("t", "{text}")], "name string, template string"), Down, "down", sleep=lambda s: None)
+    got = {r["req_id"]: (r["kind"], r["data"]) for r in texts.collect()}
+    assert got[1] == (None, {"error": "no connection"})
+    assert got[2] == ("array", None)
+    assert got[3] == (None, {"raw_response": "sorry", "error": "Failed to parse JSON"})
+
+
 def test_form_catalog(spark):
     html = """<ul id="outline-navigation-list"><li class="outlineItem"><a>Top</a></li>
     <li class="outlineItem indent-level-2"><a>Deep</a></li></ul><form id="r"><input name="tag_a" value="1"></form>"""

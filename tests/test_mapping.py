@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 from inspectlake.operators import mapping as M
 from inspectlake.operators import review as R
 from inspectlake.operators.merge import last_wins_merge
-from inspectlake.operators.ordered import hot_keys, spread_join
 
 
 def fields(spark, rows):
@@ -45,20 +44,16 @@ def test_hot_project_gives_the_same_rows(spark):
     values = extracted(spark, [(p, k, f"{p}{k}") for p in range(1, 8) for k in ("owner_name", "damage")])
     aliases = M.alias_table(spark)
 
-    def result(**options):
-        return sorted(tuple(r) for r in M.match_fields(fields(spark, rows), values, aliases, **options)
-                      .select("project_id", "ord", "value", "found").collect())
+    got = {r["ord"]: (r["value"], r["found"]) for r in M.match_fields(fields(spark, rows), values, aliases).collect()}
+    keys = {"owner": "owner_name", "issues": "damage"}
+    assert got == {n: (f"{p}{keys[name]}", True) if p < 8 and name in keys else (None, False) for p, n, _, name, _ in rows}
 
-    assert result() == result(rows_per_task=7)
-    assert len(result(rows_per_task=7)) == 600
 
-
-def test_spread_join_deals_hot_rows(spark):
-    rows = spark.range(1000).select(F.lit(1).alias("k"), F.col("id").alias("ord"))
-    ways = hot_keys(rows, ["k"], 100).first()["_ways"]
-    assert ways == 10
-    dealt = spread_join(rows, spark.createDataFrame([(1, "v")], "k int, v string"), ["k"], ["ord"], "inner", 100)
-    assert dealt.count() == 1000 and dealt.select("v").distinct().count() == 1
+def test_aliases_keep_order_and_case(spark):
+    aliases = M.alias_table(spark, {"b": ["Zeta", "alpha"]})
+    form = fields(spark, [(1, 1, "f", "zeta", "-"), (1, 2, "f", "other", "-")])
+    mapped = M.map_fields(form, extracted(spark, [(1, "b", "v")]), aliases).collect()
+    assert [(r["name"], r["aliases"]) for r in mapped] == [("zeta", ["Zeta", "alpha"])]
 
 
 def test_null_overrides_and_edits_win(spark):

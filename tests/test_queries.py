@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import pathlib
 
 import duckdb
 import pytest
@@ -32,7 +33,18 @@ def test_query_equals_sql(spark, sf, db, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLES) == set(QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_no_forced_broadcasts():
+    folder = pathlib.Path(entry.__file__).parent / "inspectlake" / "operators"
+    assert not [p.name for p in folder.glob("*.py") if "broadcast(" in p.read_text()]
+
+
+def test_mapping_reads_each_input_once(spark, sf):
+    for name, scans in (("map_fields", 2), ("unmapped_fields", 2)):
+        assert plan_of(QUERIES[name](spark, sf)).count("Scan parquet") // 2 == scans
 
 
 def plan_of(df):

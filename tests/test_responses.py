@@ -8,8 +8,8 @@ from inspectlake.operators import records as R
 from inspectlake.operators.merge import image_pairs, last_wins_merge, rename_keys
 
 CASES = [
-    '{"room": "kitchen", "category": "interior", "confidence": 0.9}',
-    "invalid json response",
+    '{"room": "pantry", "view": "wide", "confidence": 0.7}',
+    "no answer for this picture",
     '{"a":1,"a":2}',
     '{"a":NaN}',
     '{"a":1} and {"b":2}',
@@ -46,7 +46,7 @@ def test_strict_parsing_matches_python(spark):
         if isinstance(value, dict):
             assert set(row["data"]) == set(value)
     last = envelopes(spark, CASES).filter("id = 15").first()["data"]
-    assert last == {"s": "?", "l": '[1, "b"]', "n": None, "t": "true"}
+    assert last == {"s": "?", "l": '[1,"b"]', "n": None, "t": "true"}
     assert envelopes(spark, CASES).filter("id = 2").first()["data"] == {"a": "2"}
 
 
@@ -73,15 +73,28 @@ def test_image_records_tell_absent_from_null(spark):
     rows = {r["id"]: r for r in R.image_records(envelopes(spark, texts)).collect()}
     first = rows[0]
     assert first["room"] is None and first["view"] == "unknown" and first["confidence_score"] is None
-    assert first["materials"] == ["oak", "tile"] and first["systems"] == []
-    assert first["objects"][0]["name"] == "sink" and first["objects"][0]["notes"] is None
-    assert rows[1]["materials"] is None and rows[1]["systems"] == ["hvac"] and rows[1]["confidence_score"] == 0.5
+    assert first["materials"] == '["oak","tile"]' and first["systems"] == "[]"
+    assert first["objects"] == '[{"name":"sink","condition":"fair"}]'
+    assert rows[1]["materials"] is None and rows[1]["systems"] == "hvac" and rows[1]["confidence_score"] == 0.5
+    views = {r["id"]: r for r in R.list_view(R.image_records(envelopes(spark, texts))).collect()}
+    assert views[0]["materials"] == ["oak", "tile"] and views[0]["systems"] == []
+    assert views[1]["materials"] is None and views[1]["systems"] == ["hvac"] and views[2]["systems"] == []
     assert rows[2]["evidence"].startswith("Error: JSON parsing failed") and rows[2]["room"] == "unknown"
     assert rows[2]["error"] is None and rows[2]["confidence_score"] == 0.0
     assert rows[3]["error"] == "'list' object has no attribute 'get'" and rows[3]["room"] is None
     assert rows[4]["error"] == "'int' object has no attribute 'get'" and rows[4]["evidence"] == ""
 
 
+def test_values_pass_through_unchanged(spark):
+    texts = ['{"objects": ["door", {"name": "x", "damage_type": "rust", "condition": null}], "systems": "[1]", "materials": [1, null]}']
+    records = R.image_records(envelopes(spark, texts)).withColumn("project_id", F.lit(1))
+    got = {r["src_key"]: r["value"] for r in image_pairs(records, "id").collect()}
+    assert got["objects"] == '["door",{"name":"x","damage_type":"rust","condition":null}]'
+    assert got["systems"] == "[1]" and got["materials"] == "[1,null]"
+    view = R.list_view(records).first()
+    assert view["systems"] == ["[1]"] and view["materials"] == ["1", None]
+
+
 def test_last_image_wins_and_null_counts(spark):
     texts = ['{"room": "hall", "visible_damage": ["mold"]}', '{"room": null, "category": "x"}', "nope", "[1]"]
     records = R.image_records(envelopes(spark, texts)).withColumn("project_id", F.lit(1))

@@ -52,6 +52,10 @@ def test_projects(spark, tmp_path):
     wanted = spark.createDataFrame([("1",), ("9",)], "project_id string")
     got = {r["project_id"]: r["error"] for r in tables.load_projects(spark, path, wanted).collect()}
     assert got == {"1": None, "9": "Project 9 not found"}
+    # A later save adds projects and replaces those it has; earlier ones stay.
+    more = P.create_projects(spark.createDataFrame([("1", "A2"), ("9", "C")], "project_id string, project_name string"), when)
+    tables.save_projects(more, path)
+    assert sorted(r["project_name"] for r in tables.load_projects(spark, path).collect()) == ["A2", "B", "C"]
 
 
 def test_one_indented_project_per_file(spark, tmp_path):
@@ -63,10 +67,21 @@ def test_artifacts_keep_the_last_write(spark, tmp_path):
     path, schema = str(tmp_path / "artifacts"), tables.ARTIFACT
     for rows in ([(1, "mapping", 1, "old"), (2, "mapping", 1, "two")], [(1, "mapping", 2, "new"), (1, "unknown_output", 3, "x")]):
         tables.write_artifacts(spark.createDataFrame(rows, schema), path)
-    want = {(1, "mapping", "new"), (2, "mapping", "two")}
+    want = {(1, "mapping", "new"), (2, "mapping", "two"), (1, "unknown_output", "x")}
     assert {(r["project_id"], r["artifact"], r["payload"]) for r in tables.read_artifacts(spark, path).collect()} == want
     tables.compact_artifacts(spark, path, path + "-2")
-    assert spark.read.parquet(path + "-2").count() == 2
+    assert spark.read.parquet(path + "-2").count() == 3
+
+
+def test_a_catalog_keeps_other_pages(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    one = lambda *rows: spark.createDataFrame(list(rows), "page_id long, name string")
+    none = one().limit(0)
+    tables.save_catalog(path, one((1, "a"), (1, "b"), (2, "c")), one((1, "s")), none, batch=1)
+    tables.save_catalog(path, one((1, "d")), none, one((3, "t")), batch=2)
+    fields, sections, tags = tables.load_catalog(spark, path)
+    assert sorted(map(tuple, fields.collect())) == [(1, "d"), (2, "c")]
+    assert sections.count() == 0 and [tuple(r) for r in tags.collect()] == [(3, "t")]
 
 
 def test_shared_folder_comes_from_the_session(spark):
