@@ -6,11 +6,10 @@ own level, which differ for the untitled nodes that fill a skipped level.
 
 from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inspectlake import settings as S
 from inspectlake.functions import text as T
-from inspectlake.operators.ordered import carry_forward
 
 REPORT, OUTLINE, ITEMS = 0, 1, 2
 
@@ -26,35 +25,18 @@ def outline_items(entries):
     )
 
 
-def long_pages(items, slice_rows=S.OUTLINE_SLICE):
-    """Pages whose outline spans several slices.
-
-    Positions count up within a page, so at most ``rows / slice_rows`` pages
-    qualify.
-    """
-    ends = items.groupBy("page_id").agg(F.max("ord").alias("_end"))
-    return ends.filter(F.col("_end") >= slice_rows).select("page_id")
-
-
-def _sliced(rows, slice_rows):
-    return rows.withColumn("_slice", F.floor(F.col("ord") / slice_rows))
+def _page(*more):
+    return Window.partitionBy("page_id", *more).orderBy("ord")
 
 
-def fill_levels(items, split=None, slice_rows=S.OUTLINE_SLICE):
+def fill_levels(items):
     """Every item and, before one that skips levels, an untitled node per level.
 
     ``parent_ord`` is set where the parent is known from the item before: a
     node one level below it, or below a fill node of the same item.
     """
-    split = long_pages(items, slice_rows) if split is None else split
-    rows = carry_forward(
-        _sliced(items, slice_rows),
-        ["page_id"],
-        "_slice",
-        ["ord"],
-        {"_prev_level": F.col("indent_level"), "_prev_ord": F.col("ord")},
-        split,
-        inclusive=False,
+    rows = items.withColumns(
+        {"_prev_level": F.lag("indent_level").over(_page()), "_prev_ord": F.lag("ord").over(_page())}
     )
     rows = rows.withColumn("_next", F.coalesce("_prev_level", F.lit(-1)) + 1)
     lowest = F.least("_next", "indent_level")
@@ -75,55 +57,55 @@ def fill_levels(items, split=None, slice_rows=S.OUTLINE_SLICE):
     )
 
 
-def parent_asof(nodes, split=None, slice_rows=S.OUTLINE_SLICE):
+def parent_asof(nodes):
     """Add the parent of every node of ``fill_levels``.
 
     The parent of a node at level L is the latest earlier node at level L-1.
     Only nodes that go back up or stay on their level have to ask; such a node
     is there twice, as an answer under its own level and as a question under
-    the level above, in one window per page and level that is cut into slices
-    of ``slice_rows`` positions.
+    the level above, in one window per page and level.  A page comes from one
+    input row, and rows dealt by page serve this window too, so the tree needs
+    one exchange.
     """
-    split = long_pages(nodes, slice_rows) if split is None else split
     answer = F.struct(F.col("level").alias("at"), F.lit(False).alias("asks"))
     question = F.struct((F.col("level") - 1).alias("at"), F.lit(True).alias("asks"))
     roles = F.explode(F.when(F.col("_asks"), F.array(answer, question)).otherwise(F.array(answer)))
     rows = nodes.withColumn("_role", roles).withColumns(
         {"_at": F.col("_role.at"), "_question": F.col("_role.asks")}
     )
-    rows = _sliced(rows.drop("_role"), slice_rows)
-    found = {"_parent": F.when(~F.col("_question"), F.col("ord"))}
-    seen = carry_forward(rows, ["page_id", "_at"], "_slice", ["ord"], found, split)
+    so_far = _page("_at").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last(F.when(~F.col("_question"), F.col("ord")), ignorenulls=True).over(so_far)
     return (
-        seen.filter(F.col("_question") == F.col("_asks"))
+        rows.withColumn("_parent", latest)
+        .filter(F.col("_question") == F.col("_asks"))
         .withColumn("parent_ord", F.when(F.col("_asks"), F.col("_parent")).otherwise(F.col("parent_ord")))
         .withColumn("parent_level", F.when(F.col("level") > 0, F.col("level") - 1))
-        .drop("_parent", "_asks", "_question", "_at", "_slice")
+        .drop("_role", "_parent", "_asks", "_question", "_at")
     )
 
 
-def outline_depth(items):
-    """The number of levels of an outline table, by one aggregation."""
-    return (items.agg(F.max("indent_level")).first()[0] or 0) + 1
-
-
-def section_path(nodes, levels, split=None, separator=" > ", slice_rows=S.OUTLINE_SLICE):
+def section_path(nodes, separator=" > "):
     """Titles from the root down to every node, and its depth.
 
-    The ancestor at level k is the latest earlier node of level k, so one
-    window carries the current title of each of the ``levels`` levels.  Titles
-    must not be null.
+    One fold over the nodes of a page, which one input row bounds: a node at
+    level L keeps the first L titles of the path before it.  Titles must not
+    be null.
     """
-    split = long_pages(nodes, slice_rows) if split is None else split
-    slots = {f"_l{k}": F.when(F.col("level") == k, F.col("title")) for k in range(levels)}
-    rows = carry_forward(
-        _sliced(nodes, slice_rows), ["page_id"], "_slice", ["ord", "level"], slots, split
-    )
-    above = [F.when(F.col("level") > k, F.col(f"_l{k}")) for k in range(levels)]
-    return rows.select(
-        *[c for c in nodes.columns if not c.startswith("_")],
-        F.concat_ws(separator, *above, "title").alias("path"),
-        (F.col("level") + 1).alias("depth"),
+    kept = [c for c in nodes.columns if not c.startswith("_")]
+    row = F.struct("ord", "level", *[c for c in kept if c not in ("page_id", "ord", "level")])
+    pages = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    none = F.array().cast("array<string>")
+
+    def step(state, x):
+        stack = F.concat(F.slice(state["stack"], F.lit(1), x["level"]), F.array(x["title"]))
+        return F.struct(stack.alias("stack"), F.array_append(state["paths"], F.array_join(stack, separator)).alias("paths"))
+
+    paths = F.aggregate("_rows", F.struct(none.alias("stack"), none.alias("paths")), step, lambda s: s["paths"])
+    placed = pages.select("page_id", F.explode(F.arrays_zip("_rows", paths.alias("_paths"))).alias("_n"))
+    return placed.select(
+        *["page_id" if c == "page_id" else F.col(f"_n._rows.{c}").alias(c) for c in kept],
+        F.col("_n._paths").alias("path"),
+        (F.col("_n._rows.level") + 1).alias("depth"),
     )
 
 

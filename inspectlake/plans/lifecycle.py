@@ -76,11 +76,8 @@ def extracted_values(pages, texts, images, skip_failed=False):
 def form_catalog(pages):
     """Fields, placed outline nodes with paths, and tags of scraped pages."""
     nodes = saved(H.html_to_nodes(pages), "nodes")
-    items = saved(X.outline_items(H.outline_entries(nodes)), "outline")
-    split = X.long_pages(items)
-    placed = X.parent_asof(X.fill_levels(items, split), split)
-    placed = placed.withColumn("_asks", F.lit(False))
-    sections = X.section_path(placed, X.outline_depth(items), split)
+    items = X.outline_items(H.outline_entries(nodes))
+    sections = X.section_path(X.parent_asof(X.fill_levels(items)))
     return H.form_fields(nodes), sections, H.tag_fields(nodes)
 
 

@@ -19,8 +19,7 @@ def _items(spark, sf_dir):
 
 
 def _nodes(items):
-    split = X.long_pages(items)
-    return X.parent_asof(X.fill_levels(items, split), split)
+    return X.parent_asof(X.fill_levels(items))
 
 
 def _tree(spark, sf_dir):
@@ -66,10 +65,7 @@ def parent_asof(spark, sf_dir):
 
 
 def section_path(spark, sf_dir):
-    items = _items(spark, sf_dir)
-    split = X.long_pages(items)
-    nodes = X.fill_levels(items, split).drop("parent_ord")
-    paths = X.section_path(nodes, X.outline_depth(items), split)
+    paths = X.section_path(X.fill_levels(_items(spark, sf_dir)))
     return _long(paths.select("page_id", "ord", "level", "path", "depth"), "ord", "level", "depth")
 
 

@@ -1,8 +1,10 @@
+import contextlib
+import io
 import random
-
-import pytest
+import time
 
 from inspectlake.operators import tree as X
+from inspectlake.plans import QUERIES
 
 
 def by_stack(items):
@@ -23,15 +25,14 @@ def node(stack, fill):
     return (*stack[-1][0], fill, *parent, " > ".join(t for _, t in stack))
 
 
-@pytest.mark.parametrize("slice_rows", [1_000_000, 3])
-def test_random_outlines(spark, slice_rows):
+def test_random_outlines(spark):
     rng = random.Random(7)
     outlines = {p: [(n, f"t{n}", rng.randint(0, 5)) for n in range(1, rng.randint(2, 30))] for p in range(60)}
     rows = [(p, n, t, lvl, "section") for p, items in outlines.items() for n, t, lvl in items]
     items = spark.createDataFrame(rows, "page_id long, ord long, title string, indent_level int, section_type string")
-    filled = X.fill_levels(items, slice_rows=slice_rows)
-    placed = X.parent_asof(filled, slice_rows=slice_rows)
-    paths = X.section_path(filled.drop("parent_ord"), X.outline_depth(items), slice_rows=slice_rows)
+    filled = X.fill_levels(items)
+    placed = X.parent_asof(filled)
+    paths = X.section_path(filled)
     got = placed.join(paths.select("page_id", "ord", "level", "path"), ["page_id", "ord", "level"])
     got = sorted(
         (r["page_id"], r["ord"], r["level"], r["is_fill"], r["parent_ord"], r["parent_level"], r["path"]) for r in got.collect()
@@ -40,6 +41,24 @@ def test_random_outlines(spark, slice_rows):
     assert got == want
 
 
+def test_a_very_deep_page(spark):
+    rows = [(1, 1, "top", 0, "section"), (1, 2, "deep", 5000, "section"), (1, 3, "back", 1, "section")]
+    items = spark.createDataFrame(rows, "page_id long, ord long, title string, indent_level int, section_type string")
+    started = time.time()
+    nodes = X.section_path(X.parent_asof(X.fill_levels(items))).collect()
+    assert time.time() - started < 30
+    assert len(nodes) == 5002 and max(r["depth"] for r in nodes) == 5001
+    assert [r["path"] for r in nodes if r["title"] == "back"] == ["top > back"]
+
+
+def test_the_tree_takes_one_exchange(spark, sf):
+    plan = io.StringIO()
+    with contextlib.redirect_stdout(plan):
+        QUERIES["parent_asof"](spark, sf).explain("formatted")
+    # The input numbers its rows by another window, on the same key.
+    assert plan.getvalue().count("Exchange (") <= 2 and plan.getvalue().count("Scan parquet  (") == 1
+
+
 def test_item_section_only_with_item_fields(spark):
     items = spark.createDataFrame([(1, 1, "A", 0, "section"), (2, 1, "B", 0, "section")],
                                   "page_id long, ord long, title string, indent_level int, section_type string")
