@@ -15,7 +15,8 @@ def build_session(app_name="inspectlake", master=None, **conf):
     """A session with the settings the operators are tuned for.
 
     Every operator also works on a session made elsewhere; these settings only
-    help adaptive execution split and merge shuffle partitions.
+    help adaptive execution split and merge shuffle partitions.  The package is
+    sent to the workers, so it need not be installed there.
     """
     builder = (
         SparkSession.builder.appName(app_name)
@@ -31,7 +32,9 @@ def build_session(app_name="inspectlake", master=None, **conf):
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 def ship_package(spark):
