@@ -116,4 +116,26 @@ s as (select q.vec_id as query_id, c.vec_id as vec_id,
  from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id)
 select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank, vec_id, score from s
 qualify rank <= 10""",
+    "op8_quality_rules": r"""
+with d as (select doc_id, coalesce(text, '') as t from documents),
+w as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i from (select doc_id, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws from d)),
+k as (select doc_id, i, lead(word, 7) over o is not null as whole, concat_ws(' ', word, lead(word) over o, lead(word, 2) over o, lead(word, 3) over o,
+  lead(word, 4) over o, lead(word, 5) over o, lead(word, 6) over o, lead(word, 7) over o) as k from w window o as (partition by doc_id order by i)),
+r as (select doc_id, i from k where whole qualify count(*) over (partition by doc_id, k) > 1),
+g as (select doc_id, least(8, coalesce(lead(i) over (partition by doc_id order by i) - i, 8)) as n from r),
+rep as (select doc_id, cast(sum(n) as bigint) as n_repeat_words from g group by doc_id),
+counted as (select doc_id, count(*) as n_words, cast(sum(length(word)) as bigint) as word_chars from w group by doc_id),
+l as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines
+  from (select doc_id, unnest(string_split(t, chr(10))) as line from d) where regexp_matches(line, '[^\x20\x09-\x0D]') group by doc_id),
+f as (select doc_id, t, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars,
+  cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols, coalesce(n_lines, 0) as n_lines,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  from d left join counted using (doc_id) left join l using (doc_id) left join rep using (doc_id)),
+b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from f)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ not (base_failed or word_chars < 2 * n_words or word_chars > 15 * n_words or 100 * n_symbols > 30 * n_words or 100 * n_dup_lines > 40 * n_lines
+  or 2 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > word_chars
+  or 100 * (length(t) - length(regexp_replace(t, '!', '', 'g'))) > 50 * n_words
+  or 2 * len(regexp_extract_all(t, '\p{L}[^\x20\x09-\x0D]*')) < n_words) as kept
+from b""",
 }
