@@ -36,8 +36,9 @@ def project_status(logs):
 
 def stage_log_rollup(logs):
     """Counts, errors and durations by step and status, with totals per step
-    and over all."""
+    and over all; ``grouping_id`` tells a total (1, 3) from a null step or status (0)."""
     return logs.rollup("step", "status").agg(
+        F.grouping_id().cast("bigint").alias("grouping_id"),
         F.count(F.lit(1)).alias("n"),
         F.count("error").alias("n_errors"),
         F.sum("duration_ms").alias("total_ms"),

@@ -66,10 +66,19 @@ def review_overlay(extracted, events):
     )
 
 
-def review_view(analyses, texts=(), lists=()):
-    """Display columns: lists joined by a comma, ``N/A`` for nothing to show."""
+def review_view(analyses, texts=(), lists=(), keys=None):
+    """Display columns: lists joined by a comma, ``N/A`` for an empty list or an absent key.
+
+    A text that is given as null stays null.  A key is absent if there is no
+    such column, or if the map column ``keys`` is named and lacks it.
+    """
+
+    def text(c):
+        given = F.col(c) if c in analyses.columns else F.lit("N/A")
+        return F.when(F.map_contains_key(keys, c), given).otherwise("N/A") if keys else given
+
     shown = {
-        **{c: F.coalesce(c, F.lit("N/A")) for c in texts},
+        **{c: text(c) for c in texts},
         **{c: F.coalesce(F.nullif(F.array_join(c, ", "), F.lit("")), F.lit("N/A")) for c in lists},
     }
     return analyses.withColumns(shown)

@@ -90,9 +90,14 @@ def vocab_check(spark, sf_dir):
 
 
 def review_view(spark, sf_dir):
-    rows = _analyses(spark, sf_dir).withColumn("area", F.nullif("building_area", F.lit("spaceship")))
-    shown = view(rows, ["overall_condition", "area", "mini_caption"], ["visible_damage"])
-    return shown.select("image_id", "overall_condition", "area", "mini_caption", "visible_damage")
+    # One condition is given as null, one area is not given at all.
+    rows = _analyses(spark, sf_dir).withColumns(
+        {"overall_condition": F.nullif("overall_condition", F.lit("Broken")), "area": F.col("building_area")}
+    )
+    every = F.create_map(*[F.lit(k) for k in ("overall_condition", "", "area", "", "mini_caption", "")])
+    keys = F.map_filter(every, lambda k, v: (k != "area") | (F.col("building_area") != "spaceship"))
+    shown = view(rows.withColumn("keys", keys), ["overall_condition", "area", "mini_caption", "notes"], ["visible_damage"], "keys")
+    return shown.select("image_id", "overall_condition", "area", "mini_caption", "notes", "visible_damage")
 
 
 QUERIES = {
@@ -171,7 +176,8 @@ ORACLES = {
         "fx_image_analysis",
     ),
     "review_view": with_fixtures(
-        """select image_id, overall_condition, case when building_area = 'spaceship' then 'N/A' else building_area end as area, mini_caption,
+        """select image_id, nullif(overall_condition, 'Broken') as overall_condition, case when building_area = 'spaceship' then 'N/A' else building_area end as area, mini_caption,
+ 'N/A' as notes,
  coalesce(nullif(replace(visible_damage_csv, ',', ', '), ''), 'N/A') as visible_damage from fx_image_analysis""",
         "fx_image_analysis",
     ),

@@ -97,7 +97,7 @@ select coalesce(m.project_id, e.project_id) as project_id, coalesce(m."key", e."
         "select project_id, status from fx_log qualify row_number() over (partition by project_id order by seq desc) = 1", "fx_log"
     ),
     "stage_log_rollup": with_fixtures(
-        """select step, status, count(*) as n, count(error) as n_errors, cast(sum(duration_ms) as bigint) as total_ms, round(avg(duration_ms), 6) as avg_ms
+        """select step, status, grouping(step, status) as grouping_id, count(*) as n, count(error) as n_errors, cast(sum(duration_ms) as bigint) as total_ms, round(avg(duration_ms), 6) as avg_ms
  from fx_log group by rollup(step, status)""",
         "fx_log",
     ),
