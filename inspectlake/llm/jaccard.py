@@ -298,7 +298,8 @@ def jaccard_join(docs, save, key="doc_id", text="text", width=SHINGLE, similarit
     clusters = save(clusters.join(sizes, "cluster"))
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("class_id"), F.col(text).alias("text"))
     dealt = _block_pairs(clusters, "cluster", "blocks", "class_id").select("cluster", "bi", "bj", "own", "class_id", "c1", "c2")
-    dealt = dealt.join(texts, "class_id").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
+    # Candidates grow with the documents, so the texts meet them in a merge join at every size.
+    dealt = dealt.join(texts.hint("merge"), "class_id").repartition("cluster", "bi", "bj").sortWithinPartitions("cluster", "bi", "bj")
     checked = save(dealt.mapInArrow(_checked(similarity, width), "class_id bigint, links bigint, root bigint"))
     linked = checked.groupBy("class_id").agg(F.sum("links").alias("n_links"))
     # A cluster in several blocks has a root per block pair: their edges join up.
