@@ -138,4 +138,19 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   or 100 * (length(t) - length(regexp_replace(t, '!', '', 'g'))) > 50 * n_words
   or 2 * len(regexp_extract_all(t, '\p{L}[^\x20\x09-\x0D]*')) < n_words) as kept
 from b""",
+    "op4_ngram_jaccard": r"""
+with recursive w as (select doc_id, unnest(ws) as word, unnest(range(len(ws))) as i, len(ws) as n
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as ws from documents)),
+k as (select doc_id, n, lead(word, 4) over o is not null as whole, concat_ws(' ', word, lead(word) over o, lead(word, 2) over o, lead(word, 3) over o,
+  lead(word, 4) over o) as k, i from w window o as (partition by doc_id order by i)),
+s as (select distinct doc_id, k from k where whole or (n < 5 and i = 0)),
+sets as (select doc_id, count(k) as size, md5(coalesce(string_agg(k, chr(10) order by k), '')) as key from documents left join s using (doc_id) group by doc_id),
+c as (select doc_id, size, min(doc_id) over (partition by key) as class_id, count(*) over (partition by key) as n_copies from sets),
+m as (select doc_id, k, size from s join c using (doc_id) where doc_id = class_id),
+links as (select a.doc_id as a, b.doc_id as b from m a join m b on a.k = b.k and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id, a.size, b.size
+  having 5 * count(*) >= 4 * (a.size + b.size - count(*))),
+reach as (select a, b from links union select r.a, l.b from reach r join links l on r.b = l.a),
+groups as (select a, least(a, min(b)) as group_id from reach group by a)
+select doc_id, class_id, coalesce(group_id, class_id) as group_id, (select count(*) from links where a = class_id) as n_links, n_copies
+from c left join groups on a = class_id""",
 }
