@@ -227,9 +227,12 @@ def _repeats(threshold):
 def _texts_of(docs, wanted, key, text):
     """(h, line, doc_id, th, line_no) of the wanted lines: their text out of the documents."""
     by_doc = wanted.groupBy("doc_id", "th").agg(F.collect_list(F.struct("line_no", "h")).alias("picked"))
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.split(text, "\n").alias("lines")).where("doc_id is not null")
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.col(text).alias("text")).where("doc_id is not null")
     rows = texts.join(by_doc, ["doc_id", "th"])
-    rows = rows.select("doc_id", "th", F.explode(F.transform("picked", lambda p: F.struct(p["h"].alias("h"), p["line_no"].alias("line_no"), F.get("lines", p["line_no"]).alias("line")))).alias("x"))
+    line = lambda parts, p: F.struct(p["h"].alias("h"), p["line_no"].alias("line_no"), F.get(parts, p["line_no"]).alias("line"))
+    # The pieces are bound once, so a place costs one look-up.
+    taken = F.transform(F.array(F.split("text", "\n")), lambda parts: F.transform("picked", lambda p: line(parts, p)))[0]
+    rows = rows.select("doc_id", "th", F.explode(taken).alias("x"))
     return rows.select("x.h", "x.line", "doc_id", "th", "x.line_no").dropDuplicates(["h"])
 
 
