@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from inspectlake import settings as S
 from inspectlake.functions import text as T
 
 SPACE = " \t\n\x0b\f\r"
@@ -89,28 +88,19 @@ def bind_prompt(documents, prompts):
     return bound.withColumn("request", F.replace("template", F.lit("{text}"), "text")).drop("template")
 
 
-def collect_doc_fields(pages, doc_type="handwritten", per_part=S.PAGES_PER_PART):
-    """Document records from page records, in parts of ``per_part`` pages.
+def collect_doc_fields(pages, doc_type="handwritten"):
+    """One record per document: its page records in order, their number and the evidence.
 
-    A document of at most ``per_part`` pages is one row; a longer one has
-    several, each with the page count and evidence of the whole.  The group
-    behind one row is bounded, however many pages a document has.  Counting
-    reads ``pages`` a second time, so it should be a written table.
+    A row is bounded by the pages of one document; one shuffle.
     """
-    part = F.floor((F.col("page_no") - 1) / per_part).alias("part_no")
     record = F.struct(*[c for c in pages.columns if c != "doc_id"])
-    parts = pages.groupBy("doc_id", part).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct(F.col("page_no").alias("_no"), record.alias("_r")))),
-            lambda x: x["_r"],
-        ).alias("fields"),
-        F.count(F.lit(1)).alias("_n"),
+    in_order = F.array_sort(F.collect_list(F.struct(F.col("page_no").alias("_no"), record.alias("_r"))))
+    docs = pages.groupBy("doc_id").agg(
+        F.transform(in_order, lambda x: x["_r"]).alias("fields"), F.count(F.lit(1)).alias("pages")
     )
-    totals = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
-    return parts.join(totals, "doc_id").select(
+    return docs.select(
         "doc_id",
         F.lit(doc_type).alias("document_type"),
-        "part_no",
         "pages",
         "fields",
         F.lit(0.0).alias("confidence_score"),

@@ -7,7 +7,6 @@ from inspectlake.operators import documents as D
 from inspectlake.operators import records as R
 from inspectlake.operators.projects import create_projects
 from inspectlake.plans.common import envelopes, normalized
-from inspectlake.session import saved
 
 PROMPTS = [
     ("key_values", "List every key and its value.\nText:\n{text}\nAnswer:"),
@@ -81,16 +80,15 @@ def page_error_record(spark, sf_dir):
 
 def collect_doc_fields(spark, sf_dir):
     records = R.page_records(_page_envelopes(spark, sf_dir))
-    records = saved(records.select("doc_id", "page_no", "inspector_name"), "page_records")
-    docs = D.collect_doc_fields(records, per_part=3)
+    docs = D.collect_doc_fields(records.drop("resp_id", "image"))
 
     def shown(x):
-        return F.concat(x["page_no"].cast("string"), F.lit("="), F.coalesce(x["inspector_name"], F.lit("-")))
+        values = [F.coalesce(x[f], F.lit("-")) for f in R.PAGE_FIELDS]
+        return F.concat(x["page_no"].cast("string"), F.lit("="), F.concat_ws("/", *values, x["evidence"]))
 
     return docs.select(
         "doc_id",
         "document_type",
-        "part_no",
         "pages",
         F.array_join(F.transform("fields", shown), ";").alias("fields"),
         "confidence_score",
@@ -179,10 +177,12 @@ select doc_id, page_no, pages, 'page_' || page_no || '.png' as page_name, page_t
     ),
     "collect_doc_fields": with_fixtures(
         normalized("fx_page_response")
-        + """, shown as (select doc_id, page_no, page_no || '=' || coalesce(case when ok then j->>'$.inspector_name' end, '-') as s,
- count(*) over (partition by doc_id) as pages from parsed)
-select doc_id, 'handwritten' as document_type, cast(floor((page_no - 1) / 3) as bigint) as part_no, pages, string_agg(s, ';' order by page_no) as fields,
- cast(0.0 as double) as confidence_score, 'Processed ' || pages || ' pages' as evidence from shown group by doc_id, floor((page_no - 1) / 3), pages""",
+        + """, shown as (select doc_id, page_no, page_no || '=' || concat_ws('/', coalesce(case when ok then j->>'$.owner_name' end, '-'),
+ coalesce(case when ok then j->>'$.property_address' end, '-'), coalesce(case when ok then j->>'$.inspection_date' end, '-'),
+ coalesce(case when ok then j->>'$.inspector_name' end, '-'),
+ case when ok then 'Analyzed ' || image else 'Error: JSON parsing failed: Expecting value: line 1 column 1 (char 0)' end) as s from parsed)
+select doc_id, 'handwritten' as document_type, count(*) as pages, string_agg(s, ';' order by page_no) as fields,
+ cast(0.0 as double) as confidence_score, 'Processed ' || count(*) || ' pages' as evidence from shown group by doc_id""",
         "fx_page_response",
     ),
     "project_documents": with_fixtures(

@@ -81,6 +81,14 @@ def form_catalog(pages):
     return H.form_fields(nodes), sections, H.tag_fields(nodes)
 
 
+def section_tree(pages, fields, sections, report_form, item_prefix):
+    """The whole tree of every scraped page: report node, outline, item section and item groups.
+
+    ``fields`` and ``sections`` come from ``form_catalog``.
+    """
+    return X.union_tree(sections, pages.select("page_id"), fields, report_form, item_prefix)
+
+
 def review_and_fill(fields, extracted, events, aliases):
     """Edits over extracted values, mapped and planned for approved projects.
 

@@ -1,7 +1,5 @@
 """Queries over review events, approvals and logs."""
 
-from pyspark.sql import functions as F
-
 from inspectlake.fixtures import fixture, with_fixtures
 from inspectlake.operators import mapping as M
 from inspectlake.operators import projects as P

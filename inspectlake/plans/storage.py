@@ -6,6 +6,7 @@ from inspectlake.fixtures import fixture, table, with_fixtures
 from inspectlake.operators import forms as H
 from inspectlake.operators import tree as X
 from inspectlake.operators.projects import create_projects
+from inspectlake.plans.pages import ORACLES as PAGES
 from inspectlake.plans.pages import stored_nodes
 from inspectlake.session import work_dir
 from inspectlake.sources import files, tables
@@ -63,11 +64,16 @@ def form_catalog_io(spark, sf_dir):
     outline = X.outline_items(fixture(spark, sf_dir, "fx_outline"))
     tables.save_catalog(path, H.form_fields(nodes), outline, H.tag_fields(nodes))
     fields, sections, tags = tables.load_catalog(spark, path)
-    counted = [
-        rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.lit(name))
-        for name, rows in (("form_fields", fields), ("sections", sections), ("tags", tags))
+    parts = (
+        ("form_fields", fields, ("form_id", "name", "label", "type", "value")),
+        ("sections", sections, ("ord", "title", "indent_level", "section_type")),
+        ("tags", tags, ("name", "value", "label", "type")),
+    )
+    shown = [
+        rows.select("page_id", F.lit(name).alias("part"), F.concat_ws("/", *[F.col(c).cast("string") for c in columns]).alias("content"))
+        for name, rows, columns in parts
     ]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
 QUERIES = {
@@ -89,7 +95,13 @@ ORACLES = {
     "write_artifacts": with_fixtures(
         "select * from fx_artifact qualify row_number() over (partition by project_id, artifact order by write_seq desc) = 1", "fx_artifact"
     ),
-    "form_catalog_io": """select p_partkey as page_id, cast(9 as bigint) as n, 'form_fields' as part from part
- union all select l_orderkey, count(*), 'sections' from lineitem group by l_orderkey
- union all select p_partkey, cast(1 as bigint), 'tags' from part""",
+    "form_catalog_io": with_fixtures(
+        f""", fields as ({PAGES['form_fields']}), tags as ({PAGES['tag_fields']})
+select page_id, 'form_fields' as part, concat_ws('/', form_id, name, label, type, value) as content from fields
+union all select page_id, 'tags', concat_ws('/', name, value, label, type) from tags
+union all select page_id, 'sections', concat_ws('/', ord, regexp_replace(trim(regexp_replace(raw_title, '\\s+', ' ', 'g')), ' +', ' ', 'g'),
+ regexp_extract(cls, 'indent-level-(\\d+)', 1), case when cls like '%info_table_section%' then 'info_table' when cls like '%report_section%' then 'report_section'
+ else 'section' end) from fx_outline""",
+        "fx_outline",
+    ),
 }

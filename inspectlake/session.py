@@ -80,12 +80,20 @@ def work_dir(spark, name):
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _remove_at_end(spark, path):
+    """Have the folder deleted when the application ends."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
 def saved(rows, name):
     """``rows`` written to a new folder of the shared storage and read back.
 
     Cuts the lineage at work that is used more than once; later steps read
-    only the columns they need.
+    only the columns they need.  The folder goes when the application ends.
     """
     path = work_dir(rows.sparkSession, name)
     rows.write.parquet(path)
+    _remove_at_end(rows.sparkSession, path)
     return rows.sparkSession.read.parquet(path)

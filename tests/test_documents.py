@@ -40,11 +40,11 @@ def test_pages_are_numbered_from_one(spark):
     ]
 
 
-def test_document_parts_hold_all_pages(spark):
+def test_a_document_holds_all_pages_in_order(spark):
     pages = spark.createDataFrame([(1, n, f"e{n}") for n in (3, 1, 7, 2, 5, 4, 6)] + [(2, 1, "x")], "doc_id long, page_no long, evidence string")
-    rows = D.collect_doc_fields(pages, per_part=3).orderBy("doc_id", "part_no").collect()
-    assert [[f["page_no"] for f in r["fields"]] for r in rows] == [[1, 2, 3], [4, 5, 6], [7], [1]]
-    assert [r["pages"] for r in rows] == [7, 7, 7, 1]
+    rows = D.collect_doc_fields(pages).orderBy("doc_id").collect()
+    assert [[f["page_no"] for f in r["fields"]] for r in rows] == [[1, 2, 3, 4, 5, 6, 7], [1]]
+    assert [r["pages"] for r in rows] == [7, 1]
     assert rows[0]["evidence"] == "Processed 7 pages"
 
 

@@ -85,3 +85,8 @@ def test_form_catalog(spark):
     assert fields.first()["name"] == "tag_a" and tags.count() == 1
     got = [(r["level"], r["path"], r["parent_ord"]) for r in sections.orderBy("ord", "level").collect()]
     assert got == [(0, "Top", None), (1, "Top > ", 1), (2, "Top >  > Deep", 2)]
+    pages = spark.createDataFrame([(5,), (6,)], "page_id long")
+    tree = L.section_tree(pages, fields.withColumn("form_id", F.lit("item_3")), sections, "r", "item_").collect()
+    titles = {(r["page_id"], r["title"], r["parent_id"]) for r in tree}
+    assert titles >= {(5, "Top", "root"), (5, "Report Information", "root"), (6, "Report Information", "root"),
+                      (5, "Condition Action Items", "root"), (5, "Action Item 3", "items")}

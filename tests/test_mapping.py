@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from inspectlake.operators import mapping as M
 from inspectlake.operators import review as R
 from inspectlake.operators.merge import last_wins_merge
