@@ -132,30 +132,32 @@ def _key_rows(threshold):
 
 
 def _shared_keys(batches):
-    """Of rows sorted by key and line: those whose key another line has too, each line once per key."""
-    last = None  # the row before, and whether it has been sent
-
-    def rows(parts):
-        return pa.RecordBatch.from_arrays([pa.array(p) for p in parts], schema=_KEY)
+    """Of rows sorted by key, line and is_index (true first): those whose key another line has too.
 
+    Each line comes once per key, as an index if it is one.
+    """
+    last = sent = None  # the row before, and whether it has been sent
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, h = (batch.column(c).to_numpy() for c in (0, 1))
-        index = batch.column(2).to_numpy(zero_copy_only=False)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if last is not None:
-            key, h, index = (np.concatenate(([x], y)) for x, y in zip(last[:3], (key, h, index)))
-        same_key = key[1:] == key[:-1]
-        other = same_key & (h[1:] != h[:-1])
+            columns = [np.concatenate(([x], c)) for x, c in zip(last, columns)]
+        key, h, _ = columns
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (h[1:] != h[:-1])
+        columns = [c[new] for c in columns]
+        key = columns[0]
         shared = np.zeros(len(key), dtype=bool)
-        shared[1:] |= other
-        shared[:-1] |= other
+        shared[1:] |= key[1:] == key[:-1]
+        shared[:-1] |= key[1:] == key[:-1]
+        at_end = bool(shared[-1])
         if last is not None:
-            shared[0] &= not last[3]
-        sent = bool(shared[-1]) or (last is not None and len(key) == 1 and last[3])
-        last = key[-1], h[-1], index[-1], sent
+            at_end |= len(key) == 1 and sent
+            shared[0] &= not sent
+        last, sent = [c[-1] for c in columns], at_end
         if shared.any():
-            yield rows((key[shared], h[shared], index[shared]))
+            yield pa.RecordBatch.from_arrays([pa.array(c[shared]) for c in columns], schema=_KEY)
 
 
 def within(a, b, limit=THRESHOLD):

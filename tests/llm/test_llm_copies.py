@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import pyarrow as pa
 import pytest
 from edge_cases import LONG, TEXTS, edge_docs, keep, no_docs, shingles, words
 from pyspark.sql import functions as F
@@ -103,6 +104,24 @@ def test_banded_distance():
             assert lines.within(a, b, limit) == (edits(a, b) <= limit)
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 100])
+def test_shared_keys_over_batches(size):
+    rng = random.Random(6)
+    rows = sorted(((rng.randrange(9), rng.randrange(4), rng.random() < 0.5) for _ in range(60)), key=lambda r: (r[0], r[1], not r[2]))
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[k : k + size])], schema=lines._KEY) for k in range(0, len(rows), size)]
+    got = [tuple(r.values()) for b in lines._shared_keys(batches) for r in b.to_pylist()]
+    by_key = {}
+    for key, h, index in rows:
+        by_key.setdefault(key, {}).setdefault(h, index)
+    assert got == [(k, h, i) for k, hs in by_key.items() if len(hs) > 1 for h, i in hs.items()]
+
+
+def test_a_line_that_repeats_itself_stays_an_index(spark):
+    rows = [(1, "a" * 30), (2, "a" * 31), (3, "ab" * 15), (4, "ab" * 15 + "a")]
+    got = {r.doc_id: r.text for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), keep).collect()}
+    assert got == {1: "a" * 30, 2: "", 3: "ab" * 15, 4: ""}
+
+
 @pytest.mark.parametrize("block", [256, 2])
 def test_lines_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK", block)
