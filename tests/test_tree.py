@@ -46,7 +46,8 @@ def test_a_very_deep_page(spark):
     items = spark.createDataFrame(rows, "page_id long, ord long, title string, indent_level int, section_type string")
     started = time.time()
     nodes = X.section_path(X.parent_asof(X.fill_levels(items))).collect()
-    assert time.time() - started < 30
+    # A few seconds on a free machine; a column or job per level took minutes.
+    assert time.time() - started < 90
     assert len(nodes) == 5002 and max(r["depth"] for r in nodes) == 5001
     assert [r["path"] for r in nodes if r["title"] == "back"] == ["top > back"]
 
