@@ -123,7 +123,7 @@ def shingle_sets(column, width):
             yield hashes[:0]
 
 
-def portions(column, most=2_000_000):
+def portions(column, most=500_000):
     """The column in slices of about ``most`` bytes, at least one row each."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -18,11 +18,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 
+from inspectlake.llm.arrays import portions
+
 # The pattern that splits text before merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Words (with the blank before them) whose ids a worker remembers at a time, and their greatest length.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 200_000
 REMEMBERED_CHARS = 64
 
 ENCODED = {
@@ -137,28 +139,33 @@ def encode(docs, ranks_path, columns=("ids", "starts", "ends", "n_tokens"), patt
     def work(batches):
         codec = _codec(shared.value, pattern)
         for batch in batches:
-            out = {c: [] for c in wanted}
-            for text in batch.column(1).to_pylist():
-                packed = codec.encode(text)
-                ids = np.frombuffer(packed, dtype="<u4")
-                if "starts" in out or "ends" in out:
-                    starts, ends = codec.spans(text, ids)
-                for c in wanted:
-                    if c == "ids":
-                        out[c].append(ids.astype(np.int32))
-                    elif c == "starts":
-                        out[c].append(starts)
-                    elif c == "ends":
-                        out[c].append(ends)
-                    elif c == "n_tokens":
-                        out[c].append(len(ids))
-                    elif c == "ids_sha256":
-                        out[c].append(hashlib.sha256(packed).hexdigest())
-                    else:
-                        out[c].append(hashlib.sha256(codec.bytes_of(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(out[c], ENCODED[c][1]) for c in wanted)], names=["key", *wanted]
-            )
+            at = 0
+            for part in portions(batch.column(1)):
+                out = {c: [] for c in wanted}
+                for text in part.to_pylist():
+                    packed = codec.encode(text)
+                    ids = np.frombuffer(packed, dtype="<u4")
+                    if "starts" in out or "ends" in out:
+                        starts, ends = codec.spans(text, ids)
+                    for c in wanted:
+                        if c == "ids":
+                            out[c].append(ids.astype(np.int32))
+                        elif c == "starts":
+                            out[c].append(starts)
+                        elif c == "ends":
+                            out[c].append(ends)
+                        elif c == "n_tokens":
+                            out[c].append(len(ids))
+                        elif c == "ids_sha256":
+                            out[c].append(hashlib.sha256(packed).hexdigest())
+                        else:
+                            out[c].append(hashlib.sha256(codec.bytes_of(ids)).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(at, len(part)), *(pa.array(out[c], ENCODED[c][1]) for c in wanted)], names=["key", *wanted]
+                )
+                at += len(part)
+        # The worker lives on and may serve other steps.
+        codec.known.clear()
 
     kind = docs.schema[key].dataType.simpleString()
     schema = ", ".join([f"key {kind}", *(f"{c} {ENCODED[c][0]}" for c in wanted)])

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from inspectlake.llm.arrays import portions
+
 UND = "und"
 #: Letters that follow each other, in any script.
 _WORD = re.compile(r"[^\W\d_]+")
@@ -146,7 +148,7 @@ def lang_udf(spark, model):
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(shared.value)
         for column in columns:
-            found = [scorer.predict(t) for t in column.to_pylist()]
+            found = [scorer.predict(t) for part in portions(column) for t in part.to_pylist()]
             yield pa.StructArray.from_arrays(
                 [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang", "score"]
             )

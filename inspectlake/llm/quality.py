@@ -27,7 +27,7 @@ STATISTICS = [
     "repeat_lines", "repeat_neighbours", "distinct_words", "repeat_shingles", "top_shingle", "word_spread", "one_letter",
 ]
 _CLASSES = ["other", "lower", "upper", "digit", "symbol", "bar", "bang", "stop", "comma", "wide", "line", "space"]
-_CLASS = np.zeros(256, dtype=np.int64)
+_CLASS = np.zeros(256, dtype=np.int32)
 for _name, _bytes in {
     "lower": range(ord("a"), ord("z") + 1), "upper": range(ord("A"), ord("Z") + 1), "digit": range(ord("0"), ord("9") + 1),
     "symbol": b"#*$%&<>@^~{}[]\\/=+_", "bar": b"|", "bang": b"!?", "stop": b".", "comma": b",;:", "wide": range(128, 256),
@@ -48,7 +48,7 @@ def statistics(column):
 def _statistics(column):
     raw, offsets = text_bytes(column)
     n = len(offsets) - 1
-    row = np.repeat(np.arange(n), np.diff(offsets))
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
     k = len(_CLASSES)
     count = np.bincount(row * k + _CLASS[raw], minlength=n * k).reshape(n, k).astype(float)
     starts, ends = runs(~SPACE[raw], offsets)
