@@ -8,10 +8,15 @@ the tables keep the ``max_words`` most frequent words and ``max_grams`` n-grams
 length, so the model that goes to the executors has a fixed bound.  Prediction reads
 every row and whole texts.
 
+Every language spreads ``UNSEEN`` more of each kept term over its counts, and a term it
+never saw costs the same in all languages, so that one taught few words gains nothing by
+what it does not know.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is
-everything if nothing could be learned; equal scores go to the language first in code
-point order; repeated rows are predicted alike; an empty table gives an empty table;
-other columns are passed on unread.
+everything if nothing could be learned; a language without a word to learn from (null
+texts only) is never predicted; equal scores go to the language first in code point
+order; repeated rows are predicted alike; an empty table gives an empty table; other
+columns are passed on unread.
 """
 
 import re
@@ -30,6 +35,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: Longest word that can be a known one, and the n-gram lengths from long to short.
 KNOWN_CHARS = 24
 LENGTHS = (5, 4, 3, 2, 1)
+#: What is added to the count of every kept term in every language.
+UNSEEN = 0.5
 #: Words whose scores a worker remembers at a time.
 REMEMBERED = 200_000
 
@@ -70,25 +77,30 @@ def _most(counts, most):
 
 def fit(docs, key="doc_id", text="text", lang="lang", max_train=6_000, max_words=60_000, max_grams=20_000, save=None):
     """The model: languages, log frequencies of words and of n-grams by length."""
-    rows, names = sample(docs, key, lang, max_train)
+    rows, _ = sample(docs, key, lang, max_train)
     words = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(_word_counts, "lang string, word string, n bigint")
     words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
     words = save(words) if save else words
+    short = F.length("word") <= KNOWN_CHARS
+    names = sorted(r[0] for r in words.where(short).select("lang").distinct().collect())
     place = {name: k for k, name in enumerate(names)}
 
     def table(counts, most):
-        totals = np.full(len(names), 1.0)
+        kept = _most(counts, most)
+        if not kept:
+            return {}
+        totals = np.full(len(names), UNSEEN * len(kept))
         for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
             totals[place[r.lang]] += r.n
+        floor = np.log(UNSEEN / totals.max())
         logs = {}
-        for r in _most(counts, most):
-            row = np.full(len(names), 0.5)
+        for r in kept:
+            row = np.zeros(len(names))
             for x in r.by:
                 row[place[x.lang]] += x.n
-            logs[r.term] = np.log(row / totals)
+            logs[r.term] = np.where(row > 0, np.log((row + UNSEEN) / totals), floor)
         return logs
 
-    short = F.length("word") <= KNOWN_CHARS
     model = {"langs": names, "words": table(words.where(short).select("lang", F.col("word").alias("term"), "n"), max_words), "grams": {}}
     edged = words.where(short).withColumn("edged", F.concat(F.lit("<"), "word", F.lit(">")))
     for length in LENGTHS:

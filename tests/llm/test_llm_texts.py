@@ -38,6 +38,25 @@ def test_language_edge_rows(spark, documents):
     assert langid.with_language(no_docs(spark), model).count() == 0
 
 
+def test_a_language_taught_little_gains_nothing_by_unseen_terms(spark, documents):
+    docs = documents.select("doc_id", "text", "lang")
+    usual = {r.doc_id: r.language.lang for r in langid.with_language(docs, langid.fit(docs)).collect()}
+    # Ids outside the held-out third.
+    ids = [r.id for r in spark.range(10**9, 10**9 + 30).where(F.crc32(F.col("id").cast("string")) % 3 != 1).collect()]
+    rare = [" ".join(f"zqo{chr(97 + (k + j) % 26)}{chr(97 + k % 7)}wu" for k in range(300)) for j in range(2)]
+    # One rare language, one with null texts only and first in order, one whose text is English.
+    english = documents.where("lang = 'en' and length(text) > 2000").orderBy("doc_id").first().text
+    more = [(ids[0], rare[0], "xx"), (ids[1], None, "aa"), (ids[2], "", "aa"), (ids[3], " ".join(english.split()[:300]), "yy")]
+    model = langid.fit(docs.unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string")))
+    assert "aa" not in model["langs"]
+    found = {r.doc_id: r.language.lang for r in langid.with_language(docs, model).collect()}
+    assert sum(found[k] != usual[k] for k in usual) <= 0.01 * len(usual)
+    scorer = langid.Scorer(model)
+    assert scorer.predict(rare[1])[0] == "xx" and scorer.predict("\u16a0\u16a2")[0] != "aa"
+    nulls = spark.createDataFrame([(ids[0], None, "aa")], "doc_id long, text string, lang string")
+    assert langid.Scorer(langid.fit(nulls)).predict("some words") == ("und", 0.0)
+
+
 def test_backoff_goes_from_word_to_shorter_grams():
     row = lambda a, b: langid.np.array([a, b])
     model = {"langs": ["x", "y"], "words": {"known": row(-1.0, -9.0)}, "grams": {n: {} for n in langid.LENGTHS}}
