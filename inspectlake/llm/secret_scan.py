@@ -3,13 +3,16 @@
 The base kinds are ``assign``, ``access`` and ``hex`` (patterns below).  The kind
 ``guess`` adds values that stand after a credential word and that a minimum-cost
 segmentation into words, dates, repeats, keyboard walks and brute-force spans finds
-costly to guess; base spans stay as they are.
+costly to guess; a value ends before the next form field
+(``&name=``) and the next credential word with its sign.
+Base spans stay as they are, and the part of a value outside them is costed alone.
 
 Defined cases: a null or empty text has no spans; spans count code points, the end
 exclusive; repeated rows get equal spans; an empty table gives an empty table; other
 columns are passed on unread.  Work grows linearly with the length of a text.
 """
 
+import bisect
 import functools
 import math
 import re
@@ -47,7 +50,9 @@ LEAST_CHARS = 8
 _ASSIGN = re.compile(f"(?ai:{ASSIGN})")
 _ACCESS = re.compile(f"AKIA[A-Z0-9]{{{ACCESS_CHARS - 4},}}")
 _HEX = re.compile(f"[0-9a-f]{{{HEX_CHARS},}}")
-_VALUE = re.compile(r"""(?ai:(?:%s)["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?)([^\s"'`,;|<>]+)""" % "|".join(re.escape(w) for w in CONTEXT))
+_BEFORE = r"""(?:%s)["']?\s{0,4}(?:=>|:=|[:=])\s{0,4}["']?""" % "|".join(re.escape(w) for w in CONTEXT)
+# A value ends before the next field of a form (``&name=``) and the next credential word with its sign.
+_VALUE = re.compile(rf"""(?ai:{_BEFORE})((?:(?!(?ai:{_BEFORE})|&[\w.%\[\]-]{{1,64}}=)[^\s"'`,;|<>])+)""")
 _DATE = re.compile(r"(?:19|20)\d\d([-/._]?)(?:0[1-9]|1[0-2])\1(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])([-/._]?)(?:0[1-9]|1[0-2])\2(?:19|20)?\d\d|(?:19|20)\d\d")
 _REPEAT = re.compile(r"(.{1,8}?)\1{2,}", re.S)
 
@@ -109,6 +114,17 @@ def guess_cost(value, words=WORDS):
     return best[-1]
 
 
+def _outside(start, end, base):
+    """The parts of [start, end) outside the base spans, which are in order."""
+    at = bisect.bisect_right(base, start, key=lambda s: s[1])
+    while at < len(base) and base[at][0] < end:
+        if start < base[at][0]:
+            yield start, base[at][0]
+        start, at = base[at][1], at + 1
+    if start < end:
+        yield start, end
+
+
 def spans(text, words=WORDS, least_cost=LEAST_COST):
     """(kind, start, end, cost) of every span, by start and kind; cost only for ``guess``."""
     found = []
@@ -119,12 +135,12 @@ def spans(text, words=WORDS, least_cost=LEAST_COST):
         base = [m.span() for m in _ASSIGN.finditer(text) if len(m[2]) >= ASSIGN_CHARS]
         found += [("assign", a, b, None) for a, b in base]
         for m in _VALUE.finditer(text):
-            a, b = m.span(1)
-            value = m[1].rstrip(".:)!?")
-            if len(value) >= LEAST_CHARS and not any(s < b and a < e for s, e in base):
-                cost = guess_cost(value, words)
-                if cost >= least_cost:
-                    found.append(("guess", a, a + len(value), cost))
+            for a, b in _outside(*m.span(1), base):
+                value = text[a:b].rstrip(".:)!?")
+                if len(value) >= LEAST_CHARS:
+                    cost = guess_cost(value, words)
+                    if cost >= least_cost:
+                        found.append(("guess", a, a + len(value), cost))
     if "AKIA" in text:
         found += [("access", *m.span(), None) for m in _ACCESS.finditer(text)]
     found += [("hex", *m.span(), None) for m in _HEX.finditer(text)]

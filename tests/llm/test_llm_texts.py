@@ -79,6 +79,19 @@ def test_secret_spans():
     assert secret_scan.spans("PAſſWORD=abcdefghijklm") == []
 
 
+def test_values_end_at_the_next_credential():
+    found = lambda text: [(s[0], text[s[1] : s[2]]) for s in secret_scan.spans(text)]
+    form = "password=Xy7%24kLq9!m&token=abcdef123456"
+    assert found(form) == [("guess", "Xy7%24kLq9!m"), ("assign", "token=abcdef123456")]
+    assert found("pwd=x7Kq92Lmz0Pw&pwd=Vb83%nQ5tRz1") == [("guess", "x7Kq92Lmz0Pw"), ("guess", "Vb83%nQ5tRz1")]
+    assert found("password=Xy7%24kLq9!m/token=abcdef123456") == [("guess", "Xy7%24kLq9!m/"), ("assign", "token=abcdef123456")]
+    # The base pattern takes the first part, the rest is a value of its own.
+    assert found("token=abcdef123456%Xy7$24kLq9!mZ") == [("assign", "token=abcdef123456"), ("guess", "%Xy7$24kLq9!mZ")]
+    assert found("&pwd=&token=&") == []
+    assert found("pwd=x7Kq92Lmz0Pw&user=bob") == [("guess", "x7Kq92Lmz0Pw")]
+    assert found("pwd: Xy7&kLq9!mR2") == [("guess", "Xy7&kLq9!mR2")]
+
+
 def test_guess_costs_follow_patterns():
     cost = secret_scan.guess_cost
     for weak in ("password", "Welcome2024", "qwertyuiop", "aaaaaaaaaaaa", "19991231", "abcabcabcabc", "p@ssw0rd"):
