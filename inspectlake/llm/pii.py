@@ -5,7 +5,9 @@ their own format: card numbers keep a right check digit, account numbers their c
 and right check digits, dates stay dates, addresses of hosts stay such, phone numbers
 keep country code and punctuation.  A permutation never merges two values, and equal
 values get equal pseudonyms in all documents.  Mail addresses, which are no numbers,
-get a keyed hash as their name.
+get a keyed hash as their name.  Where a match runs on into the token after it, the longest
+part up to the end of a group that validates is the value, and what follows is looked at
+anew; digits after a card that happen to validate together with it count as part of it.
 
 Defined cases: a null text stays null, an empty one empty, with no finds; text outside
 finds is untouched; matches that fail validation (no such date, host number above 255,
@@ -16,20 +18,31 @@ gives an empty table; other columns are passed on, except that ``finds`` is repl
 
 from pyspark.sql import functions as F
 
+#: Places of an account number by country.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 # The formats that are looked for.
 _ALONE = r"(?<![\p{L}\p{N}])"
 _END = r"(?![\p{L}\p{N}])"
+#: Account numbers as long as their country has them, then any others.
+_IBANS = [f"(?:{names.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN_CHARS.items()]
+_IBANS += [r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"]
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
     "date": _ALONE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})" + _END,
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
-    "iban": _ALONE + r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?" + _END,
+    "iban": _ALONE + f"(?:{'|'.join(_IBANS)})" + _END,
     "number": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}" + _END,
     "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})" + _END,
 }
 ANY = "|".join(FORMATS.values())
 KINDS = ("email", "ip", "date", "ssn", "iban", "card", "number", "phone")
+#: How text goes on after a match where the end of that match may belong to the next one.
+_GOES_ON = r"^(?:[-./@_%+\d]|[ -][\dA-Z])"
 ROUNDS = 8
 #: Days from FIRST_DAY on that dates are permuted in: a square number.
 FIRST_DAY, DAY_ROOT = "1900-01-01", 270
@@ -179,13 +192,64 @@ def pseudonym(form, key, inverse=False):
     )
 
 
+def _kept(form):
+    """Places of the longest part, from the start to the end of a group, that holds up where the whole match does not; else null."""
+    groups = F.filter(F.sequence(F.lit(1), F.length(form) - 1), lambda p: form.substr(p + 1, F.lit(1)).isin(" ", "-"))
+    card = lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
+    account = lambda f: (F.length(f) >= 15) & (mod_97(f) == 1)
+    longest = lambda holds, plain: F.when(~holds(plain(form)), F.array_max(F.filter(groups, lambda p: holds(plain(form.substr(F.lit(1), p))))))
+    return F.when(form.rlike(f"^(?:{FORMATS['iban']})$"), longest(account, lambda f: F.regexp_replace(f, " ", ""))).when(
+        form.rlike(f"^(?:{FORMATS['number']})$"), longest(card, _only_digits)
+    )
+
+
+def _matches(text):
+    return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
+
+
+def segments(text):
+    """The text cut where a match goes on after a value that holds up, so that what follows is looked at anew."""
+
+    def cut(s):
+        def at(parts):
+            # Cuts up to the first whose rest may be the start of another value; from there on the text is matched again.
+            again = F.array_min(F.transform(F.filter(parts, lambda p: p["kept"].isNotNull() & p["goes_on"]), lambda p: p["k"]))
+            return _let(again, lambda k0: joined(parts, k0))
+
+        def joined(parts, k0):
+            mark = F.sha2(s["open"], 256)
+            part = lambda p: F.when(
+                p["kept"].isNotNull() & (k0.isNull() | (p["k"] <= k0)),
+                F.concat(p["before"], p["form"].substr(F.lit(1), p["kept"]), mark, p["form"].substr(p["kept"] + 1, F.length(p["form"]))),
+            ).otherwise(F.concat(p["before"], p["form"]))
+            pieces = F.split(F.array_join(F.transform(parts, part), ""), mark, -1)
+            return _let(pieces, lambda x: F.when(k0.isNull(), state(F.concat(s["done"], x), F.lit(None).cast("string"))).otherwise(
+                state(F.concat(s["done"], F.slice(x, F.lit(1), F.size(x) - 1)), F.element_at(x, -1))
+            ))
+
+        found = F.struct(_matches(s["open"]).alias("forms"), F.split(s["open"], ANY, -1).alias("gaps"))
+        parts = lambda f: F.transform(f["gaps"], lambda gap, k: _let(F.coalesce(F.get(f["forms"], k), F.lit("")), lambda form: F.struct(
+            k.alias("k"), gap.alias("before"), form.alias("form"), _kept(form).alias("kept"), F.coalesce(F.get(f["gaps"], k + 1).rlike(_GOES_ON), F.lit(False)).alias("goes_on")
+        )))
+        return _let(found, lambda f: _let(parts(f), at))
+
+    def state(done, rest):
+        return F.struct(done.alias("done"), rest.alias("open"))
+
+    most = F.sequence(F.lit(0), F.floor(F.length(text) / 13).cast("int"))
+    ends = F.aggregate(most, state(F.array().cast("array<string>"), text), lambda s, _: F.when(s["open"].isNull(), s).otherwise(cut(s)))
+    return _let(ends, lambda s: F.concat(s["done"], F.when(s["open"].isNull(), F.array().cast("array<string>")).otherwise(F.array(s["open"]))))
+
+
 def with_pseudonyms(docs, key, text="text", inverse=False):
     """The rows with ``text`` rewritten and ``finds``, the kinds found in order."""
-    found = F.when(F.col(text).rlike("[0-9@]"), F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0)))
+    found = F.when(F.col(text).rlike("[0-9@]"), _matches(F.col(text)))
     rows = docs.drop("finds").withColumn("_found", F.coalesce(found, F.array().cast("array<string>")))
-    rows = rows.withColumn("_new", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key, inverse))))
+    cut = F.when(F.exists("_found", lambda m: _kept(m).isNotNull()), segments(F.col(text))).otherwise(F.array(text))
+    rows = rows.withColumn("_parts", F.when(F.size("_found") > 0, cut))
+    rows = rows.withColumn("_new", F.transform("_parts", lambda part: F.transform(_matches(part), lambda m: pseudonym(m, key, inverse))))
     # The pieces between the matches and the new values in turn.
-    pieces = F.zip_with(F.split(F.col(text), ANY, -1), F.col("_new"), lambda a, b: F.concat(a, F.coalesce(b["value"], F.lit(""))))
-    rows = rows.withColumn(text, F.when(F.col("_new").isNull(), F.col(text)).otherwise(F.array_join(pieces, "")))
-    kinds = F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull())
-    return rows.withColumn("finds", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_found", "_new")
+    put = lambda part, new: F.array_join(F.zip_with(F.split(part, ANY, -1), new, lambda a, b: F.concat(a, F.coalesce(b["value"], F.lit("")))), "")
+    rows = rows.withColumn(text, F.when(F.col("_new").isNull(), F.col(text)).otherwise(F.array_join(F.zip_with("_parts", "_new", put), "")))
+    kinds = F.filter(F.transform(F.flatten("_new"), lambda x: x["kind"]), lambda k: k.isNotNull())
+    return rows.withColumn("finds", F.coalesce(kinds, F.array().cast("array<string>"))).drop("_found", "_parts", "_new")

@@ -198,3 +198,22 @@ def test_pseudonym_edge_rows(spark):
     mails = spark.createDataFrame([(1, "a.b@x.org A.B@x.org"), (2, "ünö.3@mail5.example.com;")], "doc_id long, text string")
     out = {r.doc_id: r.text for r in pii.with_pseudonyms(mails, "k").collect()}
     assert out[1].split()[0] == out[1].split()[1] and "mail5" not in out[2] and out[2].endswith(";")
+
+
+def test_a_value_ends_where_it_validates(spark):
+    cards = ["4111 1111 1111 1111", "4111111111111111", "5500-0000-0000-0004", "371449635398431"]
+    ibans = ["ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "BE68 5390 0754 7034", "DE89 3704 0044 0532 0130 00"]
+    tails = [("", []), (" BIC", []), (" 2024", []), (" 12/28", []), (" 123.", []), (" 12/27/2025", ["date"]), (" 4111 1111 1111 1111", ["card"])]
+    whole = lambda v, tail: v in cards and _luhn(v + tail)
+    cases = [(v, tail, kinds) for v in cards + ibans for tail, kinds in tails if not whole(v, tail[:5]) and not whole(v, tail[:4]) and not whole(v, tail[:3])] + [(v, "", []) for v in cards + ibans]
+    docs = spark.createDataFrame([(k, f"a {v}{tail}") for k, (v, tail, _) in enumerate(cases)], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.with_pseudonyms(docs, "k").collect()}
+    alone = {v: out[k].text[2:] for k, (v, tail, _) in enumerate(cases) if not tail}
+    for k, (v, tail, kinds) in enumerate(cases):
+        assert out[k].finds == ["card" if v in cards else "iban", *kinds], (v, tail, out[k])
+        assert alone[v] != v and out[k].text.startswith(f"a {alone[v]}") and (kinds or out[k].text.endswith(tail)), (v, tail, out[k])
+
+
+def _luhn(text):
+    digits = [int(c) for c in text if c.isdigit()][::-1]
+    return len(digits) > 16 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
