@@ -9,8 +9,13 @@ get a keyed hash as their name.  Where a match runs on into the token after it,
 part up to the end of a group that validates is the value, and what follows is looked at
 anew; digits after a card that happen to validate together with it count as part of it.
 
+Dates are yyyy-MM-dd (also before a time, as in 2024-05-01T10:00; the time stays), dd.MM.yyyy,
+MM/dd/yyyy, and dd/MM/yyyy where the day is above 12.  Days from 1900 to August 2099 stay
+within these years, all others among all other days.  Dates in other forms (one-digit days
+or months, two-digit years, names of months) are not looked for.
+
 Defined cases: a null text stays null, an empty one empty, with no finds; text outside
-finds is untouched; matches that fail validation (no such date, host number above 255,
+finds is untouched; matches that fail validation (no such date in the years 1 to 9999, host number above 255,
 wrong account check digits) stay as they are, but a long number with a wrong card check
 digit is permuted as a plain number; repeated rows get equal results; an empty table
 gives an empty table; other columns are passed on, except that ``finds`` is replaced.
@@ -33,7 +38,7 @@ _IBANS += [r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"]
 FORMATS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
-    "date": _ALONE + r"(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})" + _END,
+    "date": _ALONE + r"(?:\d{4}-\d{2}-\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})" + _END + ")",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "iban": _ALONE + f"(?:{'|'.join(_IBANS)})" + _END,
     "number": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}" + _END,
@@ -46,7 +51,13 @@ _GOES_ON = r"^(?:[-./@_%+\d]|[ -][\dA-Z])"
 ROUNDS = 8
 #: Days from FIRST_DAY on that dates are permuted in: a square number.
 FIRST_DAY, DAY_ROOT = "1900-01-01", 270
-DATE_PATTERNS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy")
+#: All other days of the years 1 to 9999 are permuted among themselves: their first day, their number and a root that covers it.
+EARLIEST_DAY, OTHER_DAYS, OTHER_ROOT = "0001-01-01", 3_652_059 - DAY_ROOT * DAY_ROOT, 1892
+#: Slash dates are read with the month first; with the day first only if it is above 12.
+DAY_FIRST = "dd/MM/yyyy"
+DATE_PATTERNS = ("yyyy-MM-dd", "dd.MM.yyyy", "MM/dd/yyyy", DAY_FIRST)
+#: Turns after which a permuted day that stays outside the wanted ones is out of the question (less than half stay each time).
+TURNS = 200
 
 
 def _let(value, use):
@@ -153,13 +164,29 @@ def _ip(form, key, inverse):
 
 
 def _date(form, pattern, key, inverse):
-    """The day moved within the permuted days; null where the form is no date or lies outside them."""
+    """The day moved within its range of days; null where the form is no date."""
     day = F.try_to_timestamp(form, F.lit(pattern)).cast("date")
-    n = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
-    root = F.lit(DAY_ROOT)
-    moved = feistel(F.floor(n / DAY_ROOT), n % DAY_ROOT, root, root, key, F.lit("date"), inverse)
-    back = _let(moved, lambda s: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (s["l"] * DAY_ROOT + s["r"]).cast("int")), pattern))
-    return F.when(n.between(0, DAY_ROOT * DAY_ROOT - 1) & (F.date_format(day, pattern) == form), back)
+    date = lambda text: F.lit(text).cast("date")
+    inner = DAY_ROOT * DAY_ROOT
+    before = F.datediff(date(FIRST_DAY), date(EARLIEST_DAY))
+
+    def moved(n, size, root, tweak, as_day):
+        """Permuted until it falls on a day that the pattern can hold, which keeps the permutation one to one."""
+
+        def turn(x):
+            return _let(feistel(F.floor(x / root), x % root, F.lit(root), F.lit(root), key, F.lit(tweak), inverse), lambda s: s["l"] * root + s["r"])
+
+        fits = lambda x: (x < size) & (F.dayofmonth(as_day(x)) > 12 if pattern == DAY_FIRST else F.lit(True))
+        again = F.sequence(F.lit(1), F.lit(TURNS))
+        return as_day(_let(turn(n), lambda first: F.when(fits(first), first).otherwise(F.aggregate(again, first, lambda x, _: F.when(fits(x), x).otherwise(turn(x))))))
+
+    inside = lambda x: F.date_add(date(FIRST_DAY), x.cast("int"))
+    outside = lambda x: F.date_add(date(EARLIEST_DAY), (x + F.when(x < before, 0).otherwise(inner)).cast("int"))
+    n = F.datediff(day, date(FIRST_DAY)).cast("long")
+    # The other days in order, without the inner ones.
+    other = n + before - F.when(n < 0, 0).otherwise(inner)
+    new = F.when(n.between(0, inner - 1), moved(n, inner, DAY_ROOT, "date", inside)).otherwise(moved(other, OTHER_DAYS, OTHER_ROOT, "other date", outside))
+    return F.when((F.date_format(day, pattern) == form) & (n + before >= 0), F.date_format(new, pattern))
 
 
 def _phone(form, key, inverse):

@@ -217,3 +217,20 @@ def test_a_value_ends_where_it_validates(spark):
 def _luhn(text):
     digits = [int(c) for c in text if c.isdigit()][::-1]
     return len(digits) > 16 and sum(d if k % 2 == 0 else sum(divmod(2 * d, 10)) for k, d in enumerate(digits)) % 10 == 0
+
+
+def test_dates_of_all_forms_and_years_are_moved(spark):
+    forms = ["25/12/1980", "12/25/1980", "13/01/1850", "1899-12-31", "2099-12-31", "0001-01-01", "9999-12-31", "31.12.1066", "1900-01-01", "2024-05-01"]
+    days = [f"{d}/{m:02}/{y}" for y in (1700, 1980) for m in range(1, 13) for d in range(13, 29)]
+    texts = [*forms, "2024-05-01T10:00", "0000-01-01", "31/02/1980", "29/02/1981", *days]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hidden = keep(pii.with_pseudonyms(docs, "k"))
+    out = {texts[r.doc_id]: r for r in hidden.collect()}
+    for f in [*forms, *days]:
+        assert out[f].finds == ["date"] and out[f].text != f and re.sub(r"\d", "9", out[f].text) == re.sub(r"\d", "9", f), out[f]
+    assert out["2024-05-01T10:00"].text == out["2024-05-01"].text + "T10:00"
+    assert all(out[f].text == f and out[f].finds == [] for f in ("0000-01-01", "31/02/1980", "29/02/1981"))
+    new = [out[d].text for d in days]
+    assert len(set(new)) == len(days) and all(int(d[:2]) > 12 for d in new)
+    back = {r.doc_id: r.text for r in pii.with_pseudonyms(hidden, "k", inverse=True).collect()}
+    assert back == dict(enumerate(texts))
