@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import alignment, bpe, jaccard, langid, lines, mixing, pii, quality, rules, secret_scan, topk
+from inspectlake.llm import alignment, bpe, jaccard, langid, lines, mixing, pii, prefixes, quality, rules, secret_scan, topk
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,6 +106,12 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+def op11_conversation_prefix_trie(spark, sf_dir):
+    found = saved(prefixes.paths_of(read(spark, sf_dir, "conversations")), "turns")
+    rebuilt = saved(prefixes.with_borrowed_heads(found), "conversations")
+    return prefixes.trie(rebuilt, lambda rows: saved(rows, "prefixes"))
+
+
 def op12_cross_tokenizer_alignment(spark, sf_dir):
     return alignment.align(
         read(spark, sf_dir, "documents"),
@@ -115,7 +121,7 @@ def op12_cross_tokenizer_alignment(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii_pseudonyms, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op9_line_dedup, op10_byte_bpe, op12_cross_tokenizer_alignment)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii_pseudonyms, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op9_line_dedup, op10_byte_bpe, op11_conversation_prefix_trie, op12_cross_tokenizer_alignment)}
 ORACLES = {
     "op1_top_k": """
 with v as (select vec_id, max(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as e from embeddings
@@ -162,4 +168,22 @@ reach as (select a, b from links union select r.a, l.b from reach r join links l
 groups as (select a, least(a, min(b)) as group_id from reach group by a)
 select doc_id, class_id, coalesce(group_id, class_id) as group_id, (select count(*) from links where a = class_id) as n_links, n_copies
 from c left join groups on a = class_id""",
+    "op11_conversation_prefix_trie": r"""
+with turns as (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as x from conversations where conv_id is not null),
+own as (select conv_id, list({'r': r, 'x': x} order by turn nulls first, r, sha256(length(r) || ':' || r || x)) as own from turns group by conv_id),
+crc as (select list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t
+  from (select unnest(range(256)) as i)),
+h as (select conv_id, own, xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(conv_id as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+  lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 4 as h from own, crc),
+built as (select h.conv_id, list_concat(coalesce(base.own[1:h.h], []), h.own[h.h + 1:]) as p from h left join own base on base.conv_id = h.conv_id - h.conv_id % 20),
+begins as (select conv_id, p, unnest(range(len(p) + 1)) as depth from built),
+nodes as (select p[1:depth] as p, depth, min(conv_id) as conv_id, count(*) as n_convs,
+  sha256(coalesce(string_agg(case when len(p) = depth then cast(conv_id as varchar) end, ',' order by conv_id), '')) as ends_sha256 from begins group by p[1:depth], depth),
+children as (select p[1:depth - 1] as p, count(*) as n_children from nodes where depth > 0 group by p[1:depth - 1]),
+own_terms as (select nodes.p, depth, case when depth = 0 then 0 else (n_convs - 1) * len(regexp_extract_all(nodes.p[depth].x, '[^\x20\x09-\x0D]+')) end as term,
+  case when n_children is null then 1 else 0 end as leaf from nodes left join children on nodes.p = children.p),
+above as (select p, term, leaf, unnest(range(depth + 1)) as k from own_terms),
+sums as (select p[1:k] as p, cast(sum(term) as bigint) as saved_tokens, cast(sum(leaf) as bigint) as n_leaves from above group by p[1:k])
+select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, n.ends_sha256
+from nodes n join sums on n.p = sums.p left join children on n.p = children.p left join nodes u on u.depth = n.depth - 1 and u.p = n.p[1:n.depth - 1]""",
 }
