@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from inspectlake import settings as S
 from inspectlake.functions import text as T
-from inspectlake.operators.ordered import carry_forward, hot_keys, sliced
+from inspectlake.operators.ordered import as_of
 from inspectlake.session import saved
 
 
@@ -34,49 +34,36 @@ def micros_of(ts):
     return second_of(ts) * 1_000_000 + F.date_format(ts, "SSSSSS").cast("bigint")
 
 
-def _live_entries(instants, cache, ttl, slice_seconds, ways):
-    """The entry that is live at each ``(cache_key, at)``, if any.
+def _instants(requests):
+    return requests.select("cache_key", F.col("requested_at").alias("at")).distinct().withColumn("at_us", micros_of(F.col("at")))
 
-    An as-of join: entries and instants share one window ordered by time, an
-    entry before an instant of the same time.  Both sides have one row per key
-    and microsecond, so a slice of a hot key has a fixed largest size.
+
+def live_entries(instants, cache, ttl=S.CACHE_TTL_SECONDS):
+    """(cache_key, at, entry_id, cached_at) for each instant that a live entry answers.
+
+    An as-of join on ids and times: no result is read here.  Of several successes written
+    at once, the one with the greatest id counts.
     """
-    entries = (
-        cache.filter("success")
-        .groupBy("cache_key", F.col("cached_at").alias("at"))
-        .agg(F.max_by("result", "entry_id").alias("result"))
-        .select("cache_key", "at", F.lit(0).alias("_asks"), F.struct("at", "result").alias("_entry"))
-    )
-    asks = instants.select("cache_key", "at", F.lit(1).alias("_asks"))
-    rows = entries.unionByName(asks, allowMissingColumns=True)
-    slice_of = F.floor(second_of(F.col("at")) / slice_seconds)
-    rows = sliced(rows, ["cache_key"], slice_of, ways)
-    latest = {"_latest": F.col("_entry")}
-    seen = carry_forward(
-        rows, ["cache_key"], "_slice", ["at", "_asks"], latest, ways.select("cache_key")
-    )
-    live = F.col("at") < F.col("_latest.at") + _seconds(ttl)
-    return seen.filter((F.col("_asks") == 1) & live).select(
-        "cache_key", F.col("at").alias("requested_at"), F.col("_latest.result").alias("result")
-    )
+    entries = cache.filter("success").groupBy("cache_key", "cached_at").agg(F.max("entry_id").alias("entry_id"))
+    entries = entries.withColumn("at_us", micros_of(F.col("cached_at")))
+    found = as_of(instants, entries, ["cache_key"], "at_us", ["cached_at", "entry_id"], ttl * 1_000_000)
+    live = F.col("at") < F.col("cached_at") + _seconds(ttl)
+    return found.filter(live).select("cache_key", F.col("at").alias("requested_at"), "entry_id", "cached_at")
+
 
+def match_cache(requests, cache, ttl=S.CACHE_TTL_SECONDS):
+    """Every request with ``hit`` and the stored ``result``.
 
-def match_cache(
-    requests,
-    cache,
-    ttl=S.CACHE_TTL_SECONDS,
-    slice_seconds=S.CACHE_SLICE_SECONDS,
-    rows_per_task=S.ROWS_PER_TASK,
-):
-    """Every request with ``hit`` and the stored ``result``."""
+    Requests meet ids first; the results join last, once per entry that is stored, so
+    they are in no exchange before that.
+    """
     requests, cache = with_cache_key(requests), with_cache_key(cache)
-    instants = requests.select("cache_key", F.col("requested_at").alias("at")).distinct()
-    seen_keys = requests.select("cache_key").unionByName(cache.select("cache_key"))
-    ways = hot_keys(seen_keys, ["cache_key"], rows_per_task)
-    live = _live_entries(instants, cache, ttl, slice_seconds, ways)
-    live = live.withColumn("hit", F.lit(True))
+    live = live_entries(_instants(requests), cache, ttl)
     matched = requests.join(live, ["cache_key", "requested_at"], "left")
-    return matched.withColumn("hit", F.coalesce("hit", F.lit(False)))
+    entry = ["cache_key", "cached_at", "entry_id"]
+    results = cache.filter("success").select(*entry, "result").dropDuplicates(entry)
+    kept = [c for c in matched.columns if c not in ("entry_id", "cached_at")]
+    return matched.join(results, entry, "left").select(*kept, "result", F.col("entry_id").isNotNull().alias("hit"))
 
 
 def cache_lookup(matched):
@@ -108,61 +95,42 @@ def cache_writes(fresh):
     )
 
 
-def _chain_in_array(instants, ttl):
-    """Misses of keys whose instants fit one array."""
-    ordered = F.array_sort(F.collect_list(F.struct("at", "req_id")))
-
-    def step(misses, x):
-        expired = F.size(misses) == 0
-        expired = expired | (x["at"] >= F.element_at(misses, -1)["at"] + _seconds(ttl))
-        return F.when(expired, F.concat(misses, F.array(x))).otherwise(misses)
-
-    none = F.filter("_all", lambda x: F.lit(False))
-    per_key = instants.groupBy("cache_key").agg(ordered.alias("_all"))
-    return per_key.select("cache_key", F.inline(F.aggregate("_all", none, step)))
+def cache_ttl_fold(requests, ttl=S.CACHE_TTL_SECONDS, writes=None):
+    """The requests that miss when all go through one cache in time order.
 
+    The first request of a key misses, then the first one at least ``ttl`` after the last
+    miss: a hit does not extend the entry.  ``writes`` (cache_key, last_us) holds the last
+    writes of earlier requests, if there are any; no request is earlier than these.
 
-def _chain_by_rounds(instants, ttl):
-    """Misses of hot keys, one step of every key's chain per round.
-
-    Each round is a filter and a ``min`` that combines on the map side, so a
-    hot key is spread over all tasks.  The state is one row per hot key; there
-    are as many rounds as expiry times in the covered period.  Instants are
-    written in time order, so that a round skips files it is past.
-    """
-    instants = saved(instants.repartitionByRange("at").sortWithinPartitions("at"), "instants")
-    first = F.min(F.struct("at", "req_id")).alias("_m")
-    last = saved(instants.groupBy("cache_key").agg(first), "round")
-    rounds = []
-    while True:
-        earliest = last.agg(F.min("_m.at")).first()[0]
-        if earliest is None:
-            return reduce(lambda a, b: a.unionByName(b), rounds).select("cache_key", "_m.at", "_m.req_id")
-        rounds.append(last)
-        since = last.select("cache_key", F.col("_m.at").alias("_since"))
-        ahead = instants.filter(F.col("at") >= F.lit(earliest) + _seconds(ttl))
-        later = ahead.join(since, "cache_key")
-        later = later.filter(F.col("at") >= F.col("_since") + _seconds(ttl))
-        last = saved(later.groupBy("cache_key").agg(first), "round")
-
-
-def cache_ttl_fold(requests, ttl=S.CACHE_TTL_SECONDS, rows_per_array=S.ROWS_PER_ARRAY):
-    """The requests that miss when all go through one empty cache in time order.
-
-    The first request of a key misses, then the first one at least ``ttl``
-    after the last miss: a hit does not extend the entry.
+    Each instant points at the first one of its key at least ``ttl`` later (an as-of pass).
+    The misses are the chain of these pointers from the first instant on.  Each round adds
+    as many misses as there are and doubles the reach of the pointers, so the rounds are the
+    logarithm of the longest chain, which the covered time bounds.  Every round is two joins
+    on key and time, of which there is one row each; instants without a further one drop out.
     """
-    instants = (
-        with_cache_key(requests)
-        .groupBy("cache_key", F.col("requested_at").alias("at"))
-        .agg(F.min("req_id").alias("req_id"))
-    )
-    hot = hot_keys(instants, ["cache_key"], rows_per_array).select("cache_key")
-    if hot.isEmpty():
-        return _chain_in_array(instants, ttl)
-    cold = instants.join(hot, "cache_key", "left_anti")
-    chained = _chain_by_rounds(instants.join(hot, "cache_key", "left_semi"), ttl)
-    return _chain_in_array(cold, ttl).unionByName(chained)
+    ttl_us = ttl * 1_000_000
+    key = ["cache_key", "at_us"]
+    instants = with_cache_key(requests).groupBy("cache_key", F.col("requested_at").alias("at")).agg(F.min("req_id").alias("req_id"))
+    instants = saved(instants.withColumn("at_us", micros_of(F.col("at"))), "instants")
+    open_ones = instants
+    if writes is not None:
+        open_ones = instants.join(writes, "cache_key", "left").filter(F.col("last_us").isNull() | (F.col("at_us") >= F.col("last_us") + ttl_us))
+    firsts = saved(open_ones.groupBy("cache_key").agg(F.min("at_us").alias("at_us"), F.max("at_us").alias("_last")), "round")
+    longest = firsts.agg(F.max(F.floor((F.col("_last") - F.col("at_us")) / ttl_us))).first()[0] or 0
+    # Backwards in time, the first instant from a time on is the latest one up to it.
+    back = instants.select("cache_key", "at_us", (-F.col("at_us") - ttl_us).alias("_t"))
+    ahead = as_of(back, instants.select("cache_key", (-F.col("at_us")).alias("_t"), F.col("at_us").alias("next")), ["cache_key"], "_t", ["next"], ttl_us)
+    jump = ahead.filter("next is not null").select(*key, "next")
+    missed = firsts.select(*key)
+    # A chain over ``longest`` expiry times has at most that many steps after its first miss.
+    rounds = int(longest).bit_length()
+    for k in range(rounds):
+        jump = saved(jump, "round")
+        further = missed.join(jump, key).select("cache_key", F.col("next").alias("at_us"))
+        missed = saved(missed.unionByName(further), "round")
+        then = jump.select("cache_key", F.col("at_us").alias("next"), F.col("next").alias("_then"))
+        jump = jump.join(then, ["cache_key", "next"]).select(*key, F.col("_then").alias("next"))
+    return instants.join(missed, key, "left_semi").select("cache_key", "at", "req_id", "at_us")
 
 
 def retry_outcome(attempts, keys=("project_id", "task_id"), tries=S.MAX_TRIES, base=S.BACKOFF_BASE):

@@ -1,76 +1,40 @@
-"""Building blocks that keep a hot key from landing in one task."""
-
-from functools import reduce
+"""As-of lookups whose tasks stay small whatever the rows of a key."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from inspectlake import settings as S
-
-
-def hot_keys(rows, keys, rows_per_task=S.ROWS_PER_TASK):
-    """Keys with more than ``rows_per_task`` rows, and the tasks they need.
-
-    Counting combines on the map side, so a hot key costs nothing extra here.
-    Whether the result is sent to all tasks is left to the optimizer.
-    """
-    return (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > rows_per_task)
-        .select(*keys, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_ways"))
-    )
-
-
-def sliced(rows, keys, slice_of, ways):
-    """Add ``_slice``: ``slice_of`` for the hot keys in ``ways``, 0 for others."""
-    return (
-        rows.join(ways, keys, "left")
-        .withColumn(
-            "_slice",
-            F.when(F.col("_ways").isNotNull(), slice_of.cast("bigint")).otherwise(F.lit(0)),
-        )
-        .drop("_ways")
-    )
+#: Slices of a stretch of time, and stretches whose last values meet in one window row by row.
+SLICES = 1024
 
 
-def carry_forward(rows, keys, slice_col, order, values, split, inclusive=True):
-    """For every row, the latest earlier non-null value in its key's order.
+def as_of(asks, entries, keys, time, values, stretch):
+    """The ``asks`` with the ``values`` of the latest entry of their keys up to their ``time``.
 
-    ``values`` maps output names to expressions.  A window works inside one
-    slice of a key; what happened in earlier slices comes from one summary row
-    per slice.  No task ever holds more than a slice of rows or one key's
-    slice summaries.  ``slice_col`` must not decrease along ``order``.
-
-    ``split`` holds the keys that have several slices; only their rows are
-    summed up.
+    ``time`` is an integer column of both sides, and each side has one row per key and time.
+    Entries and asks share a window inside a slice of a stretch of time (``stretch`` long);
+    what came before the slice is found in a tree: the last entry of each slice, of each
+    stretch, and of the stretches before.  A window holds the rows of one key and slice, the
+    ``SLICES`` slices of one stretch, or one row per stretch, for every key alike.  Asks
+    without an earlier entry have nulls.
     """
-    inner = (
-        Window.partitionBy(*keys, slice_col)
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    )
-    local = rows.select(
-        "*", *[F.last(v, ignorenulls=True).over(inner).alias(f"_in_{n}") for n, v in values.items()]
-    )
-    # One plain column as position keeps the aggregation a hash aggregation.
-    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    summary = (
-        rows.join(split, split.columns, "left_semi")
-        .groupBy(*keys, slice_col)
-        .agg(
-            *[F.max_by(v, F.when(v.isNotNull(), position)).alias(f"_last_{n}") for n, v in values.items()]
-        )
-    )
-    earlier = (
-        Window.partitionBy(*keys).orderBy(slice_col).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = summary.select(
-        *keys,
-        slice_col,
-        *[F.last(f"_last_{n}", ignorenulls=True).over(earlier).alias(f"_carry_{n}") for n in values],
-    ).filter(reduce(lambda a, b: a | b, [F.col(f"_carry_{n}").isNotNull() for n in values]))
-    return local.join(carried, [*keys, slice_col], "left").select(
-        *rows.columns,
-        *[F.coalesce(F.col(f"_in_{n}"), F.col(f"_carry_{n}")).alias(n) for n in values],
+    fine = max(1, stretch // SLICES)
+    entry = F.struct(time, *values)
+    rows = asks.withColumn("_asks", F.lit(1)).unionByName(
+        entries.select(*keys, time, F.lit(0).alias("_asks"), entry.alias("_entry")), allowMissingColumns=True
     )
+    rows = rows.withColumn("_slice", F.floor(F.col(time) / F.lit(fine))).withColumn("_stretch", F.floor(F.col("_slice") / SLICES))
+    place = [*keys, "_stretch", "_slice"]
+    before = (Window.unboundedPreceding, -1)
+    # An entry stands before an ask of the same time.
+    inside = Window.partitionBy(*place).orderBy(time, "_asks").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("_inside", F.last("_entry", ignorenulls=True).over(inside))
+    slices = rows.groupBy(*place).agg(F.max("_entry").alias("_last"))
+    earlier = Window.partitionBy(*keys, "_stretch").orderBy("_slice").rowsBetween(*before)
+    slices = slices.withColumn("_mid", F.last("_last", ignorenulls=True).over(earlier))
+    stretches = slices.groupBy(*keys, "_stretch").agg(F.max("_last").alias("_last"))
+    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(*before)
+    stretches = stretches.select(*keys, "_stretch", F.last("_last", ignorenulls=True).over(earlier).alias("_far"))
+    carried = slices.join(stretches, [*keys, "_stretch"]).select(*place, F.coalesce("_mid", "_far").alias("_carried"))
+    found = local.filter("_asks = 1").join(carried.filter("_carried is not null"), place, "left")
+    latest = F.coalesce("_inside", "_carried")
+    return found.select(*asks.columns, *[latest[v].alias(v) for v in values])

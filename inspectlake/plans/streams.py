@@ -26,9 +26,8 @@ def stream_ingest(spark, sf_dir):
 
 def stream_cache(spark, sf_dir):
     out = work_dir(spark, "misses")
-    misses = Q.stream_cache(stream_fixture(spark, sf_dir, "fx_user_request"))
-    Q.run_available(misses, work_dir(spark, "progress"), out=out)
-    return spark.read.parquet(out).select("req_id")
+    Q.stream_cache(stream_fixture(spark, sf_dir, "fx_user_request"), out, work_dir(spark, "progress"))
+    return Q.cache_misses(spark, out).select("req_id")
 
 
 def stream_review(spark, sf_dir):

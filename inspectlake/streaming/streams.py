@@ -1,17 +1,16 @@
 """The incremental parts: arriving files, requests, review events and logs.
 
-Each sink writes one folder per micro-batch and overwrites it when a batch is
-run again, so a restart adds no rows.  Reading takes the latest value, as in
-the batch operators.
+Each sink writes one folder per micro-batch and overwrites it, or leaves it, when a batch
+is run again, so a restart adds no rows.  State is kept in versioned tables
+(``sources/versions.py``), not in executors.
 """
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from inspectlake import settings as S
 from inspectlake.operators import review
-from inspectlake.operators.cache import micros_of, with_cache_key
+from inspectlake.operators.cache import cache_ttl_fold
+from inspectlake.sources.versions import KeyedTable
 
 
 def stream_parquet(spark, path, schema, files_per_trigger=100):
@@ -39,9 +38,8 @@ def run_available(rows, checkpoint, write_batch=None, out=None, mode="append"):
     query.awaitTermination()
 
 
-def _batch_writer(out, reduce_rows=None):
+def _batch_writer(out):
     def write(rows, batch_id):
-        rows = reduce_rows(rows) if reduce_rows else rows
         rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     return write
@@ -52,83 +50,66 @@ def stream_ingest(files, out, checkpoint):
     run_available(files, checkpoint, out=out)
 
 
-def _misses_of_key(ttl):
-    """A key's new misses, given the time of its last write as state.
+LAST_WRITES = "cache_key string, last_us bigint"
 
-    Times are whole microseconds.  Rows are put in order within a micro-batch;
-    batches must arrive in time order.
-    """
-    ttl_us = ttl * 1_000_000
-
-    def step(key, batches, state):
-        parts = list(batches)
-        at = np.concatenate([p["at_us"].to_numpy() for p in parts])
-        ids = np.concatenate([p["req_id"].to_numpy() for p in parts])
-        order = np.lexsort((ids, at))
-        at, ids = at[order], ids[order]
-        last = state.get[0] if state.exists else None
-        hits = []
-        i = 0 if last is None else int(np.searchsorted(at, last + ttl_us))
-        while i < len(at):
-            hits.append(i)
-            last = int(at[i])
-            i = int(np.searchsorted(at, last + ttl_us))
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame({"cache_key": key[0], "req_id": ids[hits], "at_us": at[hits]})
-
-    return step
-
-
-def stream_cache(requests, ttl=S.CACHE_TTL_SECONDS):
-    """The requests of a stream that miss the cache, with exact expiry.
-
-    The state of a key is one number.  A key's rows of one micro-batch are put
-    in order together, two numbers each; the files per trigger of the source
-    bound how many that can be, whatever the length of the stream.
+
+def stream_cache(requests, out, checkpoint, ttl=S.CACHE_TTL_SECONDS, compact_every=20):
+    """Write the requests of a stream that miss the cache to ``out/misses``, with exact expiry.
+
+    The last write of every key is a versioned table in ``out/writes``.  A micro-batch reads
+    it as of the batch before, takes the expiry chain of its own requests from there on
+    (``cache_ttl_fold``, so a hot key is spread over tasks), writes its misses and then
+    commits the new last writes.  A batch that is run again before its commit finds the same
+    state and writes the same misses to the same folder; after it, nothing.  Rows are put
+    in order within a micro-batch; batches must come in time order.
     """
-    keyed = with_cache_key(requests).select(
-        "cache_key",
-        "req_id",
-        micros_of(F.col("requested_at")).alias("at_us"),
-    )
-    return keyed.groupBy("cache_key").applyInPandasWithState(
-        _misses_of_key(ttl),
-        "cache_key string, req_id bigint, at_us bigint",
-        "last_us bigint",
-        "append",
-        "NoTimeout",
-    )
+
+    def write(rows, batch_id):
+        spark = rows.sparkSession
+        writes = KeyedTable(spark, f"{out}/writes", LAST_WRITES, ["cache_key"], "last_us", compact_every)
+        if writes.has(batch_id):
+            return
+        folder = f"{out}/misses/batch_id={batch_id}"
+        cache_ttl_fold(rows, ttl, writes.state()).select("cache_key", "req_id", "at_us").write.mode("overwrite").parquet(folder)
+        writes.commit(batch_id, spark.read.parquet(folder).groupBy("cache_key").agg(F.max("at_us").alias("last_us")))
+
+    run_available(requests, checkpoint, write)
 
 
-def stream_review(events, out, checkpoint):
+def cache_misses(spark, out):
+    """(cache_key, req_id, at_us) of all misses of ``stream_cache``."""
+    return spark.read.parquet(f"{out}/misses").drop("batch_id")
+
+
+REVIEWED = "project_id bigint, kind string, field_name string, seq bigint, action string, new_value string"
+
+
+def _reviewed(spark, out, schema, compact_every):
+    return KeyedTable(spark, out, schema, ["project_id", "kind", "field_name"], "seq", compact_every)
+
+
+def stream_review(events, out, checkpoint, compact_every=20):
     """Keep decisions and edits current as review events arrive.
 
-    A batch is reduced to the last event per project and field before it is
-    written.
+    A batch is reduced to the last event per project and field and committed to a keyed
+    table, which merges its batches into one snapshot from time to time.
     """
+    schema = ", ".join(f"{f} {events.schema[c].dataType.simpleString() if c else 'string'}" for f, c in (("project_id", "project_id"), ("kind", None), ("field_name", "field_name"), ("seq", "seq"), ("action", "action"), ("new_value", "new_value")))
 
-    def last_events(rows):
+    def write(rows, batch_id):
         decision = F.col("action").isin(review.DECISIONS)
         field = F.when(~decision, F.col("field_name"))
         kind = F.when(decision, "decision").otherwise("edit")
         used = rows.filter(decision | (F.col("action") == "edit"))
-        return used.groupBy("project_id", kind.alias("kind"), field.alias("field_name")).agg(
-            F.max("seq").alias("seq"),
-            F.max_by("action", "seq").alias("action"),
-            F.max_by("new_value", "seq").alias("new_value"),
-        )
+        table = _reviewed(rows.sparkSession, out, schema, compact_every)
+        table.commit(batch_id, table.latest(used.select("project_id", kind.alias("kind"), field.alias("field_name"), "seq", "action", "new_value")))
 
-    run_available(events, checkpoint, _batch_writer(out, last_events))
+    run_available(events, checkpoint, write)
 
 
-def review_state(spark, out):
-    """Status and edits as of the last batch: review events, reduced."""
-    return spark.read.parquet(out).groupBy("project_id", "kind", "field_name").agg(
-        F.max("seq").alias("seq"),
-        F.max_by("action", "seq").alias("action"),
-        F.max_by("new_value", "seq").alias("new_value"),
-    )
+def review_state(spark, out, schema=REVIEWED):
+    """Status and edits as of the last batch: one snapshot and the batches after it."""
+    return _reviewed(spark, out, schema, 0).state()
 
 
 def log_windows(logs, width="1 hour"):

@@ -2,12 +2,14 @@ import datetime
 import functools
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from inspectlake.operators import cache as C
 from inspectlake.operators import infer as N
+from inspectlake.operators.ordered import as_of
 
 START = datetime.datetime(2024, 1, 1)
 HOUR = datetime.timedelta(hours=1)
@@ -24,11 +26,12 @@ def some_entries(n, seed):
     return [(i, p, q, t, i % 4 != 0, f"r{i}") for i, p, q, t in some_requests(n, seed)]
 
 
-@pytest.mark.parametrize("rows_per_task", [2_000_000, 5])
-def test_lookup_equals_a_loop(spark, rows_per_task):
+@pytest.mark.parametrize("slices", [1024, 3])
+def test_lookup_equals_a_loop(spark, slices, monkeypatch):
+    monkeypatch.setattr("inspectlake.operators.ordered.SLICES", slices)
     asked, stored = some_requests(300, 1), some_entries(60, 2)
     requests, cache = spark.createDataFrame(asked, REQUEST), spark.createDataFrame(stored, ENTRY)
-    got = {r["req_id"]: r["result"] for r in C.match_cache(requests, cache, rows_per_task=rows_per_task, slice_seconds=3600).collect()}
+    got = {r["req_id"]: r["result"] for r in C.match_cache(requests, cache).collect()}
     assert len(got) == 300
     for i, path, _, at in asked:
         live = [(t, e, r) for e, p, _, t, ok, r in stored if ok and p == path and t <= at]
@@ -57,12 +60,65 @@ def chain(asked, ttl=24 * HOUR):
     return misses
 
 
-@pytest.mark.parametrize("rows_per_array", [100_000, 20])
-def test_expiry_chain_equals_a_loop(spark, rows_per_array):
-    asked = some_requests(400, 3) + [(1000 + i, "rare", "p", START + HOUR * i * 11) for i in range(9)]
+def test_results_are_in_no_exchange_but_the_last(spark, tmp_path):
+    spark.createDataFrame(some_requests(30, 1), REQUEST).write.parquet(str(tmp_path / "requests"))
+    spark.createDataFrame(some_entries(60, 2), ENTRY).write.parquet(str(tmp_path / "cache"))
+    requests, cache = (spark.read.parquet(str(tmp_path / n)) for n in ("requests", "cache"))
+    plan = C.match_cache(requests, cache)._jdf.queryExecution().explainString(ExplainMode(spark, "formatted"))
+    nodes = [n for n in re.split(r"\n\n+", plan) if re.match(r"\(\d+\) ", n)]
+    exchanges = [n for n in nodes if " Exchange" in n.splitlines()[0]]
+    # Only the one that tells repeated entries apart, and the join after it needs no other.
+    assert len(exchanges) > 5 and not any("result#" in n for n in exchanges) and sum("first#" in n for n in exchanges) == 1
+    assert not any("result#" in n for n in nodes if " Window" in n.splitlines()[0])
+
+
+def ExplainMode(spark, name):
+    return spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString(name)
+
+
+def test_as_of_over_stretches_and_slices(spark, monkeypatch):
+    monkeypatch.setattr("inspectlake.operators.ordered.SLICES", 4)
+    rng = random.Random(4)
+    asks = sorted({(rng.randrange(3), rng.randrange(-500, 500)) for _ in range(200)})
+    stored = sorted({(rng.randrange(3), rng.randrange(-500, 500)) for _ in range(25)})
+    left, right = spark.createDataFrame(asks, "k long, t long"), spark.createDataFrame([(k, t, f"{t}") for k, t in stored], "k long, t long, v string")
+    got = {(r.k, r.t): r.v for r in as_of(left, right, ["k"], "t", ["v"], 16).collect()}
+    want = {(k, t): max((s for j, s in stored if j == k and s <= t), default=None) for k, t in asks}
+    assert got == {a: None if s is None else str(s) for a, s in want.items()}
+
+
+@pytest.mark.parametrize("ttl", [24, 1, 7, 10_000])
+def test_expiry_chain_equals_a_loop(spark, ttl):
+    asked = some_requests(400, 3) + [(1000 + i, "rare", "p", START + HOUR * i * 11) for i in range(9)] + [(2000, "once", "p", START)]
     requests = spark.createDataFrame(asked, REQUEST)
-    got = {r["req_id"] for r in C.cache_ttl_fold(requests, rows_per_array=rows_per_array).collect()}
-    assert got == chain(asked)
+    got = {r["req_id"] for r in C.cache_ttl_fold(requests, ttl=ttl * 3600).collect()}
+    assert got == chain(asked, ttl * HOUR)
+
+
+def test_expiry_goes_on_from_earlier_writes(spark):
+    asked = some_requests(300, 7)
+    middle = START + 100 * HOUR
+    early, late = [r for r in asked if r[3] < middle], [r for r in asked if r[3] >= middle]
+    before = C.cache_ttl_fold(spark.createDataFrame(early, REQUEST))
+    writes = before.groupBy("cache_key").agg(F.max("at_us").alias("last_us"))
+    after = C.cache_ttl_fold(spark.createDataFrame(late, REQUEST), writes=writes)
+    assert {r["req_id"] for r in before.unionByName(after).collect()} == chain(asked)
+
+
+def test_a_long_chain_takes_logarithmically_many_jobs(spark):
+    """One key with a third of all requests over 400 days, against as many keys asked once."""
+    days = [(i, "hot", "p", START + HOUR * 7 * i) for i in range(400 * 24 // 7)]
+    others = [(10_000 + i, f"i{i}", "p", START + HOUR * (i % 9000)) for i in range(2 * len(days))]
+    jobs = {}
+    for name, rows in (("short", others), ("long", days + others)):
+        spark.sparkContext.setJobGroup(name, name)
+        requests = spark.createDataFrame(rows, REQUEST)
+        got = {r["req_id"] for r in C.cache_ttl_fold(requests).select("req_id").collect()}
+        jobs[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        assert got == chain(rows)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # 400 expiry times are nine rounds, not four hundred.
+    assert jobs["long"] - jobs["short"] <= 9 * 10
 
 
 def test_second_run_needs_no_inference(spark):

@@ -1,11 +1,14 @@
 import datetime
 import os
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from inspectlake.operators import projects as P
+from inspectlake.operators.cache import cache_ttl_fold
 from inspectlake.session import saved, work_dir
-from inspectlake.sources import files, tables
+from inspectlake.sources import files, tables, versions
 from inspectlake.streaming import streams as Q
 
 
@@ -91,35 +94,133 @@ def test_shared_folder_comes_from_the_session(spark):
     assert saved(spark.range(3), "numbers").count() == 3
 
 
-def test_review_stream_over_several_batches(spark, tmp_path):
-    source = str(tmp_path / "events")
-    rows = [(s, s % 3, "edit" if s % 2 else "approved" if s % 4 else "rejected", f"f{s % 2}", f"v{s}") for s in range(40)]
-    events = spark.createDataFrame(rows, "seq long, project_id long, action string, field_name string, new_value string")
-    events.repartition(4, "seq").write.parquet(source)
-    out, progress = str(tmp_path / "out"), str(tmp_path / "progress")
-    stream = Q.stream_parquet(spark, source, events.schema, files_per_trigger=1)
-    for _ in range(2):
-        Q.stream_review(stream, out, progress)
-    assert len([d for d in os.listdir(out) if d.startswith("batch_id=")]) == 4
-    got = {(r["project_id"], r["kind"], r["field_name"], r["seq"]) for r in Q.review_state(spark, out).collect()}
+REVIEW = "seq long, project_id long, action string, field_name string, new_value string"
+
+
+def review_events(n):
+    return [(s, s % 3, "edit" if s % 2 else "approved" if s % 4 else "rejected", f"f{s % 2}", f"v{s}") for s in range(n)]
+
+
+def last_of(rows):
     want = {}
-    for s, p, action, field, _ in rows:
+    for s, p, action, field, value in rows:
         kind = ("edit", field) if action == "edit" else ("decision", None)
-        want[(p, *kind)] = s
-    assert got == {(*k, s) for k, s in want.items()}
+        want[(p, *kind)] = (s, action, value)
+    return {(*k, *v) for k, v in want.items()}
 
 
-def test_cache_stream_keeps_state_between_batches(spark, tmp_path):
-    start = datetime.datetime(2024, 1, 1)
-    schema = "req_id long, image_path string, prompt string, requested_at timestamp_ntz"
+def reviewed(spark, out):
+    return {(r["project_id"], r["kind"], r["field_name"], r["seq"], r["action"], r["new_value"]) for r in Q.review_state(spark, out).collect()}
+
+
+def test_review_stream_over_several_batches(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("events", "out", "progress"))
+    rows = review_events(60)
+    for n in range(6):
+        spark.createDataFrame(rows[n * 10 : n * 10 + 10], REVIEW).coalesce(1).write.mode("append").parquet(source)
+    stream = Q.stream_parquet(spark, source, spark.createDataFrame([], REVIEW).schema, files_per_trigger=1)
+    for _ in range(2):
+        Q.stream_review(stream, out, progress, compact_every=2)
+    # Six batches: the state is in one snapshot and at most two newer folders.
+    version, content = versions.read_manifest(spark, out)
+    assert version == 5 and len(content["folders"]) <= 3 and content["folders"][0].startswith("snapshot")
+    assert reviewed(spark, out) == last_of(rows)
+    scans = Q.review_state(spark, out).inputFiles()
+    assert {f.split("/")[-2] for f in scans} <= set(content["folders"])
+
+
+def test_review_restarts_after_a_stop_in_mid_compaction(spark, tmp_path, monkeypatch):
+    source, out, progress = (str(tmp_path / n) for n in ("events", "out", "progress"))
+    rows = review_events(40)
+    for n in range(4):
+        spark.createDataFrame(rows[n * 10 : n * 10 + 10], REVIEW).coalesce(1).write.mode("append").parquet(source)
+    stream = Q.stream_parquet(spark, source, spark.createDataFrame([], REVIEW).schema, files_per_trigger=1)
+    real, stopped = versions.write_manifest, []
+
+    def stops_once(spark, path, version, content):
+        if content["folders"][0].startswith("snapshot") and not stopped:
+            stopped.append(content["folders"][0])
+            raise RuntimeError("stopped after the snapshot was written")
+        return real(spark, path, version, content)
+
+    monkeypatch.setattr(versions, "write_manifest", stops_once)
+    with pytest.raises(Exception, match="stopped after the snapshot"):
+        Q.stream_review(stream, out, progress, compact_every=1)
+    assert stopped and os.path.exists(f"{out}/{stopped[0]}") and reviewed(spark, out) == last_of(rows[:10])
+    Q.stream_review(stream, out, progress, compact_every=1)
+    assert reviewed(spark, out) == last_of(rows)
+    assert stopped[0] not in versions.read_manifest(spark, out)[1]["folders"]
+
+
+def test_a_commit_is_taken_once(spark, tmp_path):
+    path = str(tmp_path / "table")
+    assert versions.read_manifest(spark, path) == (-1, {})
+    assert versions.write_manifest(spark, path, 3, {"a": 1}) and not versions.write_manifest(spark, path, 3, {"a": 2})
+    assert versions.read_manifest(spark, path) == (3, {"a": 1})
+    assert [n for n in os.listdir(f"{path}/_manifests") if n.endswith(".tmp")] == []
+
+
+def cache_requests(n_batches, n, start):
+    """Batches in time order; one key has a third of the rows."""
+    rng = random.Random(11)
+    batches, hour = [], 0
+    for b in range(n_batches):
+        rows = []
+        for i in range(n):
+            hour += rng.randrange(4)
+            rows.append((b * n + i, "hot" if i % 3 == 0 else f"i{rng.randrange(9)}", "p", start + datetime.timedelta(hours=hour)))
+        batches.append(rows)
+    return batches
+
+
+REQUEST = "req_id long, image_path string, prompt string, requested_at timestamp_ntz"
+
+
+def test_cache_stream_equals_a_batch(spark, tmp_path):
+    source, out, progress = (str(tmp_path / n) for n in ("requests", "out", "progress"))
+    batches = cache_requests(6, 40, datetime.datetime(2024, 1, 1))
+    for rows in batches:
+        spark.createDataFrame(rows, REQUEST).coalesce(1).write.mode("append").parquet(source)
+    stream = Q.stream_parquet(spark, source, spark.createDataFrame([], REQUEST).schema, files_per_trigger=1)
+    Q.stream_cache(stream, out, progress, compact_every=2)
+    whole = cache_ttl_fold(spark.createDataFrame([r for rows in batches for r in rows], REQUEST))
+    want = sorted(r["req_id"] for r in whole.collect())
+    assert sorted(r["req_id"] for r in Q.cache_misses(spark, out).collect()) == want
+    # Later requests go on from the state; nothing is processed twice.
+    more = [(1000 + i, "hot", "p", batches[-1][-1][3] + datetime.timedelta(hours=i)) for i in range(60)]
+    spark.createDataFrame(more, REQUEST).coalesce(1).write.mode("append").parquet(source)
+    for _ in range(2):
+        Q.stream_cache(stream, out, progress, compact_every=2)
+    whole = cache_ttl_fold(spark.createDataFrame([r for rows in [*batches, more] for r in rows], REQUEST))
+    assert sorted(r["req_id"] for r in Q.cache_misses(spark, out).collect()) == sorted(r["req_id"] for r in whole.collect())
+
+
+def test_a_cache_batch_that_runs_again_adds_nothing(spark, tmp_path, monkeypatch):
     source, out, progress = (str(tmp_path / n) for n in ("requests", "out", "progress"))
-    hours = [0, 5, 23, 24, 30, 47, 48, 100]
-    for n, part in enumerate((hours[:3], hours[3:6], hours[6:])):
-        rows = [(h, "i", "p", start + datetime.timedelta(hours=h)) for h in part]
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
-        misses = Q.stream_cache(Q.stream_parquet(spark, source, spark.createDataFrame([], schema).schema))
-        Q.run_available(misses, progress, out=out)
-    assert sorted(r["req_id"] for r in spark.read.parquet(out).collect()) == [0, 24, 48, 100]
+    batches = cache_requests(5, 30, datetime.datetime(2024, 1, 1))
+    for rows in batches:
+        spark.createDataFrame(rows, REQUEST).coalesce(1).write.mode("append").parquet(source)
+    stream = Q.stream_parquet(spark, source, spark.createDataFrame([], REQUEST).schema, files_per_trigger=1)
+    real, seen = versions.write_manifest, []
+
+    def stops(spark, path, version, content):
+        """Stop once before the commit of batch 2, and once after that of batch 3."""
+        seen.append(version)
+        if version == 2 and seen.count(2) == 1:
+            raise RuntimeError("stopped")
+        done = real(spark, path, version, content)
+        if version == 3 and seen.count(3) == 1:
+            raise RuntimeError("stopped")
+        return done
+
+    monkeypatch.setattr(versions, "write_manifest", stops)
+    for _ in range(2):
+        with pytest.raises(Exception, match="stopped"):
+            Q.stream_cache(stream, out, progress)
+    Q.stream_cache(stream, out, progress)
+    assert seen == [0, 1, 2, 2, 3, 4]
+    whole = cache_ttl_fold(spark.createDataFrame([r for rows in batches for r in rows], REQUEST))
+    assert sorted(r["req_id"] for r in Q.cache_misses(spark, out).collect()) == sorted(r["req_id"] for r in whole.collect())
 
 
 def test_log_windows_over_several_batches_equal_a_batch(spark, tmp_path):
