@@ -1,6 +1,6 @@
 """Cross-tokenizer alignment: which tokens of two vocabularies end at the same byte.
 
-Tokenizer A (byte-level BPE, a tokenizers file) reads a blank and the text; tokenizer B
+Tokenizer A (byte-level BPE out of a tokenizers file, run by the tiktoken library) reads a blank and the text; tokenizer B
 (a sentencepiece model) reads the text and adds that blank itself.  Byte offsets where
 tokens of both end cut them into groups, and tokens that end there are linked.
 
@@ -15,9 +15,10 @@ counts; null ids are kept; an empty table gives an empty table; other columns ar
 read.  A whole text is aligned, never a prefix.
 """
 
-import collections
+import array
 import functools
 import hashlib
+import itertools
 import json
 import re
 
@@ -26,17 +27,19 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inspectlake.llm.arrays import portions
-from inspectlake.llm.bpe import byte_chars
+from inspectlake.llm.bpe import PATTERN, byte_chars
 
-#: Words whose alignment a worker remembers at a time, and their greatest length.
-REMEMBERED_WORDS = 100_000
-REMEMBERED_CHARS = 64
+#: Words, and characters of words, whose alignments a worker remembers at a time.
+REMEMBERED_WORDS = 80_000
+REMEMBERED_CHARS = 4_000_000
+#: New words tokenizer B gets in one text; its time per character grows with very long ones.
+WORDS_AT_A_TIME = 60
 #: Frequent pairs whose counts every task holds (17 bytes each).
 COMMON_PAIRS = 300_000
 #: A pair of ids is one integer: id of A times this, plus id of B.
 _B_IDS = 1 << 20
-
-Aligned = collections.namedtuple("Aligned", "spelled n_a n_b n_groups n_links groups pairs")
+#: Bits of such an integer; the bits above hold the number of the text in a batch.
+_PAIR_BITS = 44
 
 MEASURES = ["n_a", "n_b", "n_groups", "n_links"]
 
@@ -55,76 +58,153 @@ def ends_together(a_ends, b_ends):
     return groups
 
 
+def _among(values, ends):
+    """Which values are among the rising ``ends``."""
+    return ends[np.minimum(np.searchsorted(ends, values), len(ends) - 1)] == values if len(ends) else np.zeros(len(values), bool)
+
+
 class Aligner:
     """Two tokenizers and the alignments of words they met.
 
     A text is cut at each blank between two visible characters: no token of either
     vocabulary reaches over such a blank from the left, so a word is aligned alike in
-    every text.  ``piecewise`` is False for a vocabulary B with pieces that do.
+    every text, and new words are aligned together, as one text.  ``piecewise`` is False
+    for a vocabulary B with pieces that do reach over blanks; then a text is one word.
     """
 
     def __init__(self, a_content, b_content):
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_str(a_content.decode())
-        self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_content)
         byte_of = {shown: b for b, shown in byte_chars().items()}
-        self.a_bytes = {i: bytes(map(byte_of.__getitem__, t)) for t, i in json.loads(a_content)["model"]["vocab"].items()}
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        content = json.loads(a_content)
+        vocabulary, merges = content["model"]["vocab"], content["model"]["merges"]
+        self.a_bytes = np.full(max(vocabulary.values()) + 1, b"", dtype=object)
+        for token, i in vocabulary.items():
+            self.a_bytes[i] = bytes(map(byte_of.__getitem__, token))
+        made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+        if made != list(range(256, 256 + len(made))) or content["normalizer"] or content["pre_tokenizer"].get("type") != "ByteLevel":
+            raise ValueError("tokenizer A has to be a plain byte-level BPE whose ids follow its merges")
+        # Special tokens are no merge results, so their strings in a text are plain text.
+        ranks = {token: i for i, token in enumerate(self.a_bytes[: 256 + len(made)])}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.names = [list(map(str, range(len(table)))) for table in (self.a_bytes, range(self.b.get_piece_size()))]
+        self.b_bytes = np.full(self.b.get_piece_size(), b"", dtype=object)
+        self.b_bytes[:] = [self._piece(i) for i in range(len(self.b_bytes))]
+        self.widths = [np.array([len(t) for t in table], dtype=np.int64) for table in (self.a_bytes, self.b_bytes)]
         self.piecewise = not any(b" " in token.lstrip(b" ") for token in self.b_bytes)
         self.words = re.compile(r"(?<=\S) (?=\S)")
-        self.known = {}
+        self.edges = re.compile(r"\S(?:.*\S)?", re.S)
+        self.clear()
+
+    def clear(self):
+        """Forget all words."""
+        self.index, self.shown, self.held = {}, [], 0
+        # Per word: whether it is spelled, its measures, and where its pairs end.
+        self.columns = [array.array("q") for _ in range(6)]
+        self.pairs = array.array("q")
 
     def _piece(self, i):
         if self.b.is_byte(i):
             return bytes([int(self.b.id_to_piece(i)[3:-1], 16)])
         return self.b.id_to_piece(i).replace("▁", " ").encode()
 
-    def one(self, word):
-        """The alignment of a blank and ``word``."""
+    def _ids(self, texts):
+        """Ids of A and of B for texts end to end, a blank before each."""
+        a = self.a.encode_ordinary("".join(" " + t for t in texts))
+        return np.array(a, np.int64), np.array(list(itertools.chain.from_iterable(self.b.encode(texts, num_threads=1))), np.int64)
+
+    def _shown(self, a, b, groups):
+        a, b = (list(map(n.__getitem__, ids.tolist())) for n, ids in zip(self.names, (a, b)))
+        return [f"{a[a0] if a1 - a0 == 1 else ','.join(a[a0:a1])}|{b[b0] if b1 - b0 == 1 else ','.join(b[b0:b1])}" for a0, a1, b0, b1 in groups]
+
+    def _keep(self, word, spelled, measures, pairs, shown):
+        self.index[word] = len(self.shown)
+        self.held += len(word)
+        self.shown.append(shown)
+        self.pairs.extend(pairs)
+        for column, value in zip(self.columns, (spelled, *measures, len(self.pairs))):
+            column.append(value)
+
+    def _align_one(self, word):
+        """Keep the alignment of a blank and ``word``."""
         raw = b" " + word.encode()
-        a, b = self.a.encode(" " + word, add_special_tokens=False).ids, self.b.encode(word)
-        a_bytes, b_bytes = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
-            return Aligned(False, 0, 0, 0, 0, "", ())
-        a_ends, b_ends = np.cumsum([len(t) for t in a_bytes]).tolist(), np.cumsum([len(t) for t in b_bytes]).tolist()
+        a, b = self._ids([word])
+        if b"".join(self.a_bytes[a]) != raw or b"".join(self.b_bytes[b]) != raw:
+            self._keep(word, 0, (0, 0, 0, 0), (), "")
+            return
+        a_ends, b_ends = (np.cumsum(w[ids]).tolist() for w, ids in zip(self.widths, (a, b)))
         groups, pairs = ends_together(a_ends, b_ends), []
         for a0, a1, b0, b1 in groups:
             last_a = [a[k] for k in range(a0, a1) if a_ends[k] == a_ends[a1 - 1]]
             last_b = [b[k] for k in range(b0, b1) if b_ends[k] == b_ends[b1 - 1]]
-            pairs += [x * _B_IDS + y for x in last_a for y in last_b]
-        shown = ";".join(",".join(map(str, a[a0:a1])) + "|" + ",".join(map(str, b[b0:b1])) for a0, a1, b0, b1 in groups)
-        return Aligned(True, len(a), len(b), len(groups), len(pairs), shown, tuple(pairs))
-
-    def text(self, text):
-        """(n_a, n_b, n_groups, n_links, groups, {pair: links}) of a text; None where it is not spelled."""
-        words = self.words.split(text) if self.piecewise else [text]
-        counts = collections.Counter(words)
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known.clear()
-        found = {}
-        for word in counts:
-            one = self.known.get(word)
-            if one is None:
-                one = self.one(word)
-                if len(word) <= REMEMBERED_CHARS:
-                    self.known[word] = one
-            if not one.spelled:
-                return None
-            found[word] = one
-        n_a = n_b = n_groups = n_links = 0
-        pairs = collections.defaultdict(int)
-        for word, n in counts.items():
-            one = found[word]
-            n_a += n * one.n_a
-            n_b += n * one.n_b
-            n_groups += n * one.n_groups
-            n_links += n * one.n_links
-            for pair in one.pairs:
-                pairs[pair] += n
-        return n_a, n_b, n_groups, n_links, ";".join([found[w].groups for w in words]), pairs
+            pairs += [int(x * _B_IDS + y) for x in last_a for y in last_b]
+        self._keep(word, 1, (len(a), len(b), len(groups), len(pairs)), pairs, ";".join(self._shown(a, b, groups)))
+
+    def _align_all(self, words):
+        """Keep the alignments of words that begin and end with visible characters, aligned as one text."""
+        text = " ".join(words)
+        raw = b" " + text.encode()
+        a, b = self._ids([" ".join(words[k : k + WORDS_AT_A_TIME]) for k in range(0, len(words), WORDS_AT_A_TIME)])
+        # Past the last byte of each word, with the blank before it.
+        stops = np.cumsum([len(w.encode()) + 1 for w in words])
+        a_ends, b_ends = (np.cumsum(w[ids]) for w, ids in zip(self.widths, (a, b)))
+        common = a_ends[_among(a_ends, b_ends)]
+        plain = all(w[ids].all() for w, ids in zip(self.widths, (a, b))) and _among(stops, common).all()
+        if not plain or b"".join(self.a_bytes[a]) != raw or b"".join(self.b_bytes[b]) != raw:
+            for word in words:
+                self._align_one(word)
+            return
+        to_a, to_b = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
+        groups = zip([0, *to_a[:-1].tolist()], to_a.tolist(), [0, *to_b[:-1].tolist()], to_b.tolist())
+        shown = self._shown(a, b, groups)
+        pairs = a[to_a - 1] * _B_IDS + b[to_b - 1]
+        at = [np.searchsorted(ends, stops, side="right") for ends in (a_ends, b_ends, common)]
+        per_word = [np.diff(x, prepend=0) for x in at]
+        first = len(self.shown)
+        self.index.update(zip(words, range(first, first + len(words))))
+        self.held += len(text)
+        cuts = [0, *at[2].tolist()]
+        self.shown += [";".join(shown[x:y]) for x, y in zip(cuts, cuts[1:])]
+        for column, values in zip(self.columns, (np.ones(len(words), np.int64), *per_word, per_word[2], len(self.pairs) + at[2])):
+            column.frombytes(values.astype(np.int64).tobytes())
+        self.pairs.frombytes(pairs.tobytes())
+
+    def texts(self, texts):
+        """(measures, groups, pairs, times, first pair) of texts: a row of measures each, groups None where a text is not spelled.
+
+        The pairs of text i and how often each is linked are those from first[i] to first[i + 1].
+        """
+        if len(self.shown) > REMEMBERED_WORDS or self.held > REMEMBERED_CHARS:
+            self.clear()
+        words = [(self.words.split(t) if self.piecewise else [t]) if t else [] for t in texts]
+        new = dict.fromkeys(w for ws in words for w in ws if w not in self.index)
+        together = [w for w in new if self.piecewise and self.edges.fullmatch(w)]
+        if together:
+            self._align_all(together)
+        for w in new:
+            if w not in self.index:
+                self._align_one(w)
+        sizes = np.array([len(ws) for ws in words], dtype=np.int64)
+        at = np.fromiter((self.index[w] for ws in words for w in ws), np.int64, int(sizes.sum()))
+        row = np.repeat(np.arange(len(texts)), sizes)
+        spelled, *measures, ends = (np.frombuffer(c, np.int64) for c in self.columns) if len(self.shown) else [np.zeros(0, np.int64)] * 6
+        good = np.bincount(row, 1 - spelled[at], minlength=len(texts)) == 0 if len(at) else np.ones(len(texts), bool)
+        good &= sizes > 0
+        at, row = at[good[row]], row[good[row]]
+        totals = [np.bincount(row, m[at], minlength=len(texts)).astype(np.int64) for m in measures]
+        links = measures[3][at]
+        first = np.repeat(ends[at] - links - (np.cumsum(links) - links), links)
+        pairs = np.frombuffer(self.pairs, np.int64)[first + np.arange(len(first))] if len(first) else first
+        keys, times = np.unique((np.repeat(row, links) << _PAIR_BITS) | pairs, return_counts=True)
+        starts = np.searchsorted(keys, np.arange(len(texts) + 1) << _PAIR_BITS)
+        shown = [None] * len(texts)
+        cuts = np.searchsorted(row, np.arange(len(texts) + 1)).tolist()
+        names = list(map(self.shown.__getitem__, at.tolist()))
+        for i in np.flatnonzero(good):
+            shown[i] = ";".join(names[cuts[i] : cuts[i + 1]])
+        return np.stack(totals, axis=1), shown, keys & ((1 << _PAIR_BITS) - 1), times, starts
 
 
 @functools.lru_cache(maxsize=2)
@@ -151,23 +231,18 @@ def aligned_texts(texts, a_path, b_path, keep=(), with_groups=False):
         for batch in batches:
             at = 0
             for part in portions(batch.column(n)):
-                rows, pairs, times, groups = [], [], [], []
-                for text in part.to_pylist():
-                    found = aligner.text(text) if text else None
-                    *measures, shown, links = found or (0, 0, 0, 0, "", {})
-                    rows.append(measures)
-                    pairs.append(np.fromiter(links.keys(), np.int64, len(links)))
-                    times.append(np.fromiter(links.values(), np.int64, len(links)))
-                    groups.append((hashlib.sha256(shown.encode()).hexdigest() if found else "", shown))
+                measures, groups, pairs, times, first = aligner.texts(part.to_pylist())
+                digests = ["" if g is None else hashlib.sha256(g.encode()).hexdigest() for g in groups]
                 columns = [batch.column(k).slice(at, len(part)) for k in range(n)]
-                columns += [pa.array(c, pa.int64()) for c in zip(*rows)]
-                columns += [pa.array([d for d, _ in groups], pa.string()), pa.array(pairs, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int64()))]
+                columns += [pa.array(c, pa.int64()) for c in measures.T]
+                first = pa.array(first, pa.int32())
+                columns += [pa.array(digests, pa.string()), *(pa.ListArray.from_arrays(first, pa.array(v, pa.int64())) for v in (pairs, times))]
                 if with_groups:
-                    columns.append(pa.array([s for _, s in groups], pa.string()))
+                    columns.append(pa.array([g or "" for g in groups], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 at += len(part)
         # The worker lives on and may serve other steps.
-        aligner.known.clear()
+        aligner.clear()
 
     names = [*keep, *MEASURES, "groups_sha256", "pairs", "times", *(["groups"] if with_groups else [])]
     kinds = [f"`{c}` {texts.schema[c].dataType.simpleString()}" for c in keep]

@@ -5,10 +5,13 @@ import random
 import public_tokenizers
 import pytest
 from edge_cases import LONG, TEXTS, edge_docs, keep, no_docs
+from tokenizers import Tokenizer
 
 from inspectlake.llm import alignment
 
 A, B = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+TOKENIZER = Tokenizer.from_file(A)
+TOKENIZER.encode_special_tokens = True
 
 
 @pytest.fixture(scope="module")
@@ -16,10 +19,16 @@ def aligner():
     return alignment.Aligner(open(A, "rb").read(), open(B, "rb").read())
 
 
+def of_one(aligner, text):
+    measures, groups, pairs, times, first = aligner.texts([text])
+    assert first.tolist() == [0, len(pairs)]
+    return groups[0] if groups[0] is None else (*measures[0].tolist(), groups[0], dict(zip(pairs.tolist(), times.tolist())))
+
+
 def plain(aligner, text):
     """Groups and links of a text, tokenised whole."""
     raw = (" " + text).encode()
-    a, b = aligner.a.encode(" " + text, add_special_tokens=False).ids, aligner.b.encode(text)
+    a, b = TOKENIZER.encode(" " + text, add_special_tokens=False).ids, aligner.b.encode(text)
     a_bytes, b_bytes = [aligner.a_bytes[i] for i in a], [aligner.b_bytes[i] for i in b]
     if not text or b"".join(a_bytes) != raw or b"".join(b_bytes) != raw:
         return None
@@ -33,13 +42,26 @@ def plain(aligner, text):
     return len(a), len(b), groups, links
 
 
+def test_a_batch_is_as_its_texts(aligner):
+    rng = random.Random(9)
+    texts = [None, "", *(" ".join(rng.choice(["ab", "the", "é日", "x\n", "▁", "\tq", "", "wörd"]) for _ in range(rng.randrange(9))) for _ in range(300))]
+    measures, groups, pairs, times, first = aligner.texts(texts)
+    for i, text in enumerate(texts):
+        want = plain(aligner, text) if text else None
+        assert (groups[i] is None) == (want is None)
+        own = dict(zip(pairs[first[i] : first[i + 1]].tolist(), times[first[i] : first[i + 1]].tolist()))
+        links = [x * alignment._B_IDS + y for x, y in want[3]] if want else []
+        assert own == dict(collections.Counter(links))
+        assert measures[i].tolist() == ([want[0], want[1], len(want[2]), len(links)] if want else [0, 0, 0, 0])
+
+
 def test_words_align_as_whole_texts_do(aligner):
     assert aligner.piecewise
     rng = random.Random(5)
     letters = "abcdefgorstu  \n\t'é日\U0001f600.,12\x1c\x85\xa0▁<s>|endoftext|"
     for _ in range(1500):
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 40)))
-        want, got = plain(aligner, text), aligner.text(text)
+        want, got = plain(aligner, text), of_one(aligner, text)
         if want is None:
             assert got is None, text
             continue
@@ -54,7 +76,7 @@ def test_measures_of_every_row(spark, aligner, common):
     more = spark.createDataFrame([(*r, 0, 0.5, "x", 1, ["y"]) for r in extra], edge_docs(spark).schema)
     rows = alignment.align(edge_docs(spark).unionByName(more), A, B, keep, common_pairs=common).collect()
     whole = {t: plain(aligner, t) for t in {t for _, t, *_ in TEXTS + extra} if t and t != LONG}
-    got = aligner.text(LONG)
+    got = of_one(aligner, LONG)
     links = [(p // alignment._B_IDS, p % alignment._B_IDS) for p, n in got[5].items() for _ in range(n)]
     whole[LONG] = (got[0], got[1], got[4].split(";"), links)
     counts = collections.Counter()
