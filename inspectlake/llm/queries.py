@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from inspectlake.llm import alignment, bpe, jaccard, langid, lines, mixing, pii, prefixes, quality, rules, secret_scan, topk
+from inspectlake.llm import alignment, bpe, jaccard, langid, lines, main_text, mixing, pii, prefixes, quality, rules, secret_scan, topk
 from inspectlake.session import saved
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -121,7 +121,12 @@ def op12_cross_tokenizer_alignment(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii_pseudonyms, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op9_line_dedup, op10_byte_bpe, op11_conversation_prefix_trie, op12_cross_tokenizer_alignment)}
+def op13_html_extraction(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages")
+    return main_text.extract(pages, main_text.fit(pages, lambda rows: saved(rows, "pages")))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_language_id, op3_pii_pseudonyms, op4_ngram_jaccard, op5_mix_sources, op6_secret_scan, op7_quality_classifier, op8_quality_rules, op9_line_dedup, op10_byte_bpe, op11_conversation_prefix_trie, op12_cross_tokenizer_alignment, op13_html_extraction)}
 ORACLES = {
     "op1_top_k": """
 with v as (select vec_id, max(list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint))) as e from embeddings
