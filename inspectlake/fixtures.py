@@ -63,7 +63,10 @@ select user_id as project_id, event_id as seq, event_type as step, case when eve
     "fx_image_dim": """
 select p_partkey as image_id, p_size * 120 as width, cast(p_partkey % 3000 as int) + 100 as height from part""",
     "fx_form_html": """
-select p_partkey as page_id, '<html><body><form id="edit_report_1"><label for="f1"> ' || p_name || ' </label><input id="f1" name="owner" value="' || p_brand || '"><input type="hidden" name="h" value="x"><span>Addr</span><input name="property_address"><label>Wrapped <input name="roof"></label><div class="field"><label>Deep</label><p><textarea name="issues">t</textarea></p></div><input aria-label="Aria" name="z"><input name="only_name"><select name="tag_kind"><option>A</option><option> </option><option>' || p_type || '</option></select><input type="radio" name="r" value="1" id="r1" checked><label for="r1">One</label><input type="radio" name="r" value="2"><label>Two</label></form></body></html>' as html from part""",
+select p_partkey as page_id, case p_partkey % 4 when 0 then '<html><body><form id="edit_report_1"><label for="f1"> ' || p_name || ' </label><input id="f1" name="owner" value="' || p_brand || '"><input type="hidden" name="h" value="x"><span>Addr</span><input name="property_address"><label>Wrapped <input name="roof"></label><div class="field"><label>Deep</label><p><textarea name="issues">t</textarea></p></div><input aria-label="Aria" name="z"><input name="only_name"><select name="tag_kind"><option>A</option><option> </option><option>' || p_type || '</option></select><input type="radio" name="r" value="1" id="r1" checked><label for="r1">One</label><input type="radio" name="r" value="2"><label>Two</label></form></body></html>'
+ when 1 then '<html><body><form id="item_7"><div class="form-group"><label>Group</label><div class="form-group"><label> ' || p_name || ' </label><p><input type="checkbox" name="agree" value="yes" checked></p></div><p><input type="checkbox"></p></div><input type="checkbox" name="many" value="a"><label>Alpha</label><input type="CheckBox" name="many" value="b" checked><label>Beta</label><input name="plain" value="' || p_brand || '"></form></body></html>'
+ when 2 then '<html><body><form id="edit_report_1"><select name="kind"><option value="x">X</option><option value="y" selected>' || p_type || '</option></select><input name="n" placeholder="Hold" value="' || p_brand || '"></form><form id="item_9"><div>Head</div><input id="a9" class="my-tag" name="t1" value="v1"><input id="tag-box" name="t2" value="v2"><span>Near</span><input type="radio" name="solo" value="1" checked></form></body></html>'
+ else '<html><body><ul id="outline-navigation-list"><li class="outlineItem indent-level-0 report_section"><a> ' || p_name || ' </a></li><li class="outlineItem indent-level-1 info_table_section"><span>Part</span></li><li class="outlineItem indent-level-3">Deep ' || p_brand || '</li></ul><form id="item_3"><label for="c">Cond</label><textarea id="c" name="cond">' || p_type || '</textarea></form></body></html>' end as html from part""",
     "fx_input": """
 select doc_id as ordinal, doc_id % 40 as project_id, case doc_id % 3 when 0 then 'handwritten' when 1 then 'scanned' else 'images' end as doc_type,
  case when doc_id % 7 = 0 then '' when doc_id % 11 = 0 then null else 'uploads/' || source || '/' || doc_id || '.pdf' end as path from documents""",
@@ -100,12 +103,21 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_private_names(text, rows_of, prefix="inspectlake"):
+    """The text over temporary views of this library's own names, made by ``rows_of(table)``.
+
+    A user's views that are named like the tables stay as they are.
+    """
+    names = tables_of(text)
+    for source in names:
+        rows_of(source).createOrReplaceTempView(f"_{prefix}_{source}")
+    pattern = rf"\b(from|join)(\s+)({'|'.join(names)})\b"
+    return re.sub(pattern, lambda m: f"{m[1]}{m[2]}_{prefix}_{m[3]}", text)
+
+
 def fixture(spark, sf_dir, name):
     """A derived input as a DataFrame over the tables in ``sf_dir``."""
-    text = SQL[name]
-    for source in tables_of(text):
-        table(spark, sf_dir, source).createOrReplaceTempView(source)
-    return spark.sql(text)
+    return spark.sql(with_private_names(SQL[name], lambda source: table(spark, sf_dir, source)))
 
 
 def with_fixtures(text, *names):

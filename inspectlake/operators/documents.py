@@ -108,10 +108,11 @@ def collect_doc_fields(pages, doc_type="handwritten"):
     )
 
 
-def scanned_doc_result(documents, path="path"):
-    """The result of a scanned document: one page holding all its keys."""
+def scanned_doc_result(documents, path="path", extra=()):
+    """The result of a scanned document: one page holding all its keys; ``extra`` columns are kept."""
     return documents.select(
         "project_id",
+        *extra,
         F.lit("scanned").alias("document_type"),
         F.lit(1).alias("pages"),
         F.array("data").alias("fields"),
@@ -121,6 +122,15 @@ def scanned_doc_result(documents, path="path"):
 
 
 DOC_TYPES = ["handwritten", "scanned"]
+#: Types of inputs that are no documents.
+OTHER_TYPES = ["images"]
+
+
+def document_type_errors(results):
+    """One error row for every document whose type is not known (or null)."""
+    known = F.coalesce(F.col("doc_type").isin(DOC_TYPES + OTHER_TYPES), F.lit(False))
+    message = F.concat(F.lit("Unknown document type: "), F.coalesce("doc_type", F.lit("null")))
+    return results.filter(~known).select("project_id", "doc_type", "ordinal", message.alias("error"))
 
 
 def project_documents(results):
@@ -128,6 +138,7 @@ def project_documents(results):
 
     ``results(project_id, doc_type, ordinal, result, error)``: the last one of
     each type counts, so a project's map has at most one entry per type.
+    Documents of other types are in ``document_type_errors``.
     """
     text = F.when(
         F.col("error").isNotNull(), F.to_json(F.struct("error"))

@@ -15,11 +15,11 @@ from inspectlake.functions import text as T
 
 NODES = (
     "page_id bigint, node_id int, end_id int, parent_id int, sib_no int, tag string, "
-    "attrs map<string,string>, text string, ancestors array<int>"
+    "attrs map<string,string>, text string"
 )
 
 # Elements without content, elements a start tag closes, and the
-# elements whose text or ancestors later steps ask for.
+# elements whose text later steps ask for.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 CLOSED_BY = {
     "li": {"li"},
@@ -35,7 +35,6 @@ CLOSES_P = set("address article aside div dl fieldset footer form h1 h2 h3 h4 h5
 SCOPES = set("html body table select ul ol dl form div td th".split())
 CONTROLS = {"input", "select", "textarea"}
 WITH_TEXT = {"label", "option", "textarea", "a", "span", "th", "li"}
-WITH_ANCESTORS = CONTROLS | {"li", "option"}
 
 
 class _Page(HTMLParser):
@@ -75,10 +74,8 @@ class _Page(HTMLParser):
         node = {
             "node_id": node_id, "end_id": node_id, "parent_id": parent, "sib_no": sib_no,
             "tag": tag, "attrs": found, "from": len(self.texts), "to": len(self.texts),
-            "wanted": tag in WITH_TEXT or "item-label" in found.get("class", ""), "up": None,
+            "wanted": tag in WITH_TEXT or "item-label" in found.get("class", ""),
         }
-        if tag in WITH_ANCESTORS:
-            node["up"] = [n["node_id"] for n in self.open]
         if tag in CONTROLS and parent in self.previous:
             self.previous[parent]["wanted"] = True
         self.previous[parent] = node
@@ -105,7 +102,7 @@ class _Page(HTMLParser):
         for n in self.nodes:
             text = "".join(self.texts[n["from"] : n["to"]]) if n["wanted"] else None
             yield (n["node_id"], n["end_id"], n["parent_id"], n["sib_no"], n["tag"],
-                   list(n["attrs"].items()), text, n["up"])
+                   list(n["attrs"].items()), text)
 
 
 ARROW_NODES = pa.schema(
@@ -118,7 +115,6 @@ ARROW_NODES = pa.schema(
         ("tag", pa.string()),
         ("attrs", pa.map_(pa.string(), pa.string())),
         ("text", pa.string()),
-        ("ancestors", pa.list_(pa.int32())),
     ]
 )
 NODES_PER_BATCH = 20_000
@@ -146,8 +142,7 @@ def html_to_nodes(pages):
     """One row per element of every page, in document order.
 
     ``end_id`` is the last element inside, so containment is a range.  ``text``
-    is there for elements a label or an option can come from, ``ancestors``
-    for form controls, options and list items.  Steps that use the nodes more
+    is there for elements a label or an option can come from.  Steps that use the nodes more
     than once should read them from a written table, so that no page is parsed
     twice.
     """
@@ -162,6 +157,16 @@ def _page_window():
     return Window.partitionBy("page_id").orderBy("node_id")
 
 
+def _next(value):
+    """The next ``value`` of the page that is not null, after each row.
+
+    Read from the end of the page: a frame that grows is kept up, one that shrinks would be
+    made anew for every row.
+    """
+    back = Window.partitionBy("page_id").orderBy(F.desc("node_id"))
+    return F.last(value, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1))
+
+
 def _kind():
     return F.lower(_attr("type"))
 
@@ -268,41 +273,52 @@ def _has_class(*names):
 
 
 def field_boxes(nodes, classes=("field", "form-group")):
-    """``(page_id, box, text)``: containers and the first label inside each.
+    """``(page_id, node_id, end_id, text)``: containers and the first label inside each.
 
     The first label inside a container is the next label of the page after the
     container's start; it counts when it starts before the container ends.
     """
     is_label = F.col("tag") == "label"
     is_box = _has_class(*classes)
-    next_label = F.first(
-        F.when(is_label, F.struct("node_id", _trimmed().alias("text"))), ignorenulls=True
-    ).over(_page_window().rowsBetween(1, Window.unboundedFollowing))
+    next_label = _next(F.when(is_label, F.struct("node_id", _trimmed().alias("text"))))
     inside = F.col("_label.node_id") <= F.col("end_id")
     return (
         nodes.filter(is_label | is_box)
         .withColumn("_label", next_label)
         .filter(is_box)
-        .select("page_id", F.col("node_id").alias("box"), F.when(inside, F.col("_label.text")).alias("text"))
+        .select("page_id", "node_id", "end_id", F.when(inside, F.col("_label.text")).alias("text"))
     )
 
 
-def with_closest_label(rows, boxes):
-    """Add ``l_closest``: the label of the nearest container around a control.
+def with_innermost(rows, boxes, value, to):
+    """Add ``to``: ``value`` of the innermost of ``boxes`` around each row; a box is in itself.
 
-    The containers of a page meet its controls as one map, on the partitioning
-    by page that is already there.
+    Boxes nest, so their starts and ends, counted up along a page, give the depth at every
+    row, and the box around a row is the last one that started at that depth.  Two windows
+    over the rows and boxes of a page, whatever the number or depth of boxes; rows outside
+    of all boxes get null.
     """
-    entries = F.map_from_entries(F.collect_list(F.struct("box", "text")))
-    by_page = boxes.groupBy("page_id").agg(entries.alias("_boxes"))
-    up = F.concat(F.coalesce("ancestors", F.array().cast("array<int>")), F.array("node_id"))
-    around = F.array_intersect(up, F.map_keys("_boxes"))
-    nearest = F.when(F.size(around) > 0, F.element_at(around, -1))
-    return (
-        rows.join(by_page, "page_id", "left")
-        .withColumn("l_closest", F.try_element_at("_boxes", nearest))
-        .drop("_boxes")
-    )
+    start, ask, end = 0, 1, 2
+
+    def event(at, kind, delta):
+        return [at.alias("_at"), F.lit(kind).alias("_event"), F.lit(delta).alias("_delta")]
+
+    opened = boxes.select("page_id", *event(F.col("node_id"), start, 1), F.struct(value.alias("value")).alias("_box"))
+    closed = boxes.select("page_id", *event(F.col("end_id"), end, -1))
+    asked = rows.select("*", *event(F.col("node_id"), ask, 0))
+    events = asked.unionByName(opened, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True)
+
+    def so_far(*keys):
+        return Window.partitionBy("page_id", *keys).orderBy("_at", "_event").rowsBetween(Window.unboundedPreceding, 0)
+
+    deep = events.withColumn("_depth", F.sum("_delta").over(so_far())).filter(F.col("_event") != end)
+    found = deep.withColumn("_box", F.last("_box", ignorenulls=True).over(so_far("_depth")))
+    return found.filter(F.col("_event") == ask).select(*rows.columns, F.col("_box.value").alias(to))
+
+
+def with_closest_label(rows, boxes):
+    """Add ``l_closest``: the label of the nearest container around a control."""
+    return with_innermost(rows, boxes, F.col("text"), "l_closest")
 
 
 def _labels(rows, column):
@@ -323,7 +339,7 @@ def label_parent(nodes):
 
 
 def label_closest(nodes):
-    controls = input_controls(nodes).select("page_id", "node_id", "name", "ancestors")
+    controls = input_controls(nodes).select("page_id", "node_id", "name")
     found = with_closest_label(controls, field_boxes(nodes)).filter("l_closest is not null")
     return found.select("page_id", "node_id", "name", F.col("l_closest").alias("label"))
 
@@ -339,11 +355,11 @@ def resolve_label(nodes):
     near = F.coalesce(*_text_of(F.col("l_for"), F.col("l_prev"), F.col("l_parent")))
     far = F.coalesce(*_text_of(_attr("aria-label"), _attr("name"), _attr("placeholder")), F.lit(""))
     rows = rows.select(
-        "page_id", "node_id", "tag", "form_id", "name", "value", "ancestors", near.alias("_near"), far.alias("_far")
+        "page_id", "node_id", "tag", "form_id", "name", "value", near.alias("_near"), far.alias("_far")
     )
     rows = with_closest_label(rows, field_boxes(nodes))
     label = F.coalesce("_near", *_text_of(F.col("l_closest")), "_far")
-    return rows.withColumn("label", label).drop("_near", "_far", "l_closest", "ancestors")
+    return rows.withColumn("label", label).drop("_near", "_far", "l_closest")
 
 
 def _ordered(struct, order):
@@ -435,29 +451,29 @@ def choice_options(nodes):
 
     Inputs of one name on a page form a group.  The first of a group of
     several carries the list when it is a choice itself; a single one and one
-    without a name carry ``checked``; the others carry neither.
+    without a name carry ``checked``; the others carry neither.  Only the first
+    of a group ever holds its list, so a group takes the room of its members.
     """
     rows = with_option_label(with_label_for(with_forms(form_nodes(nodes)))).filter("tag = 'input'")
-    member = F.struct(
-        "node_id",
-        (F.col("is_control") & _is_choice()).alias("is_choice"),
-        F.struct(
-            F.col("option_label").alias("label"),
-            F.col("value"),
-            F.map_contains_key("attrs", "checked").alias("selected"),
-        ).alias("option"),
-    )
-    groups = rows.groupBy("page_id", "name").agg(F.array_sort(F.collect_list(member)).alias("_all"))
-    members = groups.select("page_id", "name", "_all", F.posexplode("_all").alias("_pos", "_m"))
-    several = (F.col("name") != "") & (F.size("_all") > 1)
+    checked = F.map_contains_key("attrs", "checked")
+    option = F.struct(F.col("option_label").alias("label"), F.col("value"), checked.alias("selected"))
+    member = F.struct("node_id", (F.col("is_control") & _is_choice()).alias("is_choice"), option.alias("option"))
+    # An input without a name is a group of its own.
+    alone = F.when(F.col("name") == "", F.col("node_id"))
+    groups = rows.groupBy("page_id", "name", alone.alias("_alone")).agg(F.array_sort(F.collect_list(member)).alias("_all"))
+    several = F.size("_all") > 1
     options = F.transform("_all", lambda m: m["option"])
-    return members.filter("_m.is_choice").select(
-        "page_id",
-        F.col("_m.node_id").alias("node_id"),
-        "name",
-        F.when(several & (F.col("_pos") == 0), options).alias("radio_options"),
-        F.when(~several, F.col("_m.option.selected")).alias("checked"),
-    )
+
+    def shown(m, place):
+        return F.struct(
+            m["node_id"].alias("node_id"),
+            m["is_choice"].alias("is_choice"),
+            F.when(several & (place == 0), options).alias("radio_options"),
+            F.when(~several, m["option"]["selected"]).alias("checked"),
+        )
+
+    members = groups.select("page_id", "name", F.explode(F.transform("_all", shown)).alias("_m"))
+    return members.filter("_m.is_choice").select("page_id", "_m.node_id", "name", "_m.radio_options", "_m.checked")
 
 
 def form_fields(nodes):
@@ -524,16 +540,11 @@ def outline_entries(nodes, list_id="outline-navigation-list"):
     """
     is_item = (F.col("tag") == "li") & _has_class("outlineItem")
     holds = F.col("tag").isin("a", "span") | _has_class("outline-item-label", "item-label")
-    lists = nodes.filter(_attr("id") == list_id).select("page_id", F.col("node_id").alias("_list"))
-    next_text = F.first(
-        F.when(holds, F.struct("node_id", "text")), ignorenulls=True
-    ).over(_page_window().rowsBetween(1, Window.unboundedFollowing))
+    # What is in a list begins after it.
+    lists = nodes.filter((_attr("id") == list_id) & (F.col("end_id") > F.col("node_id"))).select("page_id", (F.col("node_id") + 1).alias("node_id"), "end_id")
+    next_text = _next(F.when(holds, F.struct("node_id", "text")))
     items = nodes.filter(is_item | holds).withColumn("_t", next_text).filter(is_item)
-    inside = (
-        items.select("*", F.explode("ancestors").alias("_list"))
-        .join(lists, ["page_id", "_list"], "left_semi")
-        .dropDuplicates(["page_id", "node_id"])
-    )
+    inside = with_innermost(items, lists, F.lit(True), "_listed").filter("_listed")
     has_text = F.col("_t.node_id") <= F.col("end_id")
     return inside.select(
         "page_id",

@@ -93,7 +93,7 @@ def without_documents(records, errors, doc="doc_id"):
     return records.join(errors.select(doc), doc, "left_anti")
 
 
-def image_records(envelopes, image="image_name"):
+def image_records(envelopes, image="image_name", checked=False):
     """One image record per response, in one pass.
 
     An object gives its 14 fields, with defaults only for absent keys; a failed
@@ -101,7 +101,8 @@ def image_records(envelopes, image="image_name"):
     the short error record, whose other columns are null and whose ``error``
     is set.  List fields keep what came: the JSON text of a list or object, a
     string as it is; ``kinds`` tells them apart and ``list_view`` gives typed
-    columns.
+    columns.  ``checked`` adds what ``vocab_check`` asks for: ``building_area`` and
+    the stated ``confidence``, null where a response does not give them.
     """
     data = F.col("data")
     good, failed = F.expr(IS_RECORD), F.expr(IS_FAILED)
@@ -120,6 +121,7 @@ def image_records(envelopes, image="image_name"):
         .when(failed, T.failed(F.col("error")))
         .otherwise(F.lit(""))
         .alias("evidence"),
+        *([F.when(good, F.try_element_at("data", F.lit("building_area"))).alias("building_area"), F.when(good, F.try_element_at("data", F.lit("confidence"))).try_cast("double").alias("confidence")] if checked else []),
         F.when(~good & ~failed, _no_get(F.col("kind"), F.col("raw_response"))).alias("error"),
     )
 

@@ -6,6 +6,7 @@ own level, which differ for the untitled nodes that fill a skipped level.
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -87,26 +88,29 @@ def parent_asof(nodes):
 def section_path(nodes, separator=" > "):
     """Titles from the root down to every node, and its depth.
 
-    One fold over the nodes of a page, which one input row bounds: a node at
-    level L keeps the first L titles of the path before it.  Titles must not
-    be null.
+    The rows of a page come to one task in order, and a fold over them emits each node with
+    its path: a node at level L keeps the first L titles of the path before it.  It holds
+    one path and one batch of rows at a time, so the length of a page costs no memory and
+    no more than its own time.  Titles must not be null.
     """
     kept = [c for c in nodes.columns if not c.startswith("_")]
-    row = F.struct("ord", "level", *[c for c in kept if c not in ("page_id", "ord", "level")])
-    pages = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
-    none = F.array().cast("array<string>")
-
-    def step(state, x):
-        stack = F.concat(F.slice(state["stack"], F.lit(1), x["level"]), F.array(x["title"]))
-        return F.struct(stack.alias("stack"), F.array_append(state["paths"], F.array_join(stack, separator)).alias("paths"))
-
-    paths = F.aggregate("_rows", F.struct(none.alias("stack"), none.alias("paths")), step, lambda s: s["paths"])
-    placed = pages.select("page_id", F.explode(F.arrays_zip("_rows", paths.alias("_paths"))).alias("_n"))
-    return placed.select(
-        *["page_id" if c == "page_id" else F.col(f"_n._rows.{c}").alias(c) for c in kept],
-        F.col("_n._paths").alias("path"),
-        (F.col("_n._rows.level") + 1).alias("depth"),
-    )
+    rows = nodes.select("page_id", "level", "title", *[c for c in kept if c not in ("page_id", "level", "title")])
+
+    def placed(batches):
+        page, stack = None, []
+        for batch in batches:
+            paths = []
+            for key, level, title in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if key != page:
+                    page, stack = key, []
+                del stack[level:]
+                stack.append(title)
+                paths.append(separator.join(stack))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.string())], names=[*batch.schema.names, "path"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "ord", "level")
+    return ordered.mapInArrow(placed, f"{kinds}, path string").select(*kept, "path", (F.col("level") + 1).alias("depth"))
 
 
 def split_form_fields(fields, report_form):

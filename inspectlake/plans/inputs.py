@@ -27,10 +27,6 @@ def stable_order(spark, sf_dir):
     return D.stable_order(fixture(spark, sf_dir, "fx_input"), "ordinal")
 
 
-def image_paths(spark, sf_dir):
-    return D.image_paths(fixture(spark, sf_dir, "fx_image_path"))
-
-
 def project_rows(spark, sf_dir):
     new = create_projects(
         fixture(spark, sf_dir, "fx_project"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
@@ -104,19 +100,25 @@ def project_documents(spark, sf_dir):
         F.concat(F.lit("result of "), "path").alias("result"),
         F.when(F.coalesce("path", F.lit("")) == "", F.lit("no path")).alias("error"),
     )
-    return D.project_documents(rows).select(
+    # Some documents have a type that is not known, or none.
+    kind = F.when(F.col("ordinal") % 13 == 0, F.lit("fax")).when(F.col("ordinal") % 17 == 0, F.lit(None)).otherwise(F.col("doc_type"))
+    rows = rows.withColumn("doc_type", kind)
+    none = F.lit(None).cast("bigint")
+    documents = D.project_documents(rows).select(
         "project_id",
         F.try_element_at("documents", F.lit("handwritten")).alias("handwritten"),
         F.try_element_at("documents", F.lit("scanned")).alias("scanned"),
         F.size("documents").cast("bigint").alias("n_documents"),
+        none.alias("ordinal"),
+        F.lit(None).cast("string").alias("error"),
     )
+    return documents.unionByName(D.document_type_errors(rows).select("project_id", "ordinal", "error"), allowMissingColumns=True)
 
 
 QUERIES = {
     "present_inputs": present_inputs,
     "route_documents": route_documents,
     "stable_order": stable_order,
-    "image_glob": image_paths,
     "create_projects": project_rows,
     "explode_pages": explode_pages,
     "extract_kv_lines": extract_kv_lines,
@@ -140,7 +142,6 @@ ORACLES = {
         "select *, case when doc_type = 'scanned' then 'text' else 'page' end as route from fx_input", "fx_input"
     ),
     "stable_order": with_fixtures("select * from fx_input order by ordinal", "fx_input"),
-    "image_glob": with_fixtures("select * from fx_image_path where path like '%.jpg' or path like '%.png'", "fx_image_path"),
     "create_projects": with_fixtures(
         """select cast(project_id as varchar) as project_id, project_name, 'created' as status,
  timestamp '2024-01-01 00:00:00' as created_at, '' as handwritten_pdf, '' as scanned_pdf, cast(0 as bigint) as images from fx_project""",
@@ -186,10 +187,12 @@ select doc_id, 'handwritten' as document_type, count(*) as pages, string_agg(s,
         "fx_page_response",
     ),
     "project_documents": with_fixtures(
-        """, last as (select project_id, doc_type, case when coalesce(path, '') = '' then '{"error":"no path"}' else 'result of ' || path end as result
- from fx_input where doc_type in ('handwritten', 'scanned') qualify row_number() over (partition by project_id, doc_type order by ordinal desc) = 1)
+        """, typed as (select project_id, ordinal, path, case when ordinal % 13 = 0 then 'fax' when ordinal % 17 = 0 then null else doc_type end as doc_type from fx_input),
+last as (select project_id, doc_type, case when coalesce(path, '') = '' then '{"error":"no path"}' else 'result of ' || path end as result
+ from typed where doc_type in ('handwritten', 'scanned') qualify row_number() over (partition by project_id, doc_type order by ordinal desc) = 1)
 select project_id, max(result) filter (where doc_type = 'handwritten') as handwritten, max(result) filter (where doc_type = 'scanned') as scanned,
- count(*) as n_documents from last group by project_id""",
+ count(*) as n_documents, cast(null as bigint) as ordinal, cast(null as varchar) as error from last group by project_id
+union all select project_id, null, null, null, ordinal, 'Unknown document type: ' || coalesce(doc_type, 'null') from typed where doc_type = 'fax' or doc_type is null""",
         "fx_input",
     ),
 }

@@ -19,6 +19,7 @@ from inspectlake.operators import tree as X
 from inspectlake.plans.common import ALIASES, NORM_NAME, RENAMED, envelopes, given, merged_extraction, normalized
 from inspectlake.plans.reviews import STATUS
 from inspectlake.session import saved
+from inspectlake.sources import tables
 
 
 def _answers(requests, cache, make, model_id, options):
@@ -73,6 +74,40 @@ def extracted_values(pages, texts, images, skip_failed=False):
     return G.last_wins_merge(G.rename_keys(pairs))
 
 
+def write_outputs(path, pages, failed, scanned, images, order, write_seq=1):
+    """Store the document output and the image output of every project.
+
+    ``pages`` are page records with project_id and doc_id, ``failed`` the documents that
+    failed as a whole (project_id, doc_id, error), ``scanned`` scanned documents with their
+    ``data`` and ``path``, ``images`` image records in the order of the column ``order``.
+    The last document of each type counts (by doc_id).  A project's documents are one
+    artifact; its images, which may be very many, stay one row each.
+    """
+    keys = ["project_id", "doc_id"]
+    of_pages = D.collect_doc_fields(pages.drop("project_id")).join(pages.select(*keys).distinct(), "doc_id")
+    of_scans = D.scanned_doc_result(scanned, extra=["doc_id"])
+
+    def result(rows, doc_type):
+        whole = F.to_json(F.struct(*[c for c in rows.columns if c not in keys]), {"ignoreNullFields": "false"})
+        return rows.select("project_id", F.lit(doc_type).alias("doc_type"), F.col("doc_id").alias("ordinal"), whole.alias("result"), F.lit(None).cast("string").alias("error"))
+
+    wrong = failed.select("project_id", F.lit("handwritten").alias("doc_type"), F.col("doc_id").alias("ordinal"), F.lit(None).cast("string").alias("result"), "error")
+    results = result(of_pages, "handwritten").unionByName(result(of_scans, "scanned")).unionByName(wrong)
+    # The results are JSON texts already, so the map is put together as text.
+    entry = F.transform(F.map_entries("documents"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"]))
+    payload = F.concat(F.lit("{"), F.array_join(entry, ","), F.lit("}"))
+    documents = D.project_documents(results).select("project_id", F.lit("document_output").alias("artifact"), F.lit(write_seq).cast("bigint").alias("write_seq"), payload.alias("payload"))
+    tables.write_artifacts(documents, f"{path}/documents")
+    record = F.to_json(F.struct(*[c for c in images.columns if c not in ("project_id", "kinds", order)]), {"ignoreNullFields": "false"})
+    listed = images.select("project_id", F.lit("image_output").alias("artifact"), F.lit(write_seq).cast("bigint").alias("write_seq"), F.col(order).alias("ordinal"), record.alias("payload"))
+    tables.write_lists(listed, f"{path}/images")
+
+
+def read_outputs(spark, path):
+    """The last document output of every project, and the entries of its last image output."""
+    return tables.read_artifacts(spark, f"{path}/documents"), tables.read_lists(spark, f"{path}/images")
+
+
 def form_catalog(pages):
     """Fields, placed outline nodes with paths, and tags of scraped pages."""
     nodes = saved(H.html_to_nodes(pages), "nodes")

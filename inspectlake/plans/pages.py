@@ -1,7 +1,7 @@
 """Queries over scraped HTML forms.
 
-Every page is made from one row of ``part``, so the right answer is a
-selection from that table.
+Every page is made from one row of ``part`` by one of four templates, so the
+right answer is a selection from that table.
 """
 
 from pyspark.sql import functions as F
@@ -63,7 +63,7 @@ def select_options(spark, sf_dir):
 
 
 def next_sibling_label(spark, sf_dir):
-    rows = H.next_sibling_label(_nodes(spark, sf_dir)).filter("kind = 'radio'")
+    rows = H.next_sibling_label(_nodes(spark, sf_dir))
     return rows.select("page_id", "name", "value", "option_label", "checked")
 
 
@@ -112,88 +112,139 @@ QUERIES = {
 }
 
 
-def _each(rows, names):
-    """Rows of constants repeated for every part."""
-    return f"select p_partkey as page_id, v.* from part, (values {rows}) v({names})"
-
-
 def _per_part(*rows):
-    """One SELECT over ``part`` per row of ``name -> expression``."""
+    """One SELECT over ``part`` per (template, name -> expression)."""
     texts = []
-    for row in rows:
+    for template, row in rows:
         columns = ", ".join(f"{expr} as {name}" for name, expr in row.items())
-        texts.append(f"select p_partkey as page_id, {columns} from part")
+        texts.append(f"select p_partkey as page_id, {columns} from part where p_partkey % 4 = {template}")
     return " union all ".join(texts)
 
 
-def _field(name, label, kind="'input'", value="''", options="null", radio="null"):
+def _field(name, label, kind="'input'", value="''", options="null", radio="null", form="'edit_report_1'", own=None):
+    """A control as a form field; ``own`` is the value of the element alone where the field reports another."""
     return {
-        "form_id": "'edit_report_1'", "name": name, "label": label, "type": kind, "value": value,
-        "options": f"cast({options} as varchar)", "radio_options": f"cast({radio} as varchar)",
-    }
+        "form_id": form, "name": name, "label": label, "type": kind, "value": value,
+        "options": f"cast({options} as varchar)", "radio_options": f"cast({radio} as varchar)", "own": own or value,
+    }
 
 
 RADIO = "'One=1=true|Two=2=false'"
+BOXES = "'Alpha=a=false|Beta=b=true'"
+I7, I9, I3 = ({"form": f"'item_{n}'"} for n in (7, 9, 3))
 FIELDS = [
-    _field("'owner'", "trim(p_name)", value="p_brand"),
-    _field("'property_address'", "'Addr'"),
-    _field("'roof'", "'Wrapped'"),
-    _field("'issues'", "'Deep'", "'textarea'", "'t'"),
-    _field("'z'", "'Deept'"),
-    _field("'only_name'", "'only_name'"),
-    _field("'tag_kind'", "'tag_kind'", "'select'", "'A'", "'A|' || trim(p_type)"),
-    _field("'r'", "'One'", value="'1'", radio=RADIO),
-    _field("'r'", "'One'", value="'2'"),
+    (0, _field("'owner'", "trim(p_name)", value="p_brand")),
+    (0, _field("'property_address'", "'Addr'")),
+    (0, _field("'roof'", "'Wrapped'")),
+    (0, _field("'issues'", "'Deep'", "'textarea'", "'t'")),
+    (0, _field("'z'", "'Deept'")),
+    (0, _field("'only_name'", "'only_name'")),
+    (0, _field("'tag_kind'", "'tag_kind'", "'select'", "'A'", "'A|' || trim(p_type)", own="''")),
+    (0, _field("'r'", "'One'", value="'1'", radio=RADIO)),
+    (0, _field("'r'", "'One'", value="'2'")),
+    (1, _field("'agree'", "trim(p_name)", value="'yes'", **I7)),
+    (1, _field("''", "'Group'", value="'on'", **I7)),
+    (1, _field("'many'", "'Group ' || trim(p_name)", value="'a'", radio=BOXES, **I7)),
+    (1, _field("'many'", "'Alpha'", value="'b'", **I7)),
+    (1, _field("'plain'", "'Beta'", value="p_brand", **I7)),
+    (2, _field("'kind'", "'kind'", "'select'", "'y'", "'X|' || trim(p_type)", own="''")),
+    (2, _field("'n'", "'n'", value="p_brand")),
+    (2, _field("'t1'", "'Head'", value="'v1'", **I9)),
+    (2, _field("'t2'", "'t2'", value="'v2'", **I9)),
+    (2, _field("'solo'", "'Near'", value="'1'", **I9)),
+    (3, _field("'cond'", "'Cond'", "'textarea'", "p_type", **I3)),
 ]
-# Elements of a page in document order: tag, name, label text.
+# Elements of each page in document order: tag, name, label text.
 ELEMENTS = [
-    ("html", None, None), ("body", None, None), ("form", None, None), ("label", None, "' ' || p_name || ' '"),
-    ("input", "owner", None), ("input", "h", None), ("span", None, None), ("input", "property_address", None),
-    ("label", None, "'Wrapped '"), ("input", "roof", None), ("div", None, None), ("label", None, "'Deep'"),
-    ("p", None, None), ("textarea", "issues", None), ("input", "z", None), ("input", "only_name", None),
-    ("select", "tag_kind", None), ("option", None, None), ("option", None, None), ("option", None, None),
-    ("input", "r", None), ("label", None, "'One'"), ("input", "r", None), ("label", None, "'Two'"),
-]
+    [
+        ("html", None, None), ("body", None, None), ("form", None, None), ("label", None, "' ' || p_name || ' '"),
+        ("input", "owner", None), ("input", "h", None), ("span", None, None), ("input", "property_address", None),
+        ("label", None, "'Wrapped '"), ("input", "roof", None), ("div", None, None), ("label", None, "'Deep'"),
+        ("p", None, None), ("textarea", "issues", None), ("input", "z", None), ("input", "only_name", None),
+        ("select", "tag_kind", None), ("option", None, None), ("option", None, None), ("option", None, None),
+        ("input", "r", None), ("label", None, "'One'"), ("input", "r", None), ("label", None, "'Two'"),
+    ],
+    [
+        ("html", None, None), ("body", None, None), ("form", None, None), ("div", None, None), ("label", None, "'Group'"), ("div", None, None),
+        ("label", None, "' ' || p_name || ' '"), ("p", None, None), ("input", "agree", None), ("p", None, None), ("input", None, None),
+        ("input", "many", None), ("label", None, "'Alpha'"), ("input", "many", None), ("label", None, "'Beta'"), ("input", "plain", None),
+    ],
+    [
+        ("html", None, None), ("body", None, None), ("form", None, None), ("select", "kind", None), ("option", None, None), ("option", None, None),
+        ("input", "n", None), ("form", None, None), ("div", None, None), ("input", "t1", None), ("input", "t2", None), ("span", None, None), ("input", "solo", None),
+    ],
+    [
+        ("html", None, None), ("body", None, None), ("ul", None, None), ("li", None, None), ("a", None, None), ("li", None, None), ("span", None, None),
+        ("li", None, None), ("form", None, None), ("label", None, "'Cond'"), ("textarea", "cond", None),
+    ],
+]
+
+
+def _labelled(*rows):
+    return _per_part(*[(t, {"name": f"'{n}'", "label": label}) for t, n, label in rows])
+
+
+def _only(columns, rows=None):
+    return _per_part(*[(t, {c: f[c] for c in columns}) for t, f in rows or FIELDS])
+
 
+def _options(*rows):
+    """Name, value, option label and whether it is checked, of named inputs."""
+    return _per_part(*[(t, {"name": f"'{n}'", "value": v, "option_label": label, "checked": c}) for t, n, v, label, c in rows])
 
-def _labelled(*pairs):
-    return _per_part(*[{"name": f"'{n}'", "label": label} for n, label in pairs])
+
+def _chosen(*rows):
+    return _per_part(*[(t, {"name": f"'{n}'", "radio_options": f"cast({r} as varchar)", "checked": f"cast({c} as boolean)"}) for t, n, r, c in rows])
+
+
+def _tagged(t, name, value, label, kind, options):
+    return t, {"name": name, "value": value, "label": label, "type": kind, "options": f"cast({options} as varchar)"}
 
 
 ORACLES = {
     "html_to_nodes": _per_part(
         *[
-            {
-                "node_id": f"cast({i} as bigint)",
-                "tag": f"'{tag}'",
-                "name": f"'{name}'" if name else "cast(null as varchar)",
-                "label_text": text or "cast(null as varchar)",
-            }
-            for i, (tag, name, text) in enumerate(ELEMENTS)
-        ]
-    ),
-    "input_controls": _per_part(
-        *[
-            {"form_id": f["form_id"], "tag": f["type"], "name": f["name"], "value": f["value"] if f["name"] != "'tag_kind'" else "''"}
-            for f in FIELDS
+            (
+                t,
+                {
+                    "node_id": f"cast({i} as bigint)",
+                    "tag": f"'{tag}'",
+                    "name": f"'{name}'" if name else "cast(null as varchar)",
+                    "label_text": text or "cast(null as varchar)",
+                },
+            )
+            for t, elements in enumerate(ELEMENTS)
+            for i, (tag, name, text) in enumerate(elements)
         ]
     ),
-    "label_for": _labelled(("owner", "trim(p_name)"), ("r", "'One'")),
+    "input_controls": _per_part(*[(t, {"form_id": f["form_id"], "tag": f["type"], "name": f["name"], "value": f["own"]}) for t, f in FIELDS]),
+    "label_for": _labelled((0, "owner", "trim(p_name)"), (0, "r", "'One'"), (3, "cond", "'Cond'")),
     "label_prev_sibling": _labelled(
-        ("owner", "trim(p_name)"), ("property_address", "'Addr'"), ("z", "'Deept'"), ("r", "'One'")
+        (0, "owner", "trim(p_name)"), (0, "property_address", "'Addr'"), (0, "z", "'Deept'"), (0, "r", "'One'"),
+        (1, "many", "'Group ' || trim(p_name)"), (1, "many", "'Alpha'"), (1, "plain", "'Beta'"), (2, "t1", "'Head'"), (2, "solo", "'Near'"), (3, "cond", "'Cond'"),
     ),
-    "label_parent": _labelled(("roof", "'Wrapped'")),
-    "label_closest": _labelled(("issues", "'Deep'")),
-    "resolve_label": _per_part(*[{"name": f["name"], "label": f["label"]} for f in FIELDS]),
+    "label_parent": _labelled((0, "roof", "'Wrapped'")),
+    "label_closest": _labelled((0, "issues", "'Deep'"), (1, "agree", "trim(p_name)"), (1, "", "'Group'")),
+    "resolve_label": _only(("name", "label")),
     "select_options": _per_part(
-        {"name": "'tag_kind'", "options": "'A|' || trim(p_type)", "selected_value": "'A'"}
+        (0, {"name": "'tag_kind'", "options": "'A|' || trim(p_type)", "selected_value": "'A'"}),
+        (2, {"name": "'kind'", "options": "'X|' || trim(p_type)", "selected_value": "'y'"}),
     ),
-    "next_sibling_label": _each("('r', '1', 'One', true), ('r', '2', 'Two', false)", "name, value, option_label, checked"),
-    "choice_options": _each(
-        f"('r', {RADIO}, cast(null as boolean)), ('r', null, null)", "name, radio_options, checked"
+    "next_sibling_label": _options(
+        (0, "owner", "p_brand", "trim(p_name)", "false"), (0, "h", "'x'", "'x'", "false"), (0, "property_address", "''", "'Wrapped'", "false"),
+        (0, "roof", "''", "''", "false"), (0, "z", "''", "''", "false"), (0, "only_name", "''", "''", "false"),
+        (0, "r", "'1'", "'One'", "true"), (0, "r", "'2'", "'Two'", "false"),
+        (1, "agree", "'yes'", "'yes'", "true"), (1, "many", "'a'", "'Alpha'", "false"), (1, "many", "'b'", "'Beta'", "true"), (1, "plain", "p_brand", "p_brand", "false"),
+        (2, "n", "p_brand", "p_brand", "false"), (2, "t1", "'v1'", "'v1'", "false"), (2, "t2", "'v2'", "'v2'", "false"), (2, "solo", "'1'", "'1'", "true"),
+    ),
+    "choice_options": _chosen(
+        (0, "r", RADIO, "null"), (0, "r", "null", "null"), (1, "agree", "null", "true"), (1, "", "null", "false"), (1, "many", BOXES, "null"), (1, "many", "null", "null"),
+        (2, "solo", "null", "true"),
     ),
     "tag_fields": _per_part(
-        {"name": "'tag_kind'", "value": "'A'", "label": "'tag_kind'", "type": "'select'", "options": "'A|' || trim(p_type)"}
+        _tagged(0, "'tag_kind'", "'A'", "'tag_kind'", "'select'", "'A|' || trim(p_type)"),
+        _tagged(2, "'t1'", "'v1'", "'Head'", "'input'", "null"),
+        _tagged(2, "'t2'", "'v2'", "'t2'", "'input'", "null"),
     ),
-    "form_fields": _per_part(*FIELDS),
-}
+    "form_fields": _only(("form_id", "name", "label", "type", "value", "options", "radio_options")),
+}

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from inspectlake.fixtures import SQL, with_fixtures
+from inspectlake.fixtures import SQL, with_fixtures, with_private_names
 from inspectlake.plans.caching import CHAIN
 from inspectlake.plans.storage import documents_in, write_uploads
 from inspectlake.session import work_dir
@@ -12,10 +12,12 @@ from inspectlake.streaming import streams as Q
 
 def stream_fixture(spark, sf_dir, name):
     """A fixture over ``events`` with the table read as a stream."""
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    Q.stream_parquet(spark, path, schema).createOrReplaceTempView("events")
-    return spark.sql(SQL[name])
+
+    def stream_of(source):
+        path = f"{sf_dir}/{source}.parquet"
+        return Q.stream_parquet(spark, path, spark.read.parquet(path).schema)
+
+    return spark.sql(with_private_names(SQL[name], stream_of, "inspectlake_stream"))
 
 
 def stream_ingest(spark, sf_dir):

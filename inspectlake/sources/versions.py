@@ -14,19 +14,20 @@ from pyspark.sql import functions as F
 _MANIFESTS = "_manifests"
 
 
-def _file_system(spark, path):
+def file_system(spark, path):
+    """The file system a path belongs to."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _hadoop_path(spark, path):
+def hadoop_path(spark, path):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def _versions(spark, path):
     """Numbers of the committed manifests, the last one first."""
-    folder = _hadoop_path(spark, f"{path}/{_MANIFESTS}")
-    fs = _file_system(spark, path)
+    folder = hadoop_path(spark, f"{path}/{_MANIFESTS}")
+    fs = file_system(spark, path)
     if not fs.exists(folder):
         return []
     names = [status.getPath().getName() for status in fs.listStatus(folder)]
@@ -38,7 +39,7 @@ def read_manifest(spark, path):
     versions = _versions(spark, path)
     if not versions:
         return -1, {}
-    stream = _file_system(spark, path).open(_hadoop_path(spark, f"{path}/{_MANIFESTS}/{versions[0]:020d}.json"))
+    stream = file_system(spark, path).open(hadoop_path(spark, f"{path}/{_MANIFESTS}/{versions[0]:020d}.json"))
     try:
         return versions[0], json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
@@ -47,9 +48,9 @@ def read_manifest(spark, path):
 
 def write_manifest(spark, path, version, content):
     """Commit ``content`` as ``version``; False if another writer has that version already."""
-    fs = _file_system(spark, path)
-    made = _hadoop_path(spark, f"{path}/{_MANIFESTS}/{uuid.uuid4().hex}.tmp")
-    target = _hadoop_path(spark, f"{path}/{_MANIFESTS}/{version:020d}.json")
+    fs = file_system(spark, path)
+    made = hadoop_path(spark, f"{path}/{_MANIFESTS}/{uuid.uuid4().hex}.tmp")
+    target = hadoop_path(spark, f"{path}/{_MANIFESTS}/{version:020d}.json")
     stream = fs.create(made)
     stream.write(bytearray(json.dumps(content).encode()))
     stream.close()

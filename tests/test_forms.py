@@ -1,3 +1,7 @@
+import time
+
+from pyspark.sql import functions as F
+
 from inspectlake.operators import forms as H
 
 PAGE = """<!DOCTYPE html><html><body class="page">
@@ -83,3 +87,55 @@ def test_closest_looks_at_the_nearest_container(spark):
     html = '<form><div class="field"><label>Outer</label><p><b><input name="a"></b></p></div><div class="form-group x"><i></i><input name="b"></div></form>'
     rows = H.resolve_label(H.html_to_nodes(spark.createDataFrame([(1, html)], "page_id long, html string")))
     assert {r["name"]: r["label"] for r in rows.collect()} == {"a": "Outer", "b": "b"}
+
+
+def page_of(spark, html):
+    return H.html_to_nodes(spark.createDataFrame([(1, html)], "page_id long, html string"))
+
+
+def test_very_many_nested_containers_and_controls(spark):
+    """5,000 containers in each other, with a control in each, and as many that stand alone."""
+    n = 5000
+    nested = "".join(f'<div class="field"><label>L{k}</label><b><input name="a{k}"></b>' for k in range(n)) + "</div>" * n
+    apart = "".join(f'<div class="form-group"><label>M{k}</label><b><input name="b{k}"></b></div>' for k in range(n))
+    started = time.time()
+    got = {r["name"]: r["label"] for r in H.label_closest(page_of(spark, f"<form>{nested}{apart}<input name=out></form>")).collect()}
+    assert time.time() - started < 30
+    assert got == {f"a{k}": f"L{k}" for k in range(n)} | {f"b{k}": f"M{k}" for k in range(n)}
+
+
+def test_innermost_box_equals_a_stack(spark):
+    import random
+
+    rng = random.Random(3)
+    html, depth = "<form>", 0
+    for k in range(300):
+        if rng.random() < 0.35:
+            html += f'<div class="{rng.choice(["field", "other", "form-group", "x"])}">' + (f"<label>l{k}</label>" if rng.random() < 0.6 else "")
+            depth += 1
+        elif depth and rng.random() < 0.4:
+            html, depth = html + "</div>", depth - 1
+        else:
+            html += f'<input name="n{k}" class="{rng.choice(["", "field"])}">'
+    nodes = page_of(spark, html).collect()
+    boxes = [r for r in nodes if {"field", "form-group"} & set((r.attrs.get("class") or "").split())]
+    labels = [r for r in nodes if r.tag == "label"]
+    want = {}
+    for r in nodes:
+        around = [b for b in boxes if b.node_id <= r.node_id <= b.end_id]
+        if r.tag == "input" and around:
+            box = max(around, key=lambda b: b.node_id)
+            text = next((x.text for x in labels if box.node_id < x.node_id <= box.end_id), None)
+            if text is not None:
+                want[r.attrs["name"]] = text
+    assert {r["name"]: r["label"] for r in H.label_closest(page_of(spark, html)).collect()} == want
+
+
+def test_very_many_inputs_without_a_name(spark):
+    n = 20_000
+    html = "<form>" + '<input type="checkbox" checked>' * n + "".join(f'<input type="radio" name="r" value="{k}">' for k in range(n)) + "</form>"
+    started = time.time()
+    rows = H.choice_options(page_of(spark, html)).select("name", F.size("radio_options").alias("n"), "checked")
+    got = [tuple(r) for r in rows.groupBy("name", "n", "checked").count().collect()]
+    assert time.time() - started < 60
+    assert sorted(got, key=str) == sorted([("", None, True, n), ("r", n, None, 1), ("r", None, None, n - 1)], key=str)

@@ -30,7 +30,7 @@ class Reader:
         return json.dumps({"owner_name": "Text " + prompt, "Name": "ignored"})
 
 
-def test_from_files_to_forms(spark):
+def test_from_files_to_forms(spark, tmp_path):
     cache = spark.createDataFrame([], ENTRY)
     pages, errors, _ = L.read_pages(
         spark.createDataFrame(
@@ -44,6 +44,15 @@ def test_from_files_to_forms(spark):
     texts = L.read_texts(
         spark.createDataFrame([(1, 1, "T", "t")], "doc_id long, project_id long, text string, prompt_name string"),
         spark.createDataFrame([("t", "<{text}>")], "name string, template string"), Reader, "reader")
+    out = str(tmp_path / "outputs")
+    scanned = texts.withColumn("doc_id", F.col("req_id")).withColumn("path", F.lit("scan.pdf"))
+    failed = errors.withColumn("project_id", F.lit(2).cast("bigint"))
+    L.write_outputs(out, pages.withColumnRenamed("req_id", "page_no"), failed, scanned, images, order="req_id")
+    documents, photos = L.read_outputs(spark, out)
+    stored = {r["project_id"]: json.loads(r["payload"]) for r in documents.collect()}
+    assert stored[1]["handwritten"]["pages"] == 2 and [p["owner_name"] for p in stored[1]["handwritten"]["fields"]] == ["Page 1", "Page 2"]
+    assert stored[1]["scanned"]["fields"][0]["owner_name"] == "Text <T>" and stored[2] == {"handwritten": {"error": "'list' object has no attribute 'get'"}}
+    assert [(r["project_id"], r["ordinal"], json.loads(r["payload"])["image_name"]) for r in photos.orderBy("ordinal").collect()] == [(1, 1, "fair"), (2, 2, "blurred"), (2, 3, "[x]")]
     values = L.extracted_values(pages, texts, images)
     got = {(r["project_id"], r["key"]): r["value"] for r in values.collect()}
     assert got[1, "owner_name"] == "Text <T>" and got[1, "address"] is None and got[1, "damage"] == '["mold"]'

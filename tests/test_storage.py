@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inspectlake.fixtures import fixture
 from inspectlake.operators import projects as P
 from inspectlake.operators.cache import cache_ttl_fold
 from inspectlake.session import saved, work_dir
@@ -76,15 +77,78 @@ def test_artifacts_keep_the_last_write(spark, tmp_path):
     assert spark.read.parquet(path + "-2").count() == 3
 
 
+def catalog_rows(spark):
+    return lambda *rows: spark.createDataFrame(list(rows), "page_id long, name string")
+
+
+def loaded(spark, path):
+    return [sorted(map(tuple, rows.collect())) for rows in tables.load_catalog(spark, path)]
+
+
 def test_a_catalog_keeps_other_pages(spark, tmp_path):
-    path = str(tmp_path / "catalog")
-    one = lambda *rows: spark.createDataFrame(list(rows), "page_id long, name string")
+    path, one = str(tmp_path / "catalog"), catalog_rows(spark)
     none = one().limit(0)
-    tables.save_catalog(path, one((1, "a"), (1, "b"), (2, "c")), one((1, "s")), none, batch=1)
-    tables.save_catalog(path, one((1, "d")), none, one((3, "t")), batch=2)
-    fields, sections, tags = tables.load_catalog(spark, path)
-    assert sorted(map(tuple, fields.collect())) == [(1, "d"), (2, "c")]
-    assert sections.count() == 0 and [tuple(r) for r in tags.collect()] == [(3, "t")]
+    tables.save_catalog(path, one((1, "a"), (1, "b"), (2, "c")), one((1, "s")), none)
+    tables.save_catalog(path, one((1, "d")), none, one((3, "t")))
+    assert loaded(spark, path) == [[(1, "d"), (2, "c")], [], [(3, "t")]]
+    # A page that has nothing any more is named, and many saves become one folder.
+    for _ in range(3):
+        tables.save_catalog(path, one((3, "e")), none, none, pages=one((2, ""), (3, "")), compact_every=2)
+    assert loaded(spark, path) == [[(1, "d"), (3, "e")], [], []]
+    assert len(versions.read_manifest(spark, path)[1]["commits"]) <= 2
+
+
+def test_a_stopped_save_leaves_the_catalog(spark, tmp_path, monkeypatch):
+    path, one = str(tmp_path / "catalog"), catalog_rows(spark)
+    tables.save_catalog(path, one((1, "a")), one((1, "s")), one((1, "t")))
+    before = loaded(spark, path)
+    broken = one((1, "x")).select("page_id", F.raise_error(F.lit("stopped between the tables")).cast("string").alias("name"))
+    with pytest.raises(Exception, match="stopped between"):
+        tables.save_catalog(path, one((1, "b"), (2, "c")), broken, one((1, "u")))
+    assert loaded(spark, path) == before
+    # Two saves at the same version: the second takes the next one.
+    real, raced = tables.write_manifest, []
+
+    def races(spark, path, version, content):
+        if not raced:
+            raced.append(version)
+            monkeypatch.setattr(tables, "write_manifest", real)
+            tables.save_catalog(path, one((2, "other")), one(), one())
+        return real(spark, path, version, content)
+
+    monkeypatch.setattr(tables, "write_manifest", races)
+    tables.save_catalog(path, one((3, "mine")), one(), one())
+    assert loaded(spark, path)[0] == [(1, "a"), (2, "other"), (3, "mine")]
+    assert versions.read_manifest(spark, path)[0] == 2
+
+
+def test_requested_projects_are_pruned_before_they_are_aggregated(spark, tmp_path):
+    path = str(tmp_path / "projects")
+    when = F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")
+    rows = spark.createDataFrame([(str(k), f"P{k}") for k in range(300)], "project_id string, project_name string")
+    tables.save_projects(P.create_projects(rows, when), path)
+    wanted = spark.createDataFrame([("7",), ("8",)], "project_id string")
+    found = tables.load_projects(spark, path, wanted)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    semi, grouped = plan.index("LeftSemi"), plan.index("max_by(")
+    assert grouped < semi and "PartitionFilters: [(bucket" in plan
+    assert sorted(r["project_name"] for r in found.collect()) == ["P7", "P8"]
+    folders = {f.split("/")[-2] for f in found.inputFiles() if "bucket=" in f}
+    assert len(folders) > 2  # the store; the filter above leaves two of them
+
+
+def test_lists_are_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "lists")
+    for rows in ([(1, "image_output", 1, k, f"a{k}") for k in range(5)] + [(2, "image_output", 1, 0, "b")], [(1, "image_output", 2, 0, "c")]):
+        tables.write_lists(spark.createDataFrame(rows, tables.LIST), path)
+    assert {(r["project_id"], r["ordinal"], r["payload"]) for r in tables.read_lists(spark, path).collect()} == {(1, 0, "c"), (2, 0, "b")}
+
+
+def test_views_of_the_user_are_left_alone(spark, sf):
+    spark.range(1).createOrReplaceTempView("events")
+    assert fixture(spark, sf, "fx_response").count() > 1
+    assert spark.table("events").count() == 1
+    spark.catalog.dropTempView("events")
 
 
 def test_shared_folder_comes_from_the_session(spark):

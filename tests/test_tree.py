@@ -52,6 +52,15 @@ def test_a_very_deep_page(spark):
     assert [r["path"] for r in nodes if r["title"] == "back"] == ["top > back"]
 
 
+def test_a_very_long_page(spark):
+    n = 100_000
+    rows = spark.range(1, n + 1).selectExpr("id % 2 as page_id", "id as ord", "concat('t', id) as title", "cast((id div 2) % 7 as int) as level")
+    started = time.time()
+    got = X.section_path(rows).selectExpr("count(*) as n", "count(distinct path) as paths", "max(length(path)) as longest", "sum(depth) as depths").first()
+    assert time.time() - started < 30
+    assert got.n == n and got.paths == n and got.depths == sum((k // 2) % 7 + 1 for k in range(1, n + 1))
+
+
 def test_the_tree_takes_one_exchange(spark, sf):
     plan = io.StringIO()
     with contextlib.redirect_stdout(plan):
