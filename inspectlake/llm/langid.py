@@ -28,11 +28,12 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inspectlake.llm.arrays import portions
+from inspectlake.llm.sampling import hash_limit
 
 UND = "und"
 #: Letters that follow each other, in any script.
 _WORD = re.compile(r"[^\W\d_]+")
-#: Longest word that can be a known one, and the n-gram lengths from long to short.
+#: Longest word that can be a known one (longer ones are scored by their n-grams, as unseen words are), and the n-gram lengths from long to short.
 KNOWN_CHARS = 24
 LENGTHS = (5, 4, 3, 2, 1)
 #: What is added to the count of every kept term in every language.
@@ -47,10 +48,10 @@ def sample(docs, key="doc_id", lang="lang", max_train=6_000):
     usable = docs.where(F.col(lang).isNotNull() & F.col(key).isNotNull() & (F.crc32(ids) % 3 != 1))
     counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}
     each = max_train / max(1, len(counts))
-    share = F.lit(0)
+    limit = F.lit(0).cast("long")
     for name, n in sorted(counts.items()):
-        share = F.when(F.col(lang) == name, int(min(1.0, each / n) * (1 << 20))).otherwise(share)
-    return usable.where(F.pmod(F.xxhash64(ids, F.lit(3)), F.lit(1 << 20)) < share), sorted(counts)
+        limit = F.when(F.col(lang) == name, F.lit(hash_limit(each, n))).otherwise(limit)
+    return usable.where(F.shiftrightunsigned(F.xxhash64(ids, F.lit(3)), 1) <= limit), sorted(counts)
 
 
 def _word_counts(batches):

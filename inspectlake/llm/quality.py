@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from inspectlake.llm.arrays import SPACE, combined, portions, runs, span_hashes, text_bytes
+from inspectlake.llm.sampling import within
 
 #: Statistics of one document, in order.
 STATISTICS = [
@@ -123,8 +124,7 @@ def labelled_rows(labels, key="doc_id", label="quality", max_train=60_000):
     ids = F.col(key).cast("string")
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & (F.crc32(ids) % 3 != 1))
     usable = usable.groupBy(key).agg(F.avg(label).alias("_y"))
-    share = min(1.0, max_train / max(1, usable.count()))
-    return usable.where(F.pmod(F.xxhash64(ids, F.lit(7)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return usable.where(within(F.xxhash64(ids, F.lit(7)), max_train, usable.count()))
 
 
 def fit(docs, labels, key="doc_id", text="text", label="quality", max_train=60_000, ridge=1e-3, seed=17, save=None):

@@ -16,6 +16,8 @@ import time
 
 from pyspark.sql import functions as F
 
+from inspectlake.llm.sampling import within
+
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -108,8 +110,7 @@ MORE_RULES = {
 
 def sample_of(docs, text="text", rows=SAMPLE_ROWS):
     """About ``rows`` rows, picked by a hash of the text, so reruns pick the same."""
-    share = min(1.0, rows / max(1, docs.count()))
-    return docs.where(F.pmod(F.xxhash64(F.col(text)), F.lit(1 << 20)) < int(share * (1 << 20)))
+    return docs.where(within(F.xxhash64(F.col(text)), rows, docs.count()))
 
 
 def plan(sample, rules, text="text"):
