@@ -62,19 +62,19 @@ def _ranked(words):
     return {w: math.log10(k + 2) for k, w in enumerate(words)}, max(map(len, words), default=0)
 
 
-def _walk(value, at):
-    """End of the keyboard walk that begins at ``at``."""
-    low, end, step = value.lower(), at + 1, None
-    while end < len(low):
-        pair = low[end - 1], low[end]
-        row = next((r for r in ROWS if pair[0] in r and pair[1] in r), None)
-        if row is None:
-            break
-        move = row.index(pair[1]) - row.index(pair[0])
-        if abs(move) != 1 or step not in (None, move):
-            break
-        step, end = move, end + 1
-    return end
+def _walk(low, at):
+    """End of the longest walk along one keyboard row, in one direction, that begins at ``at`` of a lower-case value."""
+    longest = at + 1
+    for row in ROWS:
+        place = row.find(low[at])
+        if place < 0:
+            continue
+        for move in (1, -1):
+            end, here = at + 1, place + move
+            while end < len(low) and 0 <= here < len(row) and row[here] == low[end]:
+                end, here = end + 1, here + move
+            longest = max(longest, end)
+    return longest
 
 
 def _brute(char):
@@ -85,7 +85,10 @@ def _brute(char):
 def guess_cost(value, words=WORDS):
     """log10 of the guesses of the cheapest segmentation of the value."""
     ranks, longest = _ranked(tuple(words))
-    plain = value.lower().translate(LEET) if len(value.lower()) == len(value) else value
+    # Lower case once; a letter that changes the length keeps the value as it is.
+    low = value.lower()
+    low = low if len(low) == len(value) else value
+    plain = low.translate(LEET)
     best = [0.0] + [math.inf] * len(value)
 
     def offer(start, end, cost):
@@ -107,7 +110,7 @@ def guess_cost(value, words=WORDS):
         if at in repeats:
             unit, end = repeats[at][1], repeats[at].end()
             offer(at, end, sum(map(_brute, unit)) + math.log10((end - at) // len(unit)))
-        end = _walk(value, at)
+        end = _walk(low, at)
         if end - at >= 3:
             offer(at, end, 1.7 + math.log10(end - at))
         best[at + 1] = min(best[at + 1], brute_at)
