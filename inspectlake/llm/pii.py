@@ -5,9 +5,11 @@ their own format: card numbers keep a right check digit, account numbers their c
 and right check digits, dates stay dates, addresses of hosts stay such, phone numbers
 keep country code and punctuation.  A permutation never merges two values, and equal
 values get equal pseudonyms in all documents.  Mail addresses, which are no numbers,
-get a keyed hash as their name.  Where a match runs on into the token after it, the longest
-part up to the end of a group that validates is the value, and what follows is looked at
-anew; digits after a card that happen to validate together with it count as part of it.
+get a keyed hash as their name.  Where a number holds more groups than a card, the groups
+that look like a card and validate are the card, whatever stands before or after them; an
+account number ends at the end of the longest group that validates; what is left on either
+side is looked at anew.  A number without a card is moved among the numbers of its form
+without one, so the inverse gives every number back that stands alone.
 
 Dates are yyyy-MM-dd (also before a time, as in 2024-05-01T10:00; the time stays), dd.MM.yyyy,
 MM/dd/yyyy, and dd/MM/yyyy where the day is above 12.  Days from 1900 to August 2099 stay
@@ -36,15 +38,20 @@ _END = r"(?![\p{L}\p{N}])"
 _IBANS = [f"(?:{names.replace(' ', '|')})\\d{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}" + (f" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, names in IBAN_CHARS.items()]
 _IBANS += [r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?"]
 FORMATS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
+    # Without giving anything back: the depth of the search stays the same however long a run is.
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++",
     "ip": r"(?<![\p{L}\p{N}.])\d{1,3}(?:\.\d{1,3}){3}(?![\p{L}\p{N}]|\.\d)",
     "date": _ALONE + r"(?:\d{4}-\d{2}-\d{2}(?=T\d)|(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})" + _END + ")",
     "ssn": r"(?<![\p{L}\p{N}-])\d{3}-\d{2}-\d{4}(?![\p{L}\p{N}-])",
     "iban": _ALONE + f"(?:{'|'.join(_IBANS)})" + _END,
-    "number": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,18}" + _END,
+    "number": r"(?<![\p{L}\p{N}-])\d(?:[ -]?\d){12,33}" + _END,
     "phone": r"(?<![\p{L}\p{N}+])(?:(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}|\d{3}[.-]\d{3}[.-]\d{4})" + _END,
 }
 ANY = "|".join(FORMATS.values())
+# How card numbers begin and are set in groups.
+_ISSUER = r"(?:4\d{3}|5[1-5]\d{2}|2(?:2[2-9]|[3-6]\d|7[01])\d|3[47]\d{2}|3(?:0[0-5]|[68]\d)\d|35\d{2}|6(?:011|5\d{2}|2\d{2}|4[4-9]\d))"
+_GROUPED = r"(?:\d{9,15}|([ -])\d{4}\1\d{4}\1\d{1,7}|[ -]\d{6}[ -]\d{4,5})"
+CARD_LIKE, GROUPED_LIKE_CARDS = rf"^{_ISSUER}{_GROUPED}$", rf"^\d{{4}}{_GROUPED}$"
 KINDS = ("email", "ip", "date", "ssn", "iban", "card", "number", "phone")
 #: How text goes on after a match where the end of that match may belong to the next one.
 _GOES_ON = r"^(?:[-./@_%+\d]|[ -][\dA-Z])"
@@ -208,25 +215,66 @@ def pseudonym(form, key, inverse=False):
     pick = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     none = F.struct(F.lit(None).cast("string").alias("kind"), form.alias("value"))
     plain = _put_back(form, permuted_digits(digits, key, "number", inverse))
+    number = _plain_number(form, key, inverse)
     return (
         F.when(form.contains("@"), pick("email", mail))
         .when(is_kind("ip"), F.when(octets, pick("ip", _ip(form, key, inverse))).otherwise(none))
         .when(is_kind("date"), _let(dated, lambda d: F.when(d.isNotNull(), pick("date", d)).otherwise(none)))
         .when(is_kind("ssn"), pick("ssn", plain))
         .when(is_kind("iban"), F.when(mod_97(F.regexp_replace(form, " ", "")) == 1, pick("iban", _iban(form, key, inverse))).otherwise(none))
-        .when(is_kind("number"), F.when(luhn_sum(digits) % 10 == 0, pick("card", _put_back(form, _card(digits, key, inverse)))).otherwise(pick("number", plain)))
+        .when(is_kind("number"), F.when(_is_card(digits), pick("card", _put_back(form, _card(digits, key, inverse)))).otherwise(pick("number", number)))
         .otherwise(pick("phone", _phone(form, key, inverse)))
     )
 
 
+def _is_card(digits):
+    return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+
+
+def best_card(form):
+    """struct (score, from, size) of the card among whole groups of a number; null without one.
+
+    Every start and end of a group is tried.  A card that begins as issuers do and is set in
+    groups like one (score 3) counts before one only set so (2), and that before digits from
+    the start of the number that validate by themselves (1); then the first, the longest.  (Groups
+    before a card that by chance make another card with part of it are taken for one.)
+    """
+    places = F.sequence(F.lit(1), F.length(form))
+    is_gap = lambda p: form.substr(p, F.lit(1)).isin(" ", "-")
+    starts = F.filter(places, lambda p: (p == 1) | is_gap(p - 1))
+    ends = F.filter(places, lambda p: (p == F.length(form)) | is_gap(p + 1))
+
+    def window(start, end):
+        part = form.substr(start, end - start + 1)
+        score = F.when(part.rlike(CARD_LIKE), 3).when(part.rlike(GROUPED_LIKE_CARDS), 2).when(start == 1, 1)
+        valid = _let(_only_digits(part), _is_card)
+        return F.struct(F.when(valid, score).alias("score"), (-start).alias("first"), (end - start + 1).alias("size"))
+
+    of_start = lambda s: F.transform(F.filter(ends, lambda e: (e - s).between(12, 36)), lambda e: window(s, e))
+    found = F.array_max(F.filter(F.flatten(F.transform(starts, of_start)), lambda w: w["score"].isNotNull()))
+    return F.when(found.isNotNull(), F.struct(found["score"].alias("score"), (-found["first"]).alias("from"), found["size"].alias("size")))
+
+
+def _plain_number(form, key, inverse):
+    """The digits permuted among the numbers of this form that hold no card, so that none is read as one later."""
+    turn = lambda f: _put_back(f, permuted_digits(_only_digits(f), key, "number", inverse))
+    fits = lambda f: best_card(f).isNull()
+    again = F.sequence(F.lit(1), F.lit(TURNS))
+    return _let(turn(form), lambda first: F.when(fits(first), first).otherwise(F.aggregate(again, first, lambda x, _: F.when(fits(x), x).otherwise(turn(x)))))
+
+
 def _kept(form):
-    """Places of the longest part, from the start to the end of a group, that holds up where the whole match does not; else null."""
+    """struct (from, size) of the part of a match that is the value, where it is not the whole match; else null.
+
+    A number: the card in it (``best_card``).  An account number: the longest part from the
+    start to the end of a group that holds up.
+    """
     groups = F.filter(F.sequence(F.lit(1), F.length(form) - 1), lambda p: form.substr(p + 1, F.lit(1)).isin(" ", "-"))
-    card = lambda d: F.length(d).between(13, 19) & (luhn_sum(d) % 10 == 0)
-    account = lambda f: (F.length(f) >= 15) & (mod_97(f) == 1)
-    longest = lambda holds, plain: F.when(~holds(plain(form)), F.array_max(F.filter(groups, lambda p: holds(plain(form.substr(F.lit(1), p))))))
-    return F.when(form.rlike(f"^(?:{FORMATS['iban']})$"), longest(account, lambda f: F.regexp_replace(f, " ", ""))).when(
-        form.rlike(f"^(?:{FORMATS['number']})$"), longest(card, _only_digits)
+    account = lambda f: _let(F.regexp_replace(f, " ", ""), lambda x: (F.length(x) >= 15) & (mod_97(x) == 1))
+    place = lambda start, size: F.when(size.isNotNull() & (size < F.length(form)), F.struct(start.alias("from"), size.alias("size")))
+    longest = F.when(~account(form), F.array_max(F.filter(groups, lambda p: account(form.substr(F.lit(1), p)))))
+    return F.when(form.rlike(f"^(?:{FORMATS['iban']})$"), place(F.lit(1), longest)).when(
+        form.rlike(f"^(?:{FORMATS['number']})$"), _let(best_card(form), lambda c: place(c["from"], c["size"]))
     )
 
 
@@ -234,6 +282,12 @@ def _matches(text):
     return F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
 
 
+def _around(form, kept, mark):
+    """The match with a mark before the kept part, unless it begins the match, and one after it."""
+    head = F.when(kept["from"] > 1, F.concat(form.substr(F.lit(1), kept["from"] - 1), mark)).otherwise("")
+    return head, form.substr(kept["from"], kept["size"]), mark, form.substr(kept["from"] + kept["size"], F.length(form))
+
+
 def segments(text):
     """The text cut where a match goes on after a value that holds up, so that what follows is looked at anew."""
 
@@ -247,7 +301,7 @@ def segments(text):
             mark = F.sha2(s["open"], 256)
             part = lambda p: F.when(
                 p["kept"].isNotNull() & (k0.isNull() | (p["k"] <= k0)),
-                F.concat(p["before"], p["form"].substr(F.lit(1), p["kept"]), mark, p["form"].substr(p["kept"] + 1, F.length(p["form"]))),
+                F.concat(p["before"], *_around(p["form"], p["kept"], mark)),
             ).otherwise(F.concat(p["before"], p["form"]))
             pieces = F.split(F.array_join(F.transform(parts, part), ""), mark, -1)
             return _let(pieces, lambda x: F.when(k0.isNull(), state(F.concat(s["done"], x), F.lit(None).cast("string"))).otherwise(
