@@ -2,6 +2,7 @@ import os
 
 import pytest
 from edge_cases import TEXTS, edge_docs, keep, no_docs, shingles
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 
@@ -59,5 +60,12 @@ def test_edge_rows_and_no_rows(spark, labels_dir):
     assert len(TEXTS) == 9
 
 
+def test_names_with_dots(spark, labels_dir):
+    rows = edge_docs(spark).withColumn("a.b", F.col("score")).withColumn("c`d.e", F.lit("x"))
+    for name, stage in P.STAGES[:-1]:
+        after = stage(spark, rows, labels_dir)
+        assert after.dtypes == rows.dtypes and after.count() > 0, name
+
+
 def test_run(spark):
     assert P.run(spark, SF).count() > 100
