@@ -5,7 +5,7 @@ return the columns of ``docs``.  ``run`` applies them in order, each result writ
 shared storage and read back.
 
 Defined cases, for every stage: null columns, empty and very long texts, repeated rows,
-empty tables and further columns are allowed; names that begin with an underscore are the stages' own.  Rows with a null id are never dropped as
+empty tables and further columns (dots in their names too) are allowed; names that begin with an underscore are the stages' own.  Rows with a null id are never dropped as
 repeats.  ``n_chars``, where the table has it, follows the text.
 """
 
@@ -26,6 +26,11 @@ def _saver(name):
     return lambda rows: saved(rows, name)
 
 
+def _columns(docs):
+    """The columns of the table, also those with dots in their names."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def _shipped(stage):
     @functools.wraps(stage)
     def run_stage(spark, docs, sf_dir):
@@ -40,7 +45,7 @@ def good_documents(spark, docs, sf_dir):
     """Documents whose quality score is 0.5 or more; the score itself is not kept."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.fit(docs, labels, save=_saver("quality"))
-    return quality.with_quality(docs, model, to="_quality_score").where("_quality_score >= 0.5").select(*docs.columns)
+    return quality.with_quality(docs, model, to="_quality_score").where("_quality_score >= 0.5").select(*_columns(docs))
 
 
 @_shipped
@@ -49,7 +54,7 @@ def fresh_lines(spark, docs, sf_dir):
     rows = lines.dedup_lines(docs, _saver("lines"), counts=("_n_lines", "_n_dropped"))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    return rows.select(*_columns(docs))
 
 
 @_shipped
@@ -60,9 +65,9 @@ def one_of_each_group(spark, docs, sf_dir):
     rows = docs.join(later, F.col("doc_id").cast("long") == F.col("_later"), "left_anti")
     repeated = saved(docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice")).count().where("count > 1").select("_twice"), "repeated")
     same = F.col("doc_id") == F.col("_twice")
-    first = Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns if c != "doc_id" and docs.schema[c].dataType.typeName() in ("string", "long", "integer", "double")])
+    first = Window.partitionBy("doc_id").orderBy(*[c for c, f in zip(_columns(docs), docs.schema) if f.name != "doc_id" and f.dataType.typeName() in ("string", "long", "integer", "double")])
     of_repeated = rows.join(repeated, same, "left_semi").withColumn("_place", F.row_number().over(first)).where("_place = 1")
-    return rows.join(repeated, same, "left_anti").select(*docs.columns).unionByName(of_repeated.select(*docs.columns))
+    return rows.join(repeated, same, "left_anti").select(*_columns(docs)).unionByName(of_repeated.select(*_columns(docs)))
 
 
 @_shipped
@@ -75,7 +80,7 @@ def mixed_sources(spark, docs, sf_dir):
         taken,
         F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_size") == F.col("_taken_size")),
     )
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*_columns(docs))
 
 
 @_shipped
