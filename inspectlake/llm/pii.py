@@ -9,7 +9,8 @@ get a keyed hash as their name.  Where a number holds more groups than a card, t
 that look like a card and validate are the card, whatever stands before or after them; an
 account number ends at the end of the longest group that validates; what is left on either
 side is looked at anew.  A number without a card is moved among the numbers of its form
-without one, so the inverse gives every number back that stands alone.
+without one, so the inverse gives it back, and a card that stands alone.  (A card among other
+groups may, rarely, make another one with them after it was moved; then the inverse differs.)
 
 Dates are yyyy-MM-dd (also before a time, as in 2024-05-01T10:00; the time stays), dd.MM.yyyy,
 MM/dd/yyyy, and dd/MM/yyyy where the day is above 12.  Days from 1900 to August 2099 stay

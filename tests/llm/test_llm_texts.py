@@ -267,7 +267,8 @@ def test_every_plain_number_comes_back(spark):
     numbers = set()
     while len(numbers) < 3_000:
         d = "".join(rng.choice("0123456789") for _ in range(rng.choice([13, 14, 15, 16, 16, 16, 17, 18, 19, 24])))
-        numbers.add(d if rng.random() < 0.7 else " ".join(d[i : i + 4] for i in range(0, len(d), 4)))
+        # More groups than a card has may hold one by chance, whose pseudonym may make another with the rest.
+        numbers.add(d if rng.random() < 0.6 or len(d) > 16 else " ".join(d[i : i + 4] for i in range(0, len(d), 4)))
     numbers = sorted(numbers)
     docs = spark.createDataFrame(list(enumerate(numbers)), "doc_id long, text string").repartition(4)
     hidden = keep(pii.with_pseudonyms(docs, "k"))
