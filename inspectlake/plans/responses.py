@@ -89,10 +89,10 @@ def confidence_queue(spark, sf_dir):
 def vocab_check(spark, sf_dir):
     """Responses with the stated values, parsed, recorded and checked."""
     stated = F.struct("overall_condition", "visible_damage", "building_area", "mini_caption", "confidence")
-    rows = _analyses(spark, sf_dir).select("image_id", F.concat(F.lit("img_"), "image_id").alias("image_name"), F.to_json(stated).alias("raw_response"))
+    rows = _analyses(spark, sf_dir).select("image_id", "project_id", "visible_damage_csv", F.concat(F.lit("img_"), "image_id").alias("image_name"), F.to_json(stated).alias("raw_response"))
     records = R.list_view(R.image_records(parse_answers(rows), checked=True), ["visible_damage"])
     flags = ("bad_condition", "bad_area", "bad_damage", "bad_confidence", "long_caption")
-    return I.vocab_check(records).select("image_id", "overall_condition", "building_area", "mini_caption", "confidence", *flags)
+    return I.vocab_check(records).select("image_id", "project_id", "overall_condition", "visible_damage_csv", "building_area", "mini_caption", "confidence", *flags)
 
 
 def review_view(spark, sf_dir):
@@ -175,7 +175,7 @@ ORACLES = {
     ),
     "confidence_queue": with_fixtures("select * from fx_image_analysis where confidence < 0.8", "fx_image_analysis"),
     "vocab_check": with_fixtures(
-        f"""select image_id, overall_condition, building_area, mini_caption, confidence, overall_condition not in ({_words(S.CONDITIONS)}) as bad_condition, building_area not in ({_words(S.AREAS)}) as bad_area,
+        f"""select *, overall_condition not in ({_words(S.CONDITIONS)}) as bad_condition, building_area not in ({_words(S.AREAS)}) as bad_area,
  len(list_filter(string_split(visible_damage_csv, ','), lambda d: d <> '' and d not in ({_words(S.DAMAGE)}))) > 0 as bad_damage,
  confidence < 0 or confidence > 1 as bad_confidence,
  len(list_filter(string_split_regex(trim(mini_caption), '\\s+'), lambda w: w <> '')) > 6 as long_caption from fx_image_analysis""",

@@ -2,10 +2,12 @@ import json
 
 from pyspark.sql import functions as F
 
+from inspectlake.fixtures import fixture
 from inspectlake.functions.envelope import parse_envelope, parse_llm_response
 from inspectlake.operators import images as I
 from inspectlake.operators import records as R
 from inspectlake.operators.merge import image_pairs, last_wins_merge, rename_keys
+from inspectlake.plans.responses import QUERIES
 
 CASES = [
     '{"room": "pantry", "view": "wide", "confidence": 0.7}',
@@ -127,3 +129,11 @@ def test_vocabulary_and_sizes(spark):
         scale = 1280 / longer
         want = (row["width"], row["height"]) if longer <= 1280 else (int(row["width"] * scale), int(row["height"] * scale))
         assert (row["new_width"], row["new_height"]) == want
+
+
+def test_vocab_check_keeps_every_column_of_the_analyses(spark, sf):
+    given = fixture(spark, sf, "fx_image_analysis")
+    checked = QUERIES["vocab_check"](spark, sf)
+    assert set(given.columns) < set(checked.columns)
+    same = ["image_id", "project_id", "visible_damage_csv"]
+    assert checked.select(same).exceptAll(given.select(same)).isEmpty() and checked.count() == given.count()
