@@ -12,6 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inspectlake.functions import text as T
+from inspectlake.operators.ordered import dealt
 
 NODES = (
     "page_id bigint, node_id int, end_id int, parent_id int, sib_no int, tag string, "
@@ -149,6 +150,11 @@ def html_to_nodes(pages):
     return pages.select("page_id", "html").mapInArrow(_nodes_of, NODES)
 
 
+def by_page(nodes):
+    """Written nodes dealt by page, once for every step; a task gets about as many whatever the table."""
+    return dealt(nodes, "page_id")
+
+
 def _attr(name):
     return F.coalesce(F.try_element_at("attrs", F.lit(name)), F.lit(""))
 
@@ -303,10 +309,10 @@ def with_innermost(rows, boxes, value, to):
     def event(at, kind, delta):
         return [at.alias("_at"), F.lit(kind).alias("_event"), F.lit(delta).alias("_delta")]
 
-    opened = boxes.select("page_id", *event(F.col("node_id"), start, 1), F.struct(value.alias("value")).alias("_box"))
-    closed = boxes.select("page_id", *event(F.col("end_id"), end, -1))
+    edges = F.explode(F.array(F.struct(*event(F.col("node_id"), start, 1)), F.struct(*event(F.col("end_id"), end, -1))))
+    edged = boxes.select("page_id", F.struct(value.alias("value")).alias("_box"), edges.alias("_e")).select("page_id", "_e.*", "_box")
     asked = rows.select("*", *event(F.col("node_id"), ask, 0))
-    events = asked.unionByName(opened, allowMissingColumns=True).unionByName(closed, allowMissingColumns=True)
+    events = asked.unionByName(edged, allowMissingColumns=True)
 
     def so_far(*keys):
         return Window.partitionBy("page_id", *keys).orderBy("_at", "_event").rowsBetween(Window.unboundedPreceding, 0)
@@ -476,14 +482,26 @@ def choice_options(nodes):
     return members.filter("_m.is_choice").select("page_id", "_m.node_id", "name", "_m.radio_options", "_m.checked")
 
 
+def _with(rows, *more):
+    """``rows`` with the columns of ``more``; all have at most one row per node.
+
+    A union and one aggregation keep rows dealt by page where they are; a join by page and
+    node would deal them again.
+    """
+    key = ["page_id", "node_id"]
+    every = rows.withColumn("_asked", F.lit(True))
+    for other in more:
+        every = every.unionByName(other, allowMissingColumns=True)
+    whole = every.groupBy(*key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in every.columns if c not in key])
+    return whole.filter("_asked").drop("_asked")
+
+
 def form_fields(nodes):
     """Every field of every form with label, value, options and choices."""
     options = select_options(nodes).select("page_id", "node_id", "options", "selected_value")
     choices = choice_options(nodes).drop("name")
     return (
-        resolve_label(nodes)
-        .join(options, ["page_id", "node_id"], "left")
-        .join(choices, ["page_id", "node_id"], "left")
+        _with(resolve_label(nodes), options, choices)
         .select(
             "page_id",
             F.col("node_id").cast("bigint").alias("ord"),
@@ -523,9 +541,7 @@ def tag_fields(nodes):
         _value().alias("_own_value"),
         (~by_name).alias("_late"),
     )
-    rows = tags.join(options, ["page_id", "node_id"], "left").withColumn(
-        "value", F.coalesce("selected_value", "_own_value")
-    )
+    rows = _with(tags, options).withColumn("value", F.coalesce("selected_value", "_own_value"))
     kept = F.min_by(F.struct("node_id", "label", "type", "options"), F.struct("_late", "node_id"))
     return rows.groupBy("page_id", "name", "value").agg(kept.alias("_t")).select(
         "page_id", "name", "value", "_t.*"

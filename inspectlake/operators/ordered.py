@@ -1,4 +1,4 @@
-"""As-of lookups whose tasks stay small whatever the rows of a key."""
+"""Dealing and as-of lookups whose tasks stay small whatever the rows of a table or key."""
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -6,6 +6,24 @@ from pyspark.sql import functions as F
 #: Slices of a stretch of time, and stretches whose last values meet in one window row by row.
 SLICES = 1024
 
+#: Rows of a task that sorts several times; the sum of its sorts is what it needs at most.
+ROWS_PER_TASK = 100_000
+
+
+def tasks_for(rows, per_task=ROWS_PER_TASK):
+    """How many tasks the rows of a written table need; its footers hold their number."""
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // per_task))
+
+
+def dealt(rows, *keys, per_task=ROWS_PER_TASK):
+    """The rows of a written table dealt by ``keys`` over a number of tasks that grows with the table.
+
+    Windows, aggregations and unions by these keys (and more) keep the dealing.  Exchanges that
+    Spark adds have a set number of partitions, or are merged up to a size on the wire, so the
+    sorts of a task would grow with the table.
+    """
+    return rows.repartition(tasks_for(rows, per_task), *keys)
+
 
 def as_of(asks, entries, keys, time, values, stretch):
     """The ``asks`` with the ``values`` of the latest entry of their keys up to their ``time``.

@@ -17,7 +17,7 @@ def _nodes(spark, sf_dir):
 
 
 def stored_nodes(spark, sf_dir):
-    return saved(_nodes(spark, sf_dir), "nodes")
+    return H.by_page(saved(_nodes(spark, sf_dir), "nodes"))
 
 
 def html_to_nodes(spark, sf_dir):
@@ -32,19 +32,19 @@ def html_to_nodes(spark, sf_dir):
 
 
 def input_controls(spark, sf_dir):
-    return H.input_controls(_nodes(spark, sf_dir)).select("page_id", "form_id", "tag", "name", "value")
+    return H.input_controls(stored_nodes(spark, sf_dir)).select("page_id", "form_id", "tag", "name", "value")
 
 
 def label_for(spark, sf_dir):
-    return H.label_for(_nodes(spark, sf_dir)).drop("node_id")
+    return H.label_for(stored_nodes(spark, sf_dir)).drop("node_id")
 
 
 def label_prev_sibling(spark, sf_dir):
-    return H.label_prev_sibling(_nodes(spark, sf_dir)).drop("node_id")
+    return H.label_prev_sibling(stored_nodes(spark, sf_dir)).drop("node_id")
 
 
 def label_parent(spark, sf_dir):
-    return H.label_parent(_nodes(spark, sf_dir)).drop("node_id")
+    return H.label_parent(stored_nodes(spark, sf_dir)).drop("node_id")
 
 
 def label_closest(spark, sf_dir):
@@ -57,13 +57,13 @@ def resolve_label(spark, sf_dir):
 
 
 def select_options(spark, sf_dir):
-    return H.select_options(_nodes(spark, sf_dir)).select(
+    return H.select_options(stored_nodes(spark, sf_dir)).select(
         "page_id", "name", F.array_join("options", "|").alias("options"), "selected_value"
     )
 
 
 def next_sibling_label(spark, sf_dir):
-    rows = H.next_sibling_label(_nodes(spark, sf_dir))
+    rows = H.next_sibling_label(stored_nodes(spark, sf_dir))
     return rows.select("page_id", "name", "value", "option_label", "checked")
 
 
