@@ -24,6 +24,6 @@ def stays(rows, tasks):
     return "ENSURE_REQUIREMENTS" not in plan and "hashpartitioning(page_id" in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
 
 
-@pytest.mark.parametrize("step", ["form_fields", "resolve_label"])
+@pytest.mark.parametrize("step", ["form_fields", "resolve_label", "choice_options", "tag_fields"])
 def test_form_steps_stay_where_the_pages_are(nodes, step):
     assert stays(getattr(H, step)(nodes), nodes.rdd.getNumPartitions()) and nodes.rdd.getNumPartitions() > 4
