@@ -115,9 +115,9 @@ def with_private_names(text, rows_of, prefix="inspectlake"):
     return re.sub(pattern, lambda m: f"{m[1]}{m[2]}_{prefix}_{m[3]}", text)
 
 
-def fixture(spark, sf_dir, name):
-    """A derived input as a DataFrame over the tables in ``sf_dir``."""
-    return spark.sql(with_private_names(SQL[name], lambda source: table(spark, sf_dir, source)))
+def fixture(spark, sf_dir, name, made=lambda rows: rows):
+    """A derived input as a DataFrame over the tables in ``sf_dir``, each of them as ``made`` gives it."""
+    return spark.sql(with_private_names(SQL[name], lambda source: made(table(spark, sf_dir, source))))
 
 
 def with_fixtures(text, *names):

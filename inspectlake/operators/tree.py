@@ -94,23 +94,24 @@ def section_path(nodes, separator=" > "):
     no more than its own time.  Titles must not be null.
     """
     kept = [c for c in nodes.columns if not c.startswith("_")]
-    rows = nodes.select("page_id", "level", "title", *[c for c in kept if c not in ("page_id", "level", "title")])
+    # Numbering the rows of a page puts them in one task and in order; rows that are dealt by page stay where they are.
+    place = F.row_number().over(Window.partitionBy("page_id").orderBy("ord", "level"))
+    rows = nodes.select(place.alias("_place"), "level", "title", *[c for c in kept if c not in ("level", "title")])
 
     def placed(batches):
-        page, stack = None, []
+        stack = []
         for batch in batches:
             paths = []
-            for key, level, title in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                if key != page:
-                    page, stack = key, []
+            for place, level, title in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if place == 1:
+                    stack = []
                 del stack[level:]
                 stack.append(title)
                 paths.append(separator.join(stack))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(paths, pa.string())], names=[*batch.schema.names, "path"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    ordered = rows.repartition("page_id").sortWithinPartitions("page_id", "ord", "level")
-    return ordered.mapInArrow(placed, f"{kinds}, path string").select(*kept, "path", (F.col("level") + 1).alias("depth"))
+    return rows.mapInArrow(placed, f"{kinds}, path string").select(*kept, "path", (F.col("level") + 1).alias("depth"))
 
 
 def split_form_fields(fields, report_form):

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from inspectlake.fixtures import fixture, with_fixtures
 from inspectlake.functions import text as T
 from inspectlake.operators import tree as X
+from inspectlake.operators.ordered import dealt
 
 REPORT_FORM = "edit_report_1"
 ITEM_PREFIX = "edit_item_"
@@ -15,7 +16,8 @@ def _entries(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    return X.outline_items(_entries(spark, sf_dir))
+    """The outline items, dealt by page before they are numbered, so that no later step deals them again."""
+    return X.outline_items(fixture(spark, sf_dir, "fx_outline", lambda rows: dealt(rows, "l_orderkey")))
 
 
 def _nodes(items):
@@ -24,7 +26,7 @@ def _nodes(items):
 
 def _tree(spark, sf_dir):
     items, fields = _items(spark, sf_dir), _fields(spark, sf_dir)
-    pages = items.select("page_id").union(fields.select("page_id")).distinct()
+    pages = _entries(spark, sf_dir).select("page_id").union(fields.select("page_id")).distinct()
     return X.union_tree(_nodes(items), pages, fields, REPORT_FORM, ITEM_PREFIX)
 
 

@@ -3,7 +3,7 @@
 import pytest
 from test_queries import plan_of
 
-from inspectlake.fixtures import fixture
+from inspectlake.fixtures import fixture, table
 from inspectlake.operators import forms as H
 from inspectlake.operators import tree as X
 from inspectlake.operators.ordered import dealt, tasks_for
@@ -27,3 +27,12 @@ def stays(rows, tasks):
 @pytest.mark.parametrize("step", ["form_fields", "resolve_label", "choice_options", "tag_fields"])
 def test_form_steps_stay_where_the_pages_are(nodes, step):
     assert stays(getattr(H, step)(nodes), nodes.rdd.getNumPartitions()) and nodes.rdd.getNumPartitions() > 4
+
+
+def test_outline_steps_stay_where_the_pages_are(spark, sf):
+    entries = fixture(spark, sf, "fx_outline", lambda rows: dealt(rows, "l_orderkey", per_task=1000))
+    placed = X.parent_asof(X.fill_levels(X.outline_items(entries)))
+    plan, tasks = plan_of(placed), tasks_for(table(spark, sf, "lineitem"), 1000)
+    assert tasks > 4 and "ENSURE_REQUIREMENTS" not in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
+    # A fold over the sections of a page needs no dealing of its own.
+    assert "ENSURE_REQUIREMENTS" not in plan_of(X.section_path(placed)) and plan_of(X.section_path(placed)).count("REPARTITION_BY") == plan.count("REPARTITION_BY")
