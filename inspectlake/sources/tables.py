@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from inspectlake.operators.ordered import tasks_for
 from inspectlake.operators.projects import latest_artifact
 from inspectlake.sources.versions import new_folder, read_manifest, write_manifest
 
@@ -112,7 +113,10 @@ def _read_catalog(spark, path, commits):
     place = F.element_at(F.create_map(*[x for k, c in enumerate(commits) for x in (F.lit(c), F.lit(k))]), F.col("_commit"))
     stored = {name: spark.read.parquet(*[f"{path}/{c}/{name}" for c in commits]) for name in (*CATALOG, "pages")}
     last = stored["pages"].groupBy("page_id").agg(F.max_by("_commit", place).alias("_commit"))
-    return {name: rows.join(last, ["page_id", "_commit"], "left_semi") for name, rows in stored.items()}
+    # Both sides dealt alike, over as many tasks as the longest table needs.
+    tasks, key = max(tasks_for(rows) for rows in stored.values()), ["page_id", "_commit"]
+    last = last.repartition(tasks, *key)
+    return {name: rows.repartition(tasks, *key).join(last, key, "left_semi") for name, rows in stored.items()}
 
 
 def save_catalog(path, fields, sections, tags, pages=None, compact_every=30):
