@@ -19,6 +19,15 @@ def with_cache_key(rows, path="image_path", prompt="prompt"):
     return rows.withColumn("cache_key", T.cache_key(F.col(path), F.col(prompt)))
 
 
+def _with_key(rows, path="image_path", prompt="prompt"):
+    """Add ``_key``, the 16 bytes that ``cache_key`` writes in 32 digits: what lookups carry through exchanges."""
+    return rows.withColumn("_key", _digest(T.cache_key(F.col(path), F.col(prompt))))
+
+
+def _digest(cache_key):
+    return F.unhex(F.right(cache_key, F.lit(32)))
+
+
 def _seconds(n):
     return F.make_dt_interval(secs=F.lit(float(n)))
 
@@ -35,20 +44,20 @@ def micros_of(ts):
 
 
 def _instants(requests):
-    return requests.select("cache_key", F.col("requested_at").alias("at")).distinct().withColumn("at_us", micros_of(F.col("at")))
+    return requests.select("_key", F.col("requested_at").alias("at")).distinct().withColumn("at_us", micros_of(F.col("at")))
 
 
 def live_entries(instants, cache, ttl=S.CACHE_TTL_SECONDS):
-    """(cache_key, at, entry_id, cached_at) for each instant that a live entry answers.
+    """(_key, requested_at, entry_id, cached_at) for each instant that a live entry answers.
 
     An as-of join on ids and times: no result is read here.  Of several successes written
     at once, the one with the greatest id counts.
     """
-    entries = cache.filter("success").groupBy("cache_key", "cached_at").agg(F.max("entry_id").alias("entry_id"))
+    entries = cache.filter("success").groupBy("_key", "cached_at").agg(F.max("entry_id").alias("entry_id"))
     entries = entries.withColumn("at_us", micros_of(F.col("cached_at")))
-    found = as_of(instants, entries, ["cache_key"], "at_us", ["cached_at", "entry_id"], ttl * 1_000_000)
+    found = as_of(instants, entries, ["_key"], "at_us", ["cached_at", "entry_id"], ttl * 1_000_000, in_order=True)
     live = F.col("at") < F.col("cached_at") + _seconds(ttl)
-    return found.filter(live).select("cache_key", F.col("at").alias("requested_at"), "entry_id", "cached_at")
+    return found.filter(live).select("_key", F.col("at").alias("requested_at"), "entry_id", "cached_at")
 
 
 def match_cache(requests, cache, ttl=S.CACHE_TTL_SECONDS):
@@ -57,13 +66,14 @@ def match_cache(requests, cache, ttl=S.CACHE_TTL_SECONDS):
     Requests meet ids first; the results join last, once per entry that is stored, so
     they are in no exchange before that.
     """
-    requests, cache = with_cache_key(requests), with_cache_key(cache)
+    requests, cache = _with_key(requests), _with_key(cache)
     live = live_entries(_instants(requests), cache, ttl)
-    matched = requests.join(live, ["cache_key", "requested_at"], "left")
-    entry = ["cache_key", "cached_at", "entry_id"]
+    matched = requests.join(live, ["_key", "requested_at"], "left")
+    entry = ["_key", "cached_at", "entry_id"]
     results = cache.filter("success").select(*entry, "result").dropDuplicates(entry)
-    kept = [c for c in matched.columns if c not in ("entry_id", "cached_at")]
-    return matched.join(results, entry, "left").select(*kept, "result", F.col("entry_id").isNotNull().alias("hit"))
+    kept = [c for c in matched.columns if c not in entry]
+    found = matched.join(results, entry, "left").select(*kept, "result", F.col("entry_id").isNotNull().alias("hit"))
+    return with_cache_key(found)
 
 
 def cache_lookup(matched):
@@ -109,28 +119,31 @@ def cache_ttl_fold(requests, ttl=S.CACHE_TTL_SECONDS, writes=None):
     on key and time, of which there is one row each; instants without a further one drop out.
     """
     ttl_us = ttl * 1_000_000
-    key = ["cache_key", "at_us"]
-    instants = with_cache_key(requests).groupBy("cache_key", F.col("requested_at").alias("at")).agg(F.min("req_id").alias("req_id"))
+    key = ["_key", "at_us"]
+    instants = _with_key(requests).groupBy("_key", F.col("requested_at").alias("at")).agg(F.min("req_id").alias("req_id"))
     instants = saved(instants.withColumn("at_us", micros_of(F.col("at"))), "instants")
     open_ones = instants
     if writes is not None:
-        open_ones = instants.join(writes, "cache_key", "left").filter(F.col("last_us").isNull() | (F.col("at_us") >= F.col("last_us") + ttl_us))
-    firsts = saved(open_ones.groupBy("cache_key").agg(F.min("at_us").alias("at_us"), F.max("at_us").alias("_last")), "round")
+        writes = writes.select(_digest(F.col("cache_key")).alias("_key"), "last_us")
+        open_ones = instants.join(writes, "_key", "left").filter(F.col("last_us").isNull() | (F.col("at_us") >= F.col("last_us") + ttl_us))
+    firsts = saved(open_ones.groupBy("_key").agg(F.min("at_us").alias("at_us"), F.max("at_us").alias("_last")), "round")
     longest = firsts.agg(F.max(F.floor((F.col("_last") - F.col("at_us")) / ttl_us))).first()[0] or 0
     # Backwards in time, the first instant from a time on is the latest one up to it.
-    back = instants.select("cache_key", "at_us", (-F.col("at_us") - ttl_us).alias("_t"))
-    ahead = as_of(back, instants.select("cache_key", (-F.col("at_us")).alias("_t"), F.col("at_us").alias("next")), ["cache_key"], "_t", ["next"], ttl_us)
-    jump = ahead.filter("next is not null").select(*key, "next")
+    back = instants.select(*key, (-F.col("at_us") - ttl_us).alias("_t"))
+    ahead = as_of(back, instants.select("_key", (-F.col("at_us")).alias("_t"), (-F.col("at_us")).alias("_back")), ["_key"], "_t", ["_back"], ttl_us, in_order=True)
+    jump = ahead.filter("_back is not null").select(*key, (-F.col("_back")).alias("next"))
     missed = firsts.select(*key)
     # A chain over ``longest`` expiry times has at most that many steps after its first miss.
     rounds = int(longest).bit_length()
     for k in range(rounds):
         jump = saved(jump, "round")
-        further = missed.join(jump, key).select("cache_key", F.col("next").alias("at_us"))
+        further = missed.join(jump, key).select("_key", F.col("next").alias("at_us"))
         missed = saved(missed.unionByName(further), "round")
-        then = jump.select("cache_key", F.col("at_us").alias("next"), F.col("next").alias("_then"))
-        jump = jump.join(then, ["cache_key", "next"]).select(*key, F.col("_then").alias("next"))
-    return instants.join(missed, key, "left_semi").select("cache_key", "at", "req_id", "at_us")
+        then = jump.select("_key", F.col("at_us").alias("next"), F.col("next").alias("_then"))
+        jump = jump.join(then, ["_key", "next"]).select(*key, F.col("_then").alias("next"))
+    found = instants.join(missed, key, "left_semi")
+    cache_key = F.concat(F.lit(S.CACHE_KEY_PREFIX), F.lower(F.hex("_key")))
+    return found.select(cache_key.alias("cache_key"), "at", "req_id", "at_us")
 
 
 def retry_outcome(attempts, keys=("project_id", "task_id"), tries=S.MAX_TRIES, base=S.BACKOFF_BASE):

@@ -134,11 +134,11 @@ def cached_infer(requests, cache, make, model_id, ttl=S.CACHE_TTL_SECONDS, **opt
     another request's answer.  Matches and answers are written down: both are
     used more than once, and answers are costly to redo.
     """
-    matched = saved(C.match_cache(requests, cache, ttl), "matched")
+    matched = saved(C.match_cache(requests, cache, ttl).drop("cache_key"), "matched")
     misses = C.cache_miss(matched)
     leaders = misses.join(C.cache_ttl_fold(misses, ttl).select("req_id"), "req_id", "left_semi")
     first = _asked(leaders, make, model_id, options, "answers")
-    followed = saved(C.match_cache(misses, _entries(first), ttl), "followed")
+    followed = saved(C.match_cache(misses, _entries(first), ttl).drop("cache_key"), "followed")
     alone = C.cache_miss(followed).join(first.select("req_id"), "req_id", "left_anti")
     second = _asked(alone, make, model_id, options, "answers")
     kept = C.cache_ttl_fold(second.filter("success"), ttl).select("req_id")
@@ -163,4 +163,4 @@ def cached_infer(requests, cache, make, model_id, ttl=S.CACHE_TTL_SECONDS, **opt
     fresh = shared(followed.filter("hit")).unionByName(own(first)).unionByName(shared(later.filter("hit"))).unionByName(own(unshared))
     hits = C.cache_lookup(matched).withColumns({"success": F.lit(True), "cached": F.lit(True)})
     writes = first.unionByName(settled).withColumn("result", F.col("raw_response"))
-    return hits.unionByName(fresh, allowMissingColumns=True), C.cache_writes(writes)
+    return C.with_cache_key(hits.unionByName(fresh, allowMissingColumns=True)), C.cache_writes(writes)

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-#: Slices of a stretch of time, and stretches whose last values meet in one window row by row.
+#: Slices of a stretch of time, whose last values meet in one window row by row.
 SLICES = 1024
 
 #: Rows of a task that sorts several times; the sum of its sorts is what it needs at most.
@@ -25,34 +25,29 @@ def dealt(rows, *keys, per_task=ROWS_PER_TASK):
     return rows.repartition(tasks_for(rows, per_task), *keys)
 
 
-def as_of(asks, entries, keys, time, values, stretch):
+def as_of(asks, entries, keys, time, values, stretch, in_order=False):
     """The ``asks`` with the ``values`` of the latest entry of their keys up to their ``time``.
 
     ``time`` is an integer column of both sides, and each side has one row per key and time.
-    Entries and asks share a window inside a slice of a stretch of time (``stretch`` long);
-    what came before the slice is found in a tree: the last entry of each slice, of each
-    stretch, and of the stretches before.  A window holds the rows of one key and slice, the
-    ``SLICES`` slices of one stretch, or one row per stretch, for every key alike.  Asks
-    without an earlier entry have nulls.
+    ``in_order`` says that the first of the ``values`` grows with the time, which then need not be kept beside it.
+    Entries and asks share a window inside a slice of time, of which a ``stretch`` has ``SLICES``;
+    what came before the slice is found among the last entries of the slices.  A window holds
+    the rows of one key and slice, or one row per slice of a key, as many as the time it covers
+    asks for whatever its rows, for every key alike.  Asks without an earlier entry have nulls.
     """
     fine = max(1, stretch // SLICES)
-    entry = F.struct(time, *values)
+    entry = F.struct(*values) if in_order else F.struct(time, *values)
     rows = asks.withColumn("_asks", F.lit(1)).unionByName(
         entries.select(*keys, time, F.lit(0).alias("_asks"), entry.alias("_entry")), allowMissingColumns=True
     )
-    rows = rows.withColumn("_slice", F.floor(F.col(time) / F.lit(fine))).withColumn("_stretch", F.floor(F.col("_slice") / SLICES))
-    place = [*keys, "_stretch", "_slice"]
-    before = (Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_slice", F.floor(F.col(time) / F.lit(fine)))
+    place = [*keys, "_slice"]
     # An entry stands before an ask of the same time.
     inside = Window.partitionBy(*place).orderBy(time, "_asks").rowsBetween(Window.unboundedPreceding, 0)
     local = rows.withColumn("_inside", F.last("_entry", ignorenulls=True).over(inside))
     slices = rows.groupBy(*place).agg(F.max("_entry").alias("_last"))
-    earlier = Window.partitionBy(*keys, "_stretch").orderBy("_slice").rowsBetween(*before)
-    slices = slices.withColumn("_mid", F.last("_last", ignorenulls=True).over(earlier))
-    stretches = slices.groupBy(*keys, "_stretch").agg(F.max("_last").alias("_last"))
-    earlier = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(*before)
-    stretches = stretches.select(*keys, "_stretch", F.last("_last", ignorenulls=True).over(earlier).alias("_far"))
-    carried = slices.join(stretches, [*keys, "_stretch"]).select(*place, F.coalesce("_mid", "_far").alias("_carried"))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = slices.select(*place, F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
     found = local.filter("_asks = 1").join(carried.filter("_carried is not null"), place, "left")
     latest = F.coalesce("_inside", "_carried")
     return found.select(*asks.columns, *[latest[v].alias(v) for v in values])
