@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from inspectlake import settings as S
+from inspectlake.operators.ordered import dealt
 from inspectlake.operators.records import PAGE_FIELDS
 
 HANDWRITTEN, SCANNED, IMAGES = 1, 2, 3
@@ -32,15 +33,40 @@ def map_pairs(rows, ord_col="ord", phase=SCANNED):
     )
 
 
+#: Parts a project's responses are dealt in, so that one with very many of them is in several tasks.
+PROJECT_PARTS = 16
+
+
+def dealt_by_project(responses, ord_col="ord"):
+    """The responses of a written table dealt by project and ``_part``, over tasks that grow with the table."""
+    part = F.pmod(F.xxhash64(ord_col), F.lit(PROJECT_PARTS))
+    return dealt(responses.withColumn("_part", part), "project_id", "_part")
+
+
+def _with_keys(records, skip_failed):
+    rows = records.filter("error is null")
+    return rows.filter("not startswith(evidence, 'Error: ')") if skip_failed else rows
+
+
+def last_images(records, ord_col="ord", skip_failed=False):
+    """The last image record with keys of every project.
+
+    Such a record has every key, so ``last_wins_merge`` takes nothing from an earlier one;
+    without those, a key/value row is made per project and not per image.  Of records dealt
+    by ``dealt_by_project``, at most one per project and part goes through the exchange.
+    """
+    kept = F.struct(ord_col, *S.IMAGE_KEYS, "evidence", "error")
+    last = _with_keys(records, skip_failed).groupBy("project_id").agg(F.max_by(kept, ord_col).alias("_r"))
+    return last.select("project_id", "_r.*")
+
+
 def image_pairs(records, ord_col="ord", skip_failed=False):
     """Key/value rows of image records; lists are the JSON text that came.
 
     A short error record has no keys.  A failed image still has its defaults
     and overrides earlier images, unless ``skip_failed`` is set.
     """
-    rows = records.filter("error is null")
-    if skip_failed:
-        rows = rows.filter("not startswith(evidence, 'Error: ')")
+    rows = _with_keys(records, skip_failed)
     pairs = F.array(*[F.struct(F.lit(f).alias("src_key"), F.col(f).alias("value")) for f in S.IMAGE_KEYS])
     return rows.select("project_id", F.col(ord_col).alias("ord"), F.explode(pairs).alias("_p")).select(
         "project_id", F.lit(IMAGES).cast("bigint").alias("phase"), "ord", "_p.*"

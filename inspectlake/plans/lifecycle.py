@@ -16,7 +16,7 @@ from inspectlake.operators import merge as G
 from inspectlake.operators import records as R
 from inspectlake.operators import review as V
 from inspectlake.operators import tree as X
-from inspectlake.plans.common import ALIASES, NORM_NAME, RENAMED, envelopes, given, merged_extraction, normalized
+from inspectlake.plans.common import ALIASES, NORM_NAME, RENAMED, given, merged_extraction, normalized
 from inspectlake.plans.reviews import STATUS
 from inspectlake.session import saved
 from inspectlake.sources import tables
@@ -69,7 +69,7 @@ def extracted_values(pages, texts, images, skip_failed=False):
     pairs = G.union_sources(
         G.page_pairs(pages.filter("not failed"), "req_id"),
         G.map_pairs(texts, "req_id"),
-        G.image_pairs(images, "req_id", skip_failed),
+        G.image_pairs(G.last_images(images, "req_id", skip_failed), "req_id", skip_failed),
     )
     return G.last_wins_merge(G.rename_keys(pairs))
 
@@ -140,7 +140,8 @@ def review_and_fill(fields, extracted, events, aliases):
 
 def fillable_fields(spark, sf_dir):
     """Which form fields can each project fill, and with what value?"""
-    records = R.image_records(envelopes(spark, sf_dir))
+    responses = G.dealt_by_project(fixture(spark, sf_dir, "fx_response"), "resp_id")
+    records = G.last_images(R.image_records(parse_envelope(responses)), "resp_id")
     extracted = G.last_wins_merge(G.rename_keys(G.image_pairs(records, "resp_id")))
     fields = fixture(spark, sf_dir, "fx_form_field")
     mapped = M.map_fields(fields, extracted, M.alias_table(spark))

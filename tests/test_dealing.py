@@ -4,9 +4,13 @@ import pytest
 from test_queries import plan_of
 
 from inspectlake.fixtures import fixture, table
+from inspectlake.functions.envelope import parse_envelope
 from inspectlake.operators import forms as H
+from inspectlake.operators import merge as G
+from inspectlake.operators import records as R
 from inspectlake.operators import tree as X
 from inspectlake.operators.ordered import dealt, tasks_for
+from inspectlake.plans import QUERIES
 from inspectlake.session import saved
 
 
@@ -36,3 +40,27 @@ def test_outline_steps_stay_where_the_pages_are(spark, sf):
     assert tasks > 4 and "ENSURE_REQUIREMENTS" not in plan and f", {tasks}), REPARTITION_BY_NUM" in plan
     # A fold over the sections of a page needs no dealing of its own.
     assert "ENSURE_REQUIREMENTS" not in plan_of(X.section_path(placed)) and plan_of(X.section_path(placed)).count("REPARTITION_BY") == plan.count("REPARTITION_BY")
+
+
+def test_images_are_reduced_before_their_keys_are_rows(spark, sf):
+    responses = G.dealt_by_project(fixture(spark, sf, "fx_response"), "resp_id")
+    records = R.image_records(parse_envelope(responses))
+    plan = plan_of(G.last_wins_merge(G.rename_keys(G.image_pairs(G.last_images(records, "resp_id"), "resp_id"))))
+    # One dealing of the responses and one of what is left per project and part.
+    assert "REPARTITION_BY_NUM" in plan and plan.split("Initial Plan")[-1].count("ENSURE_REQUIREMENTS") <= 1
+    query = plan_of(QUERIES["fillable_fields"](spark, sf))
+    assert "hashpartitioning(project_id" in query and "REPARTITION_BY_NUM" in query and "_part" in query
+
+
+@pytest.mark.parametrize("skip_failed", [False, True])
+@pytest.mark.parametrize("deal", [lambda rows: rows, lambda rows: G.dealt_by_project(rows, "resp_id")])
+def test_last_images_give_the_same_values(spark, sf, skip_failed, deal):
+    records = R.image_records(parse_envelope(deal(fixture(spark, sf, "fx_response"))))
+
+    def values(rows):
+        pairs = G.image_pairs(rows, "resp_id", skip_failed)
+        return sorted(map(tuple, G.last_wins_merge(G.rename_keys(pairs)).collect()), key=str)
+
+    last = G.last_images(records, "resp_id", skip_failed)
+    assert last.count() == last.select("project_id").distinct().count()
+    assert values(last) == values(records) != []
