@@ -9,7 +9,7 @@ from inspectlake.operators.projects import create_projects
 from inspectlake.plans.common import PARSE_ERROR, all_cores, envelopes, given, normalized
 from inspectlake.plans.lifecycle import form_catalog, read_outputs, section_tree, write_outputs
 from inspectlake.plans.pages import ORACLES as PAGES
-from inspectlake.session import work_dir
+from inspectlake.session import saved, work_dir
 from inspectlake.sources import files, tables
 from inspectlake.sources.versions import file_system, hadoop_path
 
@@ -119,7 +119,8 @@ def project_results(spark, sf_dir):
     """Document and image outputs of every project, from raw answers to the stores and back."""
     project = (F.col("doc_id") % 40).alias("project_id")
     path = work_dir(spark, "outputs")
-    written = envelopes(spark, sf_dir, "fx_page_response")
+    # Read by the records, their documents and the errors, so parsed and written once.
+    written = saved(envelopes(spark, sf_dir, "fx_page_response"), "envelopes")
     failed = R.document_errors(written, "doc_id")
     pages = R.without_documents(R.page_records(written.drop("resp_id")), failed).select(project, "*")
     failed = failed.select(project, "doc_id", "error")

@@ -4,10 +4,12 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from test_queries import plan_of
 
 from inspectlake.fixtures import fixture
 from inspectlake.operators import projects as P
 from inspectlake.operators.cache import cache_ttl_fold
+from inspectlake.plans import storage
 from inspectlake.session import saved, work_dir
 from inspectlake.sources import files, tables, versions
 from inspectlake.streaming import streams as Q
@@ -301,3 +303,17 @@ def test_log_windows_over_several_batches_equal_a_batch(spark, tmp_path):
     want = Q.log_windows(logs.withColumn("at", F.col("at").cast("timestamp")))
     got = Q.latest_windows(spark, out)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_project_results_parse_the_page_answers_once(spark, sf, monkeypatch):
+    seen = []
+
+    def stop(path, pages, failed, *rest, **options):
+        seen.extend([pages, failed])
+        raise InterruptedError
+
+    monkeypatch.setattr(storage, "write_outputs", stop)
+    with pytest.raises(InterruptedError):
+        storage.project_results(spark, sf)
+    # Pages and errors go into several branches, each of which would parse anew.
+    assert [plan_of(rows).count("ArrowEvalPython") for rows in seen] == [0, 0]
