@@ -64,3 +64,10 @@ def test_last_images_give_the_same_values(spark, sf, skip_failed, deal):
     last = G.last_images(records, "resp_id", skip_failed)
     assert last.count() == last.select("project_id").distinct().count()
     assert values(last) == values(records) != []
+
+
+@pytest.mark.parametrize("name", ["union_tree", "root_order"])
+def test_whole_trees_deal_the_outline_once(spark, sf, name):
+    plan = plan_of(QUERIES[name](spark, sf)).split("Initial Plan")[-1]
+    # The outline by page, in tasks that grow with the table; other exchanges are of pages and fields.
+    assert plan.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(page_id" in plan
