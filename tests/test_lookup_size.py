@@ -17,3 +17,8 @@ def test_as_of_deals_each_side_as_seldom_as_it_can(spark):
     found = as_of(asks, entries, ["k"], "t", ["v"], 16, in_order=True)
     assert plan_of(found).split("Initial Plan")[-1].count("hashpartitioning(") <= 5
     assert {(r.k, r.t): r.v for r in found.collect()} == {("a", 5): 1, ("a", 900): 7, ("b", 1): None}
+
+
+def test_the_fold_deals_by_the_digest_not_by_its_text(spark, sf):
+    plan = plan_of(QUERIES["cache_ttl_fold"](spark, sf))
+    assert "struct<_key:binary" in plan and "cache_key:string" not in plan
