@@ -116,32 +116,35 @@ def cache_ttl_fold(requests, ttl=S.CACHE_TTL_SECONDS, writes=None):
     The misses are the chain of these pointers from the first instant on.  Each round adds
     as many misses as there are and doubles the reach of the pointers, so the rounds are the
     logarithm of the longest chain, which the covered time bounds.  Every round is two joins
-    on key and time, of which there is one row each; instants without a further one drop out.
+    on the number that an instant got when it was written, so that rounds carry two numbers
+    a row and no key; instants without a further one drop out.
     """
     ttl_us = ttl * 1_000_000
-    key = ["_key", "at_us"]
     instants = _with_key(requests).groupBy("_key", F.col("requested_at").alias("at")).agg(F.min("req_id").alias("req_id"))
-    instants = saved(instants.withColumn("at_us", micros_of(F.col("at"))), "instants")
+    instants = saved(instants.withColumns({"at_us": micros_of(F.col("at")), "_id": F.monotonically_increasing_id()}), "instants")
+    # Requests without a path, prompt or time meet no other, so they are in no chain.
+    instants = instants.filter(F.col("_key").isNotNull() & F.col("at_us").isNotNull())
     open_ones = instants
     if writes is not None:
         writes = writes.select(_digest(F.col("cache_key")).alias("_key"), "last_us")
         open_ones = instants.join(writes, "_key", "left").filter(F.col("last_us").isNull() | (F.col("at_us") >= F.col("last_us") + ttl_us))
-    firsts = saved(open_ones.groupBy("_key").agg(F.min("at_us").alias("at_us"), F.max("at_us").alias("_last")), "round")
-    longest = firsts.agg(F.max(F.floor((F.col("_last") - F.col("at_us")) / ttl_us))).first()[0] or 0
+    spans = open_ones.groupBy("_key").agg(F.min_by("_id", "at_us").alias("_id"), (F.max("at_us") - F.min("at_us")).alias("_span"))
+    firsts = saved(spans.drop("_key"), "round")
+    longest = firsts.agg(F.max(F.floor(F.col("_span") / ttl_us))).first()[0] or 0
     # Backwards in time, the first instant from a time on is the latest one up to it.
-    back = instants.select(*key, (-F.col("at_us") - ttl_us).alias("_t"))
-    ahead = as_of(back, instants.select("_key", (-F.col("at_us")).alias("_t"), (-F.col("at_us")).alias("_back")), ["_key"], "_t", ["_back"], ttl_us, in_order=True)
-    jump = ahead.filter("_back is not null").select(*key, (-F.col("_back")).alias("next"))
-    missed = firsts.select(*key)
+    back = instants.select("_key", "_id", (-F.col("at_us") - ttl_us).alias("_t"))
+    ahead = as_of(back, instants.select("_key", (-F.col("at_us")).alias("_t"), F.col("_id").alias("_next")), ["_key"], "_t", ["_next"], ttl_us)
+    jump = ahead.filter("_next is not null").select("_id", "_next")
+    missed = firsts.select("_id")
     # A chain over ``longest`` expiry times has at most that many steps after its first miss.
     rounds = int(longest).bit_length()
     for k in range(rounds):
         jump = saved(jump, "round")
-        further = missed.join(jump, key).select("_key", F.col("next").alias("at_us"))
+        further = missed.join(jump, "_id").select(F.col("_next").alias("_id"))
         missed = saved(missed.unionByName(further), "round")
-        then = jump.select("_key", F.col("at_us").alias("next"), F.col("next").alias("_then"))
-        jump = jump.join(then, ["_key", "next"]).select(*key, F.col("_then").alias("next"))
-    found = instants.join(missed, key, "left_semi")
+        then = jump.select(F.col("_id").alias("_next"), F.col("_next").alias("_then"))
+        jump = jump.join(then, "_next").select("_id", F.col("_then").alias("_next"))
+    found = instants.join(missed, "_id", "left_semi")
     cache_key = F.concat(F.lit(S.CACHE_KEY_PREFIX), F.lower(F.hex("_key")))
     return found.select(cache_key.alias("cache_key"), "at", "req_id", "at_us")
 
