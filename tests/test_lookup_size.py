@@ -6,6 +6,7 @@ from test_queries import plan_of
 from inspectlake.operators import cache
 from inspectlake.operators.ordered import as_of
 from inspectlake.plans.caching import QUERIES
+from inspectlake.plans.streams import QUERIES as STREAMS
 
 
 def test_lookups_deal_by_the_digest_not_by_its_text(spark, sf):
@@ -26,6 +27,18 @@ def test_the_fold_deals_by_the_digest_not_by_its_text(spark, sf):
     assert "struct<_key:binary" in plan and "cache_key:string" not in plan
 
 
+def test_the_stream_carries_numbers_not_keys_through_its_rounds(spark, sf, monkeypatch):
+    written, rounds = cache.saved, []
+
+    def noted(rows, name):
+        rounds.extend([rows.columns] if name == "round" else [])
+        return written(rows, name)
+
+    monkeypatch.setattr(cache, "saved", noted)
+    assert STREAMS["stream_cache"](spark, sf).count() > 0
+    assert len(rounds) > 3 and not any("_key" in columns for columns in rounds)
+
+
 def test_rounds_of_the_fold_carry_numbers_not_keys(spark, sf, monkeypatch):
     written, rounds = cache.saved, []
 
