@@ -1,5 +1,7 @@
 """Rows that are dealt once by a number that grows with the table are not dealt again."""
 
+import re
+
 import pytest
 from test_queries import plan_of
 
@@ -71,3 +73,11 @@ def test_whole_trees_deal_the_outline_once(spark, sf, name):
     plan = plan_of(QUERIES[name](spark, sf)).split("Initial Plan")[-1]
     # The outline by page, in tasks that grow with the table; other exchanges are of pages and fields.
     assert plan.count("REPARTITION_BY_NUM") == 1 and "hashpartitioning(page_id" in plan
+
+
+def test_the_section_tree_stays_where_the_pages_are(spark, sf, monkeypatch):
+    monkeypatch.setattr(H, "by_page", lambda nodes: dealt(nodes, "page_id", per_task=100))
+    plan = plan_of(QUERIES["section_tree"](spark, sf)).split("Initial Plan")[-1]
+    tasks = {int(n) for n in re.findall(r"hashpartitioning\(page_id#\d+L, (\d+)\), REPARTITION_BY_NUM", plan)}
+    # The nodes in tasks that grow with them; the pages alone are a scan dealt over the cores.
+    assert max(tasks) > 4 and "ENSURE_REQUIREMENTS" not in plan
