@@ -120,6 +120,10 @@ ARROW_NODES = pa.schema(
 )
 NODES_PER_BATCH = 20_000
 
+#: Nodes of a written file.  Nodes compress so well that a file by size would hold millions, which the
+#: task that deals them sorts.
+NODES_PER_FILE = 50_000
+
 
 def _batch(rows):
     columns = [pa.array(c, t) for c, t in zip(zip(*rows), ARROW_NODES.types)]

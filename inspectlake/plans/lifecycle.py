@@ -110,7 +110,7 @@ def read_outputs(spark, path):
 
 def form_catalog(pages):
     """Fields, placed outline nodes with paths, and tags of scraped pages."""
-    nodes = H.by_page(saved(H.html_to_nodes(pages), "nodes"))
+    nodes = H.by_page(saved(H.html_to_nodes(pages), "nodes", H.NODES_PER_FILE))
     items = X.outline_items(H.outline_entries(nodes))
     sections = X.section_path(X.parent_asof(X.fill_levels(items)))
     return H.form_fields(nodes), sections, H.tag_fields(nodes)

@@ -17,7 +17,7 @@ def _nodes(spark, sf_dir):
 
 
 def stored_nodes(spark, sf_dir):
-    return H.by_page(saved(_nodes(spark, sf_dir), "nodes"))
+    return H.by_page(saved(_nodes(spark, sf_dir), "nodes", H.NODES_PER_FILE))
 
 
 def html_to_nodes(spark, sf_dir):

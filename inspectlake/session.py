@@ -87,13 +87,16 @@ def _remove_at_end(spark, path):
     folder.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(folder)
 
 
-def saved(rows, name):
+def saved(rows, name, per_file=None):
     """``rows`` written to a new folder of the shared storage and read back.
 
     Cuts the lineage at work that is used more than once; later steps read
     only the columns they need.  The folder goes when the application ends.
+    ``per_file`` bounds the rows of a file, and so those of a task that reads them: a task
+    takes one large file or a few dozen small ones, whatever their rows compress to.
     """
     path = work_dir(rows.sparkSession, name)
-    rows.write.parquet(path)
+    writer = rows.write.option("maxRecordsPerFile", per_file) if per_file else rows.write
+    writer.parquet(path)
     _remove_at_end(rows.sparkSession, path)
     return rows.sparkSession.read.parquet(path)

@@ -3,6 +3,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from test_queries import plan_of
 
 from inspectlake.fixtures import fixture, table
@@ -68,6 +69,17 @@ def test_last_images_give_the_same_values(spark, sf, skip_failed, deal):
     assert values(last) == values(records) != []
 
 
+@pytest.mark.parametrize("name", ["resolve_label", "choice_options", "section_tree"])
+def test_written_nodes_are_in_files_of_bounded_rows(spark, sf, monkeypatch, name):
+    written, by_page = [], H.by_page
+    monkeypatch.setattr(H, "NODES_PER_FILE", 50, raising=False)
+    monkeypatch.setattr(H, "by_page", lambda nodes: written.append(nodes) or by_page(nodes))
+    QUERIES[name](spark, sf)
+    # A task that deals the nodes sorts the rows of its files.
+    in_files = [r["count"] for r in written[0].groupBy(F.input_file_name()).count().collect()]
+    assert sum(in_files) > 1000 and max(in_files) <= 50
+
+
 @pytest.mark.parametrize("name", ["union_tree", "root_order"])
 def test_whole_trees_deal_the_outline_once(spark, sf, name):
     plan = plan_of(QUERIES[name](spark, sf)).split("Initial Plan")[-1]
